@@ -1,6 +1,605 @@
-"""Registered queries of the library and their SQL."""
+"""Registered queries of the library over the test tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import compare
+from .functions.canon import encoded
+from .functions.config import FieldConfig
+from .functions.literals import bool_literal, int_literal
+from .model import CONFIRMED, KEY, OPEN, PROPOSED, REJECTED, RESOLVED, SUPPRESSED, attributes, bool_value, int_value, null_value, str_value, value
+from .operators import decisions as dec
+from .operators import diffing, discovery, lifecycle, matching, readmodel, revisions
+from .plans.planes import CUSTOMER_SQL, PART_SQL, customer_decisions, customer_declared, customer_discovered, part_declared, part_discovered, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------------------------------------ matching and diffing
+
+
+def _part_match(spark: SparkSession, sf_dir: str) -> matching.MatchResult:
+    return matching.match_resources(part_declared(spark, sf_dir), part_discovered(spark, sf_dir))
+
+
+@query(f"WITH {PART_SQL} SELECT * FROM diffs")
+def reconcile_discrepancies(spark, sf_dir):
+    return diffing.reconcile(_part_match(spark, sf_dir))
+
+
+@query("SELECT s.s_name AS name, n.n_name AS nation FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey")
+def kind_lookup_join(spark, sf_dir):
+    """N:1 lookup: the small side is broadcast by its size, which Spark checks."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return s.join(n, s.s_nationkey == n.n_nationkey).select(s.s_name.alias("name"), n.n_name.alias("nation"))
+
+
+@query(f"WITH {PART_SQL} SELECT d.scope, d.name, 'id-' || x.k AS provider_id, 'natural_key' AS strategy, 'high' AS confidence FROM dec d JOIN dis x ON d.scope = x.scope AND d.name = x.name")
+def natural_key_pairs(spark, sf_dir):
+    return _part_match(spark, sf_dir).pairs.select("scope", "name", "provider_id", "strategy", "confidence")
+
+
+@query(f"WITH {PART_SQL} SELECT scope, name FROM diffs WHERE discrepancy_type = 'declared_missing'")
+def declared_orphans(spark, sf_dir):
+    return _part_match(spark, sf_dir).declared_orphans.select("scope", "name")
+
+
+@query(f"WITH {PART_SQL} SELECT scope, name FROM diffs WHERE discrepancy_type = 'discovered_undeclared'")
+def discovered_orphans(spark, sf_dir):
+    return _part_match(spark, sf_dir).discovered_orphans.select("scope", "name")
+
+
+def _customer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return customer_declared(spark, sf_dir), customer_discovered(spark, sf_dir), customer_decisions(spark, sf_dir)
+
+
+_PAIR = ["scope", "name", "discovered_scope", "discovered_name", "provider_id", "strategy"]
+
+
+@query(f"WITH {CUSTOMER_SQL} SELECT * FROM bound")
+def binding_pairs(spark, sf_dir):
+    return matching.bound_pairs(*_customer(spark, sf_dir)).select(*_PAIR)
+
+
+@query(f"WITH {CUSTOMER_SQL} SELECT * FROM pairs")
+def match_with_rejections(spark, sf_dir):
+    return matching.match_resources(*_customer(spark, sf_dir)).pairs.select(*_PAIR)
+
+
+@query(f"""WITH {CUSTOMER_SQL}
+SELECT 'declared' AS plane, scope, name FROM dec WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.scope = dec.scope AND p.name = dec.name)
+UNION ALL SELECT 'discovered', scope, name FROM dis WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.discovered_scope = dis.scope AND p.discovered_name = dis.name)""")
+def orphans_after_decisions(spark, sf_dir):
+    found = matching.match_resources(*_customer(spark, sf_dir))
+    sides = (("declared", found.declared_orphans), ("discovered", found.discovered_orphans))
+    left, right = (d.select(F.lit(p).alias("plane"), "scope", "name") for p, d in sides)
+    return left.unionByName(right)
+
+
+@query("""SELECT a.s_name AS name, b.s_name AS discovered_name, 's-' || a.s_suppkey AS provider_id FROM supplier a JOIN supplier b ON b.s_suppkey = xor(a.s_suppkey, 1)""")
+def swapped_names_bound(spark, sf_dir):
+    """Two resources that swapped names stay with their provider ids."""
+    s = table(spark, sf_dir, "supplier")
+    base = s.select(F.lit("Supplier").alias("kind"), F.lit("t").alias("tenant_id"), F.lit("x").alias("scope"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))
+    pid = F.concat(F.lit("s-"), F.col("k").cast("string"))
+    no = attributes(k=int_value(F.col("k")))
+    declared = base.select(*KEY, F.lit(None).cast("string").alias("provider_id"), no.alias("attributes"))
+    other = F.concat(F.lit("s-"), F.col("k").bitwiseXOR(1).cast("string"))
+    discovered = base.select(*KEY, other.alias("provider_id"), no.alias("attributes"))
+    confirmed = base.select(*KEY, pid.alias("provider_id"), F.lit(True).alias("is_confirmed"))
+    return matching.bound_pairs(declared, discovered, confirmed).select("name", "discovered_name", "provider_id")
+
+
+_STORED_SQL = """
+stored AS (
+  SELECT 'n' || c_nationkey AS scope, c_name AS name, CASE WHEN c_custkey % 10 = 4 THEN NULL ELSE 'c-' || c_custkey END AS provider_id,
+         CASE WHEN c_custkey % 10 = 0 THEN 'confirmed' WHEN c_custkey % 15 = 5 THEN 'rejected' ELSE 'proposed' END AS state
+  FROM customer WHERE c_custkey % 10 IN (0, 4) OR c_custkey % 15 = 5)"""
+
+
+def _stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").filter((k % 10).isin(0, 4) | (k % 15 == 5))
+    return rows.select(
+        F.lit("Customer").alias("kind"), F.lit("t").alias("tenant_id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("scope"), F.col("c_name").alias("name"),
+        F.when(k % 10 != 4, F.concat(F.lit("c-"), k.cast("string"))).alias("provider_id"), F.lit("binding").alias("strategy"), F.lit("high").alias("confidence"),
+        F.when(k % 10 == 0, CONFIRMED).when(k % 15 == 5, REJECTED).otherwise(PROPOSED).alias("state"),
+    )
+
+
+@query(f"""WITH {CUSTOMER_SQL}, {_STORED_SQL}
+SELECT scope, name, provider_id, CASE WHEN state IN ('confirmed', 'rejected') AND
+  (NOT EXISTS (SELECT 1 FROM dec d WHERE d.scope = s.scope AND d.name = s.name) OR NOT EXISTS (SELECT 1 FROM dis x WHERE x.provider_id = s.provider_id)) THEN 'invalidated' ELSE state END AS state
+FROM stored s""")
+def invalidate_unanchored(spark, sf_dir):
+    declared, discovered, _ = _customer(spark, sf_dir)
+    return dec.invalidate_unanchored(_stored_matches(spark, sf_dir), declared, discovered).select("scope", "name", "provider_id", "state")
+
+
+@query(f"""WITH {CUSTOMER_SQL}, held AS (SELECT scope, name, provider_id FROM decisions WHERE is_confirmed)
+SELECT scope, name, provider_id, strategy FROM pairs p
+WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.scope = p.scope AND h.name = p.name) AND NOT EXISTS (SELECT 1 FROM held h WHERE h.provider_id = p.provider_id)""")
+def write_proposals_only(spark, sf_dir):
+    declared, discovered, decided = _customer(spark, sf_dir)
+    stored = decided.withColumn("state", F.when(F.col("is_confirmed"), CONFIRMED).otherwise(REJECTED))
+    return dec.proposals(matching.match_resources(declared, discovered, decided).pairs, stored).select("scope", "name", "provider_id", "strategy")
+
+
+@query(f"""WITH {CUSTOMER_SQL}, {_STORED_SQL},
+kept AS (
+  SELECT scope, name, provider_id, CASE WHEN NOT EXISTS (SELECT 1 FROM dec d WHERE d.scope = s.scope AND d.name = s.name)
+    OR NOT EXISTS (SELECT 1 FROM dis x WHERE x.provider_id = s.provider_id) THEN 'invalidated' ELSE state END AS state FROM stored s WHERE state <> 'proposed')
+SELECT state, count(*) AS n FROM (
+  SELECT state FROM kept UNION ALL
+  SELECT 'proposed' FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM kept h WHERE h.state = 'confirmed' AND h.scope = p.scope AND h.name = p.name)
+    AND NOT EXISTS (SELECT 1 FROM kept h WHERE h.state = 'confirmed' AND h.provider_id = p.provider_id)) GROUP BY state""")
+def rewrite_matches(spark, sf_dir):
+    """Stored matches after a whole run: decisions kept or invalidated, proposals rebuilt."""
+    declared, discovered, _ = _customer(spark, sf_dir)
+    none = diffing.as_open_rows(diffing.orphan_discrepancies(declared, "declared_missing")).limit(0)
+    matches, _, _ = dec.rewrite(declared, discovered, _stored_matches(spark, sf_dir), none)
+    return matches.groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PART_SQL} SELECT scope, name, field_name, l AS declared_value, r AS discovered_value FROM fields")
+def attribute_key_union(spark, sf_dir):
+    rows = diffing.attribute_pairs(_part_match(spark, sf_dir).pairs)
+    return rows.select("scope", "name", "field_name", F.col("l.canon").alias("declared_value"), F.col("r.canon").alias("discovered_value"))
+
+
+@query(f"""WITH {PART_SQL}, s AS (SELECT CASE WHEN l IS NULL THEN 'absent' WHEN l = 'null' THEN 'null' ELSE 'value' END AS declared_state,
+CASE WHEN r IS NULL THEN 'absent' WHEN r = 'null' THEN 'null' ELSE 'value' END AS discovered_state, l IS NOT DISTINCT FROM r AS agree FROM fields)
+SELECT declared_state, discovered_state, agree, count(*) AS n FROM s GROUP BY ALL""")
+def field_presence_matrix(spark, sf_dir):
+    rows = diffing.attribute_pairs(_part_match(spark, sf_dir).pairs)
+    state = lambda c: F.when(F.col(c).isNull(), "absent").when(F.col(f"{c}.kind") == "null", "null").otherwise("value")
+    return rows.groupBy(state("l").alias("declared_state"), state("r").alias("discovered_state"), compare.same(F.col("l"), F.col("r")).alias("agree")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PART_SQL} SELECT discrepancy_type, count(*) AS n FROM diffs GROUP BY 1")
+def discrepancy_counts_by_type(spark, sf_dir):
+    return reconcile_discrepancies(spark, sf_dir).groupBy("discrepancy_type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PART_SQL} SELECT scope, name, CASE WHEN k % 5 = 0 THEN 'color,type' ELSE 'color' END AS missing, '' AS unknown FROM dis""")
+def missing_unknown_attributes(spark, sf_dir):
+    schema = F.array(*[F.lit(c) for c in ("color", "size", "type")])
+    missing, unknown = revisions.attribute_sets(F.map_keys("attributes"), schema)
+    return part_discovered(spark, sf_dir).select("scope", "name", F.array_join(missing, ",").alias("missing"), F.array_join(unknown, ",").alias("unknown"))
+
+
+@query("""SELECT o_custkey, o_orderpriority, count(*) AS n, string_agg(lpad(o_orderkey::VARCHAR, 12, '0'), ',' ORDER BY lpad(o_orderkey::VARCHAR, 12, '0')) AS sources
+FROM orders GROUP BY 1, 2 HAVING count(*) > 1""")
+def duplicate_identity(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumn("source", F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    return revisions.duplicate_identities(rows, ["o_custkey", "o_orderpriority"])
+
+
+@query("""SELECT 'order of a customer on a day' AS rule, o_custkey || '/' || strftime(o_orderdate, '%Y-%m-%d') AS value, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'customer', c_name, count(*) FROM customer GROUP BY ALL HAVING count(*) > 1""")
+def uniqueness_violations(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("c"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    return matching.violations(orders, ["c", "d"], "order of a customer on a day").unionByName(matching.violations(table(spark, sf_dir, "customer"), ["c_name"], "customer"))
+
+
+# --------------------------------------------------------------------------------------------------------- discovery
+
+_EVENT_TYPES = ("view", "click", "purchase", "login")
+_OK_SQL = "NOT (event_type = 'error' AND event_id % 3 = 0 AND day(ts) % 3 = 0)"
+
+
+@query(f"SELECT event_id, event_type AS kind FROM events WHERE event_type NOT IN {_EVENT_TYPES}")
+def kind_lookup_rejects(spark, sf_dir):
+    kinds = spark.createDataFrame([(k,) for k in _EVENT_TYPES], "kind string")
+    return discovery.unknown_kinds(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind")), kinds)
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("run", F.to_date("ts"))
+    return events.withColumn("accepted", ~((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0) & (F.dayofmonth("ts") % 3 == 0)))
+
+
+_RUNS_SQL = f"""runs AS (
+  SELECT ts::DATE AS run, count(*) AS records_read, count(*) FILTER (WHERE {_OK_SQL}) AS records_written, count(*) FILTER (WHERE NOT ({_OK_SQL})) AS errors, day(any_value(ts)) % 7 = 0 AS has_gap
+  FROM events GROUP BY 1)"""
+
+
+@query(f"WITH {_RUNS_SQL} SELECT *, CASE WHEN errors > 0 OR has_gap THEN 'partial' ELSE 'success' END AS status FROM runs")
+def collector_run_stats(spark, sf_dir):
+    return discovery.run_statistics(_observed(spark, sf_dir), "run", F.col("accepted"), F.dayofmonth("run") % 7 == 0)
+
+
+@query("SELECT user_id, event_id, event_type, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def upsert_latest_state(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "props")
+    return discovery.latest(rows, ["user_id"], [F.col("ts"), F.col("event_id")]).drop("ts")
+
+
+_PANEL_SQL = f"""{_RUNS_SQL}, ent AS (SELECT run, errors = 0 AND NOT has_gap AS entitled FROM runs),
+seen AS (SELECT DISTINCT user_id, ts::DATE AS run FROM events),
+panel AS (SELECT f.user_id, e.run, e.entitled, s.run IS NOT NULL AS seen FROM (SELECT user_id, min(run) AS first FROM seen GROUP BY 1) f JOIN ent e ON e.run >= f.first
+  LEFT JOIN seen s ON s.user_id = f.user_id AND s.run = e.run),
+marked AS (SELECT *, max(CASE WHEN seen THEN run END) OVER (PARTITION BY user_id ORDER BY run) AS last_seen FROM panel),
+after AS (SELECT *, min(CASE WHEN NOT seen AND entitled THEN run END) OVER (PARTITION BY user_id, last_seen ORDER BY run) AS since FROM marked)"""
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = collector_run_stats(spark, sf_dir).select("run", discovery.may_infer_absence(F.col("status"), F.col("has_gap")).alias("entitled"))
+    return discovery.absence_panel(_observed(spark, sf_dir).select("user_id", "run"), runs, "user_id")
+
+
+@query(f"WITH {_PANEL_SQL} SELECT user_id, run, since IS NOT NULL AS is_absent, since AS absent_since FROM after")
+def infer_absence(spark, sf_dir):
+    return _panel(spark, sf_dir)
+
+
+@query(f"""WITH {_PANEL_SQL}, t AS (SELECT user_id, run, since IS NOT NULL AS a, lag(since IS NOT NULL) OVER (PARTITION BY user_id ORDER BY run) AS was FROM after)
+SELECT user_id, run AS refuted_by FROM t WHERE was AND NOT a""")
+def refute_absence(spark, sf_dir):
+    """Runs in which an absent user was seen again."""
+    w = Window.partitionBy("user_id").orderBy("run")
+    rows = _panel(spark, sf_dir).withColumn("was", F.lag("is_absent").over(w))
+    return rows.filter("was and not is_absent").select("user_id", F.col("run").alias("refuted_by"))
+
+
+@query("""WITH a AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR AS skipped FROM events)
+SELECT user_id, count(*) FILTER (WHERE skipped) AS skipped_attempts FROM a GROUP BY 1""")
+def skipped_attempts(spark, sf_dir):
+    """Attempts within an hour of the one before are skips, counted when read."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("skipped", F.col("ts") - F.lag("ts").over(w) < F.expr("interval 1 hour"))
+    return rows.groupBy("user_id").agg(F.count_if("skipped").alias("skipped_attempts"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+n AS (SELECT user_id, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT 'u-' || coalesce(n.user_id, s.user_id) AS name, CASE WHEN n.user_id IS NOT NULL THEN 'run-2' ELSE 'run-1' END AS last_seen_run, coalesce(n.event_id, s.event_id)::VARCHAR AS provider_id,
+  n.user_id IS NULL AND s.user_id % 2 = 0 AS is_absent, CASE WHEN n.user_id IS NULL AND s.user_id % 2 = 0 THEN TIMESTAMP '2024-02-01' END AS absent_since
+FROM s FULL JOIN n ON s.user_id = n.user_id""")
+def merge_collector_run(spark, sf_dir):
+    """One full outer join: upsert what a run saw, mark what its collector owns and missed, refute absence."""
+    events = table(spark, sf_dir, "events")
+
+    def plane(rows: DataFrame) -> DataFrame:
+        last = discovery.latest(rows.select("user_id", "ts", "event_id"), ["user_id"], [F.col("ts"), F.col("event_id")])
+        return last.select(F.lit("User").alias("kind"), F.lit("t").alias("tenant_id"), F.lit("x").alias("scope"), F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("name"), F.col("event_id").cast("string").alias("provider_id"), attributes(id=int_value(F.col("user_id"))).alias("attributes"), "user_id")
+
+    cut = F.lit("2024-01-15").cast("timestamp")
+    owner = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
+    state = plane(events.filter(F.col("ts") < cut)).select(*KEY, "provider_id", "attributes", F.lit("run-1").alias("last_seen_run"), owner.alias("collector"), F.lit(False).alias("is_absent"), F.lit(None).cast("timestamp").alias("absent_since"))
+    seen = plane(events.filter((F.col("ts") >= cut) & (F.col("user_id") % 3 == 0))).drop("user_id")
+    merged = discovery.merge_run(state, seen, F.lit("run-2"), F.lit("even"), F.lit(True), F.lit("2024-02-01").cast("timestamp"))
+    return merged.select("name", "last_seen_run", "provider_id", "is_absent", "absent_since")
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS revision FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)")
+def active_revision_plane(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("t").alias("tenant_id"), F.year("o_orderdate").alias("revision_id"))
+    known = orders.groupBy("tenant_id", "revision_id").count()
+    newest = known.groupBy("tenant_id").agg(F.max("revision_id").alias("newest"))
+    table_ = known.join(newest, "tenant_id").select("tenant_id", "revision_id", (F.col("revision_id") == F.col("newest")).alias("is_active"))
+    return revisions.active_plane(orders, table_).select("o_orderkey", F.col("revision_id").alias("revision"))
+
+
+# -------------------------------------------------------------------------------------------------------- read model
+
+
+@query(f"WITH {PART_SQL} SELECT scope, name FROM dis ORDER BY scope, name LIMIT 50 OFFSET 50")
+def resources_page(spark, sf_dir):
+    return readmodel.resources_page(part_discovered(spark, sf_dir), 50).select("scope", "name")
+
+
+@query(f"WITH {PART_SQL} SELECT discrepancy_type, scope, name, field_name FROM diffs ORDER BY kind, scope, name, field_name NULLS LAST, tenant_id, discrepancy_type LIMIT 50 OFFSET 50")
+def discrepancies_page(spark, sf_dir):
+    return readmodel.discrepancies_page(diffing.as_open_rows(reconcile_discrepancies(spark, sf_dir)), OPEN, 50).select("discrepancy_type", "scope", "name", "field_name")
+
+
+@query(f"WITH {PART_SQL} SELECT count(*) AS total FROM diffs")
+def page_total(spark, sf_dir):
+    return reconcile_discrepancies(spark, sf_dir).agg(F.count("*").alias("total"))
+
+
+@query(f"""WITH {PART_SQL} SELECT scope, name, field_name, CASE WHEN declared_present IS NULL THEN '—' WHEN NOT declared_present THEN 'not stated' ELSE declared_value END AS declared,
+CASE WHEN discovered_present IS NULL THEN '—' WHEN NOT discovered_present THEN 'not stated' ELSE discovered_value END AS discovered FROM diffs""")
+def plane_text(spark, sf_dir):
+    shown = [diffing.plane_text(F.col(f"{s}_present"), F.col(f"{s}_value")).alias(s) for s in ("declared", "discovered")]
+    return reconcile_discrepancies(spark, sf_dir).select("scope", "name", "field_name", *shown)
+
+
+@query(f"WITH {PART_SQL} SELECT scope, name, field_name, declared_present AS present, discovered_value AS value FROM diffs")
+def serialised_rows(spark, sf_dir):
+    rows = readmodel.serialised(reconcile_discrepancies(spark, sf_dir))
+    return rows.select("scope", "name", "field_name", F.col("declared.present").alias("present"), F.col("discovered.value").alias("value"))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS discrepancy_id, count(*) AS n, max(CASE WHEN l_orderkey % 5 = 0 THEN 'resolved' ELSE 'open' END) AS state FROM lineitem GROUP BY 1")
+def resolve_by_id(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("discrepancy_id"), F.lit(OPEN).alias("state"), (F.col("l_orderkey") % 5 == 0).alias("hit"))
+    ids = rows.filter("hit").select("discrepancy_id")
+    return lifecycle.resolve(rows, ids).groupBy("discrepancy_id").agg(F.count("*").alias("n"), F.max("state").alias("state"))
+
+
+# ------------------------------------------------------------------------------------------------------- comparisons
+
+
+def _verdicts(rows: DataFrame, keys: list[str], left: Column, right: Column, config: FieldConfig) -> DataFrame:
+    pairs = rows.select(*keys, left.alias("l"), right.alias("r"))
+    return pairs.select(*keys, compare.agree(F.col("l"), F.col("r"), config).alias("agree"))
+
+
+def _compared(name: str, rows: Callable, keys: list[str], config: FieldConfig, sql: str) -> None:
+    """Register the comparison of ``rows(spark, sf_dir)``, which gives (frame, left, right)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame, left, right = rows(spark, sf_dir)
+        return _verdicts(frame, keys, left, right, config)
+
+    query(sql, name)(run)
+
+
+_LINE = ["l_orderkey", "l_linenumber"]
+
+
+def _quantities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """Quantity as an integer; on the other side more by one at times, a float's text, a quoted number, null, or absent."""
+    q, k = F.col("l_quantity").cast("int"), F.col("l_orderkey")
+    text = q.cast("string")
+    right = F.when(k % 7 == 0, int_value(q + 1)).when(k % 7 == 1, value("float", F.concat(text, F.lit(".0")), num=q)).when(k % 7 == 2, value("str", F.concat(F.lit('"'), text, F.lit('"')), text, q)).when(k % 7 == 3, null_value()).when(k % 7 != 4, int_value(q))
+    left = F.when(k % 2 == 0, int_value(q)).when(k % 3 == 0, null_value()).otherwise(int_value(q))
+    return table(spark, sf_dir, "lineitem"), left, right
+
+
+_QUANTITY_SQL = """WITH x AS (SELECT l_orderkey, l_linenumber, l_orderkey % 2 <> 0 AND l_orderkey % 3 = 0 AS lnull, l_orderkey % 7 AS m FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN lnull THEN m = 3 WHEN m IN (3, 4) THEN FALSE ELSE {} END AS agree FROM x"""
+_compared("numeric_exact_value", _quantities, _LINE, FieldConfig("numeric", "exact_value"), _QUANTITY_SQL.format("m IN (5, 6)"))
+_compared("numeric_exact_string", _quantities, _LINE, FieldConfig("numeric", "exact_string"), _QUANTITY_SQL.format("m IN (2, 5, 6)"))
+_compared("numeric_tolerance", _quantities, _LINE, FieldConfig("numeric", "tolerance(0.5)"), _QUANTITY_SQL.format("m IN (1, 2, 5, 6)"))
+_compared("numeric_tolerance_wide", _quantities, _LINE, FieldConfig("numeric", "tolerance(1)"), _QUANTITY_SQL.format("TRUE"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """Part names; on the other side in capitals, between odd white space, with doubled blanks, or as they are."""
+    k, n = F.col("p_partkey"), F.col("p_name")
+    other = F.when(k % 4 == 0, F.upper(n)).when(k % 4 == 1, F.concat(F.lit("\t 　"), n, F.lit("  \x1f"))).when(k % 4 == 2, F.replace(n, F.lit(" "), F.lit("  \n"))).otherwise(n)
+    return table(spark, sf_dir, "part"), value("str", F.to_json(F.array(n)), n), value("str", F.to_json(F.array(other)), other)
+
+
+_W = "[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0  -     　]"
+_NAME_SQL = """WITH x AS (SELECT p_partkey, p_name AS l, CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN chr(9) || ' ' || chr(12288) || p_name || chr(160) || ' ' || chr(31)
+WHEN 2 THEN replace(p_name, ' ', '  ' || chr(10)) ELSE p_name END AS r FROM part) SELECT p_partkey, {} AS agree FROM x"""
+_strip_sql = lambda c: f"regexp_replace({c}, '^{_W}+|{_W}+$', '', 'g')"
+_norm_sql = lambda c: f"regexp_replace({_strip_sql(f'lower({c})')}, '{_W}+', ' ', 'g')"
+_compared("string_exact", _names, ["p_partkey"], FieldConfig("string", "exact"), _NAME_SQL.format("l = r"))
+_compared("string_lowercase", _names, ["p_partkey"], FieldConfig("string", "lowercase"), _NAME_SQL.format("lower(l) = lower(r)"))
+_compared("string_trim", _names, ["p_partkey"], FieldConfig("string", "trim"), _NAME_SQL.format(f"{_strip_sql('l')} = {_strip_sql('r')}"))
+_compared("string_normalize", _names, ["p_partkey"], FieldConfig("string", "normalize"), _NAME_SQL.format(f"{_norm_sql('l')} = {_norm_sql('r')}"))
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """A customer's order keys; on the other side reversed, with its first one twice, without its last, or the same."""
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("a")).withColumn("a", F.transform("a", lambda x: x.cast("string")))
+    k, a = F.col("o_custkey"), F.col("a")
+    b = F.when(k % 4 == 0, F.reverse(a)).when(k % 4 == 1, F.concat(a, F.slice(a, 1, 1))).when(k % 4 == 2, F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+
+    def as_list(x: Column) -> Column:
+        canon = F.concat(F.lit("["), F.array_join(x, ", "), F.lit("]"))
+        return value("list", canon).withField("elems", x)
+
+    return rows, as_list(a), as_list(b)
+
+
+_LIST_SQL = """WITH x AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS a FROM orders GROUP BY 1), y AS (SELECT o_custkey, a, CASE o_custkey % 4 WHEN 0 THEN list_reverse(a)
+WHEN 1 THEN list_append(a, a[1]) WHEN 2 THEN a[1:len(a) - 1] ELSE a END AS b FROM x) SELECT o_custkey, {} AS agree FROM y"""
+_compared("list_ordered", _lists, ["o_custkey"], FieldConfig("list", "ordered", element_comparison="exact"), _LIST_SQL.format("a = b"))
+_compared("list_multiset", _lists, ["o_custkey"], FieldConfig("list", "unordered_multiset", element_comparison="exact"), _LIST_SQL.format("list_sort(a) = list_sort(b)"))
+_compared("list_set", _lists, ["o_custkey"], FieldConfig("list", "set", element_comparison="exact"), _LIST_SQL.format("list_sort(list_distinct(a)) = list_sort(list_distinct(b))"))
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """Event times; on the other side 37 seconds, 20 minutes or 5 hours later, or an hour ahead with that zone named."""
+    k, ts = F.col("event_id"), F.col("ts")
+    later = lambda s: F.date_format(ts + F.expr(f"interval {s}"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    right = F.when(k % 4 == 0, later("37 seconds")).when(k % 4 == 1, later("20 minutes")).when(k % 4 == 2, later("5 hours")).otherwise(F.date_format(ts + F.expr("interval 1 hour"), "yyyy-MM-dd'T'HH:mm:ss'+01:00'"))
+    as_text = lambda x: value("str", F.concat(F.lit('"'), x, F.lit('"')), x)
+    return table(spark, sf_dir, "events"), as_text(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")), as_text(right)
+
+
+_TIME_SQL = """WITH x AS (SELECT event_id, date_trunc('second', ts) AS a, date_trunc('second', ts) + CASE event_id % 4 WHEN 0 THEN INTERVAL 37 SECOND WHEN 1 THEN INTERVAL 20 MINUTE WHEN 2 THEN INTERVAL 5 HOUR
+ELSE INTERVAL 0 SECOND END AS b FROM events) SELECT event_id, {} AS agree FROM x"""
+_compared("timestamp_string", _moments, ["event_id"], FieldConfig("timestamp", "string"), _TIME_SQL.format("FALSE"))
+for _p in ("day", "hour", "minute", "second"):
+    _compared(f"timestamp_utc_{_p}", _moments, ["event_id"], FieldConfig("timestamp", "semantic_utc", precision=_p), _TIME_SQL.format(f"date_trunc('{_p}', a) = date_trunc('{_p}', b)"))
+_compared("timestamp_resource_tz", _moments, ["event_id"], FieldConfig("timestamp", "semantic_resource_tz", precision="hour"), _TIME_SQL.format("date_trunc('hour', a) = date_trunc('hour', b)"))
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
+    """{"id": k, "version": value's whole part, "x": {"y": user}}; on the other side another version as text, no id, or
+    another y, encoded by the barricade."""
+    k, v, u = F.col("event_id").cast("string"), F.floor("value").cast("string"), F.col("user_id")
+    doc = lambda i, w, y: F.concat(F.lit('{"v": {'), i, F.lit('"version": '), w, F.lit(', "x": {"y": '), y.cast("string"), F.lit("}}}"))
+    ident = F.concat(F.lit('"id": '), k, F.lit(", "))
+    m = F.col("event_id") % 4
+    left = doc(ident, v, u)
+    right = F.when(m == 0, doc(ident, F.concat(F.lit('"'), v, F.lit('"')), u)).when(m == 1, doc(F.lit(""), v, u)).when(m == 2, doc(ident, v, u + 1)).otherwise(left)
+    rows = table(spark, sf_dir, "events").select("event_id", encoded(left)["attributes"]["v"].alias("a"), encoded(right)["attributes"]["v"].alias("b"))
+    return rows, F.col("a"), F.col("b")
+
+
+_OBJECT_SQL = "SELECT event_id, {} AS agree FROM events"
+for _mode, _sql in (("opaque", "event_id % 4 = 3"), ("version", "TRUE"), ("identity", "event_id % 4 <> 1"), ("ignore", "TRUE"), ("recurse(1)", "event_id % 4 = 3")):
+    _compared(f"object_{_mode.split('(')[0]}", _objects, ["event_id"], FieldConfig("object", _mode), _OBJECT_SQL.format(_sql))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'version' WHEN 1 THEN 'id' WHEN 2 THEN 'x.y' END AS path FROM events")
+def object_recurse_path(spark, sf_dir):
+    rows, left, right = _objects(spark, sf_dir)
+    return rows.select("event_id", compare.first_divergence(left["canon"], right["canon"], F.lit(2)).alias("path"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 1 THEN FALSE WHEN event_id % 5 = 2 THEN FALSE ELSE (value > 50) = (value > 50 + event_id % 5) END AS agree FROM events""")
+def boolean_exact(spark, sf_dir):
+    m, b = F.col("event_id") % 5, F.col("value") > 50
+    right = F.when(m == 1, int_value(b.cast("int"))).when(m == 2, null_value()).otherwise(bool_value(F.col("value") > 50 + m))
+    return _verdicts(table(spark, sf_dir, "events"), ["event_id"], bool_value(b), right, FieldConfig("boolean", "exact"))
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(t, '^[+-]?(0|[1-9][0-9]*)$') THEN ltrim(t, '+') END AS literal FROM (
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '+' || p_size WHEN 1 THEN '0' || p_size WHEN 2 THEN '-' || p_size WHEN 3 THEN p_size || '.0' ELSE p_size::VARCHAR END AS t FROM part)""")
+def declared_int_literal(spark, sf_dir):
+    m, s = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    text = F.when(m == 0, F.concat(F.lit("+"), s)).when(m == 1, F.concat(F.lit("0"), s)).when(m == 2, F.concat(F.lit("-"), s)).when(m == 3, F.concat(s, F.lit(".0"))).otherwise(s)
+    return table(spark, sf_dir, "part").select("p_partkey", int_literal(text).alias("literal"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS literal FROM part""")
+def declared_bool_literal(spark, sf_dir):
+    spelt = F.array(*[F.lit(x) for x in ("true", "false", "yes", "True", "1")])
+    return table(spark, sf_dir, "part").select("p_partkey", bool_literal(F.element_at(spelt, (F.col("p_partkey") % 5 + 1).cast("int"))).alias("literal"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS canon, 'int' AS kind FROM events")
+def json_barricade(spark, sf_dir):
+    """JSON texts through the barricade: kind and canonical form of a value."""
+    rows = table(spark, sf_dir, "events").select("event_id", encoded(F.col("props"))["attributes"]["k"].alias("v"))
+    return rows.select("event_id", F.col("v.canon").alias("canon"), F.col("v.kind").alias("kind"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'k is nan, which JSON cannot represent' WHEN 1 THEN 'k contains a NUL' END AS problem FROM events""")
+def json_barricade_problems(spark, sf_dir):
+    m = F.col("event_id") % 4
+    text = F.when(m == 0, F.lit('{"k": NaN}')).when(m == 1, F.lit('{"k": "a\\u0000b"}')).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", encoded(text)["problem"].alias("problem"))
+
+
+# -------------------------------------------------------------------------------------------- precedence and lifecycle
+
+_RULES = [(1, "Part", "size", "declared"), (2, "Part", "type", "discovered")]
+
+
+def _precedence(active: list) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rules = spark.createDataFrame(active, "rule_id int, kind string, field_name string, operator string")
+        return lifecycle.with_precedence(reconcile_discrepancies(spark, sf_dir), rules).select("scope", "name", "field_name", "rule_id", "winning_value", "undecidable")
+
+    return run
+
+
+query(f"""WITH {PART_SQL} SELECT scope, name, field_name, CASE field_name WHEN 'size' THEN 1 WHEN 'type' THEN 2 END::INTEGER AS rule_id,
+CASE field_name WHEN 'size' THEN declared_value WHEN 'type' THEN discovered_value END AS winning_value, field_name IS NULL AS undecidable FROM diffs""", "precedence_current")(_precedence(_RULES))
+query(f"""WITH {PART_SQL} SELECT scope, name, field_name, CASE field_name WHEN 'size' THEN 1 END::INTEGER AS rule_id, CASE field_name WHEN 'size' THEN declared_value END AS winning_value,
+field_name IS DISTINCT FROM 'size' AS undecidable FROM diffs""", "precedence_historical")(_precedence(_RULES[:1]))
+
+_NOW = "2024-06-30"
+_EXISTING_SQL = """existing AS (
+  SELECT scope, name, field_name, declared_value, discovered_value, CASE h WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' ELSE 'suppressed' END AS state,
+    CASE WHEN h = 2 THEN TIMESTAMP '2024-01-01' WHEN h = 3 THEN TIMESTAMP '2025-01-01' END AS expires_at, k
+  FROM (SELECT *, split_part(name, '-', 2)::BIGINT % 5 AS h, split_part(name, '-', 2)::BIGINT AS k FROM diffs) WHERE field_name IS NOT NULL),
+detected AS (SELECT * FROM (SELECT *, split_part(name, '-', 2)::BIGINT AS k FROM diffs) WHERE k % 3 <> 0)"""
+_NEXT_SQL = f"""WITH {PART_SQL}, {_EXISTING_SQL},
+nxt AS (
+  SELECT coalesce(e.scope, d.scope) AS scope, coalesce(e.name, d.name) AS name, coalesce(e.field_name, d.field_name) AS field_name, e.state AS old,
+    CASE WHEN e.name IS NULL THEN 'open' WHEN d.name IS NOT NULL AND e.state = 'suppressed' AND NOT coalesce(e.expires_at < TIMESTAMP '{_NOW}', FALSE) THEN 'suppressed' WHEN d.name IS NOT NULL THEN 'open'
+      WHEN e.state = 'open' AND e.k % 2 = 0 THEN 'invalidated' WHEN e.state = 'open' AND e.k % 7 = 1 THEN 'muted' WHEN e.state <> 'open' THEN e.state END AS state
+  FROM existing e FULL JOIN detected d ON e.scope = d.scope AND e.name = d.name AND e.field_name IS NOT DISTINCT FROM d.field_name)
+SELECT scope, name, field_name, state, CASE WHEN coalesce(old, '') <> state THEN coalesce(old, 'none') || '>' || state END AS transition FROM nxt WHERE state IS NOT NULL"""
+
+
+def _next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.split("name", "-")[1].cast("long")
+    found = reconcile_discrepancies(spark, sf_dir)
+    h = k % 5
+    existing = found.filter("field_name is not null").withColumns({
+        "state": F.when(h == 0, OPEN).when(h == 1, RESOLVED).otherwise(SUPPRESSED),
+        "expires_at": F.when(h == 2, F.lit("2024-01-01").cast("timestamp")).when(h == 3, F.lit("2025-01-01").cast("timestamp")), "k": k,
+    })
+    detected = found.filter(k % 3 != 0).select(*lifecycle.IDENTITY, "declared_value", "discovered_value")
+    kept = existing.select(*lifecycle.IDENTITY, "state", "expires_at", "k", "declared_value", "discovered_value")
+    out = lifecycle.next_states(kept, detected, F.col("e.k") % 2 == 0, F.col("e.k") % 7 == 1, F.lit(_NOW).cast("timestamp"))
+    return out.select("scope", "name", "field_name", "state", "transition")
+
+
+@query(_NEXT_SQL)
+def lifecycle_next_states(spark, sf_dir):
+    return _next(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({_NEXT_SQL}) WHERE transition = 'resolved>open' OR transition = 'none>open'")
+def lifecycle_rediscovery(spark, sf_dir):
+    return _next(spark, sf_dir).filter(F.col("transition").isin("resolved>open", "none>open"))
+
+
+@query(f"SELECT * FROM ({_NEXT_SQL}) WHERE state = 'suppressed' OR transition = 'suppressed>open'")
+def lifecycle_expiry(spark, sf_dir):
+    return _next(spark, sf_dir).filter("state = 'suppressed' or transition = 'suppressed>open'")
+
+
+@query(f"SELECT * FROM ({_NEXT_SQL}) WHERE state IN ('invalidated', 'muted')")
+def lifecycle_closure(spark, sf_dir):
+    return _next(spark, sf_dir).filter(F.col("state").isin("invalidated", "muted"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' ELSE 'muted' END AS state FROM events WHERE event_id % 3 = 0 OR NOT ts < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY""")
+def retention_purge(spark, sf_dir):
+    m = F.col("event_id") % 3
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(m == 0, OPEN).when(m == 1, RESOLVED).otherwise("muted").alias("state"), F.col("ts").alias("state_since"))
+    return lifecycle.retained(rows, F.lit("2024-04-15").cast("timestamp")).drop("state_since")
+
+
+@query(f"""WITH {PART_SQL} SELECT scope, name, field_name, declared_value, 'discrepancy' AS logging FROM diffs WHERE field_name = 'size'
+UNION ALL SELECT scope, name, field_name, l, 'debug' FROM fields WHERE field_name = 'type'""")
+def audit_by_logging_level(spark, sf_dir):
+    """What the audit keeps: every comparison at debug, only differences at discrepancy."""
+    rows = diffing.attribute_pairs(_part_match(spark, sf_dir).pairs)
+    level = F.when(F.col("field_name") == "type", "debug").otherwise("discrepancy")
+    kept = (level == "debug") | ~compare.same(F.col("l"), F.col("r"))
+    return rows.filter(kept).select("scope", "name", "field_name", F.col("l.canon").alias("declared_value"), level.alias("logging"))
+
+
+@query(f"WITH {PART_SQL} SELECT scope, name, field_name FROM fields WHERE (field_name = 'type' AND l IS DISTINCT FROM r) OR (field_name = 'size' AND (r = 'null' OR r IS NULL))")
+def schema_driven_diff(spark, sf_dir):
+    """Sizes may differ by one, types have to be equal."""
+    from .functions.config import ComparisonSchema
+
+    schema = ComparisonSchema({("Part", "size"): FieldConfig("numeric", "tolerance(1)"), ("Part", "type"): FieldConfig("string", "exact")})
+    return diffing.field_discrepancies(_part_match(spark, sf_dir).pairs, schema).select("scope", "name", "field_name")
+
+
+@query()
+def yaml_barricade(spark, sf_dir):
+    """Documents made of parts, some broken, through the per-document checks and the check of the whole set."""
+    from .sources.documents import parse_documents, revision_errors
+
+    k = F.col("p_partkey")
+    body = F.concat(F.lit("apiVersion: planes.example/v1\nkind: Part\nmetadata:\n  name: part-"), (k - k % 50 % 2).cast("string"), F.lit("\n  scope: "), F.col("p_brand"), F.lit("\nattributes:\n  size: "), F.when(k % 10 == 3, F.lit("007")).otherwise(F.col("p_size").cast("string")), F.lit("\n"))
+    docs = table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), k.cast("string"), F.lit(".yaml")).alias("source"), F.encode(body, "UTF-8").alias("content"))
+    return revision_errors(parse_documents(docs, "t", "planes.example/v1", {"Part": {"size": "int"}}))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def streaming_upsert(spark, sf_dir):
+    """The latest state again, kept by a stream over the events that are there."""
+    import uuid
+
+    from .streaming.observe import current, observe
+
+    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/duoplane").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a glob may be a file or a folder
+    observe(stream.select("user_id", "ts", "event_id"), f"{base}/state", f"{base}/log", ["user_id"], ["ts", "event_id"]).awaitTermination()
+    return current(spark, f"{base}/state").select("user_id", "event_id")
+
+

@@ -37,11 +37,11 @@ dec_f AS (SELECT scope, name, 'size' AS field_name, p_size::VARCHAR AS v FROM de
 dis_f AS (
   SELECT scope, name, 'size' AS field_name, CASE WHEN k % 13 = 0 THEN 'null' WHEN k % 7 = 0 THEN (p_size + 1)::VARCHAR ELSE p_size::VARCHAR END AS v FROM dis
   UNION ALL SELECT scope, name, 'type', '"' || p_type || '"' FROM dis WHERE k % 5 <> 0),
-both AS (SELECT scope, name FROM dec INTERSECT SELECT scope, name FROM dis),
+common_keys AS (SELECT scope, name FROM dec INTERSECT SELECT scope, name FROM dis),
 fields AS (
   SELECT coalesce(a.scope, b.scope) AS scope, coalesce(a.name, b.name) AS name, coalesce(a.field_name, b.field_name) AS field_name, a.v AS l, b.v AS r
-  FROM (SELECT dec_f.* FROM dec_f JOIN both USING (scope, name)) a
-  FULL JOIN (SELECT dis_f.* FROM dis_f JOIN both USING (scope, name)) b ON a.scope = b.scope AND a.name = b.name AND a.field_name = b.field_name),
+  FROM (SELECT dec_f.* FROM dec_f JOIN common_keys USING (scope, name)) a
+  FULL JOIN (SELECT dis_f.* FROM dis_f JOIN common_keys USING (scope, name)) b ON a.scope = b.scope AND a.name = b.name AND a.field_name = b.field_name),
 diffs AS (
   SELECT 'field' AS discrepancy_type, 'Part' AS kind, 't' AS tenant_id, scope, name, field_name, l IS NOT NULL AS declared_present, l AS declared_value,
          r IS NOT NULL AS discovered_present, r AS discovered_value FROM fields WHERE l IS DISTINCT FROM r
