@@ -1,7 +1,7 @@
 """Toxicity (operator 6): a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Presence of hashed byte n-grams (lower-cased ASCII, white space as blanks). The model is fitted on the driver to a
-bounded, documented sample of labelled documents; every whole text is scored where it is read.
+Presence of hashed byte n-grams (lower-cased ASCII, white space as blanks). The model is fitted to a
+bounded, documented sample of labelled documents, in one task; every whole text is scored where it is read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SAMPLE_DOCS, SAMPLE_CHARS = 6000, 20_000
 FEATURES, LEAST_DOCS = 4000, 4
 #: Least G statistic (log-likelihood ratio of presence by class) of an n-gram in the model.
 LEAST_G = 12.0
+#: Documents whose features are made at once while fitting.
+PART = 150
 ROUNDS, RATE, RIDGE = 150, 0.05, 1e-4
 
 
@@ -67,8 +69,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     toxic, clean = np.ones(1 << BITS), np.ones(1 << BITS)
     raw = [t.encode() for t in texts]
-    for a in range(0, n, 500):
-        found = features(raw[a : a + 500])
+    for a in range(0, n, PART):
+        found = features(raw[a : a + PART])
         code, doc = found & ((1 << BITS) - 1), (found >> BITS) + a
         toxic += np.bincount(code, y[doc], 1 << BITS)
         clean += np.bincount(code, 1 - y[doc], 1 << BITS)
@@ -79,7 +81,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     chosen = np.zeros(1 << BITS, bool)
     chosen[best] = True
     slot = np.cumsum(chosen) - 1
-    keys = [features(raw[a : a + 500], chosen) + (a << BITS) for a in range(0, n, 500)]
+    keys = [features(raw[a : a + PART], chosen) + (a << BITS) for a in range(0, n, PART)]
     key = np.concatenate(keys)
     row, column = key >> BITS, slot[key & ((1 << BITS) - 1)]
     x = ratio[best][column]
@@ -116,8 +118,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     picked = usable.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(2 * sample_docs)
     known = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
     joined = known.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = joined.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(sample_docs).collect()
-    return fit([r.text for r in rows], [min(1, max(0, r.toxic)) for r in rows])
+    sample = joined.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(sample_docs).select("text", "toxic")
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            marks += batch.column("toxic").to_pylist()
+        model = fit(texts, [min(1, max(0, t)) for t in marks])
+        yield pa.RecordBatch.from_pydict({"features": pa.array([model.features.tolist()], pa.list_(pa.int64())), "weights": pa.array([model.weights.tolist()], pa.list_(pa.float64())), "bias": pa.array([model.bias])})
+
+    # the sample is bounded, so one task fits it; an empty one may come as no partition at all
+    found = sample.mapInArrow(train, "features array<long>, weights array<double>, bias double").collect()
+    return Model(np.array(found[0].features, np.int64), np.array(found[0].weights, np.float64), found[0].bias) if found else fit([], [])
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
