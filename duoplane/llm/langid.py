@@ -18,7 +18,7 @@ from .common import slices, small_batches
 
 #: About how many labelled documents a dictionary is made of, how many bytes (from its middle) each gives.
 SAMPLE_DOCS, SAMPLE_BYTES = 220, 500
-WINDOW, LEVEL = 16 << 10, 3
+WINDOW, LEVEL = 16 << 10, 9
 #: A smaller lead over the second best, as a share of its size, rejects.
 MARGIN = 0.01
 UNKNOWN = "und"
