@@ -187,12 +187,13 @@ def revision_errors(parsed: DataFrame) -> DataFrame:
 def ingest_revision(spark: SparkSession, path: str, tenant_id: str, revision_id: str, api_version: str, kinds: dict[str, dict[str, str]]) -> DataFrame:
     """The declared plane of a revision, whole or not at all: raises InvalidRevision with every error. No documents are a
     valid, empty plane. Parsed rows are kept for both uses; errors, which a person is to read, come to the driver."""
-    parsed = parse_documents(read_documents(spark, path), tenant_id, api_version, kinds).persist()
+    # the revision is part of the plan: a later one of the same folder never meets these rows in the cache
+    parsed = parse_documents(read_documents(spark, path), tenant_id, api_version, kinds).withColumn("revision_id", F.lit(revision_id)).persist()
     errors = [(r.source, r.line, r.message) for r in revision_errors(parsed).collect()]
     if errors:
         parsed.unpersist()
         raise InvalidRevision(errors)
-    return parsed.select(*KEY, F.lit(None).cast("string").alias("provider_id"), "attributes", F.lit(revision_id).alias("revision_id"))
+    return parsed.select(*KEY, F.lit(None).cast("string").alias("provider_id"), "attributes", "revision_id")
 
 
 def kinds_of(table: DataFrame) -> dict[str, dict[str, str]]:
