@@ -6,8 +6,9 @@
    overlap of two documents is that of their lists.
 2. Documents of equal sets become one class, with its smallest row for all.
 3. A document of n shingles can only be linked through the first n - ceil(t n) + 1 of them in the global order (its
-   prefix). A first sweep verifies each class against the first row of its min-hash buckets, which joins the large groups
-   of near copies without forming their pairs.
+   prefix). A few sweeps verify each class against one row of each of its min-hash buckets, first that of the commonest
+   shingles, then others, and only where the two aren't joined yet. That joins the large groups of near copies without
+   forming their pairs.
 4. Classes of equal prefix, size and component so far collapse into one group. Groups are joined on prefix shingles,
    filtered by length and position, each pair of groups once, and expanded to their members, which are verified. Only
    pairs of different components are formed: a shingle's largest component meets the others' groups, never itself.
@@ -36,8 +37,8 @@ WORDS, PERCENT = 5, 75
 HASH_BITS = 48
 #: Bytes of text in a block.
 BLOCK_BYTES = 24 << 20
-#: Min-hash buckets of a document in the first sweep.
-BUCKETS = 4
+#: Min-hash buckets of a document, and the sweeps over them. They only save work: what they miss, the prefix join finds.
+BUCKETS, SWEEPS = 4, 2
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _ODD = np.random.default_rng(20240301).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,7 +76,7 @@ class Shingler:
 
 
 def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """row, doc_id, own, n (distinct shingles), tokens (shared shingles as numbers, rarest first), prefix (those of them in
+    """row, doc_id, own, n (distinct shingles), central (in how many documents one occurs on average), tokens (shared shingles as numbers, rarest first), prefix (those of them in
     the prefix) and hashes (its min-hashes), one row for every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -152,7 +153,7 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
         rest = table.filter(pc.is_valid(table.column("docs")))
         doc, token, times = (np.frombuffer(b"".join(rest.column(c).to_pylist()), t) for c, t in (("docs", np.int32), ("tokens", np.int64), ("counts", np.int32)))
         order = np.lexsort((token, times, doc))
-        doc, token = doc[order], token[order]
+        doc, token, times = doc[order], token[order], times[order]
         ids, own, n = (facts.column(c)[0].as_py() for c in ("doc_id", "own", "n"))
         ends = np.searchsorted(doc, np.arange(len(ids) + 1))
         have, size = np.diff(ends), np.array(n, np.int64)
@@ -166,13 +167,14 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
         lists = lambda a, b: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(b - a))).astype(np.int32)), pa.array(token[np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)]))
         return pa.table({
             "row": (key[0].as_py() << 24) + np.arange(len(ids)), "doc_id": pa.array(ids, pa.int64()), "own": pa.array(own, pa.int64()), "n": size,
+            "central": np.bincount(doc, times, len(ids)) / np.maximum(size, 1),
             "tokens": lists(ends[:-1], ends[1:]), "prefix": lists(ends[:-1], ends[:-1] + first), "hashes": pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BUCKETS), pa.array(hashes.T.ravel())),
         })
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("own"))
     packed = packed.mapInArrow(cut, "range long, block long, hashes binary, places binary, doc_id array<long>, own array<long>, n array<int>")
     counted = packed.groupBy("range").applyInArrow(count, "block long, docs binary, tokens binary, counts binary, doc_id array<long>, own array<long>, n array<int>")
-    made = counted.groupBy("block").applyInArrow(gather, "row long, doc_id long, own long, n long, tokens array<long>, prefix array<long>, hashes array<long>")
+    made = counted.groupBy("block").applyInArrow(gather, "row long, doc_id long, own long, n long, central double, tokens array<long>, prefix array<long>, hashes array<long>")
     return staged(made, "shingles")
 
 
@@ -201,11 +203,22 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     copies = staged(same.join(first, ["n", "h1", "h2"]).filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")), "copies")
     sets = used.join(copies.select(F.col("a").alias("row")), "row", "left_anti")
 
-    buckets = sets.select("row", F.posexplode("hashes").alias("k", "h"))
-    hubs = buckets.groupBy("k", "h").agg(F.min("row").alias("b"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    sweep = buckets.join(hubs, ["k", "h"]).filter("row <> b").select(F.col("row").alias("a"), "b").distinct()
-    links = staged(_verified(sweep, sets, percent), "links")
-    so_far = components(links)
+    buckets = staged(sets.select("row", "central", F.posexplode("hashes").alias("k", "h")), "buckets")
+    so_far = links = staged(sets.select(F.col("row").alias("node"), F.col("row").alias("root")).limit(0), "none")
+    for turn in range(SWEEPS):
+        placed = buckets.join(so_far.withColumnRenamed("node", "row"), "row", "left").select("row", "central", "k", "h", F.coalesce("root", "row").alias("component"))
+        # edited copies are nearer to what they were made from than to each other; then any of the bucket
+        draw = -F.col("central") if turn == 0 else F.xxhash64("row", F.lit(turn))
+        draw = F.min(F.struct(draw.alias("draw"), "row", "component")).alias("hub")
+        hubs = placed.groupBy("k", "h").agg(draw, F.count("*").alias("many")).filter("many > 1").select("k", "h", F.col("hub.row").alias("b"), F.col("hub.component").alias("other"))
+        sweep = placed.join(hubs, ["k", "h"]).filter("component <> other").select(F.col("row").alias("a"), "b").distinct()
+        found = staged(_verified(sweep, sets, percent), "links")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found) if turn else found
+        so_far = components(links)
+    if "node" in links.columns:
+        links = links.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
     key = ["n", "p1", "p2", "component"]
     named = sets.join(so_far.withColumnRenamed("node", "row"), "row", "left").select("row", "n", F.size("tokens").alias("len"), "prefix", F.coalesce("root", "row").alias("component"), F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit("again"), "prefix").alias("p2"))
