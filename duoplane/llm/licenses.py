@@ -1,12 +1,15 @@
 """License scans (operator 10): an exact set-similarity join of text blocks with license templates, DataFrame only.
 
-A block is a line of a text, as the set of its words. Template words are ordered by their frequency over all blocks,
+Blocks are overlapping windows over all words of a text, across line ends, each as the set of its words: every stretch of
+as many words as the longest template's reach lies in one. Template words are ordered by their frequency over all blocks,
 rarest first; of a template of n words of which a must be in a block, only the first n - a + 1 words (its prefix) are
-joined, since a block with none of them cannot hold a others. Length and positional filters come before the count.
+joined, since a block with none of them cannot hold a others. Length and positional filters come before the count, which
+is over stretches of a block of at most ``REACH`` times the template's own length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,17 +34,24 @@ TEMPLATES = [
 ]
 #: Share of a template's words that a block has to hold.
 CONTAINMENT = 0.8
+#: These words have to stand within so many times the template's length.
+REACH = 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _all_words_of(sentence: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in sentence.lower()).split()
+
+
 def _words_of(sentence: str) -> list[str]:
-    out: list[str] = []
-    for word in "".join(c if c.isalnum() else " " for c in sentence.lower()).split():
-        if word not in out:
-            out.append(word)
-    return out
+    return list(dict.fromkeys(_all_words_of(sentence)))
+
+
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``x``, which is computed once however often ``then`` names it."""
+    return F.transform(F.array(x), then)[0]
 
 
 def _blanks(x: Column) -> Column:
@@ -51,15 +61,16 @@ def _blanks(x: Column) -> Column:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, n_words, n_base (places of all base phrases), first_word and last_word (smallest and largest start, words
     from 0; null without any), base_labels, labels (base ones and the join's; both distinct, sorted, comma-joined),
-    score (1 with a base phrase, else the best containment of a template found, else 0) and blocks (array of the
-    blocks found: line, label, containment).
+    score (1 with a base phrase, else the best containment of a template found, else 0) and blocks (array of what was
+    found, for a template at most the best of each block: word it starts at, label, containment).
 
     A null text counts as empty: no words, no labels. One row for every row of ``docs``, whatever its doc_id; other
     columns are left out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sets = [(i, label, words, -(-round(containment * 1000) * len(words) // 1000)) for i, (label, words) in enumerate((label, _words_of(s)) for label, s in templates)]
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, _, words, _ in sets for w in words})])
+    sets = [(i, label, words, -(-round(containment * 1000) * len(words) // 1000), REACH * n) for i, (label, words, n) in enumerate((label, _words_of(s), len(_all_words_of(s))) for label, s in templates)]
+    reach = max(r for *_, r in sets)
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, _, words, *_ in sets for w in words})])
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
     rows = rows.withColumn("x", F.concat(F.lit(" "), F.trim(F.regexp_replace("t", _GAP, " ")), F.lit(" ")))
@@ -74,32 +85,36 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
         lasts.append(F.when(has, _blanks(F.substr("x", F.lit(1), at)) - 1))
         columns.append(has.alias(f"_has{i}"))
     labels = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_has{i}"), F.lit(label)) for i, label in enumerate(phrases)])))
-    # of each line: the template words in it, and how many distinct words it has at all
-    lines = F.transform(F.split("t", "\n", -1), lambda line, i: F.struct(i.alias("line"), F.array_distinct(F.split(line, _GAP, -1)).alias("w")))
-    lines = F.transform(lines, lambda b: F.struct(b["line"].alias("line"), F.array_intersect(b["w"], vocabulary).alias("words")))
-    least = min(a for *_, a in sets)
-    lines = F.filter(lines, lambda b: F.size(b["words"]) > 0)
-    found = rows.select("row", "doc_id", n_words.alias("n_words"), reduce(lambda a, b: a + b, counts).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), *columns, lines.alias("lines"))
+    least = min(a for _, _, _, a, _ in sets)
+    # a block starts at every reach-th word and holds each stretch of reach words that starts before the next one
+    blocks = _let(F.split(F.trim("x"), " ", -1), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(reach)), lambda s: F.struct(s.alias("start"), F.slice(w, s + 1, 2 * reach).alias("text"))))
+    blocks = F.transform(blocks, lambda b: F.struct(b["start"].alias("start"), b["text"].alias("text"), F.array_intersect(b["text"], vocabulary).alias("words")))
+    blocks = F.filter(blocks, lambda b: F.size(b["words"]) >= least)
+    found = rows.select("row", "doc_id", n_words.alias("n_words"), reduce(lambda a, b: a + b, counts).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), *columns, blocks.alias("windows"))
     found = staged(found.withColumn("base", labels).drop(*[f"_has{i}" for i in range(len(phrases))]), "licenses")
 
-    blocks = found.select("row", F.explode("lines").alias("b")).select("row", "b.line", "b.words")
+    blocks = found.select("row", F.explode("windows").alias("b")).select("row", "b.*")
     frequency = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    template = spark.createDataFrame([(i, label, words, len(words), a) for i, label, words, a in sets], "template int, label string, t_words array<string>, t_size int, needed int")
-    ordered = template.select("template", "label", "t_words", "t_size", "needed", F.explode("t_words").alias("word")).join(frequency, "word", "left")
+    template = spark.createDataFrame(sets, "template int, label string, t_words array<string>, needed int, t_reach int").withColumn("t_size", F.size("t_words"))
+    ordered = template.withColumn("word", F.explode("t_words")).join(frequency, "word", "left")
     rarest = Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "word")
     # bounded by the templates: at most all their words
-    prefix = ordered.withColumn("at", F.row_number().over(rarest)).filter(F.col("at") <= F.col("t_size") - F.col("needed") + 1).select("template", "label", "t_words", "t_size", "needed", "word", "at")
-    candidates = blocks.filter(F.size("words") >= least).withColumn("word", F.explode("words")).join(F.broadcast(prefix), "word")
+    prefix = ordered.withColumn("at", F.row_number().over(rarest)).withColumn("until", F.collect_list("word").over(rarest.rowsBetween(Window.unboundedPreceding, 0)))
+    prefix = prefix.filter(F.col("at") <= F.col("t_size") - F.col("needed") + 1).drop("n")
+    candidates = blocks.withColumn("word", F.explode("words")).join(F.broadcast(prefix), "word")
     # length: the block has enough template words; position: those from the matched one on suffice
     candidates = candidates.filter((F.size("words") >= F.col("needed")) & (F.col("t_size") - F.col("at") + 1 >= F.col("needed")))
-    overlap = F.size(F.array_intersect("words", "t_words"))
-    hits = candidates.select("row", "line", "label", "template", "needed", (overlap / F.col("t_size")).alias("share"), overlap.alias("overlap")).filter("overlap >= needed")
-    # a block and a template meet once per prefix word that they share: distinct
-    per_row = hits.groupBy("row").agg(F.collect_set("label").alias("joined"), F.max("share").alias("best"), F.array_sort(F.collect_set(F.struct("line", "label", "share"))).alias("blocks"))
+    # a block and a template meet once, at the rarest prefix word that they share
+    candidates = candidates.filter(F.size(F.array_intersect("until", "words")) == 1).filter(F.size(F.array_intersect("words", "t_words")) >= F.col("needed"))
+    starts = F.filter(F.sequence(F.lit(1), F.least(F.lit(reach), F.size("text"))), lambda s: F.array_contains("t_words", F.element_at("text", s)))
+    stretches = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(F.slice("text", s, F.col("t_reach")), "t_words")).alias("overlap"), (-s).alias("before")))
+    hits = candidates.select("row", "label", "start", "needed", "t_size", F.array_max(stretches).alias("best")).filter("best.overlap >= needed")
+    hits = hits.select("row", "label", (F.col("start") - F.col("best.before") - 1).alias("word"), (F.col("best.overlap") / F.col("t_size")).alias("share"))
+    per_row = hits.groupBy("row").agg(F.collect_set("label").alias("joined"), F.max("share").alias("best"), F.array_sort(F.collect_set(F.struct("word", "label", "share"))).alias("blocks"))
     out = found.select("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base").join(per_row, "row", "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("joined", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"), F.coalesce("blocks", F.array().cast("array<struct<line:int,label:string,share:double>>")).alias("blocks"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"), F.coalesce("blocks", F.array().cast("array<struct<word:int,label:string,share:double>>")).alias("blocks"))
 
 
 def _oracle() -> str:

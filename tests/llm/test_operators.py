@@ -257,6 +257,19 @@ def test_native_operators_equal_sql(spark, docs, none, rows, operator, sql, colu
     assert operator(none).count() == 0
 
 
+def test_wrapped_license_sentences_are_found(spark):
+    texts = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "mpl-2": "word " * 33 + "\n# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy",
+        "gpl-3": "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "": "Redistribution in source\n" + "other words between them " * 20 + "and binary forms with or without modification are permitted",
+    }
+    for pad in (0, 20, 31, 60, 67):  # wherever the windows fall
+        found = licenses.scan(spark.createDataFrame([(i, "pad " * pad + t, "en", "s", 1) for i, t in enumerate(texts.values())], SCHEMA)).collect()
+        assert {r.doc_id: r.labels for r in found} == dict(enumerate(texts))
+        assert min(b.word for r in found for b in r.blocks if r.doc_id == 0) == pad
+
+
 def test_mix_meets_budgets(docs, rows):
     found = mixing.mix(docs).collect()
     taken, target = Counter(), {}
