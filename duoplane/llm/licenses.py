@@ -4,7 +4,7 @@ Blocks are overlapping windows over all words of a text, across line ends, each
 as many words as the longest template's reach lies in one. Template words are ordered by their frequency over all blocks,
 rarest first; of a template of n words of which a must be in a block, only the first n - a + 1 words (its prefix) are
 joined, since a block with none of them cannot hold a others. Length and positional filters come before the count, which
-is over stretches of a block of at most ``REACH`` times the template's own length.
+is over stretches of a block of at most ``REACH`` times the template's own length that hold the template's ``MARKS``.
 """
 
 from __future__ import annotations
@@ -34,8 +34,26 @@ TEMPLATES = [
 ]
 #: Share of a template's words that a block has to hold.
 CONTAINMENT = 0.8
+#: Words that tell a template's license from others, standing consecutively: each has to be in the stretch as well. A
+#: template without any needs all its words.
+MARKS = {
+    TEMPLATES[0][1]: ["gnu general public license"],
+    TEMPLATES[1][1]: ["gnu general public license", "version 3"],
+    TEMPLATES[2][1]: ["any person obtaining a copy"],
+    TEMPLATES[3][1]: ["mit license"],
+    TEMPLATES[4][1]: ["apache license", "2 0"],
+    TEMPLATES[5][1]: ["source and binary forms"],
+    TEMPLATES[6][1]: ["cc by nc"],
+    TEMPLATES[7][1]: ["creative commons attribution 4 0"],
+    TEMPLATES[8][1]: ["mozilla public license", "2 0"],
+    TEMPLATES[9][1]: ["all rights reserved"],
+}
+#: Words after the first mark that make it another license: versions that the template doesn't mean.
+OTHERS = {TEMPLATES[0][1]: ["version 1", "version 2", "v1", "v2", "1", "2"]}
 #: These words have to stand within so many times the template's length.
 REACH = 2
+#: Most words of an entry of ``OTHERS``.
+AFTER = 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,11 +72,15 @@ def _let(x: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), then)[0]
 
 
+def _joined(words: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
 def _blanks(x: Column) -> Column:
     return (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).cast("long")
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = CONTAINMENT, marks: dict[str, list[str]] = MARKS, others: dict[str, list[str]] = OTHERS) -> DataFrame:
     """doc_id, n_words, n_base (places of all base phrases), first_word and last_word (smallest and largest start, words
     from 0; null without any), base_labels, labels (base ones and the join's; both distinct, sorted, comma-joined),
     score (1 with a base phrase, else the best containment of a template found, else 0) and blocks (array of what was
@@ -68,8 +90,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     columns are left out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sets = [(i, label, words, -(-round(containment * 1000) * len(words) // 1000), REACH * n) for i, (label, words, n) in enumerate((label, _words_of(s), len(_all_words_of(s))) for label, s in templates)]
-    reach = max(r for *_, r in sets)
+    sets = []
+    for i, (label, sentence) in enumerate(templates):
+        words, marked = _words_of(sentence), [f" {m} " for m in marks.get(sentence, [])]
+        needed = -(-round(containment * 1000) * len(words) // 1000) if marked else len(words)
+        sets.append((i, label, words, needed, REACH * len(_all_words_of(sentence)), marked, [f"{marked[0]}{o} " for o in others.get(sentence, [])]))
+    # without one of these a text has none of the templates
+    first_marks = sorted({m[0] if m else f" {words[0]} " for _, _, words, _, _, m, _ in sets})
+    reach = max(r for _, _, _, _, r, _, _ in sets)
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, _, words, *_ in sets for w in words})])
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
@@ -85,17 +113,22 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
         lasts.append(F.when(has, _blanks(F.substr("x", F.lit(1), at)) - 1))
         columns.append(has.alias(f"_has{i}"))
     labels = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"_has{i}"), F.lit(label)) for i, label in enumerate(phrases)])))
-    least = min(a for _, _, _, a, _ in sets)
-    # a block starts at every reach-th word and holds each stretch of reach words that starts before the next one
-    blocks = _let(F.split(F.trim("x"), " ", -1), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(reach)), lambda s: F.struct(s.alias("start"), F.slice(w, s + 1, 2 * reach).alias("text"))))
+    def any_mark(x: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in first_marks])
+
+    least = min(a for _, _, _, a, *_ in sets)
+    # a block starts at every reach-th word and holds each stretch of reach words that starts before the next one, and the
+    # words that tell what follows its mark
+    blocks = _let(F.split(F.trim("x"), " ", -1), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(reach)), lambda s: F.struct(s.alias("start"), F.slice(w, s + 1, 2 * reach + AFTER).alias("text"))))
     blocks = F.transform(blocks, lambda b: F.struct(b["start"].alias("start"), b["text"].alias("text"), F.array_intersect(b["text"], vocabulary).alias("words")))
-    blocks = F.filter(blocks, lambda b: F.size(b["words"]) >= least)
+    blocks = F.filter(blocks, lambda b: (F.size(b["words"]) >= least) & any_mark(_joined(b["text"])))
+    blocks = F.when(any_mark(F.col("x")), blocks).otherwise(F.array().cast("array<struct<start:int,text:array<string>,words:array<string>>>"))
     found = rows.select("row", "doc_id", n_words.alias("n_words"), reduce(lambda a, b: a + b, counts).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), *columns, blocks.alias("windows"))
     found = staged(found.withColumn("base", labels).drop(*[f"_has{i}" for i in range(len(phrases))]), "licenses")
 
     blocks = found.select("row", F.explode("windows").alias("b")).select("row", "b.*")
     frequency = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    template = spark.createDataFrame(sets, "template int, label string, t_words array<string>, needed int, t_reach int").withColumn("t_size", F.size("t_words"))
+    template = spark.createDataFrame(sets, "template int, label string, t_words array<string>, needed int, t_reach int, t_marks array<string>, t_others array<string>").withColumn("t_size", F.size("t_words"))
     ordered = template.withColumn("word", F.explode("t_words")).join(frequency, "word", "left")
     rarest = Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "word")
     # bounded by the templates: at most all their words
@@ -107,7 +140,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     # a block and a template meet once, at the rarest prefix word that they share
     candidates = candidates.filter(F.size(F.array_intersect("until", "words")) == 1).filter(F.size(F.array_intersect("words", "t_words")) >= F.col("needed"))
     starts = F.filter(F.sequence(F.lit(1), F.least(F.lit(reach), F.size("text"))), lambda s: F.array_contains("t_words", F.element_at("text", s)))
-    stretches = F.transform(starts, lambda s: F.struct(F.size(F.array_intersect(F.slice("text", s, F.col("t_reach")), "t_words")).alias("overlap"), (-s).alias("before")))
+    # the stretch's own words count and hold the marks; what follows a mark may stand beyond its end
+    near = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("text", s, F.col("t_reach")).alias("w"), _joined(F.slice("text", s, F.col("t_reach") + AFTER)).alias("beyond")))
+    near = F.filter(near, lambda n: F.forall("t_marks", lambda m: F.contains(_joined(n["w"]), m)) & ~F.exists("t_others", lambda o: F.contains(n["beyond"], o)))
+    stretches = F.transform(near, lambda n: F.struct(F.size(F.array_intersect(n["w"], "t_words")).alias("overlap"), (-n["s"]).alias("before")))
     hits = candidates.select("row", "label", "start", "needed", "t_size", F.array_max(stretches).alias("best")).filter("best.overlap >= needed")
     hits = hits.select("row", "label", (F.col("start") - F.col("best.before") - 1).alias("word"), (F.col("best.overlap") / F.col("t_size")).alias("share"))
     per_row = hits.groupBy("row").agg(F.collect_set("label").alias("joined"), F.max("share").alias("best"), F.array_sort(F.collect_set(F.struct("word", "label", "share"))).alias("blocks"))

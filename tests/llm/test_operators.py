@@ -270,6 +270,19 @@ def test_wrapped_license_sentences_are_found(spark):
         assert min(b.word for r in found for b in r.blocks if r.doc_id == 0) == pad
 
 
+def test_other_licenses_and_prose_get_no_label(spark):
+    other = ["Released under the GPL license", "Released under the Apache License", "The book was released under the old license", "Licensed under CC BY 4.0", "CC BY-SA 4.0", "Licensed under CC BY-SA 4.0"]
+    other += ["All of the members met. Their seats are reserved, and so are the rights.", "Licensed under the Apache License, Version 1.0.", "This work is licensed under the GNU General Public License, version 2."]
+    other += ["This work is licensed under the GNU Lesser General Public License, version 3.", "licensed under a Creative Commons Attribution-NonCommercial 3.0 International License"]
+    other += ["of the GNU General Public License; either version 2 of the License, or (at your option) any later version"]
+    own = [(s, label) for label, s in licenses.TEMPLATES] + [("Released under MIT license, the text follows", "mit"), ("Licensed under the Apache License 2.0", "apache-2")]
+    data = [*((s, "") for s in other), *own]
+    found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(i, s, "en", "s", 1) for i, (s, _) in enumerate(data)], SCHEMA)).collect()}
+    assert {s: found[i] for i, (s, _) in enumerate(data)} == dict(data)
+    plain = licenses.scan(spark.createDataFrame([(0, "a short one here", "", "", 1), (1, "short and a", "", "", 1)], SCHEMA), [("own", "A short one.")]).collect()
+    assert {r.doc_id: r.labels for r in plain} == {0: "own", 1: ""}
+
+
 def test_mix_meets_budgets(docs, rows):
     found = mixing.mix(docs).collect()
     taken, target = Counter(), {}
