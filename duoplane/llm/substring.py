@@ -2,10 +2,12 @@
 
 A gear rolling hash over the bytes before each word start decides where chunks end: where it is least among its
 ``REACH`` neighbours on either side, so an insertion only moves the boundaries near it, and chunks are of 2 * REACH + 1
-words on average with few long ones. Chunks are compared by a 64-bit digest; of the copies of a chunk the first (by
-document, then place) stays. A copy is taken out where it stands in a run of copied chunks of ``LEAST_WORDS`` words at
-least: a short line that many documents share stays where it is, and so would a chunk of equal digest but other text,
-which is never taken out on its own.
+words on average with few long ones. In a stretch of over ``SPARSE`` bytes without a word start (scripts without spaces,
+base64, minified code) it chooses among all starts of characters, least among ``CHARACTERS`` on either side. Chunks are
+compared by a 64-bit digest; of the copies of a chunk the first (by document, then place) stays. A copy is taken out where
+it stands in a run of copied chunks of ``LEAST_WORDS`` words or ``LEAST_BYTES`` bytes at least: a short line that many
+documents share stays where it is, and so would a chunk of equal digest but other text, which is never taken
+out on its own.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ from .common import slices, small_batches, staged
 
 #: The gear hash sees this many bytes; a word start ends a chunk where it is least among so many before and after it.
 GEAR, REACH = 16, 4
-#: Longest chunk in bytes; where no word starts it is cut there, between characters.
+#: Bytes without a word start beyond which every character may end a chunk, where it is least among so many on either side.
+SPARSE, CHARACTERS = 64, 16
+#: Longest chunk in bytes; where no word or character was chosen it is cut at a word start, or else there, between characters.
 LONGEST = 512
 #: Words that a run of copied chunks needs. A repeated passage loses up to about REACH + one chunk at either end.
 LEAST_WORDS = 20
+#: Bytes that suffice instead, for text with few spaces; about twice those of twenty words, so that words decide elsewhere.
+LEAST_BYTES = 256
 
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
@@ -43,6 +49,16 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _least(h: np.ndarray, reach: int) -> np.ndarray:
+    """Whether each value is least among ``reach`` on either side; of equal ones the first."""
+    around = np.full(len(h) + 2 * reach, 1 << 33)
+    around[reach : reach + len(h)] = h
+    least = np.ones(len(h), bool)
+    for k in range(1, reach + 1):
+        least &= (h < around[reach - k : reach - k + len(h)]) & (h <= around[reach + k : reach + k + len(h)])
+    return least
+
+
 def chunk_ends(text: bytes) -> list[int]:
     """Byte offsets at which the chunks of a text end; the last is its length."""
     data = np.frombuffer(text, np.uint8)
@@ -51,18 +67,18 @@ def chunk_ends(text: bytes) -> list[int]:
         return []
     space = (data == 32) | ((data >= 9) & (data <= 13))
     start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    h = gear_hash(data)[start - 1].astype(np.int64)
-    around = np.full(len(h) + 2 * REACH, 1 << 33)
-    around[REACH : REACH + len(h)] = h
-    least = np.ones(len(h), bool)
-    for k in range(1, REACH + 1):  # ties: the first
-        least &= (h < around[REACH - k : REACH - k + len(h)]) & (h <= around[REACH + k : REACH + k + len(h)])
-    cut = start[least]
+    h = gear_hash(data).astype(np.int64)
+    cut = start[_least(h[start - 1], REACH)]
+    lead = (data & 0xC0) != 0x80  # first byte of a character
+    bounds = np.concatenate(([0], start, [n]))
+    sparse = np.flatnonzero(np.diff(bounds) > SPARSE)
+    if len(sparse):
+        inner = [np.flatnonzero(lead[a + 1 : b]) + a + 1 for a, b in zip(bounds[sparse].tolist(), bounds[sparse + 1].tolist(), strict=True)]
+        cut = np.sort(np.concatenate((cut, *(at[_least(h[at - 1], CHARACTERS)] for at in inner))))
     edges = np.concatenate(([0], cut, [n]))
     if (np.diff(edges) <= LONGEST).all():
         return edges[1:].tolist()
     out: list[int] = []
-    lead = (data & 0xC0) != 0x80  # first byte of a character
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         inner = start[(start > a) & (start < b)] if b - a > LONGEST else ()
         while b - a > LONGEST:
@@ -77,7 +93,7 @@ def chunk_ends(text: bytes) -> list[int]:
     return out
 
 
-def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = LEAST_WORDS, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """All columns of ``docs``, text without its repeated passages, and n_chunks, n_removed (chunks), removed_bytes and
     spans (array of the removed (start, end), in bytes of the old text).
 
@@ -133,7 +149,7 @@ def dedup(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             for text, copied in zip(batch.column("text").to_pylist(), batch.column("_copied").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 ends = chunk_ends(raw)
-                spans = _runs(copied or [], ends, least_words)
+                spans = _runs(copied or [], ends, least_words, least_bytes)
                 kept, at = [], 0
                 for a, b, _ in spans:
                     kept.append(raw[at:a])
@@ -161,16 +177,17 @@ def _with_own(names: list[str]):
     return run
 
 
-def _runs(copied: list[dict], ends: list[int], least_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, chunks) of the runs of neighbouring copied chunks that have enough words."""
+def _runs(copied: list[dict], ends: list[int], least_words: int, least_bytes: int) -> list[tuple[int, int, int]]:
+    """(start, end, chunks) of the runs of neighbouring copied chunks that have enough words or bytes."""
     out, i = [], 0
     while i < len(copied):
         j, words = i, copied[i]["words"]
         while j + 1 < len(copied) and copied[j + 1]["number"] == copied[j]["number"] + 1:
             j += 1
             words += copied[j]["words"]
-        if words >= least_words:
-            first = copied[i]["number"]
-            out.append((ends[first - 1] if first else 0, ends[copied[j]["number"]], j - i + 1))
+        first = copied[i]["number"]
+        start, end = ends[first - 1] if first else 0, ends[copied[j]["number"]]
+        if words >= least_words or end - start >= least_bytes:
+            out.append((start, end, j - i + 1))
         i = j + 1
     return out

@@ -183,6 +183,23 @@ def test_chunks_cover_the_text_and_survive_insertion():
     assert len(cut(text) & cut("inserted words " + text)) >= len(cut(text)) - 2
 
 
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x5200))), "".join(map(chr, range(0xE01, 0xE2F))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_repeated_passages_without_spaces_go(spark, letters):
+    rnd = random.Random(3)
+
+    def text(n):
+        return "".join(rnd.choice(letters) for _ in range(n))
+
+    passage, short = text(1000), text(60)
+    data = [(i, text(300 + 37 * i) + passage + text(500) + (short if len(letters) < 200 else "") + text(200), "zh", "s", 1) for i in range(6)]
+    found = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert found[0].n_removed == 0 and found[0].text == data[0][1]
+    for i, old, *_ in data[1:]:
+        raw, r = old.encode(), found[i]
+        taken = [raw[s.start : s.end].decode() for s in r.spans]
+        assert len(taken) == 1 and taken[0] in passage and len(taken[0]) >= 850 and r.text == old.replace(taken[0], "")
+
+
 def test_toxic_words_are_learnt(spark, none):
     rnd = random.Random(4)
     data, labels = [], []
