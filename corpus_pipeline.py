@@ -50,7 +50,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity_stage), ("jaccard_join", near_duplicate_stage), ("substring_dedup", substring_stage), ("mixing", mixing_stage), ("byte_bpe", token_stage)]
 
-#: SQL can't express the classifier, the chunking and the merges; the stages are tested against brute force.
+#: SQL can't express the classifier, the chunking and the merges. The operators have tests of their own, near duplicates and
+#: tokens against brute force or a library; of the stages run together only columns and a row count are tested.
 ORACLE_SQL = None
 
 

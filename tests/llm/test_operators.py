@@ -113,6 +113,16 @@ def test_language_by_compression(spark, none):
     assert {r.lang_pred for r in langid.predict(frame, {}).collect()} == {"und"} and langid.predict(none, learnt).count() == 0
 
 
+def test_language_of_held_out_documents(spark):
+    rnd = random.Random(1)
+    vocabulary = [sentence(rnd, 60, "abcde").split(), sentence(rnd, 60, "vwxyz").split()]
+    data = [(i, " ".join(rnd.choices(vocabulary[i % 2], k=80)), "zz" if i % 2 else "aa", "s", 1) for i in range(200)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    found = [r for r in langid.predict(frame, langid.learn(frame)).collect() if r.held_out]
+    assert len(found) == sum(zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)) > 20
+    assert np.mean([r.lang_pred == data[r.doc_id][2] for r in found]) >= 0.95
+
+
 def test_token_counts_as_the_library(docs, none, rows):
     from tokenizers import Tokenizer
 
