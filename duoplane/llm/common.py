@@ -10,28 +10,30 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-#: Rows in an Arrow batch sent to Python; whole texts travel in it, so it bounds a worker's memory.
-ARROW_ROWS = 2000
+#: A key with more than one in so many of all rows is hot: there are at most so many of them, which bounds their broadcast.
+HOT_KEYS = 4096
 _STAGED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none (tests)."""
+    """The folder that driver and executors share. Where none is named, a local session gets a temporary one (tests); on a
+    cluster that would be a folder nobody else sees, so it is an error."""
     named = spark.sparkContext.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _STAGED:
-        _STAGED[key] = []
-        spark.conf.set(CHECKPOINT_CONF, "file://" + tempfile.mkdtemp(prefix="duoplane-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that driver and executors share")
+    spark.conf.set(CHECKPOINT_CONF, "file://" + tempfile.mkdtemp(prefix="duoplane-"))
     return spark.conf.get(CHECKPOINT_CONF).rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here, and a lost
-    executor only costs the tasks that read it. ``drop_staged`` removes the tables of a session."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here, and a lost executor only
+    costs the tasks that read it. The caller's result may read it lazily, so ``drop_staged`` removes the tables of a session
+    once results are written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -49,11 +51,30 @@ def drop_staged(spark: SparkSession) -> int:
     return n
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts go to Python in batches of at most ``ARROW_ROWS`` rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column has it (case aside)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: list[str], n: str, total: int) -> DataFrame:
+    """``rows``, ``total`` of them, joined with ``facts`` (one row for each ``key``; ``n`` of the rows have it), without ``n``.
+
+    A hot key's rows are dealt over several parts by a hash of all their columns, and its facts are repeated for each part,
+    so that no task gets more than one in ``HOT_KEYS`` of all rows for one key. Only the hot keys and the numbers of their
+    parts are broadcast. Rows with a null key join nothing. ``facts`` is read twice: stage it where it is costly."""
+    parts, salt = unused([*rows.columns, *facts.columns], "parts", "salt")
+    dealt = facts.withColumn(parts, F.ceil(F.col(n) * HOT_KEYS / max(1, total)).cast("int")).drop(n)
+    hot = F.broadcast(dealt.filter(F.col(parts) > 1).select(*key, parts))
+    salted = rows.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    each = dealt.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col(parts)) - 1))).drop(parts)
+    return salted.join(each, [*key, salt]).drop(salt)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -2,34 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
+#: So few edges are finished in one task.
+FEW = 10_000
+
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """node and root (the same for all nodes of a component) for all nodes of ``edges`` (a, b: long).
 
-    Each round points every node to the least of its neighbours, follows that once more, and replaces edges by what
-    their ends point to; the edges shrink by more than half a round on all but contrived graphs. Every round is written
-    to the shared folder, so lineage stays short. Self-loops and repeated edges do no harm; no edges give no rows.
+    Each round points every node to the least of its neighbours and itself, and replaces edges by what their ends point to:
+    the nodes that are left shrink by half at least. ``few`` edges are finished by union-find in one task. Every round is
+    written to the shared folder, so lineage stays short, and joins only meet tables as written, so that Spark can split a
+    node of many edges at run time. Self-loops and repeated edges do no harm; no edges give no rows.
     """
     edges = staged(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mapping = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root"))
-        jump = least.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        step = staged(least.join(jump, "root").select("node", F.col("next").alias("root")), "step")
+    while True:
+        n = edges.count()
+        if n <= few:
+            step = staged(edges.repartition(1).mapInArrow(_joined, "node long, root long"), "step")
+        else:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            step = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("root")), "step")
         if mapping is None:
             mapping = step
-        else:
+        elif n:
             onward = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
             mapping = staged(mapping.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "mapping")
+        if n <= few:
+            return mapping
         a, b = (step.select(F.col("node").alias(c), F.col("root").alias(f"{c}2")) for c in "ab")
         moved = edges.join(a, "a").join(b, "b").filter("a2 <> b2")
         edges = staged(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
-    if mapping is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return mapping
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    over: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while over.get(top, top) != top:
+            top = over[top]
+        while over.get(x, x) != top:
+            over[x], x = top, over[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            over.setdefault(a, a)
+            over.setdefault(b, b)
+            over[max(x, y)] = min(x, y)
+            over.setdefault(min(x, y), min(x, y))
+    nodes = list(over)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(root, nodes)), pa.int64())], ["node", "root"])

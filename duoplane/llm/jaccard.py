@@ -1,14 +1,13 @@
 """N-gram Jaccard join (operator 8): documents whose sets of word shingles are similar, as a grouped prefix join.
 
-1. One pass makes each document's distinct shingles. They go, packed by block of documents and range of hash, to tasks
-   that find which of them occur in two documents or more and in how many; a shingle of one document links nothing. What
-   comes back to each document is the list of its shared shingles, rarest first. All later steps use these lists: the
-   overlap of two documents is that of their lists.
+1. One pass makes each document's distinct shingles. Each block of documents sends its distinct ones, with the number of
+   its documents that have each, packed by range of hash, to tasks that find which of them occur in two documents or more
+   and in how many; a shingle of one document links nothing. What comes back to each document is the list of its shared
+   shingles, rarest first. All later steps use these lists: the overlap of two documents is that of their lists.
 2. Documents of equal sets become one class, with its smallest row for all.
 3. A document of n shingles can only be linked through the first n - ceil(t n) + 1 of them in the global order (its
-   prefix). A few sweeps verify each class against one row of each of its min-hash buckets, first that of the commonest
-   shingles, then others, and only where the two aren't joined yet. That joins the large groups of near copies without
-   forming their pairs.
+   prefix). A sweep verifies each class against two rows of each of its min-hash buckets, that of the commonest shingles
+   and any other. That joins the large groups of near copies without forming their pairs.
 4. Classes of equal prefix, size and component so far collapse into one group. Groups are joined on prefix shingles,
    filtered by length and position, each pair of groups once, and expanded to their members, which are verified. Only
    pairs of different components are formed: a shingle's largest component meets the others' groups, never itself.
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_partitions, slices, small_batches, staged
+from .common import input_partitions, join_facts, repeat_ranges, slices, staged, unused
 from .components import components
 from .token_counts import pack, unpack
 
@@ -35,10 +34,10 @@ from .token_counts import pack, unpack
 WORDS, PERCENT = 5, 75
 #: Bits of a shingle's hash. Two of some hundred shingles of a pair of documents meet by chance once in 10**9 pairs.
 HASH_BITS = 48
-#: Bytes of text in a block.
-BLOCK_BYTES = 24 << 20
-#: Min-hash buckets of a document, and the sweeps over them. They only save work: what they miss, the prefix join finds.
-BUCKETS, SWEEPS = 4, 2
+#: Bytes of text, and documents, after which a block is full; bytes of text for each range of hashes.
+BLOCK_BYTES, BLOCK_DOCS, RANGE_BYTES = 24 << 20, 1 << 20, 16 << 20
+#: Min-hash buckets of a document. They only save work: what they miss, the prefix join finds.
+BUCKETS = 4
 
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _ODD = np.random.default_rng(20240301).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,12 +75,12 @@ class Shingler:
 
 
 def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """row, doc_id, own, n (distinct shingles), central (in how many documents one occurs on average), tokens (shared shingles as numbers, rarest first), prefix (those of them in
-    the prefix) and hashes (its min-hashes), one row for every row of ``docs``."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """One row for every row of ``docs``: row, doc_id, own, n (distinct shingles), central (in how many documents one occurs
+    on average), tokens (shared shingles as numbers, rarest first), prefix (those of them in the prefix), hashes (its
+    min-hashes), h1 and h2 (of the set, where all of it is shared)."""
     width = input_partitions(docs)
-    bits = max(1, int(np.ceil(np.log2(width * 2))))  # ranges of hashes: two or more for a task
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(1, int(np.ceil(np.log2(max(width * 2, size / RANGE_BYTES)))))  # of the hash, which name its range
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, ordinal = Shingler(words), 0
@@ -92,66 +91,76 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
             own += batch.column("own").to_pylist()
             sets += [shingles(t or "") for t in texts]
             size += sum(map(len, filter(None, texts)))
-            if size >= BLOCK_BYTES:
+            if size >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
                 yield from block(ordinal, ids, own, sets)
                 ids, own, sets, size, ordinal = [], [], [], 0, ordinal + 1
         if ids:
             yield from block(ordinal, ids, own, sets)
 
-    names = ["range", "block", "hashes", "places", "doc_id", "own", "n"]
+    kinds = {"range": pa.int64(), "block": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "places": pa.binary(), "doc_id": pa.list_(pa.int64()), "own": pa.list_(pa.int64()), "n": pa.list_(pa.int32())}
+    packed_schema = "range long, block long, hashes binary, counts binary, places binary, doc_id array<long>, own array<long>, n array<int>"
+    none = np.zeros(0, np.int64)
+
+    def packed(values: np.ndarray) -> bytes:
+        return pack(values, none)[0].tobytes()
+
+    def unpacked(data: bytes) -> np.ndarray:
+        return unpack(np.frombuffer(data, np.uint8))[0]
+
+    def row(**values: object) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([values.get(c)], t) for c, t in kinds.items()], list(kinds))
 
     def block(ordinal: int, ids: list, own: list, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() << 24) + ordinal  # the same on a retry
         n = [len(s) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1 - number % width], pa.int64()), pa.array([number], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([own], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int32()))], names
-        )
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         doc, flat = np.repeat(np.arange(len(n)), n)[order], flat[order]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else none
+        counts, flat = np.diff(np.append(first, len(flat))), flat[first]
+        # what only this block needs passes by the ranges
+        yield row(range=-1 - number, block=number, counts=packed(counts), places=packed(doc), doc_id=ids, own=own, n=n)
         shift = np.uint64(HASH_BITS - bits)
         cuts = np.searchsorted(flat >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
-        for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if b > a:
-                low = flat[a:b] & ((np.uint64(1) << shift) - np.uint64(1))
-                none = np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r], pa.int64()), pa.array([number], pa.int64()), pa.array([pack(np.diff(low, prepend=np.uint64(0)), none)[0].tobytes()], pa.binary()), pa.array([pack(doc[a:b], none)[0].tobytes()], pa.binary()),
-                     pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32()))], names
-                )
+        low = flat & ((np.uint64(1) << shift) - np.uint64(1))
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[r], cuts[r + 1]
+            yield row(range=r, block=number, hashes=packed(np.diff(low[a:b], prepend=np.uint64(0))), counts=packed(counts[a:b]))
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        """Of one range, the shingles of two documents or more, block by block; blocks' own facts pass through."""
+        """Of one range, block by block: in how many documents each of its shingles is (0: one), and the shared ones' numbers."""
         if key[0].as_py() < 0:
-            return pa.table({"block": table.column("block"), "docs": pa.nulls(len(table), pa.binary()), "tokens": pa.nulls(len(table), pa.binary()), "counts": pa.nulls(len(table), pa.binary()), "doc_id": table.column("doc_id"), "own": table.column("own"), "n": table.column("n")})
+            return table.append_column("times", pa.nulls(len(table), pa.binary())).append_column("tokens", pa.nulls(len(table), pa.binary())).drop_columns(["hashes"])
         table = table.take(pc.sort_indices(table, [("block", "ascending")]))
-        hashes, docs_, sizes = [], [], []
-        for h, d in zip(table.column("hashes").to_pylist(), table.column("places").to_pylist(), strict=True):
-            hashes.append(np.cumsum(unpack(np.frombuffer(h, np.uint8))[0]))
-            docs_.append(unpack(np.frombuffer(d, np.uint8))[0])
-            sizes.append(len(docs_[-1]))
-        flat, doc, which = np.concatenate(hashes), np.concatenate(docs_), np.repeat(np.arange(len(sizes)), sizes)
+        hashes = [np.cumsum(unpacked(h)) for h in table.column("hashes").to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
+        flat, counts = np.concatenate(hashes), np.concatenate(list(map(unpacked, table.column("counts").to_pylist())))
         order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        new = np.concatenate(([True], flat[1:] != flat[:-1]))
-        times = np.diff(np.append(np.flatnonzero(new), len(flat)))
-        each = np.repeat(times, times)
-        keep = each > 1
-        token = (np.cumsum(new & keep) - 1) * (1 << bits) + key[0].as_py()
-        order, token, each = order[keep], token[keep], each[keep]
-        back = np.argsort(order, kind="stable")  # by block again
-        order, token, each = order[back], token[back], each[back]
-        ends = np.searchsorted(which[order], np.arange(len(sizes) + 1))
-        rows = [(x.astype(np.int32 if x is not token else np.int64)) for x in (doc[order], token, each)]
-        cut_ = [[x[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)] for x in (rows[0], rows[1], rows[2])]
-        k = len(sizes)
-        return pa.table({"block": table.column("block"), "docs": pa.array(cut_[0], pa.binary()), "tokens": pa.array(cut_[1], pa.binary()), "counts": pa.array(cut_[2], pa.binary()), "doc_id": pa.nulls(k, pa.list_(pa.int64())), "own": pa.nulls(k, pa.list_(pa.int64())), "n": pa.nulls(k, pa.list_(pa.int32()))})
+        new = np.concatenate(([True], np.diff(flat[order]) > 0))
+        total = np.add.reduceat(counts[order], np.flatnonzero(new))
+        which = np.empty(len(flat), np.int64)
+        which[order] = np.cumsum(new) - 1
+        number = (np.cumsum(total > 1) - 1) * (1 << bits) + key[0].as_py()
+        times, token = np.where(total > 1, total, 0)[which], number[which]
+        bounds = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+        return pa.table({
+            "range": table.column("range"), "block": table.column("block"), "counts": pa.nulls(len(table), pa.binary()), "places": pa.nulls(len(table), pa.binary()),
+            "doc_id": pa.nulls(len(table), kinds["doc_id"]), "own": pa.nulls(len(table), kinds["own"]), "n": pa.nulls(len(table), kinds["n"]),
+            "times": pa.array([packed(times[a:b]) for a, b in bounds], pa.binary()), "tokens": pa.array([token[a:b][times[a:b] > 0].tobytes() for a, b in bounds], pa.binary()),
+        })
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         """All of a block's shared shingles, document by document."""
-        facts = table.filter(pc.is_null(table.column("docs")))
-        rest = table.filter(pc.is_valid(table.column("docs")))
-        doc, token, times = (np.frombuffer(b"".join(rest.column(c).to_pylist()), t) for c, t in (("docs", np.int32), ("tokens", np.int64), ("counts", np.int32)))
+        table = table.take(pc.sort_indices(table, [("range", "ascending")]))
+        facts, rest = table.slice(0, 1), table.slice(1)  # its own facts have a negative range
+        counts, places = unpacked(facts.column("counts")[0].as_py()), unpacked(facts.column("places")[0].as_py())
+        times = np.concatenate([none, *map(unpacked, rest.column("times").to_pylist())])
+        token = np.zeros(len(times), np.int64)
+        token[times > 0] = np.frombuffer(b"".join(rest.column("tokens").to_pylist()), np.int64)
+        entry = np.repeat(np.arange(len(counts)), counts)
+        shared = times[entry] > 0
+        doc, entry = places[shared], entry[shared]
+        token, times = token[entry], times[entry]
         order = np.lexsort((token, times, doc))
         doc, token, times = doc[order], token[order], times[order]
         ids, own, n = (facts.column(c)[0].as_py() for c in ("doc_id", "own", "n"))
@@ -159,31 +168,41 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
         have, size = np.diff(ends), np.array(n, np.int64)
         first = size - -(-percent * size // 100) + 1 - (size - have)  # those before it are of one document only
         first = np.where(size > 0, np.clip(first, 0, have), 0)
-        hashes = np.zeros((BUCKETS, len(ids)), np.int64)
+        hashes, whole = np.zeros((BUCKETS, len(ids)), np.int64), np.zeros((2, len(ids)), np.int64)
         some = np.flatnonzero(have)
         for k in range(BUCKETS if len(token) else 0):
             mixed = (_mix(token.astype(np.uint64) * _ODD[40 + k]) >> np.uint64(1)).astype(np.int64)
             hashes[k, some] = np.minimum.reduceat(mixed, ends[:-1][some])
-        lists = lambda a, b: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(b - a))).astype(np.int32)), pa.array(token[np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)]))
+        for k in range(2 if len(token) else 0):  # of the set: sums of independent hashes
+            whole[k, some] = np.add.reduceat(_mix((token.astype(np.uint64) + np.uint64(1)) * _ODD[50 + k]), ends[:-1][some]).astype(np.int64)
+        partly = (have < size) | (size == 0)
+        lists = lambda a, b: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(b - a))).astype(np.int32)), pa.array(token[repeat_ranges(a, b - a)]))
         return pa.table({
             "row": (key[0].as_py() << 24) + np.arange(len(ids)), "doc_id": pa.array(ids, pa.int64()), "own": pa.array(own, pa.int64()), "n": size,
             "central": np.bincount(doc, times, len(ids)) / np.maximum(size, 1),
             "tokens": lists(ends[:-1], ends[1:]), "prefix": lists(ends[:-1], ends[:-1] + first), "hashes": pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BUCKETS), pa.array(hashes.T.ravel())),
+            "h1": pa.array(whole[0], mask=partly), "h2": pa.array(whole[1], mask=partly),
         })
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("own"))
-    packed = packed.mapInArrow(cut, "range long, block long, hashes binary, places binary, doc_id array<long>, own array<long>, n array<int>")
-    counted = packed.groupBy("range").applyInArrow(count, "block long, docs binary, tokens binary, counts binary, doc_id array<long>, own array<long>, n array<int>")
-    made = counted.groupBy("block").applyInArrow(gather, "row long, doc_id long, own long, n long, central double, tokens array<long>, prefix array<long>, hashes array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("own"))
+    counted_schema = "range long, block long, counts binary, places binary, doc_id array<long>, own array<long>, n array<int>, times binary, tokens binary"
+    counted = texts.mapInArrow(cut, packed_schema).groupBy("range").applyInArrow(count, counted_schema)
+    made = counted.groupBy("block").applyInArrow(gather, "row long, doc_id long, own long, n long, central double, tokens array<long>, prefix array<long>, hashes array<long>, h1 long, h2 long")
     return staged(made, "shingles")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b of rows) whose overlap reaches ``percent`` of their union."""
-    a = sets.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    b = sets.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    overlap = F.size(F.array_intersect("t_a", "t_b"))
-    return pairs.join(a, "a").join(b, "b").withColumn("both", overlap).filter(F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b of rows) whose overlap reaches ``percent`` of their union. A row of many pairs is dealt out."""
+    pairs = staged(pairs, "pairs")
+    total = pairs.count()
+    if not total:
+        return pairs
+    for side in "ab":
+        times = pairs.groupBy(side).agg(F.count("*").alias("k"))
+        sets = rows.select(F.col("row").alias(side), F.col("n").alias(f"n_{side}"), F.col("tokens").alias(f"t_{side}")).join(times, side)
+        known = join_facts(pairs if side == "a" else known, sets, [side], "k", total)
+    known = known.withColumn("both", F.size(F.array_intersect("t_a", "t_b")))
+    return staged(known.filter(F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "links")
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -195,67 +214,69 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     are rows of their own. An empty table gives an empty result.
     """
     rows = _shared(docs, words, percent)
-    used = rows.filter(F.size("prefix") > 0)
+    total = rows.count()
     # equal sets: nothing but shared shingles, the same ones
-    alike = [F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit("again"), "tokens").alias("h2")]
-    same = used.filter(F.size("tokens") == F.col("n")).select("row", "n", *alike)
-    first = same.groupBy("n", "h1", "h2").agg(F.min("row").alias("first"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    copies = staged(same.join(first, ["n", "h1", "h2"]).filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")), "copies")
-    sets = used.join(copies.select(F.col("a").alias("row")), "row", "left_anti")
-
-    buckets = staged(sets.select("row", "central", F.posexplode("hashes").alias("k", "h")), "buckets")
-    so_far = links = staged(sets.select(F.col("row").alias("node"), F.col("row").alias("root")).limit(0), "none")
-    for turn in range(SWEEPS):
-        placed = buckets.join(so_far.withColumnRenamed("node", "row"), "row", "left").select("row", "central", "k", "h", F.coalesce("root", "row").alias("component"))
-        # edited copies are nearer to what they were made from than to each other; then any of the bucket
-        draw = -F.col("central") if turn == 0 else F.xxhash64("row", F.lit(turn))
-        draw = F.min(F.struct(draw.alias("draw"), "row", "component")).alias("hub")
-        hubs = placed.groupBy("k", "h").agg(draw, F.count("*").alias("many")).filter("many > 1").select("k", "h", F.col("hub.row").alias("b"), F.col("hub.component").alias("other"))
-        sweep = placed.join(hubs, ["k", "h"]).filter("component <> other").select(F.col("row").alias("a"), "b").distinct()
-        found = staged(_verified(sweep, sets, percent), "links")
-        if found.isEmpty():
-            break
-        links = links.unionByName(found) if turn else found
-        so_far = components(links)
-    if "node" in links.columns:
-        links = links.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    alike = ["n", "h1", "h2"]
+    same = rows.filter("h1 is not null").select("row", *alike)
+    first = same.groupBy(*alike).agg(F.min("row").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    copies = staged(join_facts(same, first, alike, "k", total).filter("row <> first").select(F.col("row").alias("a"), F.col("first").alias("b")), "copies")
+    used = rows.filter(F.size("prefix") > 0).select("row", "n", "central", F.size("tokens").alias("len"), "prefix", "hashes")
+    used = staged(used.join(copies.select(F.col("a").alias("row")), "row", "left_anti"), "used")
+
+    # edited copies are nearer to what they were made from than to each other; the other hub is any of the bucket
+    buckets = used.select("row", "central", F.posexplode("hashes").alias("k", "h"))
+    draws = [F.min(F.struct(draw.alias("draw"), "row"))["row"] for draw in (-F.col("central"), F.xxhash64("row", "k"))]
+    hubs = buckets.groupBy("k", "h").agg(F.array_distinct(F.array(*draws)).alias("hubs"), F.count("*").alias("many")).filter("many > 1")
+    swept = join_facts(buckets, hubs, ["k", "h"], "many", BUCKETS * total).select(F.col("row").alias("a"), F.explode("hubs").alias("b"))
+    links = _verified(swept.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, percent)
+    so_far = components(links)
 
     key = ["n", "p1", "p2", "component"]
-    named = sets.join(so_far.withColumnRenamed("node", "row"), "row", "left").select("row", "n", F.size("tokens").alias("len"), "prefix", F.coalesce("root", "row").alias("component"), F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit("again"), "prefix").alias("p2"))
+    prefixed = used.select("row", "n", "len", "prefix", F.xxhash64("prefix").alias("p1"), F.xxhash64(F.lit("again"), "prefix").alias("p2"))
+    named = prefixed.join(so_far.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("root", "row")).drop("root")
     named = staged(named, "named")
-    groups = named.groupBy(*key).agg(F.min("row").alias("group"), F.max("len").alias("len"), F.min("prefix").alias("prefix"))
-    members = named.select("row", *key).join(groups.select(*key, "group"), key).select("group", "row")
-    postings = groups.select("group", "n", "len", "component", F.posexplode("prefix").alias("at", "token"))
+    groups = staged(named.groupBy(*key).agg(F.min("row").alias("group"), F.max("len").alias("len"), F.min("prefix").alias("prefix"), F.count("*").alias("k")), "groups")
+    # texts whose sizes fit are of the same or of neighbouring bands
+    band = F.floor(F.ln("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
+    postings = groups.select("group", "n", "len", "component", band.alias("band"), F.posexplode("prefix").alias("at", "token"))
     tally = postings.groupBy("token", "component").agg(F.count("*").alias("k"))
-    largest = tally.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("token", F.col("top.component").alias("top"))
-    mixed = staged(postings.join(largest, "token"), "postings")
-    a = mixed.filter("component <> top").select("token", *[F.col(c).alias(f"{c}_a") for c in ("group", "n", "len", "at", "component")])
-    b = mixed.select("token", "top", *[F.col(c).alias(f"{c}_b") for c in ("group", "n", "len", "at", "component")])
+    largest = tally.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("k")).filter("parts > 1").select("token", F.col("top.component").alias("top"), "k")
+    mixed = join_facts(postings, largest, ["token"], "k", groups.count())
+    a = mixed.filter("component <> top").select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("group", "n", "len", "at", "component")])
+    b = mixed.select("token", "top", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("group", "n", "len", "at", "component")])
     fits = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("top")) | (F.col("group_a") < F.col("group_b")))
     fits &= F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     # of the first shingle that two groups share, those from it on bound the overlap
     fits &= F.least(F.col("len_a") - F.col("at_a"), F.col("len_b") - F.col("at_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    pairs = a.join(b, "token").filter(fits).select("group_a", "group_b").distinct()
+    pairs = a.join(b, ["token", "band"]).filter(fits).select("group_a", "group_b").distinct()
+    many = groups.select("group", *key, "k")
+    members = join_facts(named.select("row", *key), many, key, "k", total).select("group", "row")
     m_a, m_b = (members.select(F.col("group").alias(f"group_{c}"), F.col("row").alias(c)) for c in "ab")
-    expanded = pairs.join(m_a, "group_a").join(m_b, "group_b").select("a", "b").distinct()
-    more = _verified(expanded, sets, percent)
-    roots = components(links.unionByName(more).unionByName(copies))
-    return rows.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", "own", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("component"))
+    expanded = pairs.join(m_a, "group_a").join(m_b, "group_b").select("a", "b")
+    more = _verified(expanded, rows, percent)
+    if not more.isEmpty():
+        so_far = components(so_far.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    # a copy is where the first of its set is
+    placed = rows.select("row", "doc_id", "own", F.col("n").alias("n_shingles")).join(copies.select(F.col("a").alias("row"), "b"), "row", "left").withColumn("node", F.coalesce("b", "row")).drop("b")
+    return placed.join(so_far, "node", "left").select("row", "doc_id", "own", "n_shingles", F.coalesce("root", "node").alias("component"))
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included; null only where no
     document of the component has an id), one row for every row of ``docs``. See ``classes``."""
     found = staged(classes(docs, words, percent), "classes")
-    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "component").select("doc_id", "n_shingles", "component_id")
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k"))
+    alone = found.join(least.filter("k > 1"), "component", "left_anti").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return join_facts(found, least.filter("k > 1"), ["component"], "k", found.count()).select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The columns of ``docs`` with one document of each component: that of the smallest doc_id (nulls last; of repeated
-    ids one text). Rows equal in doc_id and text count as one document."""
-    found = classes(docs, words, percent).select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("own").alias("_own"), "component")
-    kept = found.groupBy("component").agg(F.min(F.struct("_id", "_none", "_own")).alias("k")).select("k.*").distinct()
-    keys = ["_id", "_none", "_own"]
-    mine = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_none": F.col("doc_id").isNull(), "_own": F.xxhash64("text")})
-    return mine.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    """The columns of ``docs``, whatever they are called, with one document of each component: that of the smallest doc_id
+    (nulls last; of repeated ids one text). Rows equal in doc_id and text count as one document; those without words are
+    in no group and all stay, repeated rows aside. An empty table stays empty."""
+    keys = unused(docs.columns, "id", "none", "own")
+    identity = [F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.col("doc_id").isNull()]
+    found = classes(docs, words, percent).select(*[x.alias(c) for x, c in zip([*identity, F.col("own")], keys, strict=True)], "component")
+    kept = found.groupBy("component").agg(F.min(F.struct(*keys)).alias("k")).select("k.*").distinct()
+    mine = docs.withColumns(dict(zip(keys, [*identity, F.xxhash64("text")], strict=True)))
+    return mine.join(kept, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])

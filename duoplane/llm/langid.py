@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices
 
 #: About how many labelled documents a dictionary is made of, how many bytes (from its middle) each gives.
 SAMPLE_DOCS, SAMPLE_BYTES = 220, 500
@@ -54,7 +54,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
     language that sorts first. ``rejected`` marks a lead under ``margin``; lang_pred keeps the best guess even then.
     score is the best language's share when a byte more halves a language's likelihood. Whole texts, no shuffle.
     """
-    small_batches(docs.sparkSession)
     languages = sorted(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jpeg
-from .common import slices, small_batches
+from .common import slices
 
 BLOCK = 64
 
@@ -24,7 +24,6 @@ def decode_images(images: DataFrame, column: str = "media") -> DataFrame:
     A null, empty or undecodable value has null height, width and rgb and says why in ``error`` (null for a null
     value); columns of the input with these names are replaced. Every row is kept, in no particular order.
     """
-    small_batches(images.sparkSession)
     made = {"height": T.IntegerType(), "width": T.IntegerType(), "rgb": T.BinaryType(), "error": T.StringType()}
     kept = [f for f in images.schema.fields if f.name not in made]
     names = [f.name for f in kept]
@@ -111,7 +110,6 @@ def text_media(docs: DataFrame, with_media: bool = False) -> DataFrame:
     64 zero bytes. One row for every row of ``docs``; other columns are left out. Equal texts give equal values: the
     arithmetic is exact in integers. No shuffle; a worker holds a few MB of texts at a time, or one longer text.
     """
-    small_batches(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", media binary, rgb binary" if with_media else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
