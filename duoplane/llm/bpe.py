@@ -2,8 +2,13 @@
 
 Distinct pre-tokens of a batch become rows of length-bucketed, padded numpy matrices. In every round each row
 merges its leftmost pair of least rank; ranks come from an open-addressing hash table over id pairs, rows that have
-no pair left are compacted away. Ids are spread back over the documents by indexing, and decoding gathers the ids'
-bytes from one flat vocabulary buffer.
+no pair left are compacted away. A longer pre-token becomes several rows, windows that overlap, and is put together
+again where two windows agree on two neighbouring tokens. Ids are spread back over the documents by indexing, and
+decoding gathers the ids' bytes from one flat vocabulary buffer.
+
+Why windows give the same ids: a stretch that no merge leaves is merged as it would be alone. If, as ``BytePairCoder``
+checks, every token is merged from its bytes in order of rank, a sequence of tokens is the encoding of its bytes as soon
+as every two neighbours are the encoding of theirs; in the sequence put together, all neighbours stand so in a window.
 """
 
 from __future__ import annotations
@@ -11,7 +16,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
 import itertools
 from collections.abc import Iterator
 
@@ -22,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .common import repeat_ranges, slices, small_batches
+from .common import repeat_ranges, slices
 
 NO_RANK = np.int32(2**31 - 1)
-#: Pieces longer than this many bytes are merged with a heap, as the rounds of a matrix are quadratic in its width.
-LONGEST_ROW = 256
-#: Pre-tokens kept between batches by a worker.
-CACHE = 500_000
+#: Bytes of the widest row of a matrix, whose rounds are quadratic in it, and by how many two windows of a piece overlap.
+LONGEST_ROW, OVERLAP = 256, 64
+#: Pre-tokens, and ids of theirs, that a worker keeps between batches.
+CACHE, CACHED_IDS = 500_000, 16 << 20
 
 
 class PairTable:
@@ -93,6 +97,7 @@ class BytePairCoder:
         self._lengths = np.array([len(t) for t in tokens], np.int64)
         self._starts = np.cumsum(self._lengths) - self._lengths
         self._bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self._fell = False
         self._forget()
 
     def _forget(self) -> None:
@@ -105,8 +110,9 @@ class BytePairCoder:
         """Ids of each piece, by length-bucketed matrices."""
         out: list[np.ndarray | None] = [None] * len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        for i in np.flatnonzero(lengths > LONGEST_ROW).tolist():
-            out[i] = self._merge_long(pieces[i])
+        if len(long := np.flatnonzero(lengths > LONGEST_ROW).tolist()):
+            for i, ids in zip(long, self._merge_windows([pieces[i] for i in long]), strict=True):
+                out[i] = ids
         width = 1
         low = -1
         while low < LONGEST_ROW:
@@ -116,13 +122,67 @@ class BytePairCoder:
             low, width = width, min(LONGEST_ROW, width + max(1, width // 2))
         return out
 
+    @functools.cached_property
+    def in_order(self) -> bool:
+        """Is every token merged from its bytes, by rising ranks? Then windows may be put together."""
+        self._fell = False
+        tokens = [t for t in self.ranks if len(t) <= LONGEST_ROW]
+        made = self.merge(tokens)
+        return len(tokens) == len(self.ranks) and not self._fell and all(len(m) == 1 for m in made)
+
+    def _merge_windows(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of long pieces. Windows that don't agree with the next are united and merged as one row, until all agree."""
+        if not self.in_order:
+            return list(map(self._merge_row, pieces))
+        step = LONGEST_ROW - OVERLAP
+        spans = [[(a, min(len(p), a + LONGEST_ROW)) for a in range(0, max(1, len(p) - OVERLAP), step)] for p in pieces]
+        found = iter(self.merge([p[a:b] for p, own in zip(pieces, spans, strict=True) for a, b in own]))
+        out = []
+        for p, own in zip(pieces, spans, strict=True):
+            windows = [(a, b, next(found)) for a, b in own]
+            ends = [a + np.cumsum(self._lengths[ids]) for a, _, ids in windows]
+            while True:
+                cuts = [_agreed(windows[i], ends[i], windows[i + 1], ends[i + 1]) for i in range(len(windows) - 1)]
+                if None not in cuts:
+                    break
+                united: list[tuple] = []
+                new_ends = []
+                for i, (window, end) in enumerate(zip(windows, ends, strict=True)):
+                    if i and cuts[i - 1] is None:
+                        united[-1], new_ends[-1] = (united[-1][0], window[1], None), None
+                    else:
+                        united.append(window)
+                        new_ends.append(end)
+                windows = [w if w[2] is not None else (w[0], w[1], self._merge_row(p[w[0] : w[1]])) for w in united]
+                ends = [e if e is not None else w[0] + np.cumsum(self._lengths[w[2]]) for w, e in zip(windows, new_ends, strict=True)]
+            bounds = [0, *cuts, len(p)]
+            out.append(np.concatenate([w[2][np.searchsorted(e, x, side="right") : np.searchsorted(e, y, side="right")] for w, e, x, y in zip(windows, ends, bounds[:-1], bounds[1:], strict=True)]))
+        return out
+
+    def _merge_row(self, piece: bytes) -> np.ndarray:
+        """One row of any width: in each round its least rank is merged wherever it stands, from the left (only leftmost
+        where ranks may fall)."""
+        every = self.in_order
+        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.find(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != NO_RANK:
+            at = np.flatnonzero(ranks == least) if every else np.array([ranks.argmin()])
+            begun = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begun) % 2 == 0]  # of overlapping pairs every other one
+            ids[at] = least
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            new = at - np.arange(len(at))
+            for pair in (new[new > 0] - 1, new[new < len(ranks)]):
+                ranks[pair] = self.pairs.find(ids[pair], ids[pair + 1])
+        return ids
+
     def _merge_matrix(self, pieces: list[bytes], rows: np.ndarray, lengths: np.ndarray, width: int, out: list) -> None:
         n = lengths[rows]
         flat = np.frombuffer(b"".join([pieces[i] for i in rows.tolist()]), np.uint8)
         ids = np.full((len(rows), width + 1), -1, np.int32)
         ids[np.repeat(np.arange(len(rows)), n), repeat_ranges(np.zeros(len(n), np.int64), n)] = self.byte_ids[flat]
         ranks = self.pairs.find(ids[:, :-1], ids[:, 1:])
-        columns = np.arange(width + 1)
+        columns, last = np.arange(width + 1), np.full(len(rows), -1, np.int32)
         while True:
             at = ranks.argmin(axis=1)
             each = np.arange(len(rows))
@@ -131,8 +191,10 @@ class BytePairCoder:
             if over.any():
                 for i, row in zip(rows[over].tolist(), ids[over], strict=True):
                     out[i] = row[row >= 0]
-                rows, ids, ranks, at, least = (x[~over] for x in (rows, ids, ranks, at, least))
+                rows, ids, ranks, at, least, last = (x[~over] for x in (rows, ids, ranks, at, least, last))
                 each = each[: len(rows)]
+            self._fell |= bool((least < last).any())
+            last = least
             if not len(rows):
                 return
             ids[each, at] = least
@@ -145,30 +207,7 @@ class BytePairCoder:
             inner = at > 0
             ranks[each[inner], at[inner] - 1] = self.pairs.find(ids[each[inner], at[inner] - 1], least[inner])
 
-    def _merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece, with a heap over a linked list."""
-        tokens, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        after = [*range(1, len(piece)), -1]
-        before = [*range(-1, len(piece) - 1)]
-        heap = [(ranks[piece[i : i + 2]], i, 2) for i in range(len(piece) - 1) if piece[i : i + 2] in ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i] if tokens[i] else -1
-            if j < 0 or len(tokens[i]) + len(tokens[j]) != size:
-                continue
-            tokens[i], tokens[j] = tokens[i] + tokens[j], b""
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (joined := tokens[a] + tokens[b]) in ranks:
-                    heapq.heappush(heap, (ranks[joined], a, len(joined)))
-        return np.array([ranks[t] for t in tokens if t], np.int32)
-
     def _learn(self, new: list[str]) -> None:
-        if len(self.codes) + len(new) > CACHE:
-            self._forget()
         raw = [t.encode() for t in new]
         whole = [self.ranks.get(t) for t in raw]
         rest = iter(self.merge([t for t, r in zip(raw, whole, strict=True) if r is None]))
@@ -189,7 +228,7 @@ class BytePairCoder:
     def encode(self, documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """For lists of pre-tokens: all ids in a row, each document's number of ids, and its ids as decimals."""
         new = set().union(*documents).difference(self.codes) if documents else set()
-        if len(self.codes) + len(new) > CACHE:
+        if len(self.codes) + len(new) > CACHE or self._used > CACHED_IDS:
             self._forget()
             new = set().union(*documents)
         self._learn(list(new))
@@ -210,6 +249,21 @@ class BytePairCoder:
         return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _agreed(a: tuple, a_ends: np.ndarray, b: tuple, b_ends: np.ndarray) -> int | None:
+    """A place between two neighbouring tokens that two overlapping windows share, or None."""
+    start, end = b[0], a[1]
+    mine = np.concatenate(([a[0]], a_ends)) if a[0] >= start else a_ends
+    mine, theirs = mine[mine >= start], np.concatenate(([start], b_ends))
+    theirs = theirs[theirs <= end]
+    both = np.intersect1d(mine, theirs, assume_unique=True)
+    if len(both) < 3:
+        return None
+    m, t = np.searchsorted(mine, both), np.searchsorted(theirs, both)
+    good = (np.diff(m) == 1) & (np.diff(t) == 1)  # one token in either window
+    at = np.flatnonzero(good[:-1] & good[1:])
+    return int(both[at[len(at) // 2] + 1]) if len(at) else None
+
+
 def _room(array: np.ndarray, used: int, more: int) -> np.ndarray:
     if used + more <= len(array):
         return array
@@ -231,7 +285,6 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool
     encoded like any other. Texts of any length are taken whole: they are cut into pre-tokens, never elsewhere.
     No shuffle: each document is encoded where it is read. Columns of ``docs`` named like an output are replaced.
     """
-    small_batches(docs.sparkSession)
     odd, masked = pretokens.odd_characters()
     made = ["n_tokens", "ids_sha256", "decoded_sha256", "decoded"] + ["ids"] * with_ids
     kept = [f for f in docs.schema.fields if f.name not in made]
