@@ -6,6 +6,7 @@ bounded, documented sample of labelled documents, in one task; every whole text
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,18 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import slices
 from .langid import held_out
 
 ORDERS, BITS = (3, 4, 5), 20
-#: Labelled documents in the sample, and the characters beyond which a document isn't taken into the sample.
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 20_000
+#: Labelled documents in the sample, and its bytes: the document that goes beyond them is the last, however long each is.
+SAMPLE_DOCS, SAMPLE_BYTES = 6000, 64 << 20
 #: n-grams in the model, and the sampled documents that have to hold one.
 FEATURES, LEAST_DOCS = 4000, 4
 #: Least G statistic (log-likelihood ratio of presence by class) of an n-gram in the model.
 LEAST_G = 12.0
-#: Documents whose features are made at once while fitting.
-PART = 150
+#: Bytes of text whose features are made at once while fitting (or one longer document).
+PART_BYTES = 1 << 20
 ROUNDS, RATE, RIDGE = 150, 0.05, 1e-4
 
 
@@ -40,12 +41,26 @@ _FOLD = np.array([32 if i <= 32 else i + 32 if 65 <= i <= 90 else i for i in ran
 
 
 def features(texts: list[bytes], chosen: np.ndarray | None = None) -> np.ndarray:
-    """Sorted, distinct (text << BITS | n-gram hash) of all texts; only hashes with a true entry in ``chosen``."""
-    joined = np.frombuffer(b"".join([b"\x20" + t + b"\x20\x00" for t in texts]), np.uint8)
-    lengths = np.fromiter((len(t) + 3 for t in texts), np.int64, len(texts))
+    """Sorted, distinct (text << BITS | n-gram hash) of all texts; only hashes with a true entry in ``chosen``. Longer texts
+    are looked at in pieces that overlap, so memory is bounded by ``PART_BYTES`` and what is found."""
+    pieces, owner, reach = [], [], max(ORDERS) - 1
+    for i, text in enumerate(texts):
+        padded = b"\x20" + text + b"\x20"
+        for a in range(0, max(1, len(padded) - reach), PART_BYTES - reach):
+            pieces.append(padded[a : a + PART_BYTES])
+            owner.append(i)
+    part = np.cumsum(list(map(len, pieces)), dtype=np.int64) // PART_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(pieces)]
+    found = [_features(pieces[a:b], np.array(owner[a:b], np.int64), chosen) for a, b in itertools.pairwise(bounds) if b > a]
+    return found[0] if len(found) == 1 else np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+
+
+def _features(pieces: list[bytes], owner: np.ndarray, chosen: np.ndarray | None) -> np.ndarray:
+    joined = np.frombuffer(b"".join([t + b"\x00" for t in pieces]), np.uint8)
+    lengths = np.fromiter((len(t) + 1 for t in pieces), np.int64, len(pieces))
     ends = np.cumsum(lengths)
     flat = _FOLD[joined].astype(np.uint64)
-    flat[ends - 1] = 0  # between texts
+    flat[ends - 1] = 0  # between pieces
     gap = np.zeros(len(flat) + max(ORDERS), bool)
     gap[ends - 1] = True
     out, window, across = [], np.zeros(len(flat), np.uint64), np.zeros(len(flat), bool)
@@ -56,7 +71,7 @@ def features(texts: list[bytes], chosen: np.ndarray | None = None) -> np.ndarray
         if k + 1 in ORDERS:
             code = (((window + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
             at = np.flatnonzero(~across & chosen[code]) if chosen is not None else np.flatnonzero(~across)
-            out.append((np.searchsorted(ends, at, side="right") << BITS) | code[at])
+            out.append((owner[np.searchsorted(ends, at, side="right")] << BITS) | code[at])
     return np.unique(np.concatenate(out))
 
 
@@ -69,8 +84,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     toxic, clean = np.ones(1 << BITS), np.ones(1 << BITS)
     raw = [t.encode() for t in texts]
-    for a in range(0, n, PART):
-        found = features(raw[a : a + PART])
+    part = np.cumsum(list(map(len, raw))) // PART_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
+    for a, b in itertools.pairwise(bounds):
+        found = features(raw[a:b])
         code, doc = found & ((1 << BITS) - 1), (found >> BITS) + a
         toxic += np.bincount(code, y[doc], 1 << BITS)
         clean += np.bincount(code, 1 - y[doc], 1 << BITS)
@@ -81,8 +98,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     chosen = np.zeros(1 << BITS, bool)
     chosen[best] = True
     slot = np.cumsum(chosen) - 1
-    keys = [features(raw[a : a + PART], chosen) + (a << BITS) for a in range(0, n, PART)]
-    key = np.concatenate(keys)
+    key = np.concatenate([features(raw[a:b], chosen) + (a << BITS) for a, b in itertools.pairwise(bounds)])
     row, column = key >> BITS, slot[key & ((1 << BITS) - 1)]
     x = ratio[best][column]
     w, b = np.zeros(len(best)), float(np.log(y.mean() / (1 - y.mean())))
@@ -109,26 +125,32 @@ def _g(a: np.ndarray, b: np.ndarray, n_a: float, n_b: float) -> np.ndarray:
     return 2 * total
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit to the ``sample_docs`` labelled documents whose ids hash lowest, none of them held out or longer than
-    ``SAMPLE_CHARS``. Of repeated labels the largest counts, of repeated documents the text that sorts first; null
-    labels, ids and texts are left out."""
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit to the ``sample_docs`` labelled documents whose ids hash lowest, none of them held out, up to ``sample_bytes`` of
+    whole texts. Of repeated labels the largest counts, of repeated documents the text that sorts first; null labels, ids
+    and texts are left out."""
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    picked = usable.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(2 * sample_docs)
-    known = docs.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
-    joined = known.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    sample = joined.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(sample_docs).select("text", "toxic")
+    draw = F.xxhash64("doc_id", F.lit("toxicity"))
+    picked = usable.orderBy(draw, "doc_id").limit(2 * sample_docs)
+    joined = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sample = joined.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    # one task fits the bounded sample; the sort spills, and the task stops reading where the sample is full
+    sample = sample.withColumn("draw", draw).repartition(1).sortWithinPartitions("draw", "doc_id").select("text", "toxic")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks = [], []
-        for batch in batches:
-            texts += batch.column("text").to_pylist()
-            marks += batch.column("toxic").to_pylist()
-        model = fit(texts, [min(1, max(0, t)) for t in marks])
+        texts: list[str] = []
+        marks: list[int] = []
+        size = 0
+        for batch in slices(batches):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                if len(texts) < sample_docs and size < sample_bytes:
+                    texts.append(text)
+                    marks.append(min(1, max(0, toxic)))
+                    size += len(text.encode())
+        model = fit(texts, marks)
         yield pa.RecordBatch.from_pydict({"features": pa.array([model.features.tolist()], pa.list_(pa.int64())), "weights": pa.array([model.weights.tolist()], pa.list_(pa.float64())), "bias": pa.array([model.bias])})
 
-    # the sample is bounded, so one task fits it; an empty one may come as no partition at all
     found = sample.mapInArrow(train, "features array<long>, weights array<double>, bias double").collect()
     return Model(np.array(found[0].features, np.int64), np.array(found[0].weights, np.float64), found[0].bias) if found else fit([], [])
 
@@ -139,7 +161,6 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 
     A null text is scored as the empty text. Whole texts of any length, no shuffle.
     """
-    small_batches(docs.sparkSession)
     weights, hashes, bias = model.weights.astype(np.float32), model.features.astype(np.int32), model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
