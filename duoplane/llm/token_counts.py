@@ -5,8 +5,9 @@ often, packed in a few bytes. One shuffle brings the rows of a pre-token togethe
 count is joined to the frequencies, and every task adds up its documents' sums before a last, small shuffle by block.
 No token id is ever materialised.
 
-A pre-token that many documents of a block share is dealt over ``SALTS`` partitions by its block, so that a word in
-every document doesn't end in one task; it is then counted once per partition that holds it.
+A pre-token that many documents of a block share is dealt out by the input partition of its block, ``SHARE`` of them
+together, so that a word of every document has the more parts the more input there is. Its pieces are still counted once,
+and that count goes to each of its parts.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import input_partitions, repeat_ranges, slices, small_batches
+from .common import input_partitions, slices
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 24 << 20
-#: Partitions over which a frequent pre-token is dealt, and the documents of a block from which one counts as frequent.
-SALTS, FREQUENT = 16, 128
+#: Input partitions whose rows of a frequent pre-token stay together, and the documents of a block from which it is frequent.
+SHARE, FREQUENT = 8, 128
 #: Sums that a task gathers before it passes them on.
 GATHERED = 8 << 20
 
@@ -90,8 +91,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     One row for every row of ``docs``, also for null or repeated doc_ids; other columns are left out. An empty table
     gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     odd, masked = pretokens.odd_characters()
 
     def block_rows(ordinal: int, ids: list, sizes: list, codes: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -112,7 +111,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
         starts = np.append(at[first], len(values)) if len(name) else np.zeros(1, np.int64)
         data, offsets = pack(values, starts)
         spread = np.diff(np.append(np.flatnonzero(first), len(name)))
-        salts = np.where(spread >= FREQUENT, 1 + (TaskContext.get().partitionId() + ordinal) % SALTS, 0).astype(np.int32)
+        salts = np.where(spread >= FREQUENT, 1 + TaskContext.get().partitionId() // SHARE, 0).astype(np.int32)
         order = name[first]
         none = pa.nulls
         meta = [pa.array([block]), none(1, pa.string()), pa.array([(31 * TaskContext.get().partitionId() + ordinal) % (1 << 30)], pa.int32()), none(1, pa.binary())]
@@ -152,9 +151,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
-            batch = batch.filter(pc.is_valid(batch.column("pretoken")))
             found = tokenizer.encode_batch(batch.column("pretoken").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("salt"), pa.array(list(map(len, found)), pa.int64())], ["pretoken", "salt", "n_pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("salts"), pa.array(list(map(len, found)), pa.int64())], ["pretoken", "salts", "n_pieces"])
 
     def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -222,7 +220,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     keyed = found.repartition(width, "pretoken", "salt")
     used = [F.sum(F.length(c)).alias(c) for c in ("places", "ids", "sizes")] + [F.max("block").alias("block")]
     distinct = keyed.groupBy("pretoken", "salt").agg(*used).filter("coalesce(places, ids, sizes, block) is not null")
-    pieces = distinct.select("pretoken", "salt").mapInArrow(pieces_of, "pretoken string, salt int, n_pieces long")
+    # each pre-token is counted once, wherever its parts are: this exchange holds distinct pre-tokens only
+    parts = distinct.filter("pretoken is not null").groupBy("pretoken").agg(F.collect_list("salt").alias("salts"))
+    pieces = parts.mapInArrow(pieces_of, "pretoken string, salts array<int>, n_pieces long").select("pretoken", F.explode("salts").alias("salt"), "n_pieces")
     joined = keyed.join(pieces, ["pretoken", "salt"], "left").select("block", "pretoken", "places", "ids", "sizes", "n_pieces")
     sums = joined.mapInArrow(partial_sums, "block long, ids binary, sizes binary, sums binary")
     return sums.groupBy("block").applyInArrow(finish, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
