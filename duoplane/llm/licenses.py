@@ -3,8 +3,8 @@
 Blocks are overlapping windows over all words of a text, across line ends, each as the set of its words: every stretch of
 as many words as the longest template's reach lies in one. Template words are ordered by their frequency over all blocks,
 rarest first; of a template of n words of which a must be in a block, only the first n - a + 1 words (its prefix) are
-joined, since a block with none of them cannot hold a others. Length and positional filters come before the count, which
-is over stretches of a block of at most ``REACH`` times the template's own length that hold the template's ``MARKS``.
+joined, since a block with none of them cannot hold a others. Length and positional filters (of the block's words, those
+from the matched one on in that order have to suffice) come before the count, which is over stretches of a block of at most ``REACH`` times the template's own length that hold the template's ``MARKS``.
 """
 
 from __future__ import annotations
@@ -19,37 +19,35 @@ from .common import staged
 
 #: Base phrases: label and words that stand consecutively.
 PHRASES = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
-#: Sentences of well-known licenses that the join looks for.
-TEMPLATES = [
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-3", "either version 3 of the GNU General Public License, or (at your option) any later version"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mit", "Released under the MIT License."),
-    ("apache-2", "Licensed under the Apache License, Version 2.0."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("all-rights-reserved", "All rights reserved."),
+#: Sentences of well-known licenses that the join looks for. Each with its label; the words that tell its
+#: license from others, standing consecutively, each of which has to be in the stretch as well; and the words after the
+#: first of them that make it another license (versions that it doesn't mean).
+SENTENCES = [
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license"], ["version 1", "version 2", "v1", "v2", "1", "2"]),
+    ("gpl-3", "either version 3 of the GNU General Public License, or (at your option) any later version", ["gnu general public license", "version 3"], []),
+    ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["gnu general public license", "version 3"], []),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", ["any person obtaining a copy"], []),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ["permission notice shall be included"], []),
+    ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.", ["the software is provided as is", "and noninfringement"], []),
+    ("mit", "Released under the MIT License.", ["mit license"], []),
+    ("apache-2", "Licensed under the Apache License, Version 2.0.", ["apache license", "2 0"], []),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", ["apache license", "2 0"], []),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ["source and binary forms"], []),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ["source code must retain"], []),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", ["binary form must reproduce"], []),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["with or without fee"], []),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0.", ["cc by nc"], []),
+    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0"], []),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ["waived all copyright"], []),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license", "2 0"], []),
+    ("unlicense", "This is free and unencumbered software released into the public domain.", ["free and unencumbered software"], []),
+    ("all-rights-reserved", "All rights reserved.", ["all rights reserved"], []),
 ]
+TEMPLATES = [(label, sentence) for label, sentence, _, _ in SENTENCES]
+#: By sentence. A template without marks needs all its words.
+MARKS, OTHERS = ({sentence: extra[k] for _, sentence, *extra in SENTENCES} for k in (0, 1))
 #: Share of a template's words that a block has to hold.
 CONTAINMENT = 0.8
-#: Words that tell a template's license from others, standing consecutively: each has to be in the stretch as well. A
-#: template without any needs all its words.
-MARKS = {
-    TEMPLATES[0][1]: ["gnu general public license"],
-    TEMPLATES[1][1]: ["gnu general public license", "version 3"],
-    TEMPLATES[2][1]: ["any person obtaining a copy"],
-    TEMPLATES[3][1]: ["mit license"],
-    TEMPLATES[4][1]: ["apache license", "2 0"],
-    TEMPLATES[5][1]: ["source and binary forms"],
-    TEMPLATES[6][1]: ["cc by nc"],
-    TEMPLATES[7][1]: ["creative commons attribution 4 0"],
-    TEMPLATES[8][1]: ["mozilla public license", "2 0"],
-    TEMPLATES[9][1]: ["all rights reserved"],
-}
-#: Words after the first mark that make it another license: versions that the template doesn't mean.
-OTHERS = {TEMPLATES[0][1]: ["version 1", "version 2", "v1", "v2", "1", "2"]}
 #: These words have to stand within so many times the template's length.
 REACH = 2
 #: Most words of an entry of ``OTHERS``.
@@ -133,10 +131,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     rarest = Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "word")
     # bounded by the templates: at most all their words
     prefix = ordered.withColumn("at", F.row_number().over(rarest)).withColumn("until", F.collect_list("word").over(rarest.rowsBetween(Window.unboundedPreceding, 0)))
-    prefix = prefix.filter(F.col("at") <= F.col("t_size") - F.col("needed") + 1).drop("n")
+    # all words of templates from this one on
+    every = ordered.select("word", F.coalesce("n", F.lit(0)).alias("n")).distinct().withColumn("from_here", F.collect_list("word").over(Window.orderBy(F.desc("n"), F.desc("word")).rowsBetween(Window.unboundedPreceding, 0)))
+    prefix = prefix.filter(F.col("at") <= F.col("t_size") - F.col("needed") + 1).drop("n").join(every.drop("n"), "word")
     candidates = blocks.withColumn("word", F.explode("words")).join(F.broadcast(prefix), "word")
     # length: the block has enough template words; position: those from the matched one on suffice
-    candidates = candidates.filter((F.size("words") >= F.col("needed")) & (F.col("t_size") - F.col("at") + 1 >= F.col("needed")))
+    candidates = candidates.filter((F.size("words") >= F.col("needed")) & (F.size(F.array_intersect("words", "from_here")) >= F.col("needed")))
     # a block and a template meet once, at the rarest prefix word that they share
     candidates = candidates.filter(F.size(F.array_intersect("until", "words")) == 1).filter(F.size(F.array_intersect("words", "t_words")) >= F.col("needed"))
     starts = F.filter(F.sequence(F.lit(1), F.least(F.lit(reach), F.size("text"))), lambda s: F.array_contains("t_words", F.element_at("text", s)))
@@ -154,11 +154,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
 
 def _oracle() -> str:
-    """The query's rows in DuckDB's SQL: every line against every template."""
-    sets = [(label, _words_of(s)) for label, s in TEMPLATES]
-    values = ", ".join(f"('{label}', [{', '.join(repr(w) for w in words)}], {-(-round(CONTAINMENT * 1000) * len(words) // 1000)})" for label, words in sets)
+    """The query's rows in DuckDB's SQL: every stretch of a text that holds a template's first mark against that template."""
+    sql = lambda words: "[" + ", ".join(repr(w) for w in words) + "]"
+    values = []
+    for label, s, marks, others in SENTENCES:
+        words = _words_of(s)
+        needed = -(-round(CONTAINMENT * 1000) * len(words) // 1000)
+        values.append(f"('{label}', {sql(words)}, {needed}, {REACH * len(_all_words_of(s))}, {sql([f' {m} ' for m in marks])}, {sql([f' {marks[0]} {o} ' for o in others])}::VARCHAR[])")
     places = " UNION ALL ".join(
-        f"SELECT row, '{label}' AS label, i - 1 AS pos FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM tokens) WHERE w[i:i+{len(p.split()) - 1}] = [{', '.join(repr(w) for w in p.split())}]"
+        f"SELECT row, '{label}' AS label, i - 1 AS pos FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM tokens) WHERE w[i:i+{len(p.split()) - 1}] = {sql(p.split())}"
         for label, p in PHRASES.items()
     )
     pattern = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -167,11 +171,16 @@ WITH docs AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(tex
 tokens AS (SELECT row, regexp_extract_all(t, '{pattern}') AS w FROM docs),
 places AS ({places}),
 base AS (SELECT row, count(*) AS n, min(pos) AS a, max(pos) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY row),
-lines AS (SELECT row, regexp_extract_all(line, '{pattern}') AS w FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM docs)),
-hits AS (
-  SELECT row, label, len(list_intersect(list_distinct(w), tw)) AS n, len(tw) AS size, needed
-  FROM lines, (VALUES {values}) AS templates(label, tw, needed)),
-joined AS (SELECT row, label, n / size AS share FROM hits WHERE n >= needed),
+templates(label, tw, needed, reach, marks, others) AS (VALUES {", ".join(values)}),
+held AS (SELECT row, w, t.* FROM tokens, templates t WHERE contains(' ' || array_to_string(w, ' ') || ' ', marks[1])),
+starts AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM held),
+stretches AS (
+  SELECT row, label, tw, needed, marks, others, w[i:i + reach - 1] AS s, ' ' || array_to_string(w[i:i + reach - 1], ' ') || ' ' AS x, ' ' || array_to_string(w[i:i + reach + {AFTER - 1}], ' ') || ' ' AS beyond
+  FROM starts WHERE list_contains(tw, w[i])),
+joined AS (
+  SELECT row, label, len(list_intersect(list_distinct(s), tw)) / len(tw) AS share FROM stretches
+  WHERE contains(x, marks[1]) AND len(list_filter(marks, lambda m: NOT contains(x, m))) = 0 AND len(list_filter(others, lambda o: contains(beyond, o))) = 0
+    AND len(list_intersect(list_distinct(s), tw)) >= needed),
 best AS (SELECT row, max(share) AS share FROM joined GROUP BY row),
 every AS (SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM places UNION ALL SELECT row, label FROM joined) GROUP BY row)
 SELECT d.doc_id, len(k.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word, b.b::BIGINT AS last_word,
