@@ -35,7 +35,7 @@ WORDS, PERCENT = 5, 75
 #: Bits of a shingle's hash. Two of some hundred shingles of a pair of documents meet by chance once in 10**9 pairs.
 HASH_BITS = 48
 #: Bytes of text, and documents, after which a block is full; bytes of text for each range of hashes.
-BLOCK_BYTES, BLOCK_DOCS, RANGE_BYTES = 24 << 20, 1 << 20, 16 << 20
+BLOCK_BYTES, BLOCK_DOCS, RANGE_BYTES = 8 << 20, 1 << 20, 16 << 20
 #: Min-hash buckets of a document. They only save work: what they miss, the prefix join finds.
 BUCKETS = 4
 
