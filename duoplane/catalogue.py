@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,12 +10,20 @@ from pyspark.sql import functions as F
 
 from .functions import compare
 from .functions.canon import encoded
-from .functions.config import FieldConfig
+from .functions.config import ComparisonSchema, FieldConfig
 from .functions.literals import bool_literal, int_literal
 from .model import CONFIRMED, KEY, OPEN, PROPOSED, REJECTED, RESOLVED, SUPPRESSED, attributes, bool_value, int_value, null_value, str_value, value
 from .operators import decisions as dec
 from .operators import diffing, discovery, lifecycle, matching, readmodel, revisions
-from .plans.planes import CUSTOMER_SQL, PART_SQL, customer_decisions, customer_declared, customer_discovered, part_declared, part_discovered, table
+from .plans.planes import CUSTOMER_SQL, PART_SQL, customer_decisions, customer_declared, customer_discovered, part_declared, part_discovered, part_keys, table
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session without one gets a temporary folder."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="duoplane-")).rstrip("/")
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,7 +185,9 @@ def discrepancy_counts_by_type(spark, sf_dir):
     return reconcile_discrepancies(spark, sf_dir).groupBy("discrepancy_type").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PART_SQL} SELECT scope, name, CASE WHEN k % 5 = 0 THEN 'color,type' ELSE 'color' END AS missing, '' AS unknown FROM dis""")
+@query(f"""WITH {PART_SQL}, stated AS (SELECT scope, name, list(field_name) AS f FROM dis_f GROUP BY ALL)
+SELECT scope, name, array_to_string(list_sort(list_filter(['color', 'size', 'type'], lambda c: NOT list_contains(f, c))), ',') AS missing,
+  array_to_string(list_sort(list_filter(f, lambda c: NOT list_contains(['color', 'size', 'type'], c))), ',') AS unknown FROM stated""")
 def missing_unknown_attributes(spark, sf_dir):
     schema = F.array(*[F.lit(c) for c in ("color", "size", "type")])
     missing, unknown = revisions.attribute_sets(F.map_keys("attributes"), schema)
@@ -238,23 +249,27 @@ marked AS (SELECT *, max(CASE WHEN seen THEN run END) OVER (PARTITION BY user_id
 after AS (SELECT *, min(CASE WHEN NOT seen AND entitled THEN run END) OVER (PARTITION BY user_id, last_seen ORDER BY run) AS since FROM marked)"""
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+_ABSENCES_SQL = """absences AS (
+  SELECT a.user_id, a.last_seen, min(a.since) AS absent_since, (SELECT min(s.run) FROM seen s WHERE s.user_id = a.user_id AND s.run > a.last_seen) AS refuted_by
+  FROM after a WHERE a.since IS NOT NULL GROUP BY a.user_id, a.last_seen)"""
+
+
+def _absences(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = collector_run_stats(spark, sf_dir).select("run", discovery.may_infer_absence(F.col("status"), F.col("has_gap")).alias("entitled"))
-    return discovery.absence_panel(_observed(spark, sf_dir).select("user_id", "run"), runs, "user_id")
+    return discovery.absences(_observed(spark, sf_dir).select("user_id", "run"), runs, "user_id")
 
 
-@query(f"WITH {_PANEL_SQL} SELECT user_id, run, since IS NOT NULL AS is_absent, since AS absent_since FROM after")
+@query(f"WITH {_PANEL_SQL}, {_ABSENCES_SQL} SELECT * FROM absences")
 def infer_absence(spark, sf_dir):
-    return _panel(spark, sf_dir)
+    """Every absence of a user; the SQL goes through every user's state after every run."""
+    return _absences(spark, sf_dir)
 
 
 @query(f"""WITH {_PANEL_SQL}, t AS (SELECT user_id, run, since IS NOT NULL AS a, lag(since IS NOT NULL) OVER (PARTITION BY user_id ORDER BY run) AS was FROM after)
 SELECT user_id, run AS refuted_by FROM t WHERE was AND NOT a""")
 def refute_absence(spark, sf_dir):
     """Runs in which an absent user was seen again."""
-    w = Window.partitionBy("user_id").orderBy("run")
-    rows = _panel(spark, sf_dir).withColumn("was", F.lag("is_absent").over(w))
-    return rows.filter("was and not is_absent").select("user_id", F.col("run").alias("refuted_by"))
+    return _absences(spark, sf_dir).filter("refuted_by is not null").select("user_id", "refuted_by")
 
 
 @query("""WITH a AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR AS skipped FROM events)
@@ -267,12 +282,13 @@ def skipped_attempts(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT user_id, event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
-n AS (SELECT user_id, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+n AS (SELECT user_id, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 17 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT 'u-' || coalesce(n.user_id, s.user_id) AS name, CASE WHEN n.user_id IS NOT NULL THEN 'run-2' ELSE 'run-1' END AS last_seen_run, coalesce(n.event_id, s.event_id)::VARCHAR AS provider_id,
   n.user_id IS NULL AND s.user_id % 2 = 0 AS is_absent, CASE WHEN n.user_id IS NULL AND s.user_id % 2 = 0 THEN TIMESTAMP '2024-02-01' END AS absent_since
 FROM s FULL JOIN n ON s.user_id = n.user_id""")
 def merge_collector_run(spark, sf_dir):
-    """One full outer join: upsert what a run saw, mark what its collector owns and missed, refute absence."""
+    """One full outer join: upsert what a run saw, mark what its collector owns and missed, refute absence. That the second run
+    misses one user in seventeen is the drift that it is to find."""
     events = table(spark, sf_dir, "events")
 
     def plane(rows: DataFrame) -> DataFrame:
@@ -282,7 +298,7 @@ def merge_collector_run(spark, sf_dir):
     cut = F.lit("2024-01-15").cast("timestamp")
     owner = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
     state = plane(events.filter(F.col("ts") < cut)).select(*KEY, "provider_id", "attributes", F.lit("run-1").alias("last_seen_run"), owner.alias("collector"), F.lit(False).alias("is_absent"), F.lit(None).cast("timestamp").alias("absent_since"))
-    seen = plane(events.filter((F.col("ts") >= cut) & (F.col("user_id") % 3 == 0))).drop("user_id")
+    seen = plane(events.filter((F.col("ts") >= cut) & (F.col("user_id") % 17 != 0))).drop("user_id")
     merged = discovery.merge_run(state, seen, F.lit("run-2"), F.lit("even"), F.lit(True), F.lit("2024-02-01").cast("timestamp"))
     return merged.select("name", "last_seen_run", "provider_id", "is_absent", "absent_since")
 
@@ -364,12 +380,17 @@ def _quantities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Co
     return table(spark, sf_dir, "lineitem"), left, right
 
 
-_QUANTITY_SQL = """WITH x AS (SELECT l_orderkey, l_linenumber, l_orderkey % 2 <> 0 AND l_orderkey % 3 = 0 AS lnull, l_orderkey % 7 AS m FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN lnull THEN m = 3 WHEN m IN (3, 4) THEN FALSE ELSE {} END AS agree FROM x"""
-_compared("numeric_exact_value", _quantities, _LINE, FieldConfig("numeric", "exact_value"), _QUANTITY_SQL.format("m IN (5, 6)"))
-_compared("numeric_exact_string", _quantities, _LINE, FieldConfig("numeric", "exact_string"), _QUANTITY_SQL.format("m IN (2, 5, 6)"))
-_compared("numeric_tolerance", _quantities, _LINE, FieldConfig("numeric", "tolerance(0.5)"), _QUANTITY_SQL.format("m IN (1, 2, 5, 6)"))
-_compared("numeric_tolerance_wide", _quantities, _LINE, FieldConfig("numeric", "tolerance(1)"), _QUANTITY_SQL.format("TRUE"))
+#: Kind, canonical text, text and number of either side, then the rule: both state something and {}, or both are alike in
+#: stating nothing.
+_VERDICT_SQL = "CASE WHEN lk IN ('absent', 'null') OR rk IN ('absent', 'null') THEN lk = rk ELSE coalesce({}, FALSE) END AS agree"
+_QUANTITY_SQL = f"""WITH q AS (SELECT l_orderkey, l_linenumber, l_orderkey AS k, l_quantity::INTEGER AS q FROM lineitem),
+kinds AS (SELECT *, CASE WHEN k % 2 <> 0 AND k % 3 = 0 THEN 'null' ELSE 'int' END AS lk, ['int', 'float', 'str', 'null', 'absent', 'int', 'int'][k % 7 + 1] AS rk, CASE WHEN k % 7 = 0 THEN q + 1 ELSE q END AS rn FROM q),
+x AS (SELECT *, q::VARCHAR AS lt, q::VARCHAR AS lc, CASE rk WHEN 'float' THEN rn || '.0' ELSE rn::VARCHAR END AS rt, CASE rk WHEN 'float' THEN rn || '.0' WHEN 'str' THEN '"' || rn || '"' ELSE rn::VARCHAR END AS rc FROM kinds)
+SELECT l_orderkey, l_linenumber, {_VERDICT_SQL} FROM x"""
+_compared("numeric_exact_value", _quantities, _LINE, FieldConfig("numeric", "exact_value"), _QUANTITY_SQL.format("lc = rc"))
+_compared("numeric_exact_string", _quantities, _LINE, FieldConfig("numeric", "exact_string"), _QUANTITY_SQL.format("lt = rt"))
+_compared("numeric_tolerance", _quantities, _LINE, FieldConfig("numeric", "tolerance(0.5)"), _QUANTITY_SQL.format("abs(q - rn) <= 0.5"))
+_compared("numeric_tolerance_wide", _quantities, _LINE, FieldConfig("numeric", "tolerance(1)"), _QUANTITY_SQL.format("abs(q - rn) <= 1"))
 
 
 def _names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Column]:
@@ -420,8 +441,10 @@ def _moments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Colum
 
 
 _TIME_SQL = """WITH x AS (SELECT event_id, date_trunc('second', ts) AS a, date_trunc('second', ts) + CASE event_id % 4 WHEN 0 THEN INTERVAL 37 SECOND WHEN 1 THEN INTERVAL 20 MINUTE WHEN 2 THEN INTERVAL 5 HOUR
-ELSE INTERVAL 0 SECOND END AS b FROM events) SELECT event_id, {} AS agree FROM x"""
-_compared("timestamp_string", _moments, ["event_id"], FieldConfig("timestamp", "string"), _TIME_SQL.format("FALSE"))
+ELSE INTERVAL 0 SECOND END AS b FROM events),
+t AS (SELECT *, strftime(a, '%Y-%m-%dT%H:%M:%SZ') AS ltext, CASE event_id % 4 WHEN 3 THEN strftime(b + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S+01:00') ELSE strftime(b, '%Y-%m-%dT%H:%M:%SZ') END AS rtext FROM x)
+SELECT event_id, {} AS agree FROM t"""
+_compared("timestamp_string", _moments, ["event_id"], FieldConfig("timestamp", "string"), _TIME_SQL.format("ltext = rtext"))
 for _p in ("day", "hour", "minute", "second"):
     _compared(f"timestamp_utc_{_p}", _moments, ["event_id"], FieldConfig("timestamp", "semantic_utc", precision=_p), _TIME_SQL.format(f"date_trunc('{_p}', a) = date_trunc('{_p}', b)"))
 _compared("timestamp_resource_tz", _moments, ["event_id"], FieldConfig("timestamp", "semantic_resource_tz", precision="hour"), _TIME_SQL.format("date_trunc('hour', a) = date_trunc('hour', b)"))
@@ -440,18 +463,25 @@ def _objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column, Colum
     return rows, F.col("a"), F.col("b")
 
 
-_OBJECT_SQL = "SELECT event_id, {} AS agree FROM events"
-for _mode, _sql in (("opaque", "event_id % 4 = 3"), ("version", "TRUE"), ("identity", "event_id % 4 <> 1"), ("ignore", "TRUE"), ("recurse(1)", "event_id % 4 = 3")):
+_OBJECTS_SQL = """parts AS (SELECT event_id, floor(value)::BIGINT AS v, user_id AS u, event_id % 4 AS m FROM events),
+x AS (SELECT event_id, m, '{"id": ' || event_id || ', "version": ' || v || ', "x": {"y": ' || u || '}}' AS l,
+  '{' || CASE m WHEN 1 THEN '' ELSE '"id": ' || event_id || ', ' END || '"version": ' || CASE m WHEN 0 THEN '"' || v || '"' ELSE v::VARCHAR END || ', "x": {"y": ' || CASE m WHEN 2 THEN u + 1 ELSE u END || '}}' AS r FROM parts)"""
+_OBJECT_SQL = f"WITH {_OBJECTS_SQL.replace('{', '{{').replace('}', '}}')} SELECT event_id, {{}} AS agree FROM x"
+_STATED = "json_extract_string(l, '$.{0}') IS NOT DISTINCT FROM json_extract_string(r, '$.{0}')"
+for _mode, _sql in (("opaque", "l = r"), ("version", _STATED.format("version")), ("identity", _STATED.format("id")), ("ignore", "TRUE"), ("recurse(1)", "l = r")):
     _compared(f"object_{_mode.split('(')[0]}", _objects, ["event_id"], FieldConfig("object", _mode), _OBJECT_SQL.format(_sql))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'version' WHEN 1 THEN 'id' WHEN 2 THEN 'x.y' END AS path FROM events")
+@query(f"""WITH {_OBJECTS_SQL} SELECT event_id, CASE WHEN json_extract(l, '$.id') IS DISTINCT FROM json_extract(r, '$.id') THEN 'id' WHEN json_extract(l, '$.version') IS DISTINCT FROM json_extract(r, '$.version') THEN 'version'
+WHEN json_extract(l, '$.x.y') IS DISTINCT FROM json_extract(r, '$.x.y') THEN 'x.y' END AS path FROM x""")
 def object_recurse_path(spark, sf_dir):
     rows, left, right = _objects(spark, sf_dir)
     return rows.select("event_id", compare.first_divergence(left["canon"], right["canon"], F.lit(2)).alias("path"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 1 THEN FALSE WHEN event_id % 5 = 2 THEN FALSE ELSE (value > 50) = (value > 50 + event_id % 5) END AS agree FROM events""")
+@query("""WITH x AS (SELECT event_id, 'bool' AS lk, (value > 50)::VARCHAR AS lc, CASE event_id % 5 WHEN 1 THEN 'int' WHEN 2 THEN 'null' ELSE 'bool' END AS rk,
+CASE event_id % 5 WHEN 1 THEN (value > 50)::INTEGER::VARCHAR WHEN 2 THEN 'null' ELSE (value > 50 + event_id % 5)::VARCHAR END AS rc FROM events)
+SELECT event_id, CASE WHEN lk = 'bool' AND rk = 'bool' THEN lc = rc ELSE lk = rk AND rk IN ('absent', 'null') END AS agree FROM x""")
 def boolean_exact(spark, sf_dir):
     m, b = F.col("event_id") % 5, F.col("value") > 50
     right = F.when(m == 1, int_value(b.cast("int"))).when(m == 2, null_value()).otherwise(bool_value(F.col("value") > 50 + m))
@@ -466,7 +496,7 @@ def declared_int_literal(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", int_literal(text).alias("literal"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS literal FROM part""")
+@query("""SELECT p_partkey, CASE ['true', 'false', 'yes', 'True', '1'][p_partkey % 5 + 1] WHEN 'true' THEN TRUE WHEN 'false' THEN FALSE END AS literal FROM part""")
 def declared_bool_literal(spark, sf_dir):
     spelt = F.array(*[F.lit(x) for x in ("true", "false", "yes", "True", "1")])
     return table(spark, sf_dir, "part").select("p_partkey", bool_literal(F.element_at(spelt, (F.col("p_partkey") % 5 + 1).cast("int"))).alias("literal"))
@@ -479,7 +509,8 @@ def json_barricade(spark, sf_dir):
     return rows.select("event_id", F.col("v.canon").alias("canon"), F.col("v.kind").alias("kind"))
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'k is nan, which JSON cannot represent' WHEN 1 THEN 'k contains a NUL' END AS problem FROM events""")
+@query(r"""WITH x AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"k": NaN}' WHEN 1 THEN '{"k": "a\u0000b"}' ELSE props END AS text FROM events)
+SELECT event_id, CASE WHEN regexp_matches(text, ': *NaN') THEN 'k: nan is not a finite number' WHEN contains(text, '\u0000') THEN 'k: U+0000 cannot be stored' END AS problem FROM x""")
 def json_barricade_problems(spark, sf_dir):
     m = F.col("event_id") % 4
     text = F.when(m == 0, F.lit('{"k": NaN}')).when(m == 1, F.lit('{"k": "a\\u0000b"}')).otherwise(F.col("props"))
@@ -499,58 +530,106 @@ def _precedence(active: list) -> Callable:
     return run
 
 
-query(f"""WITH {PART_SQL} SELECT scope, name, field_name, CASE field_name WHEN 'size' THEN 1 WHEN 'type' THEN 2 END::INTEGER AS rule_id,
-CASE field_name WHEN 'size' THEN declared_value WHEN 'type' THEN discovered_value END AS winning_value, field_name IS NULL AS undecidable FROM diffs""", "precedence_current")(_precedence(_RULES))
-query(f"""WITH {PART_SQL} SELECT scope, name, field_name, CASE field_name WHEN 'size' THEN 1 END::INTEGER AS rule_id, CASE field_name WHEN 'size' THEN declared_value END AS winning_value,
-field_name IS DISTINCT FROM 'size' AS undecidable FROM diffs""", "precedence_historical")(_precedence(_RULES[:1]))
+_DECIDED_SQL = """SELECT d.scope, d.name, d.field_name, {} AS rule_id, CASE r.operator WHEN 'declared' THEN declared_value WHEN 'discovered' THEN discovered_value END AS winning_value, r.operator IS NULL AS undecidable
+FROM {} d LEFT JOIN (VALUES {}) r(rule_id, kind, field_name, operator) ON {}"""
+
+
+def _decided_sql(active: list) -> str:
+    return f"WITH {PART_SQL} " + _DECIDED_SQL.format("r.rule_id::INTEGER", "diffs", ", ".join(map(str, active)), "r.kind = d.kind AND r.field_name = d.field_name")
+
+
+query(_decided_sql(_RULES), "precedence_current")(_precedence(_RULES))
+_RECORDED_SQL = "(SELECT *, CASE field_name WHEN 'size' THEN 1 WHEN 'type' THEN CASE WHEN length(name) % 2 = 0 THEN 2 ELSE 9 END END::INTEGER AS decided_by FROM diffs)"
+
+
+@query(f"WITH {PART_SQL} " + _DECIDED_SQL.format("d.decided_by", _RECORDED_SQL, ", ".join(map(str, [*_RULES, (9, "Part", "type", "declared")])), "r.rule_id = d.decided_by"))
+def precedence_historical(spark, sf_dir):
+    """By the rule that each discrepancy was decided by, also one no longer in force (9)."""
+    rules = spark.createDataFrame([*_RULES, (9, "Part", "type", "declared")], "rule_id int, kind string, field_name string, operator string")
+    by = F.when(F.col("field_name") == "size", 1).when(F.col("field_name") == "type", F.when(F.length("name") % 2 == 0, 2).otherwise(9)).cast("int")
+    return lifecycle.by_recorded_rule(reconcile_discrepancies(spark, sf_dir).withColumn("rule_id", by), rules).select("scope", "name", "field_name", "rule_id", "winning_value", "undecidable")
+
 
 _NOW = "2024-06-30"
-_EXISTING_SQL = """existing AS (
-  SELECT scope, name, field_name, declared_value, discovered_value, CASE h WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' ELSE 'suppressed' END AS state,
-    CASE WHEN h = 2 THEN TIMESTAMP '2024-01-01' WHEN h = 3 THEN TIMESTAMP '2025-01-01' END AS expires_at, k
-  FROM (SELECT *, split_part(name, '-', 2)::BIGINT % 5 AS h, split_part(name, '-', 2)::BIGINT AS k FROM diffs) WHERE field_name IS NOT NULL),
-detected AS (SELECT * FROM (SELECT *, split_part(name, '-', 2)::BIGINT AS k FROM diffs) WHERE k % 3 <> 0)"""
-_NEXT_SQL = f"""WITH {PART_SQL}, {_EXISTING_SQL},
+
+
+def _estate_sql(name: str, declared: str, discovered: str) -> str:
+    """Discrepancies of the part estate as CTEs: those parts on each side, and one pairing in nineteen rejected."""
+    return f"""{name}_dec AS (SELECT * FROM dec WHERE {declared}), {name}_dis AS (SELECT * FROM dis WHERE {discovered}),
+{name}_pairs AS (SELECT d.scope, d.name FROM {name}_dec d JOIN {name}_dis x ON x.scope = d.scope AND x.name = d.name WHERE d.k % 19 <> 3),
+{name} AS (
+  SELECT 'field' AS discrepancy_type, f.scope, f.name, field_name, l AS declared_value, r AS discovered_value FROM fields f JOIN {name}_pairs USING (scope, name) WHERE l IS DISTINCT FROM r
+  UNION ALL SELECT 'declared_missing', scope, name, NULL, NULL, NULL FROM {name}_dec d WHERE NOT EXISTS (SELECT 1 FROM {name}_pairs p WHERE p.scope = d.scope AND p.name = d.name)
+  UNION ALL SELECT 'discovered_undeclared', scope, name, NULL, NULL, NULL FROM {name}_dis x WHERE NOT EXISTS (SELECT 1 FROM {name}_pairs p WHERE p.scope = x.scope AND p.name = x.name))"""
+
+
+_NEXT_SQL = f"""WITH {PART_SQL}, {_estate_sql('before', 'TRUE', 'TRUE')}, {_estate_sql('detected', 'k % 4 <> 1', 'k % 5 <> 2')},
+existing AS (
+  SELECT *, ['open', 'resolved', 'suppressed', 'suppressed', 'invalidated', 'muted', 'suppressed', 'open'][h + 1] AS state, CASE h WHEN 2 THEN TIMESTAMP '2024-01-01' WHEN 3 THEN TIMESTAMP '2025-01-01' END AS expires_at
+  FROM (SELECT *, split_part(name, '-', 2)::BIGINT % 8 AS h FROM before)),
+active AS (
+  SELECT *, NOT EXISTS (SELECT 1 FROM detected_dec d WHERE d.scope = e.scope AND d.name = e.name) AS gone, NOT EXISTS (SELECT 1 FROM detected_dis x WHERE x.scope = e.scope AND x.name = e.name) AS absent
+  FROM existing e WHERE state NOT IN ('invalidated', 'muted')),
+joined AS (
+  SELECT coalesce(e.discrepancy_type, d.discrepancy_type) AS discrepancy_type, coalesce(e.scope, d.scope) AS scope, coalesce(e.name, d.name) AS name, coalesce(e.field_name, d.field_name) AS field_name,
+    e.state AS old, d.name IS NOT NULL AS found, e.expires_at, e.gone, e.absent FROM active e FULL JOIN detected d
+    ON e.discrepancy_type = d.discrepancy_type AND e.scope = d.scope AND e.name = d.name AND e.field_name IS NOT DISTINCT FROM d.field_name),
+moved AS (
+  SELECT *, CASE WHEN old IS NULL THEN 'open' WHEN found AND old = 'suppressed' AND (expires_at IS NULL OR expires_at >= TIMESTAMP '{_NOW}') THEN 'suppressed' WHEN found THEN 'open'
+    WHEN old = 'open' AND gone AND discrepancy_type <> 'discovered_undeclared' THEN 'invalidated' WHEN old = 'open' AND absent AND discrepancy_type <> 'declared_missing' THEN 'muted' ELSE old END AS state FROM joined),
 nxt AS (
-  SELECT coalesce(e.scope, d.scope) AS scope, coalesce(e.name, d.name) AS name, coalesce(e.field_name, d.field_name) AS field_name, e.state AS old,
-    CASE WHEN e.name IS NULL THEN 'open' WHEN d.name IS NOT NULL AND e.state = 'suppressed' AND NOT coalesce(e.expires_at < TIMESTAMP '{_NOW}', FALSE) THEN 'suppressed' WHEN d.name IS NOT NULL THEN 'open'
-      WHEN e.state = 'open' AND e.k % 2 = 0 THEN 'invalidated' WHEN e.state = 'open' AND e.k % 7 = 1 THEN 'muted' WHEN e.state <> 'open' THEN e.state END AS state
-  FROM existing e FULL JOIN detected d ON e.scope = d.scope AND e.name = d.name AND e.field_name IS NOT DISTINCT FROM d.field_name)
-SELECT scope, name, field_name, state, CASE WHEN coalesce(old, '') <> state THEN coalesce(old, 'none') || '>' || state END AS transition FROM nxt WHERE state IS NOT NULL"""
+  SELECT discrepancy_type, scope, name, field_name, state, CASE WHEN old IS DISTINCT FROM state OR (found AND old = 'suppressed') THEN coalesce(old, 'none') || '>' || state END AS transition FROM moved
+  UNION ALL SELECT discrepancy_type, scope, name, field_name, state, NULL FROM existing WHERE state IN ('invalidated', 'muted'))
+SELECT * FROM nxt"""
 
 
 def _next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run over the estate, whose discrepancies people and earlier runs have put in all states, then a second one
+    over an estate from which parts have gone on either side. Of a rejected pairing both sides are orphans of one key."""
+    declared, discovered = part_declared(spark, sf_dir), part_discovered(spark, sf_dir)
     k = F.split("name", "-")[1].cast("long")
-    found = reconcile_discrepancies(spark, sf_dir)
-    h = k % 5
-    existing = found.filter("field_name is not null").withColumns({
-        "state": F.when(h == 0, OPEN).when(h == 1, RESOLVED).otherwise(SUPPRESSED),
-        "expires_at": F.when(h == 2, F.lit("2024-01-01").cast("timestamp")).when(h == 3, F.lit("2025-01-01").cast("timestamp")), "k": k,
+    refused = table(spark, sf_dir, "part").filter("p_partkey % 19 = 3").select(*part_keys(), F.concat(F.lit("id-"), F.col("p_partkey").cast("string")).alias("provider_id"), F.lit(False).alias("is_confirmed"))
+
+    def found(d: DataFrame, x: DataFrame) -> DataFrame:
+        return diffing.reconcile(matching.match_resources(d, x, refused))
+
+    states = [OPEN, RESOLVED, SUPPRESSED, SUPPRESSED, "invalidated", "muted", SUPPRESSED, OPEN]
+    existing = found(declared, discovered).withColumns({
+        "state": F.element_at(F.array(*map(F.lit, states)), (k % 8 + 1).cast("int")),
+        "expires_at": F.when(k % 8 == 2, F.lit("2024-01-01").cast("timestamp")).when(k % 8 == 3, F.lit("2025-01-01").cast("timestamp")),
     })
-    detected = found.filter(k % 3 != 0).select(*lifecycle.IDENTITY, "declared_value", "discovered_value")
-    kept = existing.select(*lifecycle.IDENTITY, "state", "expires_at", "k", "declared_value", "discovered_value")
-    out = lifecycle.next_states(kept, detected, F.col("e.k") % 2 == 0, F.col("e.k") % 7 == 1, F.lit(_NOW).cast("timestamp"))
-    return out.select("scope", "name", "field_name", "state", "transition")
+    now_declared, now_discovered = declared.filter(k % 4 != 1), matching.present(discovered.withColumn("is_absent", k % 5 == 2))
+    return lifecycle.next_states(existing, found(now_declared, now_discovered), now_declared, now_discovered, F.lit(_NOW).cast("timestamp"))
+
+
+_STATE = ["discrepancy_type", "scope", "name", "field_name", "state", "transition"]
 
 
 @query(_NEXT_SQL)
 def lifecycle_next_states(spark, sf_dir):
-    return _next(spark, sf_dir)
+    return _next(spark, sf_dir).select(*_STATE)
 
 
 @query(f"SELECT * FROM ({_NEXT_SQL}) WHERE transition = 'resolved>open' OR transition = 'none>open'")
 def lifecycle_rediscovery(spark, sf_dir):
-    return _next(spark, sf_dir).filter(F.col("transition").isin("resolved>open", "none>open"))
+    return _next(spark, sf_dir).select(*_STATE).filter(F.col("transition").isin("resolved>open", "none>open"))
 
 
 @query(f"SELECT * FROM ({_NEXT_SQL}) WHERE state = 'suppressed' OR transition = 'suppressed>open'")
 def lifecycle_expiry(spark, sf_dir):
-    return _next(spark, sf_dir).filter("state = 'suppressed' or transition = 'suppressed>open'")
+    return _next(spark, sf_dir).select(*_STATE).filter("state = 'suppressed' or transition = 'suppressed>open'")
 
 
 @query(f"SELECT * FROM ({_NEXT_SQL}) WHERE state IN ('invalidated', 'muted')")
 def lifecycle_closure(spark, sf_dir):
-    return _next(spark, sf_dir).filter(F.col("state").isin("invalidated", "muted"))
+    return _next(spark, sf_dir).select(*_STATE).filter(F.col("state").isin("invalidated", "muted"))
+
+
+@query(f"SELECT discrepancy_type, scope, name, field_name, split_part(transition, '>', 1) AS from_state, split_part(transition, '>', 2) AS to_state, 'system' AS actor, 'run-2' AS run_id FROM ({_NEXT_SQL}) WHERE transition IS NOT NULL")
+def lifecycle_transitions(spark, sf_dir):
+    """What the second run appends to the history."""
+    rows = lifecycle.transitions(_next(spark, sf_dir), "run-2", F.lit(_NOW).cast("timestamp"))
+    return rows.select("discrepancy_type", "scope", "name", "field_name", "from_state", "to_state", "actor", "run_id")
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' ELSE 'muted' END AS state FROM events WHERE event_id % 3 = 0 OR NOT ts < TIMESTAMP '2024-04-15' - INTERVAL 90 DAY""")
@@ -560,26 +639,49 @@ def retention_purge(spark, sf_dir):
     return lifecycle.retained(rows, F.lit("2024-04-15").cast("timestamp")).drop("state_since")
 
 
-@query(f"""WITH {PART_SQL} SELECT scope, name, field_name, declared_value, 'discrepancy' AS logging FROM diffs WHERE field_name = 'size'
-UNION ALL SELECT scope, name, field_name, l, 'debug' FROM fields WHERE field_name = 'type'""")
+_SIZES, _TYPES = FieldConfig("numeric", "tolerance(1)"), FieldConfig("string", "exact")
+_SIZE_SQL, _TYPE_SQL = "coalesce(abs(TRY_CAST(l AS INTEGER) - TRY_CAST(r AS INTEGER)) <= 1, FALSE)", "(l IS NOT NULL AND r IS NOT NULL AND l = r)"
+
+
+@query(f"""WITH {PART_SQL}, judged AS (SELECT *, CASE field_name WHEN 'size' THEN {_SIZE_SQL} ELSE {_TYPE_SQL} END AS agree FROM fields)
+SELECT scope, name, field_name, l AS declared_value, agree, CASE field_name WHEN 'size' THEN 'discrepancy' ELSE 'debug' END AS logging FROM judged WHERE field_name = 'type' OR NOT agree""")
 def audit_by_logging_level(spark, sf_dir):
-    """What the audit keeps: every comparison at debug, only differences at discrepancy."""
-    rows = diffing.attribute_pairs(_part_match(spark, sf_dir).pairs)
-    level = F.when(F.col("field_name") == "type", "debug").otherwise("discrepancy")
-    kept = (level == "debug") | ~compare.same(F.col("l"), F.col("r"))
-    return rows.filter(kept).select("scope", "name", "field_name", F.col("l.canon").alias("declared_value"), level.alias("logging"))
+    """What the audit keeps by the fields' own levels: every comparison at debug, only differences at discrepancy."""
+    schema = ComparisonSchema({("Part", "size"): _SIZES, ("Part", "type"): FieldConfig("string", "exact", logging="debug")})
+    return diffing.audit(_part_match(spark, sf_dir).pairs, schema).select("scope", "name", "field_name", "declared_value", "agree", "logging")
+
+
+@query(f"""WITH {PART_SQL}, judged AS (SELECT *, field_name = 'type' AND {_TYPE_SQL} AS agree, ('0x' || substr(md5('Part/t/' || scope || '/' || name || '/' || field_name), 1, 8))::BIGINT % 10 = 0 AS drawn FROM fields)
+SELECT scope, name, field_name, agree, CASE field_name WHEN 'type' THEN 'sampled' ELSE 'error' END AS logging FROM judged WHERE (field_name = 'type' AND drawn) OR field_name = 'size'""")
+def audit_sampled(spark, sf_dir):
+    """One comparison in ten of a sampled field; all of a field without settings, as discrepancies."""
+    schema = ComparisonSchema({("Part", "type"): FieldConfig("string", "exact", logging="sampled")})
+    return diffing.audit(_part_match(spark, sf_dir).pairs, schema, 10).select("scope", "name", "field_name", "agree", "logging")
 
 
-@query(f"WITH {PART_SQL} SELECT scope, name, field_name FROM fields WHERE (field_name = 'type' AND l IS DISTINCT FROM r) OR (field_name = 'size' AND (r = 'null' OR r IS NULL))")
+@query(f"WITH {PART_SQL} SELECT scope, name, field_name FROM fields WHERE NOT CASE field_name WHEN 'size' THEN {_SIZE_SQL} ELSE {_TYPE_SQL} END")
 def schema_driven_diff(spark, sf_dir):
     """Sizes may differ by one, types have to be equal."""
-    from .functions.config import ComparisonSchema
-
-    schema = ComparisonSchema({("Part", "size"): FieldConfig("numeric", "tolerance(1)"), ("Part", "type"): FieldConfig("string", "exact")})
+    schema = ComparisonSchema({("Part", "size"): _SIZES, ("Part", "type"): _TYPES})
     return diffing.field_discrepancies(_part_match(spark, sf_dir).pairs, schema).select("scope", "name", "field_name")
 
 
-@query()
+@query(f"WITH {PART_SQL} SELECT 'Part' AS kind, field_name, count(*) AS n FROM fields WHERE field_name <> 'size' GROUP BY ALL")
+def schema_missing_settings(spark, sf_dir):
+    """Fields that a schema forgets: what a run logs about them."""
+    return compare.missing_settings(diffing.attribute_pairs(_part_match(spark, sf_dir).pairs), ComparisonSchema({("Part", "size"): _SIZES}))
+
+
+@query(f"WITH {PART_SQL} SELECT scope, name, field_name FROM fields WHERE field_name <> 'size' OR NOT {_SIZE_SQL}")
+def schema_missing_diff(spark, sf_dir):
+    """Values of a field without settings are discrepancies, equal or not."""
+    return diffing.field_discrepancies(_part_match(spark, sf_dir).pairs, ComparisonSchema({("Part", "size"): _SIZES})).select("scope", "name", "field_name")
+
+
+@query("""WITH d AS (SELECT 'part-' || p_partkey || '.yaml' AS source, p_brand AS scope, 'part-' || (p_partkey - p_partkey % 50 % 2) AS name, CASE WHEN p_partkey % 10 = 3 THEN '007' ELSE p_size::VARCHAR END AS size FROM part),
+judged AS (SELECT *, regexp_matches(size, '^[+-]?(0|[1-9][0-9]*)$') AS good FROM d)
+SELECT source, 7::INTEGER AS line, 'attributes.size: ''' || size || ''' is not an integer' AS message FROM judged WHERE NOT good
+UNION ALL SELECT min(source), NULL, 'declared more than once: Part/t/' || scope || '/' || name || ' in ' || string_agg(source, ',' ORDER BY source) FROM judged WHERE good GROUP BY scope, name HAVING count(*) > 1""")
 def yaml_barricade(spark, sf_dir):
     """Documents made of parts, some broken, through the per-document checks and the check of the whole set."""
     from .sources.documents import parse_documents, revision_errors
@@ -590,6 +692,193 @@ def yaml_barricade(spark, sf_dir):
     return revision_errors(parse_documents(docs, "t", "planes.example/v1", {"Part": {"size": "int"}}))
 
 
+# ------------------------------------------------------------------------------- filters, constraints, runs, revisions
+
+
+@query(f"""WITH {PART_SQL}, seen AS (SELECT * FROM dis WHERE k % 6 <> 5)
+SELECT 'pair' AS outcome, d.scope, d.name FROM dec d JOIN seen x ON d.scope = x.scope AND d.name = x.name
+UNION ALL SELECT 'declared_missing', scope, name FROM dec d WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.scope = d.scope AND x.name = d.name)
+UNION ALL SELECT 'discovered_undeclared', scope, name FROM seen x WHERE NOT EXISTS (SELECT 1 FROM dec d WHERE x.scope = d.scope AND x.name = d.name)""")
+def present_only_match(spark, sf_dir):
+    """Rows that a collector has marked absent don't match; what they were declared as is missing."""
+    marked = part_discovered(spark, sf_dir).withColumn("is_absent", F.split("name", "-")[1].cast("long") % 6 == 5)
+    found = matching.match_resources(part_declared(spark, sf_dir), matching.present(marked))
+    sides = (("pair", found.pairs), ("declared_missing", found.declared_orphans), ("discovered_undeclared", found.discovered_orphans))
+    pair, missing, extra = (d.select(F.lit(o).alias("outcome"), "scope", "name") for o, d in sides)
+    return pair.unionByName(missing).unionByName(extra)
+
+
+@query("""WITH t AS (SELECT c_name AS name, c_nationkey % 3 AS tenant, c_custkey AS k FROM customer)
+SELECT name, CASE WHEN k % 9 <> 0 AND k % 14 <> 0 THEN 'pair' WHEN k % 9 <> 0 THEN 'declared_missing' ELSE 'discovered_undeclared' END AS outcome FROM t WHERE tenant = 1 AND (k % 9 <> 0 OR k % 14 <> 0)""")
+def tenant_scoped_match(spark, sf_dir):
+    """One tenant's match in tables that hold three: names are unique by tenant only, so nothing may cross."""
+    tenant = (F.substring("scope", 2, 9).cast("int") % 3).cast("string")
+    sides = [d.withColumn("tenant_id", tenant).withColumn("name", F.regexp_replace("name", "^new-", "")) for d in (customer_declared(spark, sf_dir), customer_discovered(spark, sf_dir))]
+    found = matching.match_resources(*[matching.of_tenant(d, "1") for d in sides])
+    outcome = F.when(F.col("strategy").isNotNull(), "pair").when(F.col("declared").isNotNull(), "declared_missing").otherwise("discovered_undeclared")
+    return found.rows.select(F.coalesce("name", "discovered_name").alias("name"), outcome.alias("outcome"))
+
+
+@query("SELECT 'Nation-' || n_name AS kind, s_name AS name, s_suppkey::VARCHAR AS provider_id FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def stored_snapshots(spark, sf_dir):
+    """Stored rows become snapshots by the join with their kinds."""
+    kinds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("kind_id"), F.concat(F.lit("Nation-"), "n_name").alias("kind"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("kind_id"), F.col("s_name").alias("name"), F.col("s_suppkey").cast("string").alias("provider_id"))
+    return matching.snapshots(rows, kinds).select("kind", "name", "provider_id")
+
+
+_MATCHES_SQL = """m AS (SELECT o_custkey::VARCHAR AS scope, o_orderpriority AS name, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate::DATE::VARCHAR END AS provider_id,
+  CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'proposed' ELSE 'rejected' END AS state FROM orders)"""
+
+
+@query(f"""WITH {_MATCHES_SQL}, active AS (SELECT * FROM m WHERE state IN ('confirmed', 'proposed'))
+SELECT 'active match of a declared key' AS rule, 'Order/t/' || scope || '/' || name AS value, count(*) AS n FROM active GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'active match of a provider id', 't/' || provider_id, count(*) FROM active WHERE provider_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'rejection of a pairing', 'Order/t/' || scope || '/' || name || '/' || provider_id, count(*) FROM m WHERE state = 'rejected' AND provider_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'decision without provider id', 'Order/t/' || scope || '/' || name, count(*) FROM m WHERE state <> 'proposed' AND provider_id IS NULL GROUP BY ALL""")
+def match_constraints(spark, sf_dir):
+    """Every broken rule of a table of stored matches that orders stand for."""
+    state = F.when(F.col("o_orderstatus") == "F", CONFIRMED).when(F.col("o_orderstatus") == "O", PROPOSED).otherwise(REJECTED)
+    provider = F.when(F.col("o_orderkey") % 13 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = table(spark, sf_dir, "orders").select(F.lit("Order").alias("kind"), F.lit("t").alias("tenant_id"), F.col("o_custkey").cast("string").alias("scope"), F.col("o_orderpriority").alias("name"), provider.alias("provider_id"), state.alias("state"))
+    return matching.match_constraints(rows)
+
+
+@query(f"""WITH {PART_SQL}, stored AS (SELECT scope, name, field_name, CASE WHEN length(name) % 3 = 0 THEN NULL ELSE declared_present END AS dp, CASE WHEN length(scope) % 2 = 0 THEN 'x' ELSE declared_value END AS dv,
+  discovered_present AS xp, CASE WHEN length(name) % 2 = 0 THEN 'y' ELSE discovered_value END AS xv FROM diffs)
+SELECT 'declared' AS plane, scope, name, field_name, dv AS value FROM stored WHERE dp = FALSE AND dv IS NOT NULL
+UNION ALL SELECT 'discovered', scope, name, field_name, xv FROM stored WHERE xp = FALSE AND xv IS NOT NULL""")
+def value_constraints(spark, sf_dir):
+    """Rows with a value on a side that states nothing; unknown presence is allowed."""
+    rows = reconcile_discrepancies(spark, sf_dir).withColumns({
+        "declared_present": F.when(F.length("name") % 3 != 0, F.col("declared_present")), "declared_value": F.when(F.length("scope") % 2 == 0, "x").otherwise(F.col("declared_value")),
+        "discovered_value": F.when(F.length("name") % 2 == 0, "y").otherwise(F.col("discovered_value")),
+    })
+    return matching.value_constraints(rows).select("plane", "scope", "name", "field_name", F.when(F.col("plane") == "declared", F.col("declared_value")).otherwise(F.col("discovered_value")).alias("value"))
+
+
+@query(f"""WITH {CUSTOMER_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY scope, name, provider_id) AS position FROM pairs) SELECT position, scope, name, provider_id FROM p WHERE position <= 100""")
+def ordered_pairs(spark, sf_dir):
+    """The first hundred pairs in their total order."""
+    first = matching.in_order(matching.match_resources(*_customer(spark, sf_dir)).pairs).limit(100)
+    return first.withColumn("position", F.row_number().over(Window.orderBy("scope", "name", "provider_id")).cast("long")).select("position", "scope", "name", "provider_id")
+
+
+@query(f"""WITH {CUSTOMER_SQL}, {_STORED_SQL}, stored_rows AS (SELECT scope, name, CASE WHEN length(name) % 2 = 0 THEN 'open' ELSE 'resolved' END AS state FROM dec WHERE k % 10 < 5),
+after AS (SELECT 'declared_missing' AS discrepancy_type, scope, name, state FROM stored_rows WHERE state <> 'open'
+  UNION ALL SELECT 'declared_missing', scope, name, 'open' FROM dec WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.scope = dec.scope AND p.name = dec.name)
+  UNION ALL SELECT 'discovered_undeclared', scope, name, 'open' FROM dis WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.discovered_scope = dis.scope AND p.discovered_name = dis.name))
+SELECT discrepancy_type, scope, name, state FROM after""")
+def rewrite_discrepancies(spark, sf_dir):
+    """Stored discrepancies after a whole run: open rows are replaced, resolved ones stay, even beside a new open one."""
+    declared, discovered, _ = _customer(spark, sf_dir)
+    stored = diffing.as_open_rows(diffing.orphan_discrepancies(declared.filter(F.substring("name", -1, 1).cast("int") < 5), "declared_missing"))
+    stored = stored.withColumn("state", F.when(F.length("name") % 2 == 0, OPEN).otherwise(RESOLVED))
+    _, rows, _ = dec.rewrite(declared, discovered, _stored_matches(spark, sf_dir), stored)
+    return rows.select("discrepancy_type", "scope", "name", "state")
+
+
+_DAYS_SQL = """days AS (SELECT event_type AS collector, ts::DATE::VARCHAR AS run_id, min(ts) AS started_at, count(*) AS records_read, count(*) FILTER (WHERE event_id % 50 <> 0) AS records_written,
+  bool_or(event_id % 211 = 0) AS has_gap, min(user_id) % 7 <> 0 AS reachable, max(ts) AS finished_at, day(min(ts)) % 5 <> 0 AS ends FROM events GROUP BY 1, 2)"""
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts, e = F.col("ts"), F.col("event_id")
+    aggregates = [F.min(ts).alias("started_at"), F.count("*").alias("records_read"), F.count_if(e % 50 != 0).alias("records_written"), F.bool_or(e % 211 == 0).alias("has_gap"), (F.min("user_id") % 7 != 0).alias("reachable"), F.max(ts).alias("finished_at"), (F.dayofmonth(F.min(ts)) % 5 != 0).alias("ends")]
+    return table(spark, sf_dir, "events").groupBy(F.lit("t").alias("tenant_id"), F.col("event_type").alias("collector"), F.date_format("ts", "yyyy-MM-dd").alias("run_id")).agg(*aggregates)
+
+
+@query(f"""WITH {_DAYS_SQL} SELECT collector, run_id, CASE WHEN NOT ends OR NOT reachable THEN 'failed' WHEN records_read > records_written OR has_gap THEN 'partial' ELSE 'success' END AS status,
+CASE WHEN ends THEN records_read ELSE 0 END AS records_read, CASE WHEN ends THEN records_read - records_written ELSE 0 END AS errors, ends AND has_gap AS has_gap, ends AS is_finished FROM days""")
+def run_records(spark, sf_dir):
+    """Runs opened as failed and closed with their counts; one in five never closes and stays failed."""
+    days = _days(spark, sf_dir)
+    records = discovery.closed(discovery.opened(days), days.filter("ends"))
+    return records.select("collector", "run_id", "status", "records_read", "errors", "has_gap", F.col("finished_at").isNotNull().alias("is_finished"))
+
+
+@query(f"""WITH {_DAYS_SQL}, flying AS (SELECT collector, arg_max(run_id, (started_at, run_id)) AS run_id FROM days WHERE NOT ends GROUP BY 1),
+skips AS (SELECT event_type AS collector, count(*) AS n FROM events WHERE user_id % 4 = 1 GROUP BY 1)
+SELECT d.collector, d.run_id, CASE WHEN f.run_id IS NOT NULL THEN coalesce(s.n, 0) ELSE 0 END AS skipped_attempts FROM days d LEFT JOIN flying f ON f.collector = d.collector AND f.run_id = d.run_id LEFT JOIN skips s ON s.collector = d.collector""")
+def skips_of_runs(spark, sf_dir):
+    """Skipped attempts count against their collector's latest unfinished run."""
+    days = _days(spark, sf_dir)
+    records = discovery.closed(discovery.opened(days), days.filter("ends"))
+    skips = table(spark, sf_dir, "events").filter("user_id % 4 = 1").select(F.lit("t").alias("tenant_id"), F.col("event_type").alias("collector"))
+    return discovery.count_skips(records, skips).select("collector", "run_id", "skipped_attempts")
+
+
+@query("""WITH RECURSIVE a AS (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+walk AS (SELECT event_type, event_id, i, TRUE AS ran, ts + INTERVAL 6 HOUR AS free FROM a WHERE i = 1
+  UNION ALL SELECT a.event_type, a.event_id, a.i, a.ts >= w.free, CASE WHEN a.ts >= w.free THEN a.ts + INTERVAL 6 HOUR ELSE w.free END FROM walk w JOIN a ON a.event_type = w.event_type AND a.i = w.i + 1)
+SELECT event_type, event_id, ran FROM walk""")
+def overlapping_runs(spark, sf_dir):
+    """Attempts of five collectors whose runs take six hours: one that finds a run in flight is skipped, not queued."""
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
+    return discovery.admitted(rows, ["event_type"], "ts", 6 * 3600).select("event_type", "event_id", "ran")
+
+
+@query("""SELECT 'User' AS kind, count(*) AS n FROM (SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-15' AND user_id % 2 = 0 EXCEPT SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 17 <> 0) HAVING count(*) > 0""")
+def rows_marked_absent(spark, sf_dir):
+    """How many rows the second run of merge_collector_run marks absent."""
+    after = merge_collector_run(spark, sf_dir).select(F.lit("User").alias("kind"), F.lit("t").alias("tenant_id"), F.lit("x").alias("scope"), "name", "is_absent")
+    return discovery.newly_absent(after.withColumn("is_absent", F.lit(False)), after)
+
+
+@query("""WITH c AS (SELECT o_custkey::VARCHAR AS tenant_id, o_orderpriority AS revision_id, min(o_orderdate) AS since FROM orders GROUP BY 1, 2)
+SELECT tenant_id, revision_id, row_number() OVER (PARTITION BY tenant_id ORDER BY since DESC, revision_id DESC) = 1 AS is_active FROM c""")
+def revision_replay(spark, sf_dir):
+    """Commits that come again and again: each revision is there once, and one of a tenant's is active."""
+    commits = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("tenant_id"), F.col("o_orderpriority").alias("revision_id"), F.col("o_orderdate").alias("at"))
+    return revisions.replayed(commits).select("tenant_id", "revision_id", "is_active")
+
+
+@query("""SELECT 'revision of a tenant' AS rule, o_custkey || '/' || o_orderpriority AS value, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'active revision', o_custkey::VARCHAR, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL HAVING count(*) > 1""")
+def revision_constraints(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("tenant_id"), F.col("o_orderpriority").alias("revision_id"), (F.col("o_orderstatus") == "F").alias("is_active"))
+    return revisions.revision_constraints(rows)
+
+
+@query("""WITH first AS (SELECT 'part-' || p_partkey AS name, p_size AS size FROM part WHERE p_partkey % 11 <> 0), second AS (SELECT 'part-' || p_partkey AS name, p_size + 1 AS size FROM part)
+SELECT 2::BIGINT AS commits, 1::BIGINT AS replays, name, size::VARCHAR AS size FROM second""")
+def commit_revisions(spark, sf_dir):
+    """Two revisions are committed and the second again: what is read is the second, whole."""
+    import uuid
+
+    base = f"{shared_folder(spark)}/revisions-{uuid.uuid4().hex}"
+    second = table(spark, sf_dir, "part").select(*part_keys(), attributes(size=int_value(F.col("p_size") + 1)).alias("attributes"))
+    done = [revisions.commit(part_declared(spark, sf_dir).select(*KEY, "attributes"), base, "t", "r1", None), revisions.commit(second, base, "t", "r2", "r1"), revisions.commit(second, base, "t", "r2", "r1")]
+    plane = revisions.committed_plane(spark, base, "t")
+    return plane.select(F.lit(sum(done)).cast("long").alias("commits"), F.lit(done.count(False)).cast("long").alias("replays"), "name", F.col("attributes")["size"]["canon"].alias("size"))
+
+
+@query("""SELECT n_name AS kind, CASE WHEN n_regionkey = 1 THEN '{"old": "int"}' ELSE '{"size": "int"}' END AS schema FROM nation WHERE n_regionkey <> 2""")
+def kind_seeding(spark, sf_dir):
+    """Kinds of four regions are seeded over those of one, which keep their schemas; those of another are taken out."""
+    nation = table(spark, sf_dir, "nation")
+    have = nation.filter("n_regionkey = 1").select(F.col("n_name").alias("kind"), F.lit('{"old": "int"}').alias("schema"))
+    seeds = nation.select(F.col("n_name").alias("kind"), F.lit('{"size": "int"}').alias("schema"))
+    return discovery.unseeded(discovery.seeded(have, seeds), nation.filter("n_regionkey = 2").select(F.col("n_name").alias("kind")))
+
+
+@query(f"""WITH {PART_SQL} SELECT 'declared' AS asked, scope, name FROM dec UNION ALL SELECT 'observed', scope, name FROM dis""")
+def plane_by_name(spark, sf_dir):
+    """A reader that asks for another plane than the declared one gets the discovered one."""
+    sides = part_declared(spark, sf_dir), part_discovered(spark, sf_dir)
+    first, second = (readmodel.plane(asked, *sides).select(F.lit(asked).alias("asked"), "scope", "name") for asked in ("declared", "observed"))
+    return first.unionByName(second)
+
+
+@query("""SELECT event_id, CASE WHEN length(text) - length(replace(text, '[', '')) > 500 THEN 'deep' WHEN length(regexp_extract(text, '[0-9]+')) > 4300 THEN 'integer' WHEN text NOT LIKE '{%' THEN 'no object' ELSE 'none' END AS found FROM (
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"k": ' || repeat('[', 600) || repeat(']', 600) || '}' WHEN 1 THEN '{"k": ' || repeat('9', 4301) || '}' WHEN 2 THEN '{"k": ' || repeat('9', 4300) || '}' WHEN 3 THEN '[1]' ELSE '{"k": ' || repeat('[', 400) || repeat(']', 400) || '}' END AS text FROM events)""")
+def json_barricade_limits(spark, sf_dir):
+    """Nesting and integers at the limits of what is stored."""
+    text = F.element_at(F.array(*[F.lit(x) for x in ('{"k": ' + "[" * 600 + "]" * 600 + "}", '{"k": ' + "9" * 4301 + "}", '{"k": ' + "9" * 4300 + "}", "[1]", '{"k": ' + "[" * 400 + "]" * 400 + "}")]), (F.col("event_id") % 5 + 1).cast("int"))
+    why = table(spark, sf_dir, "events").select("event_id", encoded(text)["problem"].alias("p"))
+    return why.select("event_id", F.when(F.col("p").contains("deep"), "deep").when(F.col("p").contains("integer") | F.col("p").contains("digits"), "integer").when(F.col("p").contains("not an object"), "no object").when(F.col("p").isNull(), "none").otherwise(F.col("p")).alias("found"))
+
+
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def streaming_upsert(spark, sf_dir):
     """The latest state again, kept by a stream over the events that are there."""
@@ -597,7 +886,7 @@ def streaming_upsert(spark, sf_dir):
 
     from .streaming.observe import current, observe
 
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/duoplane").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a glob may be a file or a folder
     observe(stream.select("user_id", "ts", "event_id"), f"{base}/state", f"{base}/log", ["user_id"], ["ts", "event_id"]).awaitTermination()
     return current(spark, f"{base}/state").select("user_id", "event_id")

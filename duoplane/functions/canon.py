@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import math
-from collections import deque
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -58,36 +59,54 @@ def encode(value: object) -> dict:
     }
 
 
-def _text_problem(text: str) -> str | None:
-    if "\0" in text:
-        return "contains a NUL"
-    return "contains an unpaired surrogate" if any("\ud800" <= c <= "\udfff" for c in text) else None
+#: Characters that a stored text cannot hold: U+0000, and halves of surrogate pairs.
+_UNSTORABLE = re.compile("[\x00\ud800-\udfff]")
+#: Levels of lists and objects, and bits of an integer, beyond which a value has no stored form. 4300 digits need 14,285 bits.
+MOST_LEVELS, MOST_BITS = 500, 14_284
+
+
+def _unfit_text(text: str) -> str:
+    found = _UNSTORABLE.search(text)
+    return f"U+{ord(found[0]):04X} cannot be stored" if found else ""
+
+
+def _unfit(value: object) -> str:
+    """What is wrong with a value itself, whatever it contains."""
+    match value:
+        case None | bool() | list() | tuple() | dict():
+            return ""
+        case str():
+            return _unfit_text(value)
+        case int():
+            return "an integer of too many digits" if value.bit_length() > MOST_BITS else ""
+        case float():
+            return "" if math.isfinite(value) else f"{value} is not a finite number"
+    return f"a {type(value).__name__} has no JSON form"
+
+
+def _parts(path: str, value: object) -> Iterator[tuple[str, object, str]]:
+    """Path, value and what is wrong with its name, of all that a value contains."""
+    if isinstance(value, dict):
+        for name, part in value.items():
+            wrong = _unfit_text(name) if isinstance(name, str) else "a name that is no text"
+            yield f"{path}.{name}" if path else str(name), part, wrong
+    elif isinstance(value, list | tuple):
+        yield from ((f"{path}[{i}]", part, "") for i, part in enumerate(value))
 
 
 def problem_of(attributes: dict) -> str | None:
-    """Why attributes cannot be stored: the first offence, nearest the top; None if they can."""
-    for key in attributes:
-        if not isinstance(key, str) or _text_problem(key):
-            return f"the attribute name {key!r} " + (_text_problem(key) if isinstance(key, str) else "is not a string")
-    try:
-        json.dumps(attributes)
-    except (TypeError, ValueError, RecursionError) as why:
-        return f"not encodable as JSON: {why}"
-    todo = deque(attributes.items())
-    while todo:
-        path, value = todo.popleft()
-        if isinstance(value, float) and not math.isfinite(value):
-            return f"{path} is {value!r}, which JSON cannot represent"
-        if isinstance(value, str) and (why := _text_problem(value)):
-            return f"{path} {why}"
-        if isinstance(value, list | tuple):
-            todo.extend((f"{path}[{i}]", x) for i, x in enumerate(value))
-        elif isinstance(value, dict):
-            for key in value:
-                if not isinstance(key, str) or _text_problem(key):
-                    return f"{path} has key {key!r}, which " + (_text_problem(key) if isinstance(key, str) else "is not a string")
-            todo.extend((f"{path}.{k}", x) for k, x in value.items())
-    return None
+    """Why attributes cannot be stored, as path and reason; None if they can. Level by level, so the first one named is one
+    of those nearest the top; all names of a level come before its values."""
+    level: list[tuple[str, object]] = [("", attributes)]
+    for _ in range(MOST_LEVELS):
+        below = [part for path, value in level for part in _parts(path, value)]
+        wrong = [(path, why) for path, _, why in below if why] or [(path, why) for path, value, _ in below if (why := _unfit(value))]
+        if wrong:
+            return ascii(wrong[0][0])[1:-1] + ": " + wrong[0][1]
+        level = [(path, value) for path, value, _ in below]
+        if not level:
+            return None
+    return f"{level[0][0][:80]}: nested more than {MOST_LEVELS} levels deep"
 
 
 def encode_text(text: str | None) -> dict:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import WHITESPACE
@@ -42,28 +42,46 @@ def normalized(x: Column) -> Column:
     return F.regexp_replace(stripped(F.lower(x)), f"{WHITESPACE}+", " ")
 
 
+#: Microseconds of what a precision keeps.
+UNITS = {"day": 86_400_000_000, "hour": 3_600_000_000, "minute": 60_000_000, "second": 1_000_000}
+_ISO, _ZONE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?", r"(Z|[+-]\d{2}:\d{2})$"
+
+
 def instant(text: Column) -> Column:
-    """The UTC instant of a timestamp text, NULL where it is none; texts without a zone are UTC."""
+    """The moment of a timestamp text in microseconds since 1970 UTC, NULL where it is none; texts without a zone are UTC,
+    whatever the session's zone is."""
 
-    @F.arrow_udf("timestamp")
+    @F.arrow_udf("long")
     def parse(texts: pa.Array) -> pa.Array:
         from dateutil import parser
 
-        out = []
+        start, out = datetime(1970, 1, 1, tzinfo=UTC), []
         for t in texts.to_pylist():
             try:
                 found = None if t is None else parser.parse(t, default=DEFAULT_MOMENT)
-                out.append(None if found is None else (found if found.tzinfo else found.replace(tzinfo=UTC)).astimezone(UTC))
+                out.append(None if found is None else ((found if found.tzinfo else found.replace(tzinfo=UTC)) - start) // timedelta(microseconds=1))
             except (ValueError, OverflowError, TypeError):
                 out.append(None)
-        return pa.array(out, pa.timestamp("us", tz="UTC"))
+        return pa.array(out, pa.int64())
 
     # a full ISO text needs no Python; the rest goes through the lenient parser
-    iso = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$")
-    quick = F.when(iso, F.try_to_timestamp(text))
+    zoned = F.when(text.rlike(_ISO + _ZONE), text).when(text.rlike(_ISO + "$"), F.concat(text, F.lit("Z")))
+    quick = F.unix_micros(F.try_to_timestamp(zoned))
     return F.coalesce(quick, parse(F.when(quick.isNull(), text)))
 
 
+def truncated(micros: Column, precision: str) -> Column:
+    return micros - F.pmod(micros, F.lit(UNITS[precision]))
+
+
+def utc_text(micros: Column) -> Column:
+    """A moment, given to the second, as YYYY-MM-DD HH:MM:SS+00:00."""
+    second = F.pmod(F.floor(micros / UNITS["second"]), F.lit(86_400)).cast("int")
+    day = F.date_from_unix_date(F.floor(micros / UNITS["day"]).cast("int"))
+    clock = [F.lpad(x.cast("int").cast("string"), 2, "0") for x in (F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)]
+    return F.concat(day.cast("string"), F.lit(" "), F.concat_ws(":", *clock), F.lit("+00:00"))
+
+
 def first_divergence(left: Column, right: Column, depth: Column) -> Column:
     """Dotted path of the first difference of two canonical objects in sorted key order (``<root>`` at the top); NULL
     where they are equal. Depth -1 drills without bound, 0 not at all; lists are compared whole."""
@@ -112,7 +130,7 @@ def _list(left: Column, right: Column, mode: Mode, _: FieldConfig) -> Column:
 def _timestamp(left: Column, right: Column, mode: Mode, config: FieldConfig) -> Column:
     if mode.name == "string":
         return left["text"] == right["text"]
-    return F.date_trunc(config.precision, instant(left["text"])) == F.date_trunc(config.precision, instant(right["text"]))
+    return truncated(instant(left["text"]), config.precision) == truncated(instant(right["text"]), config.precision)
 
 
 def _object(left: Column, right: Column, mode: Mode, _: FieldConfig) -> Column:
@@ -159,7 +177,7 @@ def audited(left: Column, right: Column, config: FieldConfig) -> Column:
         elif mode.name in ("version", "identity"):
             inner = F.coalesce(v["keyed"]["version" if mode.name == "version" else "id"]["rendering"], F.lit("<missing>"))
         elif mode.name.startswith("semantic"):
-            inner = F.coalesce(F.date_format(F.date_trunc(config.precision or "second", instant(v["text"])), "yyyy-MM-dd HH:mm:ss'+00:00'"), v["text"])
+            inner = F.coalesce(utc_text(truncated(instant(v["text"]), config.precision or "second")), v["text"])
         kind = F.when(v.isNull(), "absent").when(v["kind"] == "null", "null").when(~stated(v, config.field_type), F.concat(F.lit("value:"), v["kind"]))
         return F.coalesce(kind, inner)
 
@@ -171,9 +189,17 @@ def audited(left: Column, right: Column, config: FieldConfig) -> Column:
 
 
 def agree_by_schema(kind: Column, field: Column, left: Column, right: Column, schema: ComparisonSchema) -> Column:
-    """The verdict under the settings of (kind, field); plain equality where there are none."""
-    out = None
+    """The verdict under the settings of (kind, field). A field without settings never agrees, so that it is seen; see
+    ``missing_settings``."""
+    out = F.lit(False)
     for (k, f), config in schema.fields.items():
-        test, verdict = (kind == k) & (field == f), agree(left, right, config)
-        out = F.when(test, verdict) if out is None else out.when(test, verdict)
-    return same(left, right) if out is None else out.otherwise(same(left, right))
+        out = F.when((kind == k) & (field == f), agree(left, right, config)).otherwise(out)
+    return out
+
+
+def missing_settings(rows: DataFrame, schema: ComparisonSchema) -> DataFrame:
+    """kind, field_name and n (compared values) of fields in ``rows`` (kind, field_name) that have no settings: what a run logs."""
+    known = F.lit(False)
+    for k, f in schema.fields:
+        known = known | ((F.col("kind") == k) & (F.col("field_name") == f))
+    return rows.filter(~known).groupBy("kind", "field_name").agg(F.count("*").alias("n"))

@@ -99,3 +99,11 @@ class ComparisonSchema:
             return self.fields[kind, field]
         except KeyError:
             raise MissingFieldConfig(f"no comparison for {kind}.{field}") from None
+
+    def check_declared(self, kinds: dict[str, dict[str, str]]) -> None:
+        """Raise InvalidFieldType where a kind declares an attribute with a type that its field type cannot be compared as.
+        Attributes that are only discovered aren't declared, so any field type is theirs."""
+        for (kind, field), config in self.fields.items():
+            declared = kinds.get(kind, {}).get(field)
+            if declared is not None and declared not in DECLARED_BY_FIELD[config.field_type]:
+                raise InvalidFieldType(f"{kind}.{field} is declared as {declared}, which {config.field_type} does not compare")

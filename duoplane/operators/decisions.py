@@ -17,6 +17,12 @@ def decisions_of(matches: DataFrame) -> DataFrame:
     return matches.filter(F.col("state").isin(CONFIRMED, REJECTED)).select(*ANCHOR, (F.col("state") == CONFIRMED).alias("is_confirmed"))
 
 
+def anchored(decisions: DataFrame) -> DataFrame:
+    """Decisions, whose use fails where one names no provider id: it could never be found again."""
+    named = F.when(F.col("provider_id").isNull(), F.raise_error(F.concat(F.lit("a decision without provider id: "), F.concat_ws("/", *KEY))).cast("boolean")).otherwise(True)
+    return decisions.filter(named)
+
+
 def invalidate_unanchored(matches: DataFrame, declared: DataFrame, discovered: DataFrame) -> DataFrame:
     """Stored matches; human decisions whose declared key or provider id is gone become invalidated, for good."""
     here = declared.select(*KEY).distinct().withColumn("_d", F.lit(True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compare
 from ..functions.config import ComparisonSchema
-from ..model import DECLARED, DECLARED_MISSING, DISCOVERED_UNDECLARED, FIELD, KEY, OPEN
+from ..model import DECLARED, DECLARED_MISSING, DISCOVERED_UNDECLARED, FIELD, KEY, OPEN, VALUE
 from .matching import MatchResult
 
 COLUMNS = ["discrepancy_type", *KEY, "field_name", "declared_present", "declared_value", "discovered_present", "discovered_value"]
@@ -37,9 +37,32 @@ def orphan_discrepancies(side: DataFrame, kind: str) -> DataFrame:
 
 
 def reconcile(result: MatchResult, schema: ComparisonSchema | None = None) -> DataFrame:
-    """All discrepancies of a match result."""
-    fields = field_discrepancies(result.pairs, schema)
-    return fields.unionByName(orphan_discrepancies(result.declared_orphans, DECLARED_MISSING)).unionByName(orphan_discrepancies(result.discovered_orphans, DISCOVERED_UNDECLARED))
+    """All discrepancies of a match result, in one pass over its rows: an orphan is a row with one entry and no field."""
+    here, there = F.col("declared").isNotNull(), F.col("discovered").isNotNull()
+    both = F.map_zip_with("declared", "discovered", lambda _, l, r: F.struct(l.alias("l"), r.alias("r")))
+    entries = F.transform(F.map_entries(both), lambda e: F.struct(F.lit(FIELD).alias("type"), e["key"].alias("field_name"), e["value"]["l"].alias("l"), e["value"]["r"].alias("r")))
+    none = F.lit(None).cast(VALUE)
+    orphan = F.array(F.struct(F.when(here, DECLARED_MISSING).otherwise(DISCOVERED_UNDECLARED).alias("type"), F.lit(None).cast("string").alias("field_name"), none.alias("l"), none.alias("r")))
+    keys = [F.coalesce(k, f"discovered_{k}").alias(k) for k in KEY]
+    rows = result.rows.select(*keys, F.explode(F.when(here & there, entries).otherwise(orphan)).alias("e")).select(*KEY, "e.*")
+    left, right, is_field = F.col("l"), F.col("r"), F.col("type") == FIELD
+    agree: Column = compare.same(left, right) if schema is None else compare.agree_by_schema(F.col("kind"), F.col("field_name"), left, right, schema)
+    stated = [F.when(is_field, left.isNotNull()).alias("declared_present"), left["canon"].alias("declared_value"), F.when(is_field, right.isNotNull()).alias("discovered_present"), right["canon"].alias("discovered_value")]
+    return rows.filter(~is_field | ~agree).select(F.col("type").alias("discrepancy_type"), *KEY, "field_name", *stated)
+
+
+def audit(pairs: DataFrame, schema: ComparisonSchema, every: int = 100) -> DataFrame:
+    """The comparisons that the fields' logging levels keep: KEY, field_name, logging, agree, declared_value,
+    discovered_value. debug: all; discrepancy: those that differ; sampled: one in ``every``, chosen by a hash of key and
+    field, so that a rerun keeps the same. A field without settings is kept at level error, as a discrepancy."""
+    rows = attribute_pairs(pairs)
+    agree = compare.agree_by_schema(F.col("kind"), F.col("field_name"), F.col("l"), F.col("r"), schema)
+    level = F.lit("error")
+    for (kind, field), config in schema.fields.items():
+        level = F.when((F.col("kind") == kind) & (F.col("field_name") == field), config.logging).otherwise(level)
+    rows = rows.select(*KEY, "field_name", level.alias("logging"), agree.alias("agree"), F.col("l")["canon"].alias("declared_value"), F.col("r")["canon"].alias("discovered_value"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("/", *KEY, "field_name").cast("binary")), 1, 8), 16, 10).cast("long") % every
+    return rows.filter((F.col("logging") == "debug") | (F.col("logging").isin("discrepancy", "error") & ~F.col("agree")) | ((F.col("logging") == "sampled") & (draw == 0)))
 
 
 def as_open_rows(discrepancies: DataFrame) -> DataFrame:

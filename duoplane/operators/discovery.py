@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import FAILED, KEY, PARTIAL, SUCCESS
 
@@ -25,7 +30,23 @@ def may_infer_absence(status: Column, has_gap: Column) -> Column:
 
 
 def unknown_kinds(records: DataFrame, kinds: DataFrame) -> DataFrame:
-    return records.join(F.broadcast(kinds.select("kind")), "kind", "left_anti")  # kinds: one row per schema, a small table
+    """Records whose kind isn't in the kind table."""
+    return records.join(kinds.select("kind"), "kind", "left_anti")
+
+
+def of_collector(records: DataFrame, kind: str) -> DataFrame:
+    """Records of a collector's one kind; a record of another kind fails the read, as the collector is wrong then."""
+    foreign = F.concat(F.lit(f"a collector of {kind} gave "), F.coalesce("kind", F.lit("no kind")))
+    return records.filter(F.when(F.col("kind").eqNullSafe(kind), True).otherwise(F.raise_error(foreign).cast("boolean")))
+
+
+def seeded(kinds: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The kind table (kind, schema) with those of ``seeds`` that it lacks; what it has stays as it is."""
+    return kinds.select("kind", "schema").unionByName(seeds.select("kind", "schema").join(kinds, "kind", "left_anti"))
+
+
+def unseeded(kinds: DataFrame, seeds: DataFrame) -> DataFrame:
+    return kinds.join(seeds.select("kind"), "kind", "left_anti")
 
 
 def latest(records: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -57,17 +78,103 @@ def merge_run(state: DataFrame, seen: DataFrame, run_id: Column, collector: Colu
     )
 
 
-def absence_panel(seen: DataFrame, runs: DataFrame, entity: str) -> DataFrame:
-    """State of every entity after every run it existed for: entity, run, is_absent, absent_since (the run that first
-    missed it). ``seen``: entity, run; ``runs``: run, entitled. Only the entities' own rows are windowed."""
-    sightings = seen.select(entity, "run").distinct()
-    first = sightings.groupBy(entity).agg(F.min("run").alias("first"))
-    numbered = runs.select("run", "entitled")
-    all_runs = numbered.agg(F.sort_array(F.collect_list(F.struct("run", "entitled"))).alias("all"))  # one row for each run of a collector
-    after = first.join(F.broadcast(all_runs)).select(entity, F.explode(F.filter("all", lambda r: r["run"] >= F.col("first"))).alias("r")).select(entity, "r.run", "r.entitled")
-    marked = after.join(sightings.withColumn("seen", F.lit(True)), [entity, "run"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-    upto = Window.partitionBy(entity).orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
-    last = marked.withColumn("last_seen", F.max(F.when(F.col("seen"), F.col("run"))).over(upto))
-    stretch = Window.partitionBy(entity, "last_seen").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)
-    since = F.min(F.when(~F.col("seen") & F.col("entitled"), F.col("run"))).over(stretch)
-    return last.withColumn("absent_since", since).select(entity, "run", F.col("absent_since").isNotNull().alias("is_absent"), "absent_since")
+def newly_absent(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How many rows a run marked absent, by kind: kind, n."""
+    was = before.filter("is_absent").select(*KEY)
+    return after.filter("is_absent").select(*KEY).join(was, KEY, "left_anti").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def absences(seen: DataFrame, runs: DataFrame, entity: str) -> DataFrame:
+    """Every absence of an entity: entity, last_seen, absent_since (the run that first missed it and was entitled to say so),
+    refuted_by (the run that saw it again, NULL while it is absent).
+
+    ``seen``: entity, run; ``runs``: run, entitled, one row for each run of a collector. Between two sightings, absence begins
+    at the first entitled run after the former, which depends on that run alone: one join of sightings and runs, and one
+    window over an entity's own sightings.
+    """
+    # one row a run, of one collector: this order is the one thing here that a single task sees
+    later = Window.orderBy("run").rowsBetween(1, Window.unboundedFollowing)
+    onward = runs.select(F.col("run").alias("last_seen"), F.min(F.when(F.col("entitled"), F.col("run"))).over(later).alias("absent_since"))
+    mine = Window.partitionBy(entity).orderBy("last_seen")
+    sightings = seen.select(entity, F.col("run").alias("last_seen")).distinct().withColumn("refuted_by", F.lead("last_seen").over(mine))
+    return sightings.join(onward, "last_seen").filter("absent_since is not null and (refuted_by is null or absent_since < refuted_by)").select(entity, "last_seen", "absent_since", "refuted_by")
+
+
+# ------------------------------------------------------------------------------------------------------ run records
+
+RUN = ["tenant_id", "collector", "run_id"]
+
+
+def opened(attempts: DataFrame) -> DataFrame:
+    """Run records as they are opened, before anything is read: failed until a run closes, so that none is ever lost.
+    attempts: RUN, started_at."""
+    return attempts.select(*RUN, "started_at", F.lit(FAILED).alias("status"), *[F.lit(0).cast("long").alias(c) for c in ("records_read", "records_written", "errors")], F.lit(False).alias("has_gap"), F.lit(None).cast("timestamp").alias("finished_at"))
+
+
+def closed(records: DataFrame, counts: DataFrame) -> DataFrame:
+    """Run records with the counts of those that ended (counts: RUN, records_read, records_written, has_gap, reachable,
+    finished_at). An unreachable provider fails the run, errors or a gap make it partial; a run without counts stays as
+    it was opened."""
+    found = counts.select(*RUN, *[F.col(c).alias(f"new_{c}") for c in ("records_read", "records_written", "has_gap", "reachable", "finished_at")])
+    joined = records.join(found, RUN, "left")
+    ended, errors = F.col("new_finished_at").isNotNull(), F.col("new_records_read") - F.col("new_records_written")
+    new = {"records_read": F.col("new_records_read"), "records_written": F.col("new_records_written"), "errors": errors, "has_gap": F.col("new_has_gap"), "finished_at": F.col("new_finished_at"), "status": run_status(errors, F.col("new_has_gap"), F.col("new_reachable"))}
+    return joined.select(*[F.when(ended, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in records.columns])
+
+
+def in_flight(records: DataFrame) -> DataFrame:
+    """The latest unfinished run of each collector."""
+    return latest(records.filter("finished_at is null"), ["tenant_id", "collector"], [F.col("started_at"), F.col("run_id")])
+
+
+def count_skips(records: DataFrame, skips: DataFrame) -> DataFrame:
+    """Run records with skipped_attempts: skip events (tenant_id, collector) count against the run in flight. Skips are only
+    appended, so two of them at a time are both counted."""
+    counted = skips.groupBy("tenant_id", "collector").agg(F.count("*").alias("skips")).join(in_flight(records).select(*RUN), ["tenant_id", "collector"])
+    return records.join(counted, RUN, "left").withColumn("skipped_attempts", F.coalesce("skips", F.lit(0)).cast("long")).drop("skips")
+
+
+def admitted(attempts: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
+    """``attempts`` with ``ran``: does an attempt find no run of its collector in flight? A run takes ``seconds``; one that
+    doesn't start holds nothing back. What an attempt finds depends on all before it, so a collector's attempts are gone
+    through in order, in one task for each collector."""
+    schema = T.StructType([*attempts.schema.fields, T.StructField("ran", T.BooleanType())])
+
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in (at, *(c for c in table.column_names if c != at and pa.types.is_integer(table.schema.field(c).type)))])
+        free, ran = None, []
+        for start in pc.cast(table.column(at), pa.int64()).to_pylist():
+            ran.append(free is None or start >= free)
+            if ran[-1]:
+                free = start + seconds * 1_000_000
+        return table.append_column("ran", pa.array(ran))
+
+    return attempts.groupBy(*keys).applyInArrow(walk, schema)
+
+
+def run_collector(state: DataFrame, kinds: DataFrame, read: Callable[[], DataFrame], kind: str, tenant_id: str, run_id: str, collector: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run: (state after it, its closed run record, rejected rows). ``read`` gives normalised rows (position, KEY,
+    provider_id, attributes, problem and, where a chain of pages broke, one with a NULL position); a read that raises
+    ``ProviderUnavailable`` leaves the state alone and the record failed. Of rows with one key the last position wins.
+
+    The rows are read once, and written for the uses below by the caller's ``read`` if they are costly."""
+    from ..sources.recorded import ProviderUnavailable
+
+    spark = state.sparkSession
+    record = opened(spark.range(1).select(F.lit(tenant_id).alias("tenant_id"), F.lit(collector).alias("collector"), F.lit(run_id).alias("run_id"), now.alias("started_at")))
+    ended = now.alias("finished_at")
+    try:
+        rows = read()
+    except ProviderUnavailable:
+        counts = record.select(*RUN, *[F.lit(0).cast("long").alias(c) for c in ("records_read", "records_written")], F.lit(False).alias("has_gap"), F.lit(False).alias("reachable"), ended)
+        return state, closed(record, counts), state.limit(0).select(*KEY, "provider_id").withColumns({"position": F.lit(None).cast("long"), "problem": F.lit(None).cast("string")})
+    gap, rows = F.bool_or(F.col("position").isNull()), rows
+    counts = rows.agg(F.count("position").alias("records_read"), F.count(F.when(F.col("position").isNotNull() & F.col("problem").isNull(), 1)).alias("records_written"), F.coalesce(gap, F.lit(False)).alias("has_gap"))
+    counts = counts.select(F.lit(tenant_id).alias("tenant_id"), F.lit(collector).alias("collector"), F.lit(run_id).alias("run_id"), "*", F.lit(True).alias("reachable"), ended)
+    found = rows.filter("position is not null")
+    good = of_collector(found.filter("problem is null"), kind)
+    rejected = found.filter("problem is not null").select(*KEY, "provider_id", "position", "problem").unionByName(unknown_kinds(good, kinds).select(*KEY, "provider_id", "position", F.lit("unknown kind").alias("problem")))
+    kept = latest(good.join(kinds.select("kind"), "kind", "left_semi").select(*KEY, "position", "provider_id", "attributes"), KEY, [F.col("position")]).drop("position")
+    record = closed(record, counts)
+    one = record.select(may_infer_absence(F.col("status"), F.col("has_gap")).alias("entitled")).first()
+    return merge_run(state, kept, F.lit(run_id), F.lit(collector), F.lit(one.entitled), now), record, rejected

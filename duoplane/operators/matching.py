@@ -1,75 +1,108 @@
 """Entity resolution: stored bindings first, then natural keys; what is left over on either side is an orphan.
 
 Planes have kind, tenant_id, scope, name, provider_id, attributes; decisions have these four keys of the declared side,
-provider_id and is_confirmed. Keys are equi-joined, so the optimizer chooses the strategy and AQE splits skewed ones.
+provider_id and is_confirmed. Each plane is shuffled by its key once: the check that its keys are unique, the flags of what
+decisions claim and the full outer join of the two planes all use that. Pairs and orphans are rows of the one result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import BINDING, HIGH, KEY, NATURAL_KEY
 
+_FOUND = [f"discovered_{k}" for k in KEY]
+PAIR = [*KEY, *_FOUND, "provider_id", "strategy", "confidence", "declared", "discovered"]
 
-@dataclass
-class MatchResult:
-    pairs: DataFrame  # declared KEY, discovered_kind, _scope and _name, provider_id, strategy, confidence, declared, discovered
-    declared_orphans: DataFrame
-    discovered_orphans: DataFrame
 
+def of_tenant(rows: DataFrame, tenant_id: str) -> DataFrame:
+    """Rows of one tenant; tables partitioned by tenant_id are pruned to it."""
+    return rows.filter(F.col("tenant_id") == tenant_id)
 
-def _found(discovered: DataFrame) -> DataFrame:
-    return discovered.select(*[F.col(k).alias(f"discovered_{k}") for k in KEY], "provider_id", F.col("attributes").alias("discovered"))
 
+def present(discovered: DataFrame) -> DataFrame:
+    """The discovered plane as matching sees it: without rows that are marked absent."""
+    return discovered.filter(~F.coalesce("is_absent", F.lit(False)))
 
-def _pair(joined: DataFrame, strategy: str) -> DataFrame:
-    return joined.select(*KEY, *[f"discovered_{k}" for k in KEY], "provider_id", F.lit(strategy).alias("strategy"), F.lit(HIGH).alias("confidence"), "declared", "discovered")
 
+def snapshots(rows: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Stored rows (kind_id, ...) with their kind's name (kinds: kind_id, kind); a row without its kind fails the read."""
+    joined = rows.join(kinds.select("kind_id", "kind"), "kind_id", "left")
+    known = F.when(F.col("kind").isNull(), F.raise_error(F.concat(F.lit("no kind "), F.col("kind_id").cast("string"))).cast("boolean")).otherwise(True)
+    return joined.filter(known).drop("kind_id")
 
-def bound_pairs(declared: DataFrame, discovered: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Pairs that a confirmed decision names; a decision of which a side is missing (or without provider id) pairs nothing."""
-    confirmed = decisions.filter("is_confirmed and provider_id is not null").select(*KEY, "provider_id").distinct()
-    mine = declared.select(*KEY, F.col("attributes").alias("declared"))
-    theirs = _found(discovered)
-    joined = mine.join(confirmed, KEY).join(theirs, "provider_id")
-    return _pair(joined.filter(F.col("tenant_id") == F.col("discovered_tenant_id")), BINDING)
 
+@dataclass
+class MatchResult:
+    """``rows``: PAIR columns; orphans have no strategy and only their own side's columns."""
+
+    rows: DataFrame
+
+    @property
+    def pairs(self) -> DataFrame:
+        return self.rows.filter("strategy is not null")
+
+    @property
+    def declared_orphans(self) -> DataFrame:
+        return self.rows.filter("strategy is null and declared is not null").select(*KEY, F.col("declared").alias("attributes"))
 
-def natural_key_pairs(declared: DataFrame, discovered: DataFrame, decisions: DataFrame, bound: DataFrame) -> DataFrame:
-    """Pairs of equal keys, without rejected pairings and without either side of a bound pair."""
-    rejected = decisions.filter("not is_confirmed").select(*KEY, F.col("provider_id").alias("no"))
-    mine = declared.join(bound.select(*KEY), KEY, "left_anti").select(*KEY, F.col("attributes").alias("declared"))
-    taken = bound.select(*[F.col(f"discovered_{k}").alias(k) for k in KEY])
-    theirs = discovered.join(taken, KEY, "left_anti").select(*KEY, "provider_id", F.col("attributes").alias("discovered"))
-    joined = mine.join(theirs, KEY)
-    refused = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in KEY] + [F.col("p.provider_id").eqNullSafe(F.col("r.no"))]
-    joined = joined.alias("p").join(rejected.alias("r"), refused, "left_anti")
-    return _pair(joined.select("*", *[F.col(k).alias(f"discovered_{k}") for k in KEY]), NATURAL_KEY)
+    @property
+    def discovered_orphans(self) -> DataFrame:
+        return self.rows.filter("strategy is null and discovered is not null").select(*[F.col(f"discovered_{k}").alias(k) for k in KEY], "provider_id", F.col("discovered").alias("attributes"))
 
 
-def orphans(side: DataFrame, matched: DataFrame) -> DataFrame:
-    return side.join(matched, KEY, "left_anti")
+def unique(rows: DataFrame, columns: list[str], rule: str) -> DataFrame:
+    """``rows``, whose use fails where two have the same ``columns``. The count shares the shuffle and the order of a later
+    join by the same columns."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*columns))
+    shown = F.concat(F.lit(f"{rule}: more than one row of "), F.concat_ws("/", *columns))
+    return rows.withColumn("_n", n).filter(F.when(F.col("_n") > 1, F.raise_error(shown).cast("boolean")).otherwise(True)).drop("_n")
 
 
-def no_decisions(declared: DataFrame) -> DataFrame:
-    return declared.select(*KEY).withColumns({"provider_id": F.lit(None).cast("string"), "is_confirmed": F.lit(False)}).limit(0)
+def bound_pairs(declared: DataFrame, discovered: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Pairs that a confirmed decision names; a decision of which a side is missing (or without provider id) pairs nothing.
+    Two confirmed decisions for either side fail."""
+    confirmed = decisions.filter("is_confirmed and provider_id is not null").select(*KEY, "provider_id").distinct()
+    confirmed = unique(unique(confirmed, KEY, "confirmed declared key"), ["tenant_id", "provider_id"], "confirmed provider id")
+    mine = declared.select(*KEY, F.col("attributes").alias("declared"))
+    theirs = discovered.select(*[F.col(k).alias(f"discovered_{k}") for k in KEY], "provider_id", F.col("attributes").alias("discovered"))
+    joined = mine.join(confirmed, KEY).withColumn("discovered_tenant_id", F.col("tenant_id")).join(theirs, ["discovered_tenant_id", "provider_id"])
+    return joined.withColumns({"strategy": F.lit(BINDING), "confidence": F.lit(HIGH)}).select(*PAIR)
 
 
 def match_resources(declared: DataFrame, discovered: DataFrame, decisions: DataFrame | None = None) -> MatchResult:
-    """Pairs of both strategies and the orphans of both sides. A rejected pair leaves both of its sides as orphans."""
-    if decisions is None:
-        mine = declared.select(*KEY, F.col("attributes").alias("declared"))
-        theirs = discovered.select(*KEY, "provider_id", F.col("attributes").alias("discovered"))
-        pairs = _pair(mine.join(theirs, KEY).select("*", *[F.col(k).alias(f"discovered_{k}") for k in KEY]), NATURAL_KEY)
-    else:
+    """Pairs of both strategies and the orphans of both sides. A rejected pair leaves both of its sides as orphans. A key
+    that two rows of a plane have fails the job; provider ids are checked by ``check_inputs``."""
+    mine = unique(declared.select(*KEY, F.col("attributes").alias("declared")), KEY, "declared key")
+    theirs = unique(discovered.select(*KEY, "provider_id", F.col("attributes").alias("discovered")), KEY, "discovered key")
+    no = F.lit(False)
+    claimed, taken, refused = no, no, no
+    if decisions is not None:
         bound = bound_pairs(declared, discovered, decisions)
-        pairs = bound.unionByName(natural_key_pairs(declared, discovered, decisions, bound))
-    left = pairs.select(*KEY)
-    right = pairs.select(*[F.col(f"discovered_{k}").alias(k) for k in KEY])
-    return MatchResult(pairs, orphans(declared, left), orphans(discovered, right))
+        mine = mine.join(bound.select(*KEY, F.lit(True).alias("claimed")), KEY, "left")
+        theirs = theirs.join(bound.select(*[F.col(f"discovered_{k}").alias(k) for k in KEY], F.lit(True).alias("taken")), KEY, "left")
+        rejected = decisions.filter("not is_confirmed").groupBy(*KEY).agg(F.collect_set(F.struct("provider_id")).alias("rejected"))
+        theirs = theirs.join(rejected, KEY, "left")
+        claimed, taken = (F.coalesce(c, no) for c in ("claimed", "taken"))
+        refused = F.coalesce(F.exists("rejected", lambda r: r["provider_id"].eqNullSafe(F.col("provider_id"))), no)
+    planes = mine.join(theirs, KEY, "full_outer")
+    here, there = F.col("declared").isNotNull(), F.col("discovered").isNotNull()
+    agree = here & there & ~claimed & ~taken & ~refused
+
+    def row(is_declared: bool, is_discovered: bool) -> Column:
+        side = lambda on, c, t: (F.col(c) if on else F.lit(None).cast(t))
+        values = [side(is_declared, k, "string").alias(k) for k in KEY] + [side(is_discovered, k, "string").alias(f"discovered_{k}") for k in KEY]
+        values.append(side(is_discovered, "provider_id", "string").alias("provider_id"))
+        values += [F.lit(v if is_declared and is_discovered else None).cast("string").alias(c) for c, v in (("strategy", NATURAL_KEY), ("confidence", HIGH))]
+        kinds = dict(planes.dtypes)
+        return F.struct(*values, *[side(on, c, kinds[c]).alias(c) for on, c in ((is_declared, "declared"), (is_discovered, "discovered"))])
+
+    single = F.array_compact(F.array(F.when(here & ~claimed, row(True, False)), F.when(there & ~taken, row(False, True))))
+    rows = planes.select(F.explode(F.when(agree, F.array(row(True, True))).otherwise(single)).alias("r")).select("r.*").select(*PAIR)
+    return MatchResult(rows if decisions is None else rows.unionByName(bound))
 
 
 def violations(side: DataFrame, columns: list[str], rule: str) -> DataFrame:
@@ -85,7 +118,8 @@ def check_unique(side: DataFrame, columns: list[str], rule: str) -> None:
 
 
 def check_inputs(declared: DataFrame, discovered: DataFrame, decisions: DataFrame | None = None) -> None:
-    """What matching relies on: unique keys on both planes, unique provider ids, one confirmed decision for each side."""
+    """What matching relies on, before it runs: unique keys on both planes, unique provider ids, one confirmed decision for
+    each side."""
     check_unique(declared, KEY, "declared key")
     check_unique(discovered, KEY, "discovered key")
     check_unique(discovered, ["tenant_id", "provider_id"], "provider id")
@@ -93,3 +127,27 @@ def check_inputs(declared: DataFrame, discovered: DataFrame, decisions: DataFram
         confirmed = decisions.filter("is_confirmed")
         check_unique(confirmed, KEY, "confirmed declared key")
         check_unique(confirmed, ["tenant_id", "provider_id"], "confirmed provider id")
+
+
+def match_constraints(matches: DataFrame) -> DataFrame:
+    """Stored matches that break a rule: rule, value, n. One active match (proposed or confirmed) for a declared key and for
+    a provider id, one rejection of a pairing; a decision of a person names a provider id."""
+    active, anchor = matches.filter(F.col("state").isin("proposed", "confirmed")), [*KEY, "provider_id"]
+    rules = [violations(active, KEY, "active match of a declared key"), violations(active, ["tenant_id", "provider_id"], "active match of a provider id"), violations(matches.filter("state = 'rejected'"), anchor, "rejection of a pairing")]
+    nameless = matches.filter("state in ('confirmed', 'rejected') and provider_id is null")
+    rules.append(nameless.groupBy(*KEY).agg(F.count("*").alias("n")).select(F.lit("decision without provider id").alias("rule"), F.concat_ws("/", *KEY).alias("value"), "n"))
+    out = rules[0]
+    for rule in rules[1:]:
+        out = out.unionByName(rule)
+    return out
+
+
+def value_constraints(discrepancies: DataFrame) -> DataFrame:
+    """Stored discrepancies with a value on a side that states nothing: plane and the row. Presence may be unknown (NULL)."""
+    sides = [discrepancies.filter(F.coalesce(~F.col(f"{s}_present"), F.lit(False)) & F.col(f"{s}_value").isNotNull()).select(F.lit(s).alias("plane"), "*") for s in ("declared", "discovered")]
+    return sides[0].unionByName(sides[1])
+
+
+def in_order(pairs: DataFrame) -> DataFrame:
+    """Pairs in their total order, declared key then provider id, for whoever writes or shows them."""
+    return pairs.orderBy(*KEY, F.asc_nulls_last("provider_id"))

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 PAGE = 50
 
 
+def plane(name: str, declared: DataFrame, discovered: DataFrame) -> DataFrame:
+    """The plane that a reader names: the declared one, or for every other name the discovered one, absent rows included."""
+    return declared if name == "declared" else discovered
+
+
 def resources_page(plane: DataFrame, offset: int = 0, limit: int = PAGE) -> DataFrame:
     return plane.orderBy("scope", "name", "kind", "tenant_id").offset(offset).limit(limit)
 

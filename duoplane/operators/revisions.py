@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import KEY
+from .matching import violations
 
 
 def duplicate_identities(documents: DataFrame, keys: list[str] = KEY, source: str = "source") -> DataFrame:
-    """Keys that several documents declare: keys, n, sources (sorted, comma-joined)."""
-    found = documents.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(source)).alias("s")).filter("n > 1")
+    """Keys that several documents declare: keys, n, sources (sorted, comma-joined). Only theirs are gathered."""
+    counted = documents.select(*keys, F.col(source).alias("s")).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).filter("n > 1")
+    found = counted.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list("s")).alias("s"))
     return found.select(*keys, "n", F.array_join("s", ",").alias("sources"))
 
 
@@ -32,3 +34,78 @@ def activate(revisions: DataFrame, tenant_id: str, revision_id: str) -> DataFram
     known = revisions.withColumn("is_active", F.when(mine, F.col("revision_id") == revision_id).otherwise(F.col("is_active")))
     fresh = new.join(revisions, ["tenant_id", "revision_id"], "left_anti").withColumn("is_active", F.lit(True))
     return known.select("tenant_id", "revision_id", "is_active").unionByName(fresh)
+
+
+def replayed(commits: DataFrame) -> DataFrame:
+    """The revision table after all commits (tenant_id, revision_id, at): one row for each revision, however often it came;
+    active is the one that came first last, as one that comes again is a no-op."""
+    once = commits.groupBy("tenant_id", "revision_id").agg(F.min("at").alias("at"))
+    last = once.groupBy("tenant_id").agg(F.max(F.struct("at", "revision_id")).alias("last"))
+    return once.join(last, "tenant_id").select("tenant_id", "revision_id", "at", (F.col("revision_id") == F.col("last.revision_id")).alias("is_active"))
+
+
+def revision_constraints(revisions: DataFrame) -> DataFrame:
+    """Broken rules of the revision table: rule, value, n. A revision once for each tenant, one active one."""
+    once = violations(revisions, ["tenant_id", "revision_id"], "revision of a tenant")
+    return once.unionByName(violations(revisions.filter("is_active"), ["tenant_id"], "active revision"))
+
+
+class RevisionConflict(RuntimeError):
+    """Another writer has activated another revision in the meantime."""
+
+
+def commit(plane: DataFrame, path: str, tenant_id: str, revision_id: str, expected: str | None) -> bool:
+    """Write a revision's plane below ``path`` and make it the tenant's active one; False, and nothing is written, where the
+    revision is there already. ``expected`` is the active revision that the caller saw (None: none): if it has changed,
+    RevisionConflict, unless what was activated is this revision.
+
+    Rows are written first, the pointer last and in one rename, so a reader sees the old plane or the new one, whole; a
+    run that ends between the two leaves rows that nobody reads and the next one overwrites.
+    """
+    spark = plane.sparkSession
+    if is_committed(spark, path, tenant_id, revision_id):
+        return False
+    plane.write.mode("overwrite").parquet(f"{path}/planes/{tenant_id}/{revision_id}")
+    found = active_revision(spark, path, tenant_id)
+    if found != expected:
+        if found == revision_id:
+            return False
+        raise RevisionConflict(f"{found} was activated for {tenant_id} while {revision_id} was written")
+    number = len(_pointers(spark, path, tenant_id))
+    files, jpath = _files(spark, path)
+    root = f"{path}/active/{tenant_id}"
+    files.mkdirs(jpath(root))
+    draft = jpath(f"{path}/drafts/{tenant_id}-{revision_id}")
+    files.mkdirs(draft)
+    if not files.rename(draft, jpath(f"{root}/{number:08d}={revision_id}")):
+        raise RevisionConflict(f"another writer took the turn of {revision_id} for {tenant_id}")
+    if [p for p in _pointers(spark, path, tenant_id) if p.startswith(f"{number:08d}=")] != [f"{number:08d}={revision_id}"]:
+        files.delete(jpath(f"{root}/{number:08d}={revision_id}"), True)
+        raise RevisionConflict(f"another writer took the turn of {revision_id} for {tenant_id}")
+    return True
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def _pointers(spark: SparkSession, path: str, tenant_id: str) -> list[str]:
+    files, jpath = _files(spark, path)
+    root = jpath(f"{path}/active/{tenant_id}")
+    return sorted(s.getPath().getName() for s in files.listStatus(root)) if files.exists(root) else []
+
+
+def is_committed(spark: SparkSession, path: str, tenant_id: str, revision_id: str) -> bool:
+    return any(p.partition("=")[2] == revision_id for p in _pointers(spark, path, tenant_id))
+
+
+def active_revision(spark: SparkSession, path: str, tenant_id: str) -> str | None:
+    pointers = _pointers(spark, path, tenant_id)
+    return pointers[-1].partition("=")[2] if pointers else None
+
+
+def committed_plane(spark: SparkSession, path: str, tenant_id: str) -> DataFrame | None:
+    """The tenant's active plane; None without an active revision."""
+    found = active_revision(spark, path, tenant_id)
+    return None if found is None else spark.read.parquet(f"{path}/planes/{tenant_id}/{found}")

@@ -16,13 +16,19 @@ def _part(key: Column) -> list[Column]:
     return [F.lit("Part").alias("kind"), F.lit("t").alias("tenant_id"), F.col("p_brand").alias("scope"), F.concat(F.lit("part-"), key.cast("string")).alias("name")]
 
 
+def part_keys() -> list[Column]:
+    return _part(F.col("p_partkey"))
+
+
 def part_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by brand. Every eleventh isn't declared: that is the drift that a reconciliation is to find, as are those below."""
     k = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").filter(k % 11 != 0)
     return rows.select(*_part(k), F.lit(None).cast("string").alias("provider_id"), attributes(size=int_value(F.col("p_size")), type=str_value(F.col("p_type"))).alias("attributes"))
 
 
 def part_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventeenth isn't discovered; sizes are null or one more at times, every fifth has no type."""
     k = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").filter(k % 17 != 0)
     size = F.when(k % 13 == 0, null_value()).when(k % 7 == 0, int_value(F.col("p_size") + 1)).otherwise(int_value(F.col("p_size")))

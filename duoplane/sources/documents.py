@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.canon import ENCODED_ARROW, _VALUE_ARROW, encode, problem_of
 from ..functions.literals import DECLARED_TYPES, Unacceptable
 from ..model import ATTRIBUTES, KEY
-from ..operators.revisions import duplicate_identities
+from ..operators.revisions import active_revision, commit, duplicate_identities, is_committed
 
 LONGEST_NAME = 253
 PARSED = T.StructType([T.StructField(c, T.StringType()) for c in ("source", "kind", "tenant_id", "scope", "name")] + [T.StructField("attributes", ATTRIBUTES), T.StructField("line", T.IntegerType()), T.StructField("error", T.StringType())])
@@ -31,8 +31,12 @@ class InvalidDocument(ValueError):
         self.line = mark.line + 1 if mark else None
 
 
+#: Errors of a set that are shown; ``revision_errors`` has them all.
+SHOWN = 1000
+
+
 class InvalidRevision(ValueError):
-    """All errors of a document set, ordered by source."""
+    """The first errors of a document set, ordered by source."""
 
     def __init__(self, errors: list[tuple[str, int | None, str]]) -> None:
         self.errors = errors
@@ -52,7 +56,7 @@ def _mapping(node: object, what: str) -> dict[str, tuple[object, object]]:
     if not isinstance(node, yaml.MappingNode):
         raise InvalidDocument(f"{what} is not a mapping", node)
     if node.tag != "tag:yaml.org,2002:map":
-        raise InvalidDocument(f"{what} carries the tag {node.tag}", node)
+        raise InvalidDocument(f"{what} has the tag {node.tag}", node)
     out: dict[str, tuple[object, object]] = {}
     for key, value in node.value:
         if not isinstance(key, yaml.ScalarNode):
@@ -60,35 +64,41 @@ def _mapping(node: object, what: str) -> dict[str, tuple[object, object]]:
         if key.tag == "tag:yaml.org,2002:merge":
             raise InvalidDocument(f"{what} uses a merge key", key)
         if key.value in out:
-            raise InvalidDocument(f"{what} states {key.value} more than once", key)
+            raise InvalidDocument(f"{what} repeats the key {key.value}", key)
         out[key.value] = (key, value)
     return out
 
 
-def _check_envelope(node: object, what: str, done: set[int], within: tuple[int, ...] = ()) -> None:
-    """Every mapping below the envelope obeys the same rules; shared nodes are looked at once, cycles are refused."""
+def _built(node: object, what: str, done: dict[int, object], within: tuple[int, ...] = ()) -> object:
+    """The value of an envelope's node, whose mappings all obey the same rules. A shared node is built once, so aliases of
+    aliases cost nothing; a cycle is refused."""
     import yaml
 
     if id(node) in within:
-        raise InvalidDocument(f"{what} contains itself", node)
-    if id(node) in done or isinstance(node, yaml.ScalarNode):
-        return
-    if isinstance(node, yaml.MappingNode):
-        below = [(f"{what}.{k}", v) for k, (_, v) in _mapping(node, what).items()]
+        raise InvalidDocument(f"{what} is nested in itself", node)
+    if id(node) in done:
+        return done[id(node)]
+    inside = (*within, id(node))
+    if isinstance(node, yaml.ScalarNode):
+        try:
+            value = yaml.constructor.SafeConstructor().construct_object(node)
+        except (yaml.YAMLError, ValueError) as why:
+            raise InvalidDocument(f"{what} cannot be read: {why}".replace("\n", " "), node) from None
+    elif isinstance(node, yaml.MappingNode):
+        value = {k: _built(v, f"{what}.{k}", done, inside) for k, (_, v) in _mapping(node, what).items()}
+    elif node.tag != "tag:yaml.org,2002:seq":
+        raise InvalidDocument(f"{what} has the tag {node.tag}", node)
     else:
-        if node.tag != "tag:yaml.org,2002:seq":
-            raise InvalidDocument(f"{what} carries the tag {node.tag}", node)
-        below = [(f"{what}[{i}]", v) for i, v in enumerate(node.value)]
-    for name, child in below:
-        _check_envelope(child, name, done, (*within, id(node)))
-    done.add(id(node))
+        value = [_built(v, f"{what}[{i}]", done, inside) for i, v in enumerate(node.value)]
+    done[id(node)] = value
+    return value
 
 
-def _identifier(entries: dict, key: str, what: str) -> str:
+def _identifier(holder: object, entries: dict, key: str, what: str) -> str:
     import yaml
 
     if key not in entries:
-        raise InvalidDocument(f"{what} is missing")
+        raise InvalidDocument(f"{what} is missing", holder)
     node = entries[key][1]
     if not isinstance(node, yaml.ScalarNode) or node.tag != "tag:yaml.org,2002:str" or not 1 <= len(node.value) <= LONGEST_NAME:
         raise InvalidDocument(f"{what} is not a text of 1 to {LONGEST_NAME} characters", node)
@@ -115,7 +125,8 @@ def _stated(node: object, name: str, type_name: str) -> object:
 
 
 def parse_document(content: bytes, api_version: str, kinds: dict[str, dict[str, str]]) -> dict:
-    """kind, scope, name and attributes of one document; raises InvalidDocument with the first thing wrong."""
+    """kind, scope, name, attributes and envelope (all but the attributes, as plain values) of one document; raises
+    InvalidDocument with the first thing wrong and its line, for what is missing that of what should hold it."""
     import yaml
 
     try:
@@ -128,23 +139,25 @@ def parse_document(content: bytes, api_version: str, kinds: dict[str, dict[str,
     if len(nodes) != 1 or nodes[0] is None:
         raise InvalidDocument(f"{len(nodes)} documents where one is due" if len(nodes) != 1 else "the document is empty")
     root = _mapping(nodes[0], "the document")
-    done: set[int] = set()
-    for key, (_, value) in root.items():
-        if key != "attributes":
-            _check_envelope(value, key, done)
-    version = root.get("apiVersion", (None, None))[1]
+    done: dict[int, object] = {}
+    try:
+        envelope = {key: _built(value, key, done) for key, (_, value) in root.items() if key != "attributes"}
+    except RecursionError:
+        raise InvalidDocument("the envelope is nested too deep", nodes[0]) from None
+    version = root.get("apiVersion", (None, nodes[0]))[1]
     if getattr(version, "value", None) != api_version:
         raise InvalidDocument(f"apiVersion is not {api_version}", version)
     if "provider_id" in root:
         raise InvalidDocument("provider_id cannot be declared", root["provider_id"][0])
     if "metadata" not in root:
-        raise InvalidDocument("metadata is missing")
+        raise InvalidDocument("metadata is missing", nodes[0])
     metadata = _mapping(root["metadata"][1], "metadata")
     if "provider_id" in metadata:
         raise InvalidDocument("metadata.provider_id cannot be declared", metadata["provider_id"][0])
-    kind, name, scope = _identifier(root, "kind", "kind"), _identifier(metadata, "name", "metadata.name"), _identifier(metadata, "scope", "metadata.scope")
+    below = root["metadata"][1]
+    kind, name, scope = _identifier(nodes[0], root, "kind", "kind"), _identifier(below, metadata, "name", "metadata.name"), _identifier(below, metadata, "scope", "metadata.scope")
     if "attributes" not in root:
-        raise InvalidDocument("attributes is missing")
+        raise InvalidDocument("attributes is missing", nodes[0])
     attributes = _mapping(root["attributes"][1], "attributes")
     if kind not in kinds:
         raise InvalidDocument(f"unknown kind {kind}", root["kind"][1])
@@ -154,7 +167,7 @@ def parse_document(content: bytes, api_version: str, kinds: dict[str, dict[str,
     values = {k: _stated(node, k, kinds[kind][k]) for k, (_, node) in attributes.items()}
     if why := problem_of(values):
         raise InvalidDocument(why, root["attributes"][0])
-    return {"kind": kind, "scope": scope, "name": name, "attributes": values}
+    return {"kind": kind, "scope": scope, "name": name, "attributes": values, "envelope": envelope}
 
 
 def parse_documents(documents: DataFrame, tenant_id: str, api_version: str, kinds: dict[str, dict[str, str]]) -> DataFrame:
@@ -186,19 +199,29 @@ def revision_errors(parsed: DataFrame) -> DataFrame:
 
 def ingest_revision(spark: SparkSession, path: str, tenant_id: str, revision_id: str, api_version: str, kinds: dict[str, dict[str, str]]) -> DataFrame:
     """The declared plane of a revision, whole or not at all: raises InvalidRevision with every error. No documents are a
-    valid, empty plane. Parsed rows are kept for both uses; errors, which a person is to read, come to the driver."""
+    valid, empty plane. Parsed rows are kept for both uses; of the errors, which a person is to read, the first ``SHOWN``
+    come to the driver."""
     # the revision is part of the plan: a later one of the same folder never meets these rows in the cache
     parsed = parse_documents(read_documents(spark, path), tenant_id, api_version, kinds).withColumn("revision_id", F.lit(revision_id)).persist()
-    errors = [(r.source, r.line, r.message) for r in revision_errors(parsed).collect()]
+    errors = [(r.source, r.line, r.message) for r in revision_errors(parsed).limit(SHOWN).collect()]
     if errors:
         parsed.unpersist()
         raise InvalidRevision(errors)
     return parsed.select(*KEY, F.lit(None).cast("string").alias("provider_id"), "attributes", "revision_id")
 
 
+def ingest_and_commit(spark: SparkSession, path: str, store: str, tenant_id: str, revision_id: str, api_version: str, kinds: dict[str, dict[str, str]]) -> bool:
+    """Make the documents below ``path`` the tenant's active revision at ``store``; False where the revision is there already:
+    the same commit may come any number of times."""
+    if is_committed(spark, store, tenant_id, revision_id):
+        return False
+    seen = active_revision(spark, store, tenant_id)
+    return commit(ingest_revision(spark, path, tenant_id, revision_id, api_version, kinds), store, tenant_id, revision_id, seen)
+
+
 def kinds_of(table: DataFrame) -> dict[str, dict[str, str]]:
     """The kind table (kind, schema as JSON text) as a dictionary; a handful of rows."""
     return {r.kind: json.loads(r.schema) for r in table.collect()}
 
 
-__all__ = ["ENCODED_ARROW", "InvalidDocument", "InvalidRevision", "ingest_revision", "kinds_of", "parse_document", "parse_documents", "read_documents", "revision_errors"]
+__all__ = ["ENCODED_ARROW", "InvalidDocument", "InvalidRevision", "ingest_and_commit", "ingest_revision", "kinds_of", "parse_document", "parse_documents", "read_documents", "revision_errors"]

@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .recorded import ProviderUnavailable, records_in
+
 #: Attempts of a page, the first delay in seconds and its growth; HTTP statuses that may pass. Fixed values.
 ATTEMPTS, DELAY, GROWTH = 4, 0.5, 2
 TRANSIENT = (429, 500, 502, 503, 504)
@@ -23,25 +25,46 @@ def is_transient(error: BaseException) -> bool:
 
 
 def with_retry(call: Callable[[], object], transient: Callable[[BaseException], bool] = is_transient, sleep: Callable[[float], None] = time.sleep) -> object:
-    for turn in range(ATTEMPTS):
+    """What ``call`` gives; an error that may pass is waited out a few times, ever longer."""
+    delay = DELAY
+    for left in reversed(range(ATTEMPTS)):
         try:
             return call()
         except Exception as why:
-            if turn == ATTEMPTS - 1 or not transient(why):
+            if not left or not transient(why):
                 raise
-            sleep(DELAY * GROWTH**turn)
-    raise AssertionError
+        sleep(delay)
+        delay *= GROWTH
+
+
+def next_token(payload: dict) -> str | None:
+    """The continuation token of a page's envelope, None on the last page."""
+    metadata = payload.get("metadata")
+    return (metadata.get("continue") or None) if isinstance(metadata, dict) else None
+
+
+class ListClient:
+    """Pages of a list API: ``fetch(path, query)`` gives the text of one page, of a namespace or of all."""
+
+    def __init__(self, fetch: Callable[[str, dict], str], resource: str, envelope: str = "items", namespace: str = "", page_size: int = 200) -> None:
+        self._fetch, self._envelope, self._size = fetch, envelope, page_size
+        self._path = f"namespaces/{namespace}/{resource}" if namespace else resource
+
+    def page(self, token: str | None) -> tuple[list, str | None]:
+        text = self._fetch(self._path, {"limit": self._size} | ({"continue": token} if token else {}))
+        return records_in(text, self._envelope), next_token(json.loads(text))
 
 
 def pages(client: object, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple[int | None, str | None, bool]]:
-    """(position, record, gap) of a whole chain; raises the error if the first page fails already."""
+    """(position, record, gap) of a whole chain; ProviderUnavailable if the first page fails already. A page that comes but
+    cannot be read has failed as well."""
     token, at = None, 0
     while True:
         try:
             records, token = with_retry(lambda t=token: client.page(t), sleep=sleep)
-        except Exception:
+        except Exception as why:
             if not at:
-                raise
+                raise ProviderUnavailable(f"no page could be read: {type(why).__name__} {why}") from why
             yield None, None, True
             return
         for record in records:
@@ -53,18 +76,20 @@ def pages(client: object, sleep: Callable[[float], None] = time.sleep) -> Iterat
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.client = options["client"]
+        self.client, self.namespace = options["client"], options.get("namespace", "")
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(0)]  # a token chain is sequential
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         module, _, factory = self.client.partition(":")
-        yield from pages(getattr(importlib.import_module(module), factory)())
+        make = getattr(importlib.import_module(module), factory)
+        yield from pages(make(self.namespace) if self.namespace else make())
 
 
 class PagedSource(DataSource):
-    """``spark.dataSource.register(PagedSource)``; ``spark.read.format("paged").option("client", "module:factory").load()``."""
+    """``spark.dataSource.register(PagedSource)``; ``spark.read.format("paged").option("client", "module:factory").load()``,
+    with ``option("namespace", ...)`` for one namespace. The factory runs in the task, so credentials are read there."""
 
     @classmethod
     def name(cls) -> str:

@@ -105,6 +105,19 @@ def normalised(records: DataFrame, adapter: Adapter, tenant_id: str) -> DataFram
     return records.select("position", "record").mapInArrow(run, NORMALISED)
 
 
+def collector(spark: SparkSession, adapter: Adapter, tenant_id: str, path: str = "", client: str = "", namespace: str = "") -> DataFrame:
+    """Normalised rows of one read: of recorded payloads at ``path``, else live through ``client`` (``module:factory``). A
+    chain of pages that broke gives one row with a NULL position."""
+    if path:
+        return normalised(read_recorded(spark, path, adapter.envelope), adapter, tenant_id)
+    from .paged import PagedSource
+
+    spark.dataSource.register(PagedSource)
+    live = spark.read.format("paged").option("client", client).option("namespace", namespace).load()
+    gap = live.filter("gap").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in NORMALISED.fields])
+    return normalised(live.filter("not gap"), adapter, tenant_id).unionByName(gap)
+
+
 def run_summary(rows: DataFrame, has_gap: bool = False) -> DataFrame:
     """records_read, records_written, errors and status of one read."""
     from ..operators.discovery import run_status

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from duoplane import catalogue
 from duoplane.functions import canon, compare, config, literals
 from duoplane.model import KEY
-from duoplane.operators import diffing, discovery, matching
+from duoplane.operators import decisions as decisions_module
+from duoplane.operators import diffing, discovery, lifecycle, matching, revisions
 from duoplane.sources import documents, paged, recorded
+from duoplane.streaming import observe
 
 DATA = "/root/testdata/sf0.001"
 ROW = "kind string, tenant_id string, scope string, name string, provider_id string, a string"
@@ -57,6 +59,25 @@ def test_matching_truth_table(spark, declared, discovered, decided, expected):
 def test_duplicates_are_refused(spark):
     with pytest.raises(ValueError, match="declared key"):
         matching.check_inputs(plane(spark, ("web", None, {}), ("web", None, {})), plane(spark, ("web", "1", {})))
+    one, two, ids = plane(spark, ("web", None, {})), plane(spark, ("web", "1", {}), ("web", "2", {})), plane(spark, ("web", "1", {}), ("api", "1", {}))
+    for declared, discovered in ((two, one), (one, two)):
+        with pytest.raises(Exception, match="key: more than one row of Deployment/t/default/web"):
+            matching.match_resources(declared, discovered).pairs.select("name").collect()
+    with pytest.raises(Exception, match="confirmed provider id"):
+        matching.match_resources(one, ids, decisions(spark, ("web", "1", True), ("api", "1", True))).rows.collect()
+    with pytest.raises(ValueError, match="provider id"):
+        matching.check_inputs(one, ids)
+    with pytest.raises(Exception, match="without provider id"):
+        decisions_module.anchored(decisions(spark, ("web", None, True))).collect()
+
+
+def test_absent_rows_and_other_tenants_stay_out(spark):
+    declared, discovered = plane(spark, ("web", None, {}), ("api", None, {})), plane(spark, ("web", "1", {}), ("api", "2", {}))
+    marked = discovered.withColumn("is_absent", F.when(F.col("name") == "web", True))
+    found = matching.match_resources(declared, matching.present(marked))
+    assert [r.name for r in found.pairs.collect()] == ["api"] and [r.name for r in found.declared_orphans.collect()] == ["web"]
+    other = declared.withColumn("tenant_id", F.lit("u"))
+    assert matching.match_resources(matching.of_tenant(declared.unionByName(other), "t"), discovered).pairs.count() == 2
 
 
 VALUES = st.one_of(st.none(), st.booleans(), st.integers(0, 3), st.sampled_from([3.0, "", "3", [1], {}]))
@@ -111,8 +132,13 @@ def test_settings_are_checked():
 
 
 def test_barricade():
-    assert canon.problem_of({"a": [1, {"b": math.nan}]}) == "a[1].b is nan, which JSON cannot represent"
-    assert "NUL" in canon.problem_of({"a": "x\0"}) and "surrogate" in canon.problem_of({"a": "\ud800"}) and "NUL" in canon.problem_of({"a": {"k\0": 1}})
+    assert canon.problem_of({"a": [1, {"b": math.nan}]}) == "a[1].b: nan is not a finite number"
+    assert "U+0000" in canon.problem_of({"a": "x\0"}) and "U+D800" in canon.problem_of({"a": "\ud800"}) and "U+0000" in canon.problem_of({"a": {"k\0": 1}})
+    assert canon.problem_of({"b": [math.inf], "a": "\0"}).startswith("a:") and "no text" in canon.problem_of({"a": {1: 2}}) and "set" in canon.problem_of({"a": {1}}) and canon.problem_of({"a": (1, None, True, 2.5)}) is None
+    assert canon.problem_of({"a": 10**4299}) is None and "digits" in canon.problem_of({"a": 10**4300})
+    loop = []
+    loop.append(loop)
+    assert "nested" in canon.problem_of({"a": loop}) and canon.encode_text('{"a": ' + "[" * 400 + "]" * 400 + "}")["problem"] is None
     assert canon.encode_text("[1]")["problem"] and canon.encode_text(None)["problem"] and canon.encode_text("{")["problem"] and canon.encode_text('{"a":1,"a":2}')["attributes"][0][1]["canon"] == "2"
     assert literals.parse_int("-0") == 0 and literals.parse_bool("true") is True
     for bad in ("007", "1.0", "", "0x1", "9" * 5000):
@@ -136,6 +162,11 @@ def test_documents():
     with pytest.raises(documents.InvalidDocument) as found:
         doc(GOOD.format("x"))
     assert found.value.line == 7
+    for text, line in ((GOOD.format("3").replace("  name: web\n", ""), 4), (GOOD.format("3").replace("kind: Deployment\n", ""), 1), (GOOD.format("3").replace("attributes:\n  replicas: 3\n", ""), 1)):
+        with pytest.raises(documents.InvalidDocument, match="is missing") as found:
+            doc(text)
+        assert found.value.line == line
+    assert doc("labels: &x {on: [1, 2.5, null]}\nmore: *x\n" + GOOD.format("3"))["envelope"]["more"] == {"on": [1, 2.5, None]}
     levels = "l0: &l0 [x]\n" + "".join(f"l{i}: &l{i} [{', '.join([f'*l{i - 1}'] * 6)}]\n" for i in range(1, 10))
     assert doc(levels + GOOD.format("1"))["name"] == "web"  # shared nodes are looked at once
 
@@ -163,6 +194,156 @@ def test_recorded_payloads(spark, tmp_path):
         recorded.records_in('{"data": []}', "items")
 
 
+def deployments(*rows):
+    return [{"metadata": {"name": n, "namespace": "default", "uid": u}, "spec": {"replicas": r}} for n, u, r in rows]
+
+
+def broken_client():
+    return Pages(0, 410, 9)
+
+
+def two_pages(namespace=""):
+    """A list API of two pages, the second with a token that nothing follows."""
+
+    def fetch(path, query):
+        assert path == (f"namespaces/{namespace}/deployments" if namespace else "deployments") and query["limit"] == 200
+        first = "continue" not in query
+        return json.dumps({"items": deployments(("web", "1", 3), ("web", "2", 4)) if first else deployments(("api", "3", None)), "metadata": {"continue": "next"} if first else {}})
+
+    return paged.ListClient(fetch, "deployments", namespace=namespace)
+
+
+def gap_client():
+    return Pages(1, 410, 9)
+
+
+def test_a_collector_run(spark):
+    kinds = spark.createDataFrame([("Deployment", "{}")], "kind string, schema string")
+    state = plane(spark, ("web", "0", {}), ("old", "9", {})).select("*", F.lit("r0").alias("last_seen_run"), F.lit("c").alias("collector"), F.lit(False).alias("is_absent"), F.lit(None).cast("timestamp").alias("absent_since"))
+    now = F.lit("2024-01-01").cast("timestamp")
+
+    def run(client, adapter=recorded.DEPLOYMENTS, namespace="", known=kinds):
+        read = lambda: recorded.collector(spark, adapter, "t", client=f"tests.test_reconciliation:{client}", namespace=namespace).persist()
+        after, record, rejected = discovery.run_collector(state, known, read, adapter.kind, "t", "r1", "c", now)
+        return {r.name: (r.provider_id, r.is_absent) for r in after.collect()}, record.first(), rejected.collect()
+
+    for namespace in ("", "default"):
+        after, record, rejected = run("two_pages", namespace=namespace)
+        assert after == {"web": ("2", False), "old": ("9", False)} and (record.records_read, record.records_written, record.errors, record.status, record.has_gap) == (3, 2, 1, "partial", False)
+        assert [r.position for r in rejected] == [2]
+    every = recorded.Adapter("Deployment", "items", ("metadata", "namespace"), ("metadata", "name"), ("metadata", "uid"), {"replicas": ("spec", "replicas")}, frozenset({"replicas"}))
+    after, record, _ = run("two_pages", every)
+    assert after == {"web": ("2", False), "api": ("3", False), "old": ("9", True)} and record.status == "success"
+    after, record, rejected = run("two_pages", every, known=kinds.limit(0))
+    assert after == {"web": ("0", True), "old": ("9", True)} and len(rejected) == 3
+    after, record, _ = run("gap_client")
+    assert record.status == "partial" and record.has_gap and not any(gone for _, gone in after.values())
+    failed = discovery.opened(spark.sql("select 't' tenant_id, 'c' collector, 'r' run_id, timestamp'2024-01-01' started_at")).first()
+    assert failed.status == "failed" and failed.finished_at is None
+
+    def unreadable():
+        raise recorded.ProviderUnavailable("gone")
+
+    after, record, rejected = discovery.run_collector(state, kinds, unreadable, "Deployment", "t", "r1", "c", now)
+    assert after.count() == 2 and record.first().status == "failed" and rejected.count() == 0
+    with pytest.raises(Exception, match="no page could be read"):
+        recorded.collector(spark, recorded.DEPLOYMENTS, "t", client="tests.test_reconciliation:broken_client").collect()
+    with pytest.raises(Exception, match="a collector of Other gave Deployment"):
+        discovery.of_collector(plane(spark, ("web", "1", {})), "Other").collect()
+
+
+def test_instances(spark, tmp_path):
+    record = {"compartment-id": "c", "display-name": "vm", "id": "i-1", "shape": "small", "shape-config": {"ocpus": 2.0}, "lifecycle-state": "RUNNING"}
+    (tmp_path / "i.json").write_text(json.dumps({"data": [record, {**record, "shape-config": None, "id": None}]}))
+    good, bad = sorted(recorded.collector(spark, recorded.INSTANCES, "t", str(tmp_path / "i.json")).collect(), key=lambda r: r.position)
+    assert (good.kind, good.scope, good.name, good.provider_id) == ("ComputeInstance", "c", "vm", "i-1") and {k: v.canon for k, v in good.attributes.items()} == {"shape": '"small"', "ocpus": "2.0"}
+    assert bad.problem == "missing fields: id, shape-config.ocpus"
+
+
+def test_revisions_are_committed_once(spark, tmp_path):
+    store, docs = f"file://{tmp_path}/store", tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.yaml").write_text(GOOD.format("3"))
+    take = lambda rev: documents.ingest_and_commit(spark, str(docs), store, "t", rev, "planes.example/v1", {"Deployment": {"replicas": "int"}})
+    assert revisions.committed_plane(spark, store, "t") is None and take("r1") and not take("r1")
+    (docs / "a.yaml").write_text(GOOD.format("4"))
+    assert take("r2") and not take("r1") and revisions.active_revision(spark, store, "t") == "r2" and revisions.active_revision(spark, store, "u") is None
+    assert [r.attributes["replicas"].canon for r in revisions.committed_plane(spark, store, "t").collect()] == ["4"]
+    with pytest.raises(revisions.RevisionConflict):  # it saw r1 as active, but r2 came in between
+        revisions.commit(plane(spark, ("x", None, {})), store, "t", "r3", "r1")
+    (docs / "a.yaml").write_text("[")
+    with pytest.raises(documents.InvalidRevision):
+        take("r4")
+    assert revisions.active_revision(spark, store, "t") == "r2"
+    table = revisions.activate(spark.createDataFrame([("t", "a", True), ("u", "b", True)], "tenant_id string, revision_id string, is_active boolean"), "t", "c")
+    assert {(r.revision_id, r.is_active) for r in table.collect()} == {("a", False), ("b", True), ("c", True)}
+
+
+def test_state_in_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    rows = lambda *x: spark.createDataFrame(x, "k long, at long, v string")
+    observe.merge_latest(spark, path, rows(*[(i, 1, "a") for i in range(40)]), 0, ["k"], ["at"], 8)
+    for _ in range(2):  # a batch that comes again changes nothing
+        observe.merge_latest(spark, path, rows((1, 2, "b"), (50, 1, "c"), (2, 0, "late")), 1, ["k"], ["at"], 8)
+    for i in range(2, 6):
+        observe.merge_latest(spark, path, rows((1, i, f"v{i}")), i, ["k"], ["at"], 8)
+    found = {r.k: r.v for r in observe.current(spark, path).collect()}
+    assert len(found) == 41 and found[1] == "v5" and found[50] == "c" and found[2] == "a"
+    assert all(len(v) <= observe.KEPT for v in observe._held(spark, path).values())
+
+
+def test_a_stream_at_an_interval(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k long, at long").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k long, at long").parquet(f"{tmp_path}/in")
+    running = observe.observe(stream, f"{tmp_path}/state", f"{tmp_path}/log", ["k"], ["at"], "1 second")
+    running.processAllAvailable()
+    running.stop()
+    assert {(r.k, r.at) for r in observe.current(spark, f"{tmp_path}/state").collect()} == {(1, 2), (2, 1)}
+
+
+def test_moments_do_not_depend_on_the_session_zone(spark):
+    pairs = [("2026-07-30T01:00:00", "2026-07-30T01:00:00Z", True), ("20260730T010000", "2026-07-30T01:00:00", True), ("2026-03-08T02:30:00", "2026-03-08 02:30:00Z", True), ("2026-07-30T23:30:00-04:00", "2026-07-31T03:30:00", True), ("2026-07-30T23:59:59Z", "2026-07-31T00:00:00Z", False), ("1969-12-31T23:00:00Z", "1969-12-31T01:00:00Z", True)]
+    rows = [(i, json.dumps({"v": a}), json.dumps({"v": b})) for i, (a, b, _) in enumerate(pairs)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York", "Asia/Kathmandu"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            frame = spark.createDataFrame(rows, "i int, a string, b string").select("i", canon.encoded(F.col("a"))["attributes"]["v"].alias("l"), canon.encoded(F.col("b"))["attributes"]["v"].alias("r"))
+            got = {r.i: r.x for r in frame.select("i", compare.audited(F.col("l"), F.col("r"), config.FieldConfig("timestamp", "semantic_utc", precision="day")).alias("x")).collect()}
+            assert [got[i].agree for i in range(len(pairs))] == [p[2] for p in pairs], tz
+            assert got[3].declared_transformed == "2026-07-31 00:00:00+00:00" and got[5].declared_transformed == "1969-12-31 00:00:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_lifecycle_keeps_history(spark, tmp_path):
+    key, now = ("Deployment", "t", "default"), F.lit("2024-06-01").cast("timestamp")
+    schema = "kind string, tenant_id string, scope string, name string, discrepancy_type string, field_name string, state string, expires_at timestamp, declared_value string, discovered_value string"
+    rows = [("a", "declared_missing", None, "open"), ("a", "discovered_undeclared", None, "open"), ("b", "field", "x", "invalidated"), ("c", "field", "x", "muted"), ("d", "field", "x", "open"), ("e", "field", "x", "open"), ("f", "field", "x", "open"), ("g", "field", "x", "suppressed")]
+    existing = spark.createDataFrame([(*key, n, t, f, s, None, "1", "2") for n, t, f, s in rows], schema)
+    again = spark.createDataFrame([(*key, n, t, f, "open", None, "3", "4") for n, t, f, _ in rows if n in "abcg"], schema).drop("state", "expires_at")
+    declared, discovered = plane(spark, *[(n, None, {}) for n in "abcdfg"]), plane(spark, *[(n, n, {}) for n in "abcdeg"])
+    after = lifecycle.next_states(existing, again, declared, discovered, now)
+    found = sorted((r.name, r.discrepancy_type, r.state, r.transition or "", r.declared_value) for r in after.collect())
+    assert found == sorted([
+        ("a", "declared_missing", "open", "", "3"), ("a", "discovered_undeclared", "open", "", "3"), ("b", "field", "invalidated", "", "1"), ("b", "field", "open", "none>open", "3"), ("c", "field", "muted", "", "1"), ("c", "field", "open", "none>open", "3"),
+        ("d", "field", "open", "", "1"), ("e", "field", "invalidated", "open>invalidated", "1"), ("f", "field", "muted", "open>muted", "1"), ("g", "field", "suppressed", "suppressed>suppressed", "3"),
+    ])
+    path = f"{tmp_path}/history"
+    for run in ("r1", "r2", "r2"):
+        lifecycle.append_transitions(lifecycle.transitions(after, run, now), path)
+    assert {(r.run_id, r["count"]) for r in spark.read.parquet(path).groupBy("run_id").count().collect()} == {("r1", 5), ("r2", 5)}
+
+
+def test_settings_fit_what_kinds_declare():
+    settings_ = config.ComparisonSchema({("D", "n"): config.FieldConfig("numeric", "exact_value"), ("D", "s"): config.FieldConfig("object", "opaque")})
+    settings_.check_declared({"D": {"n": "int"}})
+    for kinds in ({"D": {"n": "str"}}, {"D": {"s": "str"}}):
+        with pytest.raises(config.InvalidFieldType):
+            settings_.check_declared(kinds)
+
+
 class Pages:
     def __init__(self, fail_at=None, status=503, times=1):
         self.fail_at, self.status, self.times = fail_at, status, times
@@ -193,7 +374,7 @@ def test_absence_needs_a_complete_run(spark):
         assert {r.name: r.is_absent for r in after.collect()} == {"web": False, "api": gone}
 
 
-SAMPLE = ["reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert"]
+SAMPLE = ["reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert", "present_only_match", "run_records", "overlapping_runs", "match_constraints", "yaml_barricade", "audit_sampled", "commit_revisions"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
