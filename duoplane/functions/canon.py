@@ -61,8 +61,8 @@ def encode(value: object) -> dict:
 
 #: Characters that a stored text cannot hold: U+0000, and halves of surrogate pairs.
 _UNSTORABLE = re.compile("[\x00\ud800-\udfff]")
-#: Levels of lists and objects, and bits of an integer, beyond which a value has no stored form. 4300 digits need 14,285 bits.
-MOST_LEVELS, MOST_BITS = 500, 14_284
+#: Levels of lists and objects beyond which a value has no stored form, and the least integer that has none (4301 digits).
+MOST_LEVELS, TOO_LARGE = 500, 10**4300
 
 
 def _unfit_text(text: str) -> str:
@@ -78,7 +78,7 @@ def _unfit(value: object) -> str:
         case str():
             return _unfit_text(value)
         case int():
-            return "an integer of too many digits" if value.bit_length() > MOST_BITS else ""
+            return "an integer of too many digits" if abs(value) >= TOO_LARGE else ""
         case float():
             return "" if math.isfinite(value) else f"{value} is not a finite number"
     return f"a {type(value).__name__} has no JSON form"
