@@ -304,7 +304,8 @@ def _lookup_of(body: bytes) -> np.ndarray:
 
 
 def parse(data: bytes) -> Image:
-    """Markers of a file; raises ValueError for what isn't an 8-bit progressive Huffman JPEG of 1 or 3 components."""
+    """Markers of a file; raises ValueError for what isn't an 8-bit progressive Huffman JPEG of 1 or 3 components, and for one
+    that claims more than its bytes can hold, before anything is allocated for it."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
     image, at, dc, ac, interval = Image(), 2, {}, {}, 0
@@ -337,12 +338,21 @@ def parse(data: bytes) -> Image:
                 raise ValueError("8-bit samples of 1 or 3 components only")
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             image.components = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
+            factors = [f for c in image.components for f in (c.h, c.v)]
+            if not image.width or not image.height or not all(1 <= f <= 4 for f in factors):
+                raise ValueError("an empty image, or sampling factors that aren't 1 to 4")
             hs, vs = max(c.h for c in image.components), max(c.v for c in image.components)
+            if any(hs % c.h or vs % c.v for c in image.components):
+                raise ValueError("sampling factors that aren't whole ratios")
+            if image.blocks:
+                raise ValueError("more than one frame")
             wide, tall = -(-image.width // (8 * hs)), -(-image.height // (8 * vs))
             for c in image.components:
                 c.blocks_wide, c.blocks_high, c.first = wide * c.h, tall * c.v, image.blocks
                 c.used_wide, c.used_high = -(-image.width * c.h // (8 * hs)), -(-image.height * c.v // (8 * vs))
                 image.blocks += c.blocks_wide * c.blocks_high
+            if image.blocks > 8 * len(data):  # a block takes a bit at least
+                raise ValueError(f"{image.width} x {image.height} pixels are more than {len(data)} bytes can hold")
         elif code in (0xC0, 0xC1, *range(0xC3, 0xC4), *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
             raise ValueError("only progressive Huffman-coded JPEG")
         elif code == 0xDA:
@@ -350,6 +360,8 @@ def parse(data: bytes) -> Image:
             idents = [c.ident for c in image.components]
             parts = [idents.index(body[1 + 2 * i]) for i in range(k)]
             start, end, high, low = body[1 + 2 * k], body[2 + 2 * k], body[3 + 2 * k] >> 4, body[3 + 2 * k] & 15
+            if not 0 <= start <= end <= 63 or low > 13 or (start == 0) != (end == 0) or k != len(parts) or len(set(parts)) != k or (start and k != 1):
+                raise ValueError("a scan of impossible bounds")
             found = _SCAN_END.search(data, at)
             stop = found.start() if found else len(data)
             tables = [(dc.get(body[2 + 2 * i] >> 4) if start == 0 else ac.get(body[2 + 2 * i] & 15)) for i in range(k)]

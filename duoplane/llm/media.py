@@ -43,7 +43,7 @@ def _rgb(data: bytes | None) -> tuple:
     try:
         found, coefs, _ = jpeg.decode([data])
         rgb = jpeg.to_rgb(found[0], jpeg.samples(found, coefs))
-    except (ValueError, IndexError, KeyError, TypeError) as why:
+    except (ValueError, LookupError, TypeError, ArithmeticError, MemoryError) as why:
         return None, None, None, str(why) or type(why).__name__
     return rgb.shape[0], rgb.shape[1], rgb.tobytes(), None
 
