@@ -65,9 +65,9 @@ def _features(pieces: list[bytes], owner: np.ndarray, chosen: np.ndarray | None)
     gap[ends - 1] = True
     out, window, across = [], np.zeros(len(flat), np.uint64), np.zeros(len(flat), bool)
     for k in range(max(ORDERS)):
-        window[: len(flat) - k] |= flat[k:] << np.uint64(8 * k)
+        window[: max(0, len(flat) - k)] |= flat[k:] << np.uint64(8 * k)
         across |= gap[k : k + len(flat)]
-        across[len(flat) - k :] = True
+        across[max(0, len(flat) - k) :] = True
         if k + 1 in ORDERS:
             code = (((window + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
             at = np.flatnonzero(~across & chosen[code]) if chosen is not None else np.flatnonzero(~across)
