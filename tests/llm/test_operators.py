@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from duoplane.llm import bpe, components, jaccard, jpeg, langid, licenses, media, mixing, substring, token_counts, topk, toxicity
+from duoplane.llm import bpe, common, components, jaccard, jpeg, langid, licenses, media, mixing, substring, token_counts, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["", " \n\t ", "a", "Ünïcode ²³ Ⅷ 漢字 \x1c\x1d", "x <|endoftext|> y", "it's we'll" * 40, "a" * 3000, "ab " * 4000, "\u0000 nul", "🙂🙃" * 30]
@@ -100,6 +100,92 @@ def test_broken_images_say_why(spark):
     assert found[2].error and found[4].error and found[3].error is None and found[3].rgb is None
 
 
+CODES = list(range(12)), [0x00, 0x01, 0x02, 0x03, 0x11, 0x12, 0x21, 0xF0, *(16 * r for r in range(1, 15))]
+
+
+class Bits:
+    """Bits of a hand-made scan: DC symbols have codes of 4 bits, AC symbols of 8, in the order of ``CODES``."""
+
+    def __init__(self):
+        self.bits = ""
+
+    def dc(self, diff):
+        size = abs(diff).bit_length()
+        self.bits += f"{CODES[0].index(size):04b}" + (f"{diff if diff > 0 else diff + (1 << size) - 1:0{size}b}" if size else "")
+        return self
+
+    def ac(self, symbol, extra=""):
+        self.bits += f"{CODES[1].index(symbol):08b}" + extra
+        return self
+
+    def scan(self, components, start, end, high=0, low=0):
+        bits = self.bits + "1" * (-len(self.bits) % 8)
+        data = bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+        return jpeg._marker(0xDA, bytes([len(components), *(x for c in components for x in (c, 0)), start, end, high << 4 | low])) + data
+
+
+def by_hand(width, height, factors, *scans):
+    frame = bytes([8, *height.to_bytes(2, "big"), *width.to_bytes(2, "big"), len(factors), *(x for i, f in enumerate(factors) for x in (i + 1, f, 0))])
+    tables = b"".join(jpeg._marker(0xC4, bytes([k << 4, *(len(c) if n == (4, 8)[k] else 0 for n in range(1, 17)), *c])) for k, c in enumerate(CODES))
+    return b"\xff\xd8" + jpeg._marker(0xDB, b"\x00" + b"\x01" * 64) + jpeg._marker(0xC2, frame) + tables + b"".join(scans) + b"\xff\xd9"
+
+
+def test_files_without_restarts():
+    # grey, three blocks, one end-of-band run over all of them, then a refinement with another
+    first = Bits().ac(0x02, "11").ac(0x10, "1").scan([1], 1, 63, 0, 1)
+    refined = Bits().ac(0x10, "1" + "1").scan([1], 1, 63, 1, 0)
+    grey = by_hand(24, 8, [0x11], Bits().dc(100).dc(-7).dc(0).scan([1], 0, 0), first, refined)
+    images, coefs, _ = jpeg.decode([grey])
+    assert coefs[:, 0].tolist() == [100, 93, 93] and coefs[0, 1] == 7 and not coefs[1:, 1:].any() and not coefs[0, 2:].any()
+    rgb = jpeg.to_rgb(images[0], jpeg.samples(images, coefs))
+    assert rgb.shape == (8, 24, 3) and (rgb[:, 8:] == round(128 + 93 / 8)).all()
+    # interleaved DC, no subsampling: Y, Cb, Cr of one square after the other
+    full = by_hand(16, 8, [0x11, 0x11, 0x11], Bits().dc(8).dc(16).dc(-24).dc(8).dc(0).dc(8).scan([1, 2, 3], 0, 0))
+    assert jpeg.decode([full])[1][:, 0].tolist() == [8, 16, 16, 16, -24, -16]
+    # interleaved DC, chroma halved both ways: four luma blocks of a square, row by row, then one of either chroma
+    bits = Bits()
+    for diff in (1, 1, 1, 1, 5, 6, 1, 1, 1, 1, 5, 6):
+        bits.dc(diff)
+    half = by_hand(32, 16, [0x22, 0x11, 0x11], bits.scan([1, 2, 3], 0, 0))
+    found = jpeg.decode([half, grey])[1][:, 0].tolist()
+    assert found == [1, 2, 5, 6, 3, 4, 7, 8, 5, 10, 6, 12, 100, 93, 93]
+
+
+def test_no_header_byte_breaks_the_task():
+    good = media.store([media.pad(b"hello")])[0]
+    end = good.index(b"\xff\xda") + 12
+    for i in range(end):
+        for value in {0, 1, 0x44, 0xFF, good[i] ^ 0x80} - {good[i]}:
+            height, _, rgb, error = media._rgb(good[:i] + bytes([value]) + good[i + 1 :])
+            assert (rgb is None) == (error is not None) and (height is None or height <= 65535)
+    huge = good.replace((16).to_bytes(2, "big") * 2, b"\xff\xff\xff\xff", 1)
+    assert "can hold" in media._rgb(huge)[3] and media._rgb(b"")[3]
+
+
+def test_feature_describes_the_stored_image(spark):
+    texts = ["", "plain text " * 40, "é漢🙂" * 100]
+    found = media.text_media(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), with_media=True).collect()
+    for r in found:
+        w, h, *means = map(int, r.feature.replace("x", ":").split(":")[:5])
+        rgb = np.frombuffer(r.rgb, np.uint8).reshape(h, w, 3)
+        images, coefs, _ = jpeg.decode([bytes(r.media)])
+        k = np.arange(8)
+        c = np.where(k[:, None] == 0, np.sqrt(1 / 8), 0.5) * np.cos((2 * k + 1) * k[:, None] * np.pi / 16)
+        planes = []
+        for comp in images[0].components:  # the plain inverse transform, block by block
+            plane = np.zeros((8 * comp.blocks_high, 8 * comp.blocks_wide))
+            for b in range(comp.blocks_high * comp.blocks_wide):
+                block = np.zeros(64)
+                block[jpeg.zigzag()] = coefs[comp.first + b]
+                y, x = divmod(b, comp.blocks_wide)
+                plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = np.clip(np.floor(c.T @ block.reshape(8, 8) @ c + 128.5), 0, 255)
+            planes.append(np.repeat(np.repeat(plane, h // len(plane), axis=0), w // plane.shape[1], axis=1))
+        y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+        want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+        assert np.abs(np.clip(want, 0, 255) - rgb).max() <= 3 and np.abs(1000 * rgb.reshape(-1, 3).mean(axis=0) - means).max() <= 1
+        assert hashlib.sha256(r.media).hexdigest() == r.media_sha256
+
+
 def test_language_by_compression(spark, none):
     rnd = random.Random(1)
     vocabulary = [sentence(rnd, 60, "abcde").split(), sentence(rnd, 60, "vwxyz").split()]
@@ -136,6 +222,18 @@ def test_token_counts_as_the_library(docs, none, rows):
     assert token_counts.count_tokens(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_token_counts_of_many_small_blocks(docs, rows, monkeypatch):
+    from tokenizers import Tokenizer
+
+    for name, value in (("BLOCK_BYTES", 500), ("SHARE", 1), ("FREQUENT", 2), ("GATHERED", 10)):
+        monkeypatch.setattr(token_counts, name, value)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = Counter((d, len(library.encode(t or "", add_special_tokens=False))) for d, t, *_ in rows)
+    odd = docs.withColumnsRenamed({"lang": "pretoken", "source": "salt"})
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(odd, path, public_tokenizers.PATTERN).collect()) == want
+
+
 def test_packed_numbers():
     values = np.array([0, 1, 127, 128, 300, 2**21, 2**48], np.int64)
     data, offsets = token_counts.pack(values, np.array([0, 3, 7]))
@@ -178,6 +276,84 @@ def test_repeated_passages_go_and_the_rest_stays(spark, docs, none, rows):
     assert substring.dedup(docs).count() == len(rows) and substring.dedup(none).count() == 0
 
 
+def plain_chunks(raw):
+    """Ends of a text's chunks by the rules as stated, one byte at a time."""
+    n, blank = len(raw), b" \t\n\x0b\x0c\r"
+    table = substring._TABLE.tolist()
+    h = [sum(table[raw[i - k]] << k for k in range(min(substring.GEAR, i + 1))) % (1 << 32) for i in range(n)]
+    leads = [i for i in range(n) if raw[i] & 0xC0 != 0x80]
+
+    def chosen(at, reach):
+        return [p for k, p in enumerate(at) if all(h[p - 1] < h[q - 1] for q in at[max(0, k - reach) : k]) and all(h[p - 1] <= h[q - 1] for q in at[k + 1 : k + 1 + reach])]
+
+    words = [i for i in range(1, n) if raw[i - 1] in blank and raw[i] not in blank]
+    cuts = set(chosen(words, substring.REACH))
+    for a, b in zip([0, *words], [*words, n], strict=True):
+        if b - a > substring.SPARSE:
+            cuts |= set(chosen([i for i in leads if a < i < b], substring.CHARACTERS))
+    ends, a = [], 0
+    for b in [*sorted(cuts), n] if n else []:
+        while b - a > substring.LONGEST:
+            near = [w for w in words if a < w <= a + substring.LONGEST] or [i for i in leads if a < i <= a + substring.LONGEST]
+            a = min(near, key=lambda p: (h[p - 1], -p))
+            ends.append(a)
+        if b > a:
+            ends.append(b)
+            a = b
+    return ends
+
+
+def plain_dedup(rows):
+    """(doc_id, text) rows with distinct ids, without their repeated passages."""
+    first, cut = {}, {}
+    for doc_id, text in sorted(rows):
+        raw, a, cut[doc_id] = (text or "").encode(), 0, []
+        for number, b in enumerate(plain_chunks(raw)):
+            cut[doc_id].append((raw[a:b], first.setdefault(raw[a:b], (doc_id, number)) != (doc_id, number)))
+            a = b
+    out = {}
+    for doc_id, text in rows:
+        kept, run = b"", []
+        for chunk, copied in [*cut[doc_id], (b"", False)]:
+            if copied:
+                run.append(chunk)
+                continue
+            if sum(len(c.split()) for c in run) < substring.LEAST_WORDS and sum(map(len, run)) < substring.LEAST_BYTES:
+                kept += b"".join(run)
+            kept, run = kept + chunk, []
+        out[doc_id] = None if text is None else kept.decode()
+    return out
+
+
+def test_dedup_as_plainly(spark):
+    rnd = random.Random(12)
+    shared = [sentence(rnd, 50, "aeioulnrst"), "漢字" * 300, "".join(rnd.choice("ABCabc123+/") for _ in range(700)), "z" * 1500, "ein kurzer Satz."]
+    data = [(i, " ".join(rnd.choice([sentence(rnd, rnd.randint(1, 60)), rnd.choice(shared)]) for _ in range(rnd.randint(0, 6)))) for i in range(120)] + [(900, None), (901, ""), (902, shared[0]), (903, shared[0])]
+    for _, text in data:
+        assert substring.chunk_ends((text or "").encode()) == plain_chunks((text or "").encode())
+    frame = spark.createDataFrame(data, "doc_id long, text string").withColumns({"_own": F.lit(1), "copied": F.lit("x"), "Id": F.col("doc_id"), "n_removed": F.lit(9), "a b": F.lit(2)})
+    found = substring.dedup(frame.repartition(4)).collect()
+    assert {r.doc_id: r.text for r in found} == plain_dedup(data) and len(found) == len(data) and {(r._own, r.copied, r["a b"]) for r in found} == {(1, "x", 2)} and all(r.Id == r.doc_id for r in found)
+
+
+def test_passages_of_documents_without_ids_go(spark):
+    rnd = random.Random(5)
+    passage = sentence(rnd, 120)
+    frame = spark.createDataFrame([(None, f"{sentence(rnd, 30)} {passage} {sentence(rnd, 30)}") for _ in range(8)], "doc_id long, text string")
+    assert sorted(r.n_removed > 0 for r in substring.dedup(frame).collect()) == [False, *[True] * 7]
+
+
+def test_facts_of_hot_keys(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 40}") for i in range(3000)] + [(5000, None)], "i long, k string")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    found = common.join_facts(rows, facts, ["k"], "n", 3001)
+    want = {}
+    for i in range(3000):
+        k = "hot" if i % 3 else f"k{i % 40}"
+        want[k] = min(want.get(k, i), i)
+    assert found.columns == ["k", "i", "least"] and sorted((r.i, r.least) for r in found.collect()) == [(i, want["hot" if i % 3 else f"k{i % 40}"]) for i in range(3000)]
+
+
 def test_chunks_cover_the_text_and_survive_insertion():
     rnd = random.Random(2)
     for text in [*ODD, sentence(rnd, 400)]:
@@ -226,6 +402,54 @@ def test_toxic_words_are_learnt(spark, none):
     assert len(empty.features) == 0 and toxicity.score(none, model).count() == 0 and toxicity.score(frame, empty).count() == 902
 
 
+def test_features_are_all_ngrams(monkeypatch):
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("abc Dé\n") for _ in range(n)).encode() for n in (0, 1, 2, 50, 998, 1001, 3000)]
+    want = set()
+    for i, text in enumerate(texts):
+        folded = bytes(toxicity._FOLD[b] for b in b" " + text + b" ")
+        for k in toxicity.ORDERS:
+            for j in range(len(folded) - k + 1):
+                code = int.from_bytes(folded[j : j + k], "little") + k - 1
+                want.add(i << toxicity.BITS | (code * 0x9E3779B97F4A7C15) % 2**64 >> (64 - toxicity.BITS))
+    for size in (7, 1000, 1 << 20):
+        monkeypatch.setattr(toxicity, "PART_BYTES", size)
+        assert toxicity.features(texts).tolist() == sorted(want)
+
+
+def test_long_documents_are_learnt_from(spark):
+    rnd = random.Random(6)
+    data = [(i, sentence(rnd, 4000) + (" qqzzq" if i % 4 == 0 else "") + sentence(rnd, 10)) for i in range(80)]
+    frame, marks = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.learn(frame, marks)
+    assert len(model.features) and [r.predicted for r in toxicity.score(frame, model).orderBy("doc_id").collect()] == [int(i % 4 == 0) for i in range(80)]
+    few = toxicity.learn(frame, marks, sample_bytes=1)
+    assert len(few.features) == 0  # one document alone
+    plain = {}
+    for i, text in data[:5]:
+        have = {int(x) for x in toxicity.features([text.encode()])}
+        plain[i] = 1 / (1 + np.exp(-sum(w for f, w in zip(model.features.tolist(), model.weights.tolist(), strict=True) if f in have) - model.bias))
+    got = {r.doc_id: r.score for r in toxicity.score(frame, model).collect()}
+    assert all(abs(got[i] - p) < 1e-4 for i, p in plain.items())
+
+
+def test_long_pieces_as_the_library():
+    import tiktoken
+
+    rnd = random.Random(8)
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        coder = bpe.BytePairCoder(public_tokenizers.path(name))
+        assert coder.in_order
+        library = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=coder.ranks, special_tokens={})
+        pieces = ["".join(rnd.choice(letters) for _ in range(n)) for letters in ("a", "ab", "ABCDEFabcdef0123456789+/", "漢字仮名", "etaoin") for n in (256, 257, 448, 449, 3000, 10_000)]
+        pieces += ["abc" * 4000, " " * 5000, "-" * 700 + "=" * 700, "theingation" * 900]
+        want = list(map(library.encode_ordinary, pieces))
+        assert [x.tolist() for x in coder.merge([p.encode() for p in pieces])] == want
+        assert [coder._merge_row(p.encode()).tolist() for p in pieces[:12]] == want[:12]
+        coder.in_order = False  # as for a vocabulary whose windows may not be put together
+        assert [x.tolist() for x in coder.merge([p.encode() for p in pieces[:10]])] == want[:10]
+
+
 def test_bpe_as_the_library(docs, none, rows):
     import tiktoken
 
@@ -267,11 +491,30 @@ def test_jaccard_components(docs, none, rows):
     assert len(kept) == len({(root[i], None if sets[i] else rows[i][:2]) for i in range(len(rows))}) and jaccard.join_components(none).count() == 0
 
 
+def test_jaccard_in_small_blocks(spark, rows, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 700), ("BLOCK_DOCS", 3), ("RANGE_BYTES", 100)):
+        monkeypatch.setattr(jaccard, name, value)
+    rnd = random.Random(3)
+    more = [(1000 + i, " ".join(w if rnd.random() > 0.004 else f"e{i}" for w in rows[10][1].split() * 2), None, None, None) for i in range(40)] + [(2000 + i, "same few words here", None, None, None) for i in range(30)]
+    sets, root = brute_components(rows + more)
+    frame = spark.createDataFrame(rows + more, SCHEMA).withColumns({"id": F.lit(1), "_own": F.lit(2), "component": F.lit(3)})
+    least = {}
+    for (doc_id, *_), r in zip(rows + more, root, strict=True):
+        if doc_id is not None:
+            least[r] = min(least.get(r, doc_id), doc_id)
+    want = Counter((d[0], len(s), least.get(r)) for d, s, r in zip(rows + more, sets, root, strict=True))
+    assert Counter(map(tuple, jaccard.join_components(frame.repartition(5)).collect())) == want
+    kept = jaccard.keep_first(frame)
+    assert kept.columns == frame.columns and kept.count() == len({(root[i], None if s else (rows + more)[i][:2]) for i, s in enumerate(sets)})
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({found[i] for i in range(61)}) == 1 and found[100] == found[101] != found[0]
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    apart = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), few=3).collect()}
+    assert {(found[a] == found[b]) == (apart[a] == apart[b]) for a in found for b in found} == {True} and set(apart) == set(found)
 
 
 @pytest.mark.parametrize("operator, sql, columns", [(mixing.mix, mixing.ORACLE, ["doc_id", "size", "source_size", "target", "taken"]), (licenses.scan, licenses.ORACLE, ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])])
@@ -321,6 +564,67 @@ def test_mix_meets_budgets(docs, rows):
     assert sorted(map(key, found)) == sorted(map(key, mixing.mix(docs.repartition(5)).collect()))
 
 
+def test_mix_of_null_and_repeated_ids(spark, monkeypatch):
+    rnd = random.Random(2)
+    data = [(None if i % 2 else 7, sentence(rnd, rnd.randint(0, 9)), ["a", "b", None][i % 3], f"x{i}") for i in range(600)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string, key string").withColumns({"part": F.lit(1), "_start": F.lit("s"), "before": F.lit(2)})
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 1 / 64)
+    found = mixing.mix(frame).collect()
+    assert sorted(r.key for r in found) == sorted(x[3] for x in data) and {(r.part, r._start, r.before) for r in found} == {(1, "s", 2)}
+    con = duckdb.connect()
+    con.register("documents", frame.toArrow())
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted((key(tuple(r[c] for c in columns)) for r in found)) == sorted(map(key, con.sql(f"select {', '.join(columns)} from ({mixing.ORACLE})").fetchall()))
+
+
+def test_pipeline_as_plainly(spark, tmp_path):
+    """All five stages in plain Python, SQL or a library's words, over a few hundred rows."""
+    import corpus_pipeline
+    import tiktoken
+
+    rnd = random.Random(21)
+    base, passage = [sentence(rnd, 90) for _ in range(12)], sentence(rnd, 60)
+    data = []
+    for i in range(260):
+        words = (rnd.choice(base) if i % 3 == 0 else sentence(rnd, rnd.randint(0, 90))).split()
+        words[:1] = ["edit" + str(i)] * (i % 2)
+        text = " ".join(words) + (f"\n{passage}\n{sentence(rnd, 20)}" if i % 5 == 1 else "") + (" zzqqz" if i % 6 == 0 else "")
+        data.append((i, text, "en", ["s1", "s2", None][i % 3], len(text)))
+    data += [(900, None, None, None, None), (901, "", "en", "s1", 0)]
+    spark.createDataFrame(data, SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(260)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.learn(spark.createDataFrame(data, SCHEMA), labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    clean = [d for d in data if sum(weight.get(f, 0) for f in toxicity.features([(d[1] or "").encode()]).tolist()) + model.bias < 0]
+    assert 150 < len(clean) < 240
+    _, root = brute_components(clean)
+    kept = [d for i, d in enumerate(clean) if root[i] == i]
+    deduped = plain_dedup([d[:2] for d in kept])
+    texts = {d[0]: (deduped[d[0]], d[3]) for d in kept}
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame([(i, t, s) for i, (t, s) in texts.items()], "doc_id long, text string, source string").toArrow())
+    ranks = bpe.coder(public_tokenizers.path("byte_bpe_50k.tiktoken")).ranks
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for doc_id, size, taken in con.sql(f"select doc_id, size, taken from ({mixing.ORACLE})").fetchall():
+        while taken > 0:
+            text = texts[doc_id][0] if taken >= size else " ".join(texts[doc_id][0].encode().split()[i].decode() for i in range(taken))
+            ids = library.encode_ordinary(text)
+            want[doc_id, texts[doc_id][1], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()] += 1
+            taken -= size
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.source, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == want
+
+
+def test_pipeline_of_nothing(spark, none, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
