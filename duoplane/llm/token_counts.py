@@ -151,6 +151,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("pretoken")))  # here, not in the plan: a filter would part the two exchanges
             found = tokenizer.encode_batch(batch.column("pretoken").to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column("pretoken"), batch.column("salts"), pa.array(list(map(len, found)), pa.int64())], ["pretoken", "salts", "n_pieces"])
 
@@ -221,7 +222,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
     used = [F.sum(F.length(c)).alias(c) for c in ("places", "ids", "sizes")] + [F.max("block").alias("block")]
     distinct = keyed.groupBy("pretoken", "salt").agg(*used).filter("coalesce(places, ids, sizes, block) is not null")
     # each pre-token is counted once, wherever its parts are: this exchange holds distinct pre-tokens only
-    parts = distinct.filter("pretoken is not null").groupBy("pretoken").agg(F.collect_list("salt").alias("salts"))
+    salts = F.collect_list(F.when(F.col("pretoken").isNotNull(), F.col("salt"))).alias("salts")
+    parts = distinct.groupBy("pretoken").agg(salts)
     pieces = parts.mapInArrow(pieces_of, "pretoken string, salts array<int>, n_pieces long").select("pretoken", F.explode("salts").alias("salt"), "n_pieces")
     joined = keyed.join(pieces, ["pretoken", "salt"], "left").select("block", "pretoken", "places", "ids", "sizes", "n_pieces")
     sums = joined.mapInArrow(partial_sums, "block long, ids binary, sizes binary, sums binary")
