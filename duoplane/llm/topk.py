@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Rows of a shard and of a leaf, and queries of a block: what a task holds at once.
 SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 8192, 256, 512
 SCALE = 1024
@@ -134,11 +136,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([dim.as_py()] * len(hits), pa.int32()), pa.array([at.as_py()] * len(hits), pa.int32()), *columns], ["dim", "block", "query_id", "vec_id", "score"])
 
     hits_schema = "dim int, block int, query_id long, vec_id long, score long"
+    # written once: every tree is built once, and searched by the home blocks first, then by the others
     trees = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(tree, "dim int, shard int, tree binary")
+    trees = staged(trees, "trees")
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(block, "dim int, block int, queries binary")
+    asked = staged(asked, "queries")
     # A stated query set against all rows, block by block: each block is listed for the shards that it has to visit.
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    first = asked.withColumn("shard", home).join(trees, ["dim", "shard"]).select("dim", "block", "queries", "tree").mapInArrow(visit, hits_schema)
+    first = staged(asked.withColumn("shard", home).join(trees, ["dim", "shard"]).select("dim", "block", "queries", "tree").mapInArrow(visit, hits_schema), "home")
     nth = first.groupBy("dim", "block", "query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") >= k)
     least = nth.groupBy("dim", "block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.element_at("s", k)))).alias("least"))
     others = asked.withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
