@@ -1,9 +1,11 @@
 """Exact top-k search by inner product over KD-trees (operator 4).
 
-Vectors are dealt to shards of bounded size; each shard builds a KD-tree by median splits on its widest side and keeps
-a tight bounding box for every node. A block of queries goes best first through a shard's tree by the boxes' upper
-bounds and stops at the first box below its kth score. Every block searches one home shard first; the kth scores found
-there go along to all other shards.
+Vectors are dealt to cells by median splits fitted on a bounded sample (it only shapes the cells: every row is dealt and
+every answer is exact), and a cell of many rows to several shards of bounded size. Each shard builds a KD-tree by median
+splits on its widest side and keeps a tight bounding box for every node. A block of queries goes best first through its
+home shard's tree by the boxes' upper bounds and stops at the first box below its kth score. The kth scores found there
+are held against the root boxes of all other shards; only the queries whose bound reaches a box go on to its tree, with
+their kth score.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Rows of a shard and of a leaf, and queries of a block: what a task holds at once.
-SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 8192, 256, 512
+#: Rows of a shard and of a leaf, queries of a block, and root boxes of a pack: what a task holds at once.
+SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES, PACK_BOXES = 8192, 256, 512, 4096
+#: Rows of the sample that the cells are fitted on, at most, and of a cell in it, at least.
+SAMPLE_ROWS, CELL_SAMPLE = 16_384, 16
 SCALE = 1024
 
 
@@ -33,6 +37,89 @@ def integer_vectors(vectors: DataFrame, vector_id: str = "vec_id", vector: str =
     return vectors.filter(usable).select(F.col(vector_id).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
 
 
+def split_cells(x: np.ndarray, rows: int) -> np.ndarray:
+    """Median splits of a sample ``x`` of so many rows: axis, cut, and what follows below the cut and from it on (a node, or
+    -1 - cell). A cell stands for at most ``SHARD_ROWS`` rows, unless too little of the sample or only equal vectors are left."""
+    nodes: list[list[int]] = []
+    stack, cells = [(np.arange(len(x)), -1, 0)], 0
+    while stack:
+        index, parent, place = stack.pop()
+        part = x[index]
+        spread = part.max(axis=0) - part.min(axis=0)
+        side = int(np.argmax(spread))
+        leaf = spread[side] == 0 or len(index) < 2 * CELL_SAMPLE or len(index) * rows <= SHARD_ROWS * len(x)
+        if parent >= 0:
+            nodes[parent][place] = -1 - cells if leaf else len(nodes)
+        if leaf:
+            cells += 1
+            continue
+        values = np.sort(part[:, side])
+        cut = values[len(values) // 2]
+        if cut == values[0]:
+            cut = values[np.searchsorted(values, cut, "right")]
+        below = part[:, side] < cut
+        stack += [(index[below], len(nodes), 2), (index[~below], len(nodes), 3)]
+        nodes.append([side, int(cut), 0, 0])
+    return np.array(nodes, np.int64).reshape(-1, 4)
+
+
+def cell_of(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    at = np.full(len(x), 0 if len(nodes) else -1, np.int64)
+    while (inner := np.flatnonzero(at >= 0)).size:
+        axis, cut, below, above = nodes[at[inner]].T
+        at[inner] = np.where(x[inner, axis] < cut, below, above)
+    return -1 - at
+
+
+def _in_cells(rows: DataFrame, splits: dict[int, np.ndarray]) -> DataFrame:
+    """``rows`` (vec_id, dim, asked, v) with ``cell``; vectors of a length that the sample lacks are in one cell."""
+    if not splits:
+        return rows.withColumn("cell", F.lit(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(dims, dtype=np.int64) - dims
+            cells = np.zeros(len(dims), np.int32)
+            for dim in splits.keys() & set(dims.tolist()):
+                mine = np.flatnonzero(dims == dim)
+                cells[mine] = cell_of(flat[starts[mine][:, None] + np.arange(dim)], splits[dim])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], [*batch.schema.names, "cell"])
+
+    return rows.mapInArrow(run, "vec_id long, dim int, asked boolean, v array<long>, cell int")
+
+
+def _fit_cells(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Splits for each length of vectors with more than ``SHARD_ROWS`` rows, from a sample of at most ``SAMPLE_ROWS`` rows."""
+    most = F.struct("n", "dim")
+    total, top = rows.groupBy("dim").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max(most)).first()
+    if not total or top.n <= SHARD_ROWS:
+        return {}
+    some = rows.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(total)) < SAMPLE_ROWS).select("dim", "v").limit(SAMPLE_ROWS).collect()
+    dims = {r.dim for r in some}
+    return {d: split_cells(x, max(1, total * len(x) // len(some))) for d in dims if len(x := np.array([r.v for r in some if r.dim == d], np.int64))}
+
+
+def _exact(size: int) -> type:
+    """A type that sums of up to this size fit exactly; doubles are the fastest."""
+    return np.float64 if size < 2**53 else np.int64 if size < 2**63 else object
+
+
+def upper_bounds(queries: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each query and box the highest inner product that a vector in the box can have."""
+    side = max(abs(int(lo.min())), abs(int(hi.max())), abs(int(lo.max())), abs(int(hi.min())), 1)
+    kind = _exact(max(1, abs(int(queries.min())), abs(int(queries.max()))) * side * queries.shape[1])
+    q, zero = queries.astype(kind), kind(0) if kind is not object else 0
+    return np.maximum(q, zero) @ hi.T.astype(kind) + np.minimum(q, zero) @ lo.T.astype(kind)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The same integers in the narrowest type that holds them."""
+    kinds = (k for k in (np.int16, np.int32) if np.iinfo(k).min <= x.min() and x.max() <= np.iinfo(k).max)
+    return x.astype(next(kinds, np.int64))
+
+
 class Tree:
     """KD-tree over integer vectors; nodes in heap order are not needed, children are listed."""
 
@@ -58,14 +145,13 @@ class Tree:
                 index[a:b] = index[a:b][np.argpartition(part[:, side], half)]
                 stack += [(a, a + half, node), (a + half, b, node)]
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
-        self.ids, self.x = ids[index], x[index]
+        self.ids, self.x = ids[index], _small(x[index])
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, least: list[int | None], k: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """For each query up to k (score, -vec_id) that can be among its best, given a kth score known before."""
-        most = max(1, int(np.abs(queries).max())) * max(1, int(np.abs(self.x).max())) * queries.shape[1]
-        kind = np.float64 if most < 2**53 else np.int64  # exact either way; doubles are faster
+        bounds = upper_bounds(queries, self.lo, self.hi)
+        kind = _exact(max(1, abs(int(queries.min())), abs(int(queries.max()))) * max(1, abs(int(self.lo.min())), abs(int(self.hi.max()))) * queries.shape[1])
         q, x = queries.astype(kind), self.x.astype(kind)
-        bounds = np.maximum(q, 0) @ self.hi.T.astype(kind) + np.minimum(q, 0) @ self.lo.T.astype(kind)
         for i, known in enumerate(least):
             best: list[tuple[int, int]] = []
             floor = known
@@ -107,49 +193,77 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     a vec_id are candidates each; a query id that repeats is answered once, for the smallest of its vectors. Scores
     have to fit a long. No row is dropped at any size: more rows make more shards.
     """
-    spark = vectors.sparkSession
-    rows = vectors.withColumn("dim", F.size("v"))
-    queries = rows.filter(is_query).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"))
-    n, q = sizes.agg(F.max("n"), F.max("q")).first()
-    shards, blocks = max(1, -(-(n or 0) // SHARD_ROWS)), max(1, -(-(q or 0) // BLOCK_QUERIES))
+    rows = vectors.select("vec_id", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asked"), "v")
+    rows = _in_cells(rows, _fit_cells(rows))
+    cell = ["dim", "cell"]
+    counted = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.count_if("asked").alias("q"))
+    cells = staged(counted.select(*cell, F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("blocks")), "cells")
+    packs = max(1, -(-(cells.agg(F.sum("parts")).first()[0] or 0) // PACK_BOXES))
 
     def tree(key: tuple, table: pa.Table) -> pa.Table:
-        ids, x = _matrix(table)
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(Tree(ids, x))], pa.binary())})
+        made = Tree(*_matrix(table))
+        columns = {"dim": key[0].as_py(), "cell": key[1].as_py(), "part": key[2].as_py(), "lo": made.lo[0].tolist(), "hi": made.hi[0].tolist(), "tree": pickle.dumps(made)}
+        return pa.Table.from_pylist([columns], pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("part", pa.int32()), ("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64())), ("tree", pa.binary())]))
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
         ids, x = _matrix(table)
         order = np.argsort(ids)
-        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "queries": pa.array([pickle.dumps((ids[order], x[order]))], pa.binary())})
+        columns = {"dim": key[0].as_py(), "cell": key[1].as_py(), "block": key[2].as_py(), "home": key[3].as_py(), "queries": pickle.dumps((ids[order], _small(x[order])))}
+        return pa.Table.from_pylist([columns], pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("block", pa.int32()), ("home", pa.int32()), ("queries", pa.binary())]))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        at = [table.column(c).to_numpy() for c in ("cell", "part")]
+        box = [table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at[0]), -1) for c in ("lo", "hi")]
+        columns = {"dim": key[0].as_py(), "pack": key[1].as_py(), "boxes": pickle.dumps((*at, *box))}
+        return pa.Table.from_pylist([columns], pa.schema([("dim", pa.int32()), ("pack", pa.int32()), ("boxes", pa.binary())]))
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32()] * 5 + [pa.binary()]
+        for batch in batches:
+            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                ids, x = pickle.loads(r["queries"])
+                to_cell, to_part, lo, hi = pickle.loads(r["boxes"])
+                bounds, known = upper_bounds(x, lo, hi), dict(r["least"] or ())
+                floors = [known.get(i) for i in ids.tolist()]
+                asks = np.array([[True] * len(lo) if f is None else bounds[i] >= f for i, f in enumerate(floors)], bool)
+                asks[:, (to_cell == r["cell"]) & (to_part == r["home"])] = False
+                out = [(r["dim"], r["cell"], r["block"], to_cell[b], to_part[b], pickle.dumps((i := np.flatnonzero(asks[:, b]), [floors[j] for j in i]))) for b in np.flatnonzero(asks.any(axis=0))]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["dim", "cell", "block", "to_cell", "to_part", "wanted"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = batch.column("least").to_pylist() if "least" in batch.schema.names else [None] * batch.num_rows
             for i in range(batch.num_rows):
                 ids, x = pickle.loads(batch.column("queries")[i].as_py())
-                found = pickle.loads(batch.column("tree")[i].as_py())
-                least = dict(known[i]) if known[i] else {}
-                hits = [(a, -v, s) for a, best in found.search(ids, x, [least.get(int(j)) for j in ids], k) for s, v in best]
-                dim, at = batch.column("dim")[i], batch.column("block")[i]
+                floors: list[int | None] = [None] * len(ids)
+                if "wanted" in batch.schema.names:
+                    some, floors = pickle.loads(batch.column("wanted")[i].as_py())
+                    ids, x = ids[some], x[some]
+                found = pickle.loads(batch.column("tree")[i].as_py()).search(ids, x, floors, k)
+                hits = [(a, -v, s) for a, best in found for s, v in best]
+                at = [pa.array([batch.column(c)[i].as_py()] * len(hits), pa.int32()) for c in ("dim", "cell", "block")]
                 columns = [pa.array(c, pa.int64()) for c in (zip(*hits, strict=True) if hits else ([], [], []))]
-                yield pa.RecordBatch.from_arrays([pa.array([dim.as_py()] * len(hits), pa.int32()), pa.array([at.as_py()] * len(hits), pa.int32()), *columns], ["dim", "block", "query_id", "vec_id", "score"])
-
-    hits_schema = "dim int, block int, query_id long, vec_id long, score long"
-    # written once: every tree is built once, and searched by the home blocks first, then by the others
-    trees = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(tree, "dim int, shard int, tree binary")
-    trees = staged(trees, "trees")
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")).groupBy("dim", "block").applyInArrow(block, "dim int, block int, queries binary")
-    asked = staged(asked, "queries")
-    # A stated query set against all rows, block by block: each block is listed for the shards that it has to visit.
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    first = staged(asked.withColumn("shard", home).join(trees, ["dim", "shard"]).select("dim", "block", "queries", "tree").mapInArrow(visit, hits_schema), "home")
-    nth = first.groupBy("dim", "block", "query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") >= k)
-    least = nth.groupBy("dim", "block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.element_at("s", k)))).alias("least"))
-    others = asked.withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
-    rest = others.join(least, ["dim", "block"], "left").join(trees, ["dim", "shard"]).select("dim", "block", "queries", "least", "tree").mapInArrow(visit, hits_schema)
+                yield pa.RecordBatch.from_arrays([*at, *columns], ["dim", "cell", "block", "query_id", "vec_id", "score"])
+
+    hits_schema = "dim int, cell int, block int, query_id long, vec_id long, score long"
+    # equal rows that come from several partitions are dealt apart as well
+    part = F.pmod(F.xxhash64("vec_id", "v", F.spark_partition_id()), F.col("parts")).cast("int")
+    trees = rows.join(cells.select(*cell, "parts"), cell).withColumn("part", part).select("vec_id", "v", *cell, "part").groupBy(*cell, "part").applyInArrow(tree, "dim int, cell int, part int, lo array<long>, hi array<long>, tree binary")
+    trees = staged(trees, "trees")  # written once: built once, and read by the home blocks, for its boxes, and by the others
+    queries = rows.filter("asked").groupBy("vec_id", "dim").agg(F.min(F.struct("v", "cell")).alias("m")).select("vec_id", "dim", "m.v", "m.cell")
+    # a block whose home shard got no row has no kth score yet, and goes to every shard
+    dealt = queries.join(cells.select(*cell, "parts", "blocks"), cell).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int")).withColumn("home", F.pmod("block", "parts"))
+    asked = staged(dealt.select("vec_id", "v", *cell, "block", "home").groupBy(*cell, "block", "home").applyInArrow(block, "dim int, cell int, block int, home int, queries binary"), "queries")
+    first = staged(asked.withColumnRenamed("home", "part").join(trees, [*cell, "part"]).select(*cell, "block", "queries", "tree").mapInArrow(visit, hits_schema), "home")
+    nth = first.groupBy(*cell, "block", "query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") >= k)
+    least = nth.groupBy(*cell, "block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.element_at("s", k)))).alias("least"))
+    # the stated query set against all rows: each block of queries is held against every pack of root boxes
+    boxes = trees.select(*cell, "part", "lo", "hi").withColumn("pack", F.pmod(F.xxhash64("cell", "part"), F.lit(packs)).cast("int")).groupBy("dim", "pack").applyInArrow(pack, "dim int, pack int, boxes binary")
+    facing = asked.join(least, [*cell, "block"], "left").withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).join(boxes, ["dim", "pack"])
+    reached = staged(facing.select(*cell, "block", "home", "queries", "least", "boxes").mapInArrow(reach, "dim int, cell int, block int, to_cell int, to_part int, wanted binary"), "reached")
+    theirs = trees.select("dim", F.col("cell").alias("to_cell"), F.col("part").alias("to_part"), "tree")
+    rest = reached.join(asked, [*cell, "block"]).join(theirs, ["dim", "to_cell", "to_part"]).select(*cell, "block", "queries", "wanted", "tree").mapInArrow(visit, hits_schema)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    hits = first.unionByName(rest) if shards > 1 else first
     # the same query id with vectors of two lengths: the shorter is answered
-    hits = hits.join(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("dim").alias("dim")), ["query_id", "dim"], "left_semi")
+    hits = first.unionByName(rest).join(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("dim").alias("dim")), ["query_id", "dim"], "left_semi")
     return hits.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -244,6 +244,8 @@ def test_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 40)
     monkeypatch.setattr(topk, "LEAF_ROWS", 4)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(topk, "PACK_BOXES", 3)
+    monkeypatch.setattr(topk, "SAMPLE_ROWS", 200)
     rng = np.random.default_rng(0)
     data = [(i, rng.normal(size=5).tolist()) for i in range(300)] + [(1000 + i, [0.5] * 5) for i in range(60)]
     bad = [(2000, None), (2100, [1.0, None, 1.0, 1.0, 1.0]), (2200, [float("nan")] * 5), (2300, [float("inf")] * 5), (None, [1.0] * 5), (2400, []), (2500, [1.0, 2.0])]
@@ -259,6 +261,36 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert topk.search(topk.integer_vectors(frame.limit(0)), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_cells_split_a_sample_and_bounds_hold(monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.integers(-9, 9, (400, 4)), np.full((200, 4), 3)])
+    nodes = topk.split_cells(x, 600)
+    cells = topk.cell_of(x, nodes)
+    assert sorted(set(cells.tolist())) == list(range(len(nodes) + 1)) and len(set(cells[400:].tolist())) == 1
+    assert topk.split_cells(np.full((99, 2), 7), 10**6).shape == (0, 4) and topk.cell_of(x, np.zeros((0, 4), np.int64)).max() == 0
+    for big in (1, 2**24, 2**40):  # doubles, longs, Python integers
+        q = rng.integers(-9, 9, (20, 4)) * big
+        for c in range(len(nodes) + 1):
+            own = x[cells == c] * big
+            bounds = topk.upper_bounds(q, own.min(axis=0)[None], own.max(axis=0)[None])
+            assert all(int(b) >= max(int(s) for s in row) for b, row in zip(bounds[:, 0], q.astype(object) @ own.astype(object).T, strict=True))
+
+
+def test_far_shards_are_not_visited(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    rng, seen = np.random.default_rng(2), []
+    data = [(i, (rng.normal(size=4) * 0.05 + 4 * np.eye(4)[i % 4]).tolist()) for i in range(800)]
+    write = topk.staged
+    monkeypatch.setattr(topk, "staged", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1])
+    found = topk.search(topk.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")), F.col("vec_id") % 100 == 0, 3).collect()
+    x = np.floor(1024 * np.array([v for _, v in data])).astype(int)
+    want = [(q, k + 1, i, -s) for q in range(0, 800, 100) for k, (s, i) in enumerate(sorted((-int(x[q] @ x[i]), i) for i in range(800) if i != q)[:3])]
+    assert sorted(map(tuple, found)) == sorted(want)
+    staged = dict(seen)
+    assert staged["reached"].count() < staged["queries"].count() * (staged["trees"].count() - 1) / 2
+
+
 def test_repeated_passages_go_and_the_rest_stays(spark, docs, none, rows):
     rnd = random.Random(9)
     passage, line = sentence(rnd, 60), "All rights reserved by nobody."
