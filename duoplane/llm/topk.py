@@ -198,7 +198,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     cell = ["dim", "cell"]
     counted = rows.groupBy(*cell).agg(F.count("*").alias("n"), F.count_if("asked").alias("q"))
     cells = staged(counted.select(*cell, F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("parts"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("blocks")), "cells")
-    packs = max(1, -(-(cells.agg(F.sum("parts")).first()[0] or 0) // PACK_BOXES))
+    shards, most = cells.groupBy("dim").agg(F.sum("parts").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    packs = max(1, -(-(shards or 0) // PACK_BOXES))
 
     def tree(key: tuple, table: pa.Table) -> pa.Table:
         made = Tree(*_matrix(table))
@@ -255,15 +256,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     dealt = queries.join(cells.select(*cell, "parts", "blocks"), cell).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int")).withColumn("home", F.pmod("block", "parts"))
     asked = staged(dealt.select("vec_id", "v", *cell, "block", "home").groupBy(*cell, "block", "home").applyInArrow(block, "dim int, cell int, block int, home int, queries binary"), "queries")
     first = staged(asked.withColumnRenamed("home", "part").join(trees, [*cell, "part"]).select(*cell, "block", "queries", "tree").mapInArrow(visit, hits_schema), "home")
-    nth = first.groupBy(*cell, "block", "query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") >= k)
-    least = nth.groupBy(*cell, "block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.element_at("s", k)))).alias("least"))
-    # the stated query set against all rows: each block of queries is held against every pack of root boxes
-    boxes = trees.select(*cell, "part", "lo", "hi").withColumn("pack", F.pmod(F.xxhash64("cell", "part"), F.lit(packs)).cast("int")).groupBy("dim", "pack").applyInArrow(pack, "dim int, pack int, boxes binary")
-    facing = asked.join(least, [*cell, "block"], "left").withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).join(boxes, ["dim", "pack"])
-    reached = staged(facing.select(*cell, "block", "home", "queries", "least", "boxes").mapInArrow(reach, "dim int, cell int, block int, to_cell int, to_part int, wanted binary"), "reached")
-    theirs = trees.select("dim", F.col("cell").alias("to_cell"), F.col("part").alias("to_part"), "tree")
-    rest = reached.join(asked, [*cell, "block"]).join(theirs, ["dim", "to_cell", "to_part"]).select(*cell, "block", "queries", "wanted", "tree").mapInArrow(visit, hits_schema)
+    hits = first
+    if (most or 0) > 1:  # there are shards beside a block's home
+        nth = first.groupBy(*cell, "block", "query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).filter(F.size("s") >= k)
+        least = nth.groupBy(*cell, "block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.element_at("s", k)))).alias("least"))
+        # the stated query set against all rows: each block of queries is held against every pack of root boxes
+        boxes = trees.select(*cell, "part", "lo", "hi").withColumn("pack", F.pmod(F.xxhash64("cell", "part"), F.lit(packs)).cast("int")).groupBy("dim", "pack").applyInArrow(pack, "dim int, pack int, boxes binary")
+        facing = asked.join(least, [*cell, "block"], "left").withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).join(boxes, ["dim", "pack"])
+        reached = staged(facing.select(*cell, "block", "home", "queries", "least", "boxes").mapInArrow(reach, "dim int, cell int, block int, to_cell int, to_part int, wanted binary"), "reached")
+        theirs = trees.select("dim", F.col("cell").alias("to_cell"), F.col("part").alias("to_part"), "tree")
+        rest = reached.join(asked, [*cell, "block"]).join(theirs, ["dim", "to_cell", "to_part"]).select(*cell, "block", "queries", "wanted", "tree").mapInArrow(visit, hits_schema)
+        hits = first.unionByName(rest)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # the same query id with vectors of two lengths: the shorter is answered
-    hits = first.unionByName(rest).join(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("dim").alias("dim")), ["query_id", "dim"], "left_semi")
+    hits = hits.join(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("dim").alias("dim")), ["query_id", "dim"], "left_semi")
     return hits.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
