@@ -252,6 +252,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     trees = rows.join(cells.select(*cell, "parts"), cell).withColumn("part", part).select("vec_id", "v", *cell, "part").groupBy(*cell, "part").applyInArrow(tree, "dim int, cell int, part int, lo array<long>, hi array<long>, tree binary")
     trees = staged(trees, "trees")  # written once: built once, and read by the home blocks, for its boxes, and by the others
     queries = rows.filter("asked").groupBy("vec_id", "dim").agg(F.min(F.struct("v", "cell")).alias("m")).select("vec_id", "dim", "m.v", "m.cell")
+    queries = staged(queries, "asked")
     # a block whose home shard got no row has no kth score yet, and goes to every shard
     dealt = queries.join(cells.select(*cell, "parts", "blocks"), cell).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int")).withColumn("home", F.pmod("block", "parts"))
     asked = staged(dealt.select("vec_id", "v", *cell, "block", "home").groupBy(*cell, "block", "home").applyInArrow(block, "dim int, cell int, block int, home int, queries binary"), "queries")
