@@ -1,5 +1,6 @@
 """The reconciliation library on small, hand-made planes, and its queries against their SQL."""
 
+import itertools
 import json
 import math
 
@@ -217,14 +218,14 @@ def gap_client():
     return Pages(1, 410, 9)
 
 
-def test_a_collector_run(spark):
+def test_a_collector_run(spark, tmp_path):
     kinds = spark.createDataFrame([("Deployment", "{}")], "kind string, schema string")
     state = plane(spark, ("web", "0", {}), ("old", "9", {})).select("*", F.lit("r0").alias("last_seen_run"), F.lit("c").alias("collector"), F.lit(False).alias("is_absent"), F.lit(None).cast("timestamp").alias("absent_since"))
-    now = F.lit("2024-01-01").cast("timestamp")
+    now, runs = F.lit("2024-01-01").cast("timestamp"), itertools.count()
 
     def run(client, adapter=recorded.DEPLOYMENTS, namespace="", known=kinds):
-        read = lambda: recorded.collector(spark, adapter, "t", client=f"tests.test_reconciliation:{client}", namespace=namespace).persist()
-        after, record, rejected = discovery.run_collector(state, known, read, adapter.kind, "t", "r1", "c", now)
+        read = lambda: recorded.collector(spark, adapter, "t", client=f"tests.test_reconciliation:{client}", namespace=namespace)
+        after, record, rejected = discovery.run_collector(state, known, read, adapter.kind, "t", "r1", "c", now, f"file://{tmp_path}/{next(runs)}")
         return {r.name: (r.provider_id, r.is_absent) for r in after.collect()}, record.first(), rejected.collect()
 
     for namespace in ("", "default"):
@@ -235,7 +236,8 @@ def test_a_collector_run(spark):
     after, record, _ = run("two_pages", every)
     assert after == {"web": ("2", False), "api": ("3", False), "old": ("9", True)} and record.status == "success"
     after, record, rejected = run("two_pages", every, known=kinds.limit(0))
-    assert after == {"web": ("0", True), "old": ("9", True)} and len(rejected) == 3
+    assert after == {"web": ("0", False), "old": ("9", False)} and {r.problem for r in rejected} == {"unknown kind"} and len(rejected) == 3
+    assert (record.records_read, record.records_written, record.errors, record.status) == (3, 0, 3, "partial")
     after, record, _ = run("gap_client")
     assert record.status == "partial" and record.has_gap and not any(gone for _, gone in after.values())
     failed = discovery.opened(spark.sql("select 't' tenant_id, 'c' collector, 'r' run_id, timestamp'2024-01-01' started_at")).first()
@@ -244,8 +246,15 @@ def test_a_collector_run(spark):
     def unreadable():
         raise recorded.ProviderUnavailable("gone")
 
-    after, record, rejected = discovery.run_collector(state, kinds, unreadable, "Deployment", "t", "r1", "c", now)
+    after, record, rejected = discovery.run_collector(state, kinds, unreadable, "Deployment", "t", "r1", "c", now, f"file://{tmp_path}/{next(runs)}")
     assert after.count() == 2 and record.first().status == "failed" and rejected.count() == 0
+    after, record, rejected = run("broken_client")
+    assert after == {"web": ("0", False), "old": ("9", False)} and (record.status, record.records_read) == ("failed", 0) and not rejected
+    with pytest.raises(Exception, match="no_such_client"):
+        run("no_such_client")
+    with pytest.raises(Exception, match="a collector of Other gave Deployment"):
+        read = lambda: recorded.collector(spark, every, "t", client="tests.test_reconciliation:two_pages")
+        discovery.run_collector(state, kinds, read, "Other", "t", "r1", "c", now, f"file://{tmp_path}/{next(runs)}")
     with pytest.raises(Exception, match="no page could be read"):
         recorded.collector(spark, recorded.DEPLOYMENTS, "t", client="tests.test_reconciliation:broken_client").collect()
     with pytest.raises(Exception, match="a collector of Other gave Deployment"):
