@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, licenses, media, mixing, substring, token_counts, topk, toxicity
+from . import bpe, conversations, jaccard, langid, licenses, media, mixing, neardup, substring, token_counts, topk, toxicity, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,7 +56,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents")).drop("blocks")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_language_id, op3_token_counts, op4_exact_top_k, op5_substring_dedup, op6_toxicity, op7_byte_bpe, op8_jaccard_join, op9_mixing, op10_license_scan)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit_whitening(rows))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(_read(spark, sf_dir, "conversations")))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op1_media_columns, op2_language_id, op3_token_counts, op4_exact_top_k, op5_substring_dedup, op6_toxicity, op7_byte_bpe, op8_jaccard_join, op9_mixing, op10_license_scan, op11_whitening, op12_conversation_repair, op13_embedding_near_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: Every query vector against every other, by list_dot_product over integers.
 _TOP_K = """
@@ -85,4 +99,4 @@ SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes z USING (doc_id) JOIN (SELECT node, min(root) AS component_id FROM reach GROUP BY node) c ON d.doc_id = c.node
 """
 
-ORACLES = {"op4_exact_top_k": _TOP_K, "op8_jaccard_join": _COMPONENTS, "op9_mixing": mixing.ORACLE, "op10_license_scan": licenses.ORACLE}
+ORACLES = {"op4_exact_top_k": _TOP_K, "op8_jaccard_join": _COMPONENTS, "op9_mixing": mixing.ORACLE, "op10_license_scan": licenses.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_embedding_near_dedup": neardup.ORACLE}
