@@ -171,7 +171,7 @@ def _solved(k: int) -> Callable:
         sigma, vectors = jacobi(np.frombuffer(table.column("r")[0].as_py(), "<f8").reshape(-1, d))
         real = np.flatnonzero(sigma[:k] > sigma[0] * 64 * d * np.finfo(float).eps)
         total = float((sigma * sigma).sum())
-        columns = [pa.array([d] * len(real), pa.int32()), pa.array(real.tolist(), pa.int32()), pa.array(sigma[real]), pa.array(sigma[real] ** 2 / total if total else []), pa.array(binary(vectors[real].astype("<f8")), pa.binary())]
+        columns = [pa.array([d] * len(real), pa.int32()), pa.array(real.tolist(), pa.int32()), pa.array(sigma[real]), pa.array(sigma[real] ** 2 / (total or 1.0)), pa.array(binary(vectors[real].astype("<f8")), pa.binary())]
         return pa.Table.from_arrays(columns, ["dim", "component", "sigma", "share", "v"])
 
     return run
