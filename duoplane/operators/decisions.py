@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.config import ComparisonSchema
 from ..model import CONFIRMED, INVALIDATED, KEY, OPEN, PROPOSED, REJECTED
 from .diffing import as_open_rows, reconcile
 from .matching import MatchResult, match_resources
@@ -40,13 +41,13 @@ def proposals(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     return free.select(*ANCHOR, "strategy", "confidence").withColumn("state", F.lit(PROPOSED))
 
 
-def rewrite(declared: DataFrame, discovered: DataFrame, matches: DataFrame, discrepancies: DataFrame) -> tuple[DataFrame, DataFrame, MatchResult]:
+def rewrite(declared: DataFrame, discovered: DataFrame, matches: DataFrame, discrepancies: DataFrame, schema: ComparisonSchema | None = None) -> tuple[DataFrame, DataFrame, MatchResult]:
     """Matches and discrepancies after a run: proposals and open rows are replaced, what people decided stays.
 
     matches: ANCHOR, strategy, confidence, state; discrepancies: the columns of ``as_open_rows``."""
     result = match_resources(declared, discovered, decisions_of(matches))
     kept = invalidate_unanchored(matches.filter(F.col("state") != PROPOSED), declared, discovered)
     new_matches = kept.unionByName(proposals(result.pairs, kept))
-    fresh = as_open_rows(reconcile(result))
+    fresh = as_open_rows(reconcile(result, schema))
     new_discrepancies = discrepancies.filter(F.col("state") != OPEN).unionByName(fresh)
     return new_matches, new_discrepancies, result

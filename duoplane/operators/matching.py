@@ -1,8 +1,8 @@
 """Entity resolution: stored bindings first, then natural keys; what is left over on either side is an orphan.
 
 Planes have kind, tenant_id, scope, name, provider_id, attributes; decisions have these four keys of the declared side,
-provider_id and is_confirmed. Each plane is shuffled by its key once: the check that its keys are unique, the flags of what
-decisions claim and the full outer join of the two planes all use that. Pairs and orphans are rows of the one result.
+provider_id and is_confirmed. What decisions bind is found on keys alone; attributes meet in one full outer join. Pairs and
+orphans are rows of the one result.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ def of_tenant(rows: DataFrame, tenant_id: str) -> DataFrame:
 
 
 def present(discovered: DataFrame) -> DataFrame:
-    """The discovered plane as matching sees it: without rows that are marked absent."""
-    return discovered.filter(~F.coalesce("is_absent", F.lit(False)))
+    """The discovered plane as matching sees it: without rows that are marked absent (a plane without such marks has none)."""
+    return discovered.filter(~F.coalesce("is_absent", F.lit(False))) if "is_absent" in discovered.columns else discovered
 
 
 def snapshots(rows: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -62,47 +62,69 @@ def unique(rows: DataFrame, columns: list[str], rule: str) -> DataFrame:
     return rows.withColumn("_n", n).filter(F.when(F.col("_n") > 1, F.raise_error(shown).cast("boolean")).otherwise(True)).drop("_n")
 
 
-def bound_pairs(declared: DataFrame, discovered: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Pairs that a confirmed decision names; a decision of which a side is missing (or without provider id) pairs nothing.
-    Two confirmed decisions for either side fail."""
+def refused_if(rows: DataFrame, side: DataFrame, columns: list[str], rule: str) -> DataFrame:
+    """``rows``, whose use fails where two rows of ``side`` share non-null ``columns``. The values are counted apart from all other
+    columns, before ``rows`` are read, so the check holds whatever a join skips."""
+    repeated = violations(side.select(*columns), columns, rule).agg(F.min("value").alias("value")).scalar()
+    return rows.filter(F.when(repeated.isNotNull(), F.raise_error(F.concat(F.lit(f"{rule}: more than one row of "), repeated)).cast("boolean")).otherwise(True))
+
+
+def claims(declared: DataFrame, discovered: DataFrame, decisions: DataFrame) -> DataFrame:
+    """What confirmed decisions bind: KEY, provider_id and the discovered row's key. A decision of which a side is missing (or
+    without provider id) binds nothing. Keys only; attributes don't travel through here."""
     confirmed = decisions.filter("is_confirmed and provider_id is not null").select(*KEY, "provider_id").distinct()
-    confirmed = unique(unique(confirmed, KEY, "confirmed declared key"), ["tenant_id", "provider_id"], "confirmed provider id")
-    mine = declared.select(*KEY, F.col("attributes").alias("declared"))
-    theirs = discovered.select(*[F.col(k).alias(f"discovered_{k}") for k in KEY], "provider_id", F.col("attributes").alias("discovered"))
-    joined = mine.join(confirmed, KEY).withColumn("discovered_tenant_id", F.col("tenant_id")).join(theirs, ["discovered_tenant_id", "provider_id"])
-    return joined.withColumns({"strategy": F.lit(BINDING), "confidence": F.lit(HIGH)}).select(*PAIR)
+    there = discovered.filter("provider_id is not null").select(F.col("tenant_id").alias("_t"), "provider_id", *[F.col(k).alias(f"discovered_{k}") for k in KEY])
+    held = confirmed.join(declared.select(*KEY), KEY).withColumn("_t", F.col("tenant_id"))
+    return held.join(there, ["_t", "provider_id"]).select(*KEY, "provider_id", *_FOUND)
+
+
+def bound_pairs(declared: DataFrame, discovered: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Pairs that a confirmed decision names; two confirmed decisions for either side fail."""
+    return match_resources(declared, discovered, decisions).rows.filter(F.col("strategy") == BINDING)
 
 
 def match_resources(declared: DataFrame, discovered: DataFrame, decisions: DataFrame | None = None) -> MatchResult:
-    """Pairs of both strategies and the orphans of both sides. A rejected pair leaves both of its sides as orphans. A key
-    that two rows of a plane have fails the job; provider ids are checked by ``check_inputs``."""
-    mine = unique(declared.select(*KEY, F.col("attributes").alias("declared")), KEY, "declared key")
-    theirs = unique(discovered.select(*KEY, "provider_id", F.col("attributes").alias("discovered")), KEY, "discovered key")
+    """Pairs of both strategies and the orphans of both sides. A rejected pair leaves both of its sides as orphans. Two rows
+    of a plane with one key, two discovered rows with one provider id and two confirmed decisions for one side fail the job.
+
+    One full outer join by key serves both strategies: a discovered row that a decision binds goes to its declared row's key, every other
+    to its own. At a key that is claimed, the row that came by its own key is an orphan."""
     no = F.lit(False)
-    claimed, taken, refused = no, no, no
-    if decisions is not None:
-        bound = bound_pairs(declared, discovered, decisions)
-        mine = mine.join(bound.select(*KEY, F.lit(True).alias("claimed")), KEY, "left")
-        theirs = theirs.join(bound.select(*[F.col(f"discovered_{k}").alias(k) for k in KEY], F.lit(True).alias("taken")), KEY, "left")
+    mine = unique(declared.select(*KEY, F.col("attributes").alias("declared")), KEY, "declared key")
+    theirs = discovered.select(*KEY, "provider_id", F.col("attributes").alias("discovered"))
+    theirs = refused_if(theirs, discovered, ["tenant_id", "provider_id"], "provider id")
+    bound, claimed, refused = no, no, no
+    if decisions is None:
+        theirs = unique(theirs, KEY, "discovered key").withColumns({f"discovered_{k}": F.col(k) for k in KEY})
+    else:
+        confirmed = decisions.filter("is_confirmed and provider_id is not null").select(*KEY, "provider_id").distinct()
+        theirs = refused_if(theirs, discovered, KEY, "discovered key")
+        theirs = refused_if(refused_if(theirs, confirmed, KEY, "confirmed declared key"), confirmed, ["tenant_id", "provider_id"], "confirmed provider id")
+        held = claims(declared, discovered, decisions)
+        mine = mine.join(held.select(*KEY, F.lit(True).alias("claimed")), KEY, "left")
         rejected = decisions.filter("not is_confirmed").groupBy(*KEY).agg(F.collect_set(F.struct("provider_id")).alias("rejected"))
         theirs = theirs.join(rejected, KEY, "left")
-        claimed, taken = (F.coalesce(c, no) for c in ("claimed", "taken"))
+        to = held.select(*_FOUND, F.struct(*KEY).alias("to"))
+        theirs = theirs.withColumnsRenamed({k: f"discovered_{k}" for k in KEY}).join(to, _FOUND, "left")
+        theirs = theirs.withColumns({k: F.coalesce(f"to.{k}", f"discovered_{k}") for k in KEY})
+        bound, claimed = F.col("to").isNotNull(), F.coalesce("claimed", no)
         refused = F.coalesce(F.exists("rejected", lambda r: r["provider_id"].eqNullSafe(F.col("provider_id"))), no)
     planes = mine.join(theirs, KEY, "full_outer")
     here, there = F.col("declared").isNotNull(), F.col("discovered").isNotNull()
-    agree = here & there & ~claimed & ~taken & ~refused
+    paired = here & there & F.when(bound, True).otherwise(~claimed & ~refused)
 
     def row(is_declared: bool, is_discovered: bool) -> Column:
         side = lambda on, c, t: (F.col(c) if on else F.lit(None).cast(t))
-        values = [side(is_declared, k, "string").alias(k) for k in KEY] + [side(is_discovered, k, "string").alias(f"discovered_{k}") for k in KEY]
+        values = [side(is_declared, k, "string").alias(k) for k in KEY] + [side(is_discovered, f, "string").alias(f) for f in _FOUND]
         values.append(side(is_discovered, "provider_id", "string").alias("provider_id"))
-        values += [F.lit(v if is_declared and is_discovered else None).cast("string").alias(c) for c, v in (("strategy", NATURAL_KEY), ("confidence", HIGH))]
+        strategy = F.when(bound, BINDING).otherwise(NATURAL_KEY) if is_declared and is_discovered else F.lit(None).cast("string")
+        values += [strategy.alias("strategy"), F.lit(HIGH if is_declared and is_discovered else None).cast("string").alias("confidence")]
         kinds = dict(planes.dtypes)
         return F.struct(*values, *[side(on, c, kinds[c]).alias(c) for on, c in ((is_declared, "declared"), (is_discovered, "discovered"))])
 
-    single = F.array_compact(F.array(F.when(here & ~claimed, row(True, False)), F.when(there & ~taken, row(False, True))))
-    rows = planes.select(F.explode(F.when(agree, F.array(row(True, True))).otherwise(single)).alias("r")).select("r.*").select(*PAIR)
-    return MatchResult(rows if decisions is None else rows.unionByName(bound))
+    # a claimed row is in its pair; beside another row of its key it isn't an orphan
+    single = F.array_compact(F.array(F.when(here & ~(claimed & there), row(True, False)), F.when(there, row(False, True))))
+    return MatchResult(planes.select(F.explode(F.when(paired, F.array(row(True, True))).otherwise(single)).alias("r")).select("r.*").select(*PAIR))
 
 
 def violations(side: DataFrame, columns: list[str], rule: str) -> DataFrame:
