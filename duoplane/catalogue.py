@@ -870,13 +870,23 @@ def plane_by_name(spark, sf_dir):
     return first.unionByName(second)
 
 
-@query("""SELECT event_id, CASE WHEN length(text) - length(replace(text, '[', '')) > 500 THEN 'deep' WHEN length(regexp_extract(text, '[0-9]+')) > 4300 THEN 'integer' WHEN text NOT LIKE '{%' THEN 'no object' ELSE 'none' END AS found FROM (
-SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"k": ' || repeat('[', 600) || repeat(']', 600) || '}' WHEN 1 THEN '{"k": ' || repeat('9', 4301) || '}' WHEN 2 THEN '{"k": ' || repeat('9', 4300) || '}' WHEN 3 THEN '[1]' ELSE '{"k": ' || repeat('[', 400) || repeat(']', 400) || '}' END AS text FROM events)""")
+#: Levels and digits beside the event's own number: many, more than JSON's encoder nests, as many digits as it writes, one more, few.
+_LIMITS = (2000, 100_000, 4300, 4301, 3)
+
+
+@query("""WITH x AS (SELECT event_id, event_id % 5 AS m, length(event_id::VARCHAR) AS d FROM events)
+SELECT event_id, CASE m WHEN 1 THEN 'deep' WHEN 3 THEN 'integer' ELSE 'none' END AS found, CASE m WHEN 0 THEN 4000 + d WHEN 2 THEN 4300 WHEN 4 THEN 6 + d END::INTEGER AS length FROM x""")
 def json_barricade_limits(spark, sf_dir):
-    """Nesting and integers at the limits of what is stored."""
-    text = F.element_at(F.array(*[F.lit(x) for x in ('{"k": ' + "[" * 600 + "]" * 600 + "}", '{"k": ' + "9" * 4301 + "}", '{"k": ' + "9" * 4300 + "}", "[1]", '{"k": ' + "[" * 400 + "]" * 400 + "}")]), (F.col("event_id") % 5 + 1).cast("int"))
-    why = table(spark, sf_dir, "events").select("event_id", encoded(text)["problem"].alias("p"))
-    return why.select("event_id", F.when(F.col("p").contains("deep"), "deep").when(F.col("p").contains("integer") | F.col("p").contains("digits"), "integer").when(F.col("p").contains("not an object"), "no object").when(F.col("p").isNull(), "none").otherwise(F.col("p")).alias("found"))
+    """Event numbers inside many lists, and behind so many digits: what the encoder takes is stored, however deep; length is that of the stored
+    form."""
+    m, e = F.col("event_id") % 5, F.col("event_id").cast("string")
+    nested = lambda n: F.concat(F.repeat(F.lit("["), n), e, F.repeat(F.lit("]"), n))
+    digits = lambda n: F.concat(F.lit("1"), F.lpad(e, n - 1, "0"))
+    inner = F.when(m == 2, digits(_LIMITS[2])).when(m == 3, digits(_LIMITS[3])).otherwise(nested(F.when(m == 0, _LIMITS[0]).when(m == 1, _LIMITS[1]).otherwise(_LIMITS[4])))
+    rows = table(spark, sf_dir, "events").select("event_id", encoded(F.concat(F.lit('{"k": '), inner, F.lit("}"))).alias("x"))
+    why = F.col("x.problem")
+    found = F.when(why.isNull(), "none").when(why.contains("recursion") | why.contains("deep"), "deep").when(why.contains("digits"), "integer").otherwise(why)
+    return rows.select("event_id", found.alias("found"), F.length(F.col("x.attributes")["k"]["canon"]).alias("length"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")

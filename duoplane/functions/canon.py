@@ -61,8 +61,6 @@ def encode(value: object) -> dict:
 
 #: Characters that a stored text cannot hold: U+0000, and halves of surrogate pairs.
 _UNSTORABLE = re.compile("[\x00\ud800-\udfff]")
-#: Levels of lists and objects beyond which a value has no stored form, and the least integer that has none (4301 digits).
-MOST_LEVELS, TOO_LARGE = 500, 10**4300
 
 
 def _unfit_text(text: str) -> str:
@@ -73,12 +71,10 @@ def _unfit_text(text: str) -> str:
 def _unfit(value: object) -> str:
     """What is wrong with a value itself, whatever it contains."""
     match value:
-        case None | bool() | list() | tuple() | dict():
+        case None | int() | list() | tuple() | dict():
             return ""
         case str():
             return _unfit_text(value)
-        case int():
-            return "an integer of too many digits" if abs(value) >= TOO_LARGE else ""
         case float():
             return "" if math.isfinite(value) else f"{value} is not a finite number"
     return f"a {type(value).__name__} has no JSON form"
@@ -94,19 +90,32 @@ def _parts(path: str, value: object) -> Iterator[tuple[str, object, str]]:
         yield from ((f"{path}[{i}]", part, "") for i, part in enumerate(value))
 
 
+def _refusal(value: object) -> str | None:
+    """What JSON's own encoder has against a value: depth, cycles, integers of too many digits, types without a form."""
+    try:
+        json.dumps(value)
+    except RecursionError:
+        return "nested too deep to be written as JSON"
+    except (TypeError, ValueError) as why:
+        return f"JSON cannot write it: {why}"
+    return None
+
+
 def problem_of(attributes: dict) -> str | None:
-    """Why attributes cannot be stored, as path and reason; None if they can. Level by level, so the first one named is one
-    of those nearest the top; all names of a level come before its values."""
+    """Why attributes cannot be stored, as path and reason; None if they can. What the encoder takes is walked level by level,
+    so the first one named is one of those nearest the top; all names of a level come before its values. There is no limit
+    besides the encoder's."""
+    for name, value in attributes.items():
+        if isinstance(name, str) and (why := _refusal(value)):
+            return ascii(name)[1:-1] + ": " + why
     level: list[tuple[str, object]] = [("", attributes)]
-    for _ in range(MOST_LEVELS):
+    while level:
         below = [part for path, value in level for part in _parts(path, value)]
         wrong = [(path, why) for path, _, why in below if why] or [(path, why) for path, value, _ in below if (why := _unfit(value))]
         if wrong:
             return ascii(wrong[0][0])[1:-1] + ": " + wrong[0][1]
         level = [(path, value) for path, value, _ in below]
-        if not level:
-            return None
-    return f"{level[0][0][:80]}: nested more than {MOST_LEVELS} levels deep"
+    return None
 
 
 def encode_text(text: str | None) -> dict:

@@ -65,9 +65,14 @@ def test_duplicates_are_refused(spark):
         with pytest.raises(Exception, match="key: more than one row of Deployment/t/default/web"):
             matching.match_resources(declared, discovered).pairs.select("name").collect()
     with pytest.raises(Exception, match="confirmed provider id"):
-        matching.match_resources(one, ids, decisions(spark, ("web", "1", True), ("api", "1", True))).rows.collect()
+        matching.match_resources(one, plane(spark, ("web", "1", {})), decisions(spark, ("web", "1", True), ("api", "1", True))).rows.collect()
     with pytest.raises(ValueError, match="provider id"):
         matching.check_inputs(one, ids)
+    for decided in (None, decisions(spark), decisions(spark, ("web", "1", True)), decisions(spark, ("web", "2", False))):
+        with pytest.raises(Exception, match="provider id: more than one row of t/1"):
+            matching.match_resources(one, ids, decided).pairs.select("name").collect()
+    nameless = plane(spark, ("web", None, {}), ("api", None, {}))
+    assert matching.match_resources(one, nameless).rows.count() == 2  # rows without an id share none
     with pytest.raises(Exception, match="without provider id"):
         decisions_module.anchored(decisions(spark, ("web", None, True))).collect()
 
@@ -139,7 +144,15 @@ def test_barricade():
     assert canon.problem_of({"a": 10**4299}) is None and "digits" in canon.problem_of({"a": 10**4300})
     loop = []
     loop.append(loop)
-    assert "nested" in canon.problem_of({"a": loop}) and canon.encode_text('{"a": ' + "[" * 400 + "]" * 400 + "}")["problem"] is None
+    assert "Circular" in canon.problem_of({"a": loop}) and canon.encode_text('{"a": ' + "[" * 400 + "]" * 400 + "}")["problem"] is None
+    for depth in (600, 5000):  # what the encoder takes is stored, however deep
+        assert canon.encode_text('{"a": ' + "[" * depth + "]" * depth + "}")["attributes"][0][1]["canon"] == "[" * depth + "]" * depth
+    deep = []
+    for _ in range(100_000):
+        deep = [deep]
+    assert "deep" in canon.problem_of({"a": deep}) and "recursion" in canon.encode_text('{"a": ' + "[" * 100_000 + "]" * 100_000 + "}")["problem"]
+    while deep:  # taken apart by hand, as its destructor recurses
+        deep = deep.pop()
     assert canon.encode_text("[1]")["problem"] and canon.encode_text(None)["problem"] and canon.encode_text("{")["problem"] and canon.encode_text('{"a":1,"a":2}')["attributes"][0][1]["canon"] == "2"
     assert literals.parse_int("-0") == 0 and literals.parse_bool("true") is True
     for bad in ("007", "1.0", "", "0x1", "9" * 5000):
@@ -383,7 +396,7 @@ def test_absence_needs_a_complete_run(spark):
         assert {r.name: r.is_absent for r in after.collect()} == {"web": False, "api": gone}
 
 
-SAMPLE = ["reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert", "present_only_match", "run_records", "overlapping_runs", "match_constraints", "yaml_barricade", "audit_sampled", "commit_revisions"]
+SAMPLE = ["json_barricade_limits", "orphans_after_decisions", "swapped_names_bound", "reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert", "present_only_match", "run_records", "overlapping_runs", "match_constraints", "yaml_barricade", "audit_sampled", "commit_revisions"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
