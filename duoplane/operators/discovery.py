@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -34,13 +32,14 @@ def unknown_kinds(records: DataFrame, kinds: DataFrame) -> DataFrame:
     return records.join(kinds.select("kind"), "kind", "left_anti")
 
 
-def _foreign(kind: str) -> Column:
+def foreign(kind: str) -> Column:
+    """Fails the use of a row of another kind than the collector's."""
     return F.raise_error(F.concat(F.lit(f"a collector of {kind} gave "), F.coalesce("kind", F.lit("no kind"))))
 
 
 def of_collector(records: DataFrame, kind: str) -> DataFrame:
     """Records of a collector's one kind; a record of another kind fails the read, as the collector is wrong then."""
-    return records.filter(F.when(F.col("kind").eqNullSafe(kind), True).otherwise(_foreign(kind).cast("boolean")))
+    return records.filter(F.when(F.col("kind").eqNullSafe(kind), True).otherwise(foreign(kind).cast("boolean")))
 
 
 def seeded(kinds: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -153,43 +152,3 @@ def admitted(attempts: DataFrame, keys: list[str], at: str, seconds: int) -> Dat
         return table.append_column("ran", pa.array(ran))
 
     return attempts.groupBy(*keys).applyInArrow(walk, schema)
-
-
-def _unavailable(why: BaseException) -> bool:
-    """Was a provider unavailable, on the driver or in a task? Then the exception is the job's, and names it."""
-    from ..sources.recorded import ProviderUnavailable
-
-    return isinstance(why, ProviderUnavailable) or ProviderUnavailable.__name__ in f"{why} {getattr(why, 'java_exception', '')}"
-
-
-def run_collector(state: DataFrame, kinds: DataFrame, read: Callable[[], DataFrame], kind: str, tenant_id: str, run_id: str, collector: str, now: Column, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One run: (state after it, its closed run record, rejected rows). ``read`` gives normalised rows (position, KEY,
-    provider_id, attributes, problem and, where a chain of pages broke, one with a NULL position). Of rows with one key the
-    last position wins; a row of an unknown kind is rejected, and counts as an error like every other.
-
-    The provider is read once, into ``path`` (a new folder of the shared storage), and all else reads that. A read in
-    which it is unavailable, at once or in a task, leaves the state alone and the record failed; other failures are raised.
-    """
-    spark = state.sparkSession
-    record = opened(spark.range(1).select(F.lit(tenant_id).alias("tenant_id"), F.lit(collector).alias("collector"), F.lit(run_id).alias("run_id"), now.alias("started_at")))
-    ended = now.alias("finished_at")
-    try:
-        fetched = read()
-        fetched.write.parquet(path)
-    except Exception as why:
-        if not _unavailable(why):
-            raise
-        counts = record.select(*RUN, *[F.lit(0).cast("long").alias(c) for c in ("records_read", "records_written")], F.lit(False).alias("has_gap"), F.lit(False).alias("reachable"), ended)
-        return state, closed(record, counts), state.limit(0).select(*KEY, "provider_id").withColumns({"position": F.lit(None).cast("long"), "problem": F.lit(None).cast("string")})
-    rows = spark.read.schema(fetched.schema).parquet(path)
-    there = rows.join(kinds.select("kind").distinct().withColumn("known", F.lit(True)), "kind", "left")
-    fine = F.col("position").isNotNull() & F.col("problem").isNull()
-    problem = F.when(fine & ~F.col("kind").eqNullSafe(kind), _foreign(kind)).when(fine & F.col("known").isNull(), "unknown kind").otherwise(F.col("problem"))
-    rows = there.withColumn("problem", problem).drop("known")
-    counts = rows.agg(F.count("position").alias("records_read"), F.count_if(fine).alias("records_written"), F.coalesce(F.bool_or(F.col("position").isNull()), F.lit(False)).alias("has_gap"))
-    counts = counts.select(F.lit(tenant_id).alias("tenant_id"), F.lit(collector).alias("collector"), F.lit(run_id).alias("run_id"), "*", F.lit(True).alias("reachable"), ended)
-    rejected = rows.filter("position is not null and problem is not null").select(*KEY, "provider_id", "position", "problem")
-    kept = latest(rows.filter(fine).select(*KEY, "position", "provider_id", "attributes"), KEY, [F.col("position")]).drop("position")
-    record = closed(record, counts)
-    one = record.select(may_infer_absence(F.col("status"), F.col("has_gap")).alias("entitled")).first()
-    return merge_run(state, kept, F.lit(run_id), F.lit(collector), F.lit(one.entitled), now), record, rejected

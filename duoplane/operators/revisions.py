@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import KEY
+from ..storage.files import Files, numbered
 from .matching import violations
 
 
@@ -54,58 +58,87 @@ class RevisionConflict(RuntimeError):
     """Another writer has activated another revision in the meantime."""
 
 
-def commit(plane: DataFrame, path: str, tenant_id: str, revision_id: str, expected: str | None) -> bool:
+#: Commits after which one lists all revisions before it, so that a reader opens at most as many files; turns that a writer tries for.
+LISTED, TURNS = 64, 8
+#: Whatever revision is active.
+ANY = object()
+
+
+@dataclass(frozen=True)
+class _Log:
+    """A tenant's commits: numbered files, each created by one writer and never changed."""
+
+    files: Files
+    tenant_id: str
+
+    def read(self) -> tuple[int, str | None, str | None, set[str]]:
+        """(last number, active revision, its folder, all revisions)."""
+        last = self.files.last_number(f"active/{self.tenant_id}")
+        known: set[str] = set()
+        newest = None
+        for n in range(last, -1, -1):
+            held = self.files.get(f"active/{self.tenant_id}/{numbered(n)}")
+            newest = newest or held
+            known.add(held["revision"])
+            if "before" in held:
+                known |= set(held["before"])
+                break
+        return (last, None, None, known) if newest is None else (last, newest["revision"], newest["folder"], known)
+
+    def add(self, n: int, revision_id: str, folder: str, known: set[str]) -> bool:
+        before = {"before": sorted(known)} if n % LISTED == 0 else {}
+        return self.files.put_if_absent(f"active/{self.tenant_id}/{numbered(n)}", {"revision": revision_id, "folder": folder, **before})
+
+
+def commit(plane: DataFrame, path: str, tenant_id: str, revision_id: str, expected: object = ANY, turns: int = TURNS) -> bool:
     """Write a revision's plane below ``path`` and make it the tenant's active one; False, and nothing is written, where the
-    revision is there already. ``expected`` is the active revision that the caller saw (None: none): if it has changed,
-    RevisionConflict, unless what was activated is this revision.
+    revision is there already.
 
-    Rows are written first, the pointer last and in one rename, so a reader sees the old plane or the new one, whole; a
-    run that ends between the two leaves rows that nobody reads and the next one overwrites.
+    Rows are written first, into a folder of this writer's own. The commit is the creation of the next numbered file, which one writer
+    can do; who loses the turn reads what won and decides again: the same revision is there now (False), another one is active, and
+    either the writer saw ``expected`` there, which has changed (RevisionConflict), or it takes the turn after it. So a
+    reader sees the old plane or the new one, whole; rows without a commit are read by nobody (``abandoned`` lists them).
     """
-    spark = plane.sparkSession
-    if is_committed(spark, path, tenant_id, revision_id):
+    log = _Log(Files(plane.sparkSession, path), tenant_id)
+    if revision_id in log.read()[3]:
         return False
-    plane.write.mode("overwrite").parquet(f"{path}/planes/{tenant_id}/{revision_id}")
-    found = active_revision(spark, path, tenant_id)
-    if found != expected:
-        if found == revision_id:
+    folder = f"planes/{tenant_id}/{revision_id}-{uuid.uuid4().hex}"
+    plane.write.parquet(log.files.at(folder))
+    for _ in range(turns):
+        last, active, _, known = log.read()
+        if revision_id in known:
+            log.files.delete(folder)
             return False
-        raise RevisionConflict(f"{found} was activated for {tenant_id} while {revision_id} was written")
-    number = len(_pointers(spark, path, tenant_id))
-    files, jpath = _files(spark, path)
-    root = f"{path}/active/{tenant_id}"
-    files.mkdirs(jpath(root))
-    draft = jpath(f"{path}/drafts/{tenant_id}-{revision_id}")
-    files.mkdirs(draft)
-    if not files.rename(draft, jpath(f"{root}/{number:08d}={revision_id}")):
-        raise RevisionConflict(f"another writer took the turn of {revision_id} for {tenant_id}")
-    if [p for p in _pointers(spark, path, tenant_id) if p.startswith(f"{number:08d}=")] != [f"{number:08d}={revision_id}"]:
-        files.delete(jpath(f"{root}/{number:08d}={revision_id}"), True)
-        raise RevisionConflict(f"another writer took the turn of {revision_id} for {tenant_id}")
-    return True
-
+        if expected is not ANY and active != expected:
+            break
+        if log.add(last + 1, revision_id, folder, known):
+            return True
+    log.files.delete(folder)
+    raise RevisionConflict(f"{log.read()[1]} was activated for {tenant_id} while {revision_id} was written")
 
-def _files(spark: SparkSession, path: str) -> tuple:
-    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
 
+def is_committed(spark: SparkSession, path: str, tenant_id: str, revision_id: str) -> bool:
+    return revision_id in _Log(Files(spark, path), tenant_id).read()[3]
 
-def _pointers(spark: SparkSession, path: str, tenant_id: str) -> list[str]:
-    files, jpath = _files(spark, path)
-    root = jpath(f"{path}/active/{tenant_id}")
-    return sorted(s.getPath().getName() for s in files.listStatus(root)) if files.exists(root) else []
 
-
-def is_committed(spark: SparkSession, path: str, tenant_id: str, revision_id: str) -> bool:
-    return any(p.partition("=")[2] == revision_id for p in _pointers(spark, path, tenant_id))
+def committed(spark: SparkSession, path: str, tenant_id: str) -> list[str]:
+    """Revisions in the order of their commits."""
+    files = Files(spark, path)
+    return [files.get(f"active/{tenant_id}/{n}")["revision"] for n in files.names(f"active/{tenant_id}")]
 
 
 def active_revision(spark: SparkSession, path: str, tenant_id: str) -> str | None:
-    pointers = _pointers(spark, path, tenant_id)
-    return pointers[-1].partition("=")[2] if pointers else None
+    return _Log(Files(spark, path), tenant_id).read()[1]
 
 
 def committed_plane(spark: SparkSession, path: str, tenant_id: str) -> DataFrame | None:
     """The tenant's active plane; None without an active revision."""
-    found = active_revision(spark, path, tenant_id)
-    return None if found is None else spark.read.parquet(f"{path}/planes/{tenant_id}/{found}")
+    folder = _Log(Files(spark, path), tenant_id).read()[2]
+    return None if folder is None else spark.read.parquet(f"{path}/{folder}")
+
+
+def abandoned(spark: SparkSession, path: str, tenant_id: str) -> list[str]:
+    """Folders of planes that no commit names: of writers that died, or that still write."""
+    files = Files(spark, path)
+    used = {files.get(f"active/{tenant_id}/{n}")["folder"].rpartition("/")[2] for n in files.names(f"active/{tenant_id}")}
+    return [n for n in files.names(f"planes/{tenant_id}") if n not in used]

@@ -8,6 +8,7 @@ null, an empty value is refused.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,7 @@ from ..functions.canon import ENCODED_ARROW, _VALUE_ARROW, encode, problem_of
 from ..functions.literals import DECLARED_TYPES, Unacceptable
 from ..model import ATTRIBUTES, KEY
 from ..operators.revisions import active_revision, commit, duplicate_identities, is_committed
+from ..storage.files import Files
 
 LONGEST_NAME = 253
 PARSED = T.StructType([T.StructField(c, T.StringType()) for c in ("source", "kind", "tenant_id", "scope", "name")] + [T.StructField("attributes", ATTRIBUTES), T.StructField("line", T.IntegerType()), T.StructField("error", T.StringType())])
@@ -197,26 +199,32 @@ def revision_errors(parsed: DataFrame) -> DataFrame:
     return bad.unionByName(clash).orderBy("source", F.asc_nulls_last("line"), "message")
 
 
-def ingest_revision(spark: SparkSession, path: str, tenant_id: str, revision_id: str, api_version: str, kinds: dict[str, dict[str, str]]) -> DataFrame:
-    """The declared plane of a revision, whole or not at all: raises InvalidRevision with every error. No documents are a
-    valid, empty plane. Parsed rows are kept for both uses; of the errors, which a person is to read, the first ``SHOWN``
-    come to the driver."""
-    # the revision is part of the plan: a later one of the same folder never meets these rows in the cache
-    parsed = parse_documents(read_documents(spark, path), tenant_id, api_version, kinds).withColumn("revision_id", F.lit(revision_id)).persist()
+def ingest_revision(spark: SparkSession, path: str, tenant_id: str, revision_id: str, api_version: str, kinds: dict[str, dict[str, str]], staging: str = "", documents: DataFrame | None = None) -> DataFrame:
+    """The declared plane of a revision (of the documents below ``path``, or of ``documents``), whole or not at all: raises InvalidRevision with
+    every error. No documents are a valid, empty plane. Parsed rows are written to ``staging`` (a new folder of the shared
+    storage) and read from there for both uses; without one, documents are parsed for each. Of the errors, which a person is to
+    read, the first ``SHOWN`` come to the driver."""
+    parsed = parse_documents(read_documents(spark, path) if documents is None else documents, tenant_id, api_version, kinds)
+    if staging:
+        parsed.write.parquet(staging)
+        parsed = spark.read.schema(PARSED).parquet(staging)
     errors = [(r.source, r.line, r.message) for r in revision_errors(parsed).limit(SHOWN).collect()]
     if errors:
-        parsed.unpersist()
         raise InvalidRevision(errors)
-    return parsed.select(*KEY, F.lit(None).cast("string").alias("provider_id"), "attributes", "revision_id")
+    return parsed.select(*KEY, F.lit(None).cast("string").alias("provider_id"), "attributes", F.lit(revision_id).alias("revision_id"))
 
 
-def ingest_and_commit(spark: SparkSession, path: str, store: str, tenant_id: str, revision_id: str, api_version: str, kinds: dict[str, dict[str, str]]) -> bool:
-    """Make the documents below ``path`` the tenant's active revision at ``store``; False where the revision is there already:
-    the same commit may come any number of times."""
+def ingest_and_commit(spark: SparkSession, path: str, store: str, tenant_id: str, revision_id: str, api_version: str, kinds: dict[str, dict[str, str]], documents: DataFrame | None = None) -> bool:
+    """Make a revision's documents the tenant's active plane at ``store``; False where the revision is there already: the
+    same commit may come any number of times. Another revision that is activated meanwhile is a RevisionConflict."""
     if is_committed(spark, store, tenant_id, revision_id):
         return False
     seen = active_revision(spark, store, tenant_id)
-    return commit(ingest_revision(spark, path, tenant_id, revision_id, api_version, kinds), store, tenant_id, revision_id, seen)
+    files, staging = Files(spark, store), f"parsed/{tenant_id}/{revision_id}-{uuid.uuid4().hex}"
+    try:
+        return commit(ingest_revision(spark, path, tenant_id, revision_id, api_version, kinds, files.at(staging), documents), store, tenant_id, revision_id, seen)
+    finally:
+        files.delete(staging)
 
 
 def kinds_of(table: DataFrame) -> dict[str, dict[str, str]]:

@@ -1,7 +1,8 @@
 """A Python data source for paged provider APIs: pages of a token chain, retried while an error is transient.
 
 The client is any object with ``page(token) -> (records, next token or None)``, named as ``module:factory`` so that a task
-can make it. A chain stops for good on an error: records in hand are kept and the last row says that there is a gap.
+can make it. A chain stops for good on an error: records in hand are kept and the last row says that there is a gap. Chains
+of different namespaces are read by tasks of their own, and one that breaks leaves the others alone.
 """
 
 from __future__ import annotations
@@ -9,11 +10,13 @@ from __future__ import annotations
 import importlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from .recorded import ProviderUnavailable, records_in
+from .recorded import ProviderUnavailable, dig, records_in
 
 #: Attempts of a page, the first delay in seconds and its growth; HTTP statuses that may pass. Fixed values.
 ATTEMPTS, DELAY, GROWTH = 4, 0.5, 2
@@ -44,14 +47,15 @@ def next_token(payload: dict) -> str | None:
 
 
 class ListClient:
-    """Pages of a list API: ``fetch(path, query)`` gives the text of one page, of a namespace or of all."""
+    """Pages of a list API: ``fetch(path, query)`` gives the text of one page, of a namespace or of all, of one name or of all."""
 
-    def __init__(self, fetch: Callable[[str, dict], str], resource: str, envelope: str = "items", namespace: str = "", page_size: int = 200) -> None:
-        self._fetch, self._envelope, self._size = fetch, envelope, page_size
+    def __init__(self, fetch: Callable[[str, dict], str], resource: str, envelope: str = "items", namespace: str = "", name: str = "", page_size: int = 200) -> None:
+        self._fetch, self._envelope = fetch, envelope
+        self._query = {"limit": page_size} | ({"fieldSelector": f"metadata.name={name}"} if name else {})
         self._path = f"namespaces/{namespace}/{resource}" if namespace else resource
 
     def page(self, token: str | None) -> tuple[list, str | None]:
-        text = self._fetch(self._path, {"limit": self._size} | ({"continue": token} if token else {}))
+        text = self._fetch(self._path, self._query | ({"continue": token} if token else {}))
         return records_in(text, self._envelope), next_token(json.loads(text))
 
 
@@ -74,29 +78,85 @@ def pages(client: object, sleep: Callable[[float], None] = time.sleep) -> Iterat
             return
 
 
+@dataclass
+class Chain(InputPartition):
+    """One token chain: of a namespace, or (empty) of all."""
+
+    namespace: str
+
+
 class _Reader(DataSourceReader):
+    """One task for each namespace; a filter on namespaces chooses the tasks, one on a name goes to the provider."""
+
     def __init__(self, options: dict) -> None:
-        self.client, self.namespace = options["client"], options.get("namespace", "")
+        self.client = options["client"]
+        self.namespaces = [n for n in options.get("namespace", "").split(",") if n]
+        self.names: set[str] | None = None
+        self.only: set[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        taken: dict[int, str] = {}
+        for i, f in enumerate(filters):
+            column = getattr(f, "attribute", None)
+            if isinstance(f, EqualTo) and column == ("name",) and f.value:
+                self.names = {f.value} if self.names is None else self.names & {f.value}
+                taken[i] = "name"
+            elif isinstance(f, EqualTo | In) and column == ("namespace",):
+                values = ({f.value} if isinstance(f, EqualTo) else set(f.value)) - {None, ""}
+                self.only = values if self.only is None else self.only & values
+                taken[i] = "namespace"
+        for i, f in enumerate(filters):
+            if i not in taken and not (isinstance(f, IsNotNull) and f.attribute[0] in taken.values()):
+                yield f
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]  # a token chain is sequential
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        wanted = self.namespaces
+        if self.only is not None:
+            wanted = [n for n in wanted if n in self.only] if wanted else sorted(self.only)
+        elif not wanted:
+            return [Chain("")]
+        if not wanted or self.names == set():
+            return [Chain(None)]  # nothing can pass the filters
+        return [Chain(n) for n in wanted]
+
+    def read(self, partition: Chain) -> Iterator[tuple]:
+        if partition.namespace is None:
+            return
         module, _, factory = self.client.partition(":")
         make = getattr(importlib.import_module(module), factory)
-        yield from pages(make(self.namespace) if self.namespace else make())
+        chosen = {"namespace": partition.namespace} if partition.namespace else {}
+        only = min(self.names) if self.names else None
+        try:
+            chain = pages(make(**chosen, **({"name": only} if only else {})))
+            for at, record, gap in chain:
+                found = dig(json.loads(record), ("metadata", "name")) if record else None
+                name = only if gap else found if isinstance(found, str) else None
+                if gap or only is None or name == only:
+                    yield partition.namespace or None, name, at, record, gap, None
+        except ProviderUnavailable as why:
+            yield partition.namespace or None, only, None, None, True, str(why)
 
 
 class PagedSource(DataSource):
-    """``spark.dataSource.register(PagedSource)``; ``spark.read.format("paged").option("client", "module:factory").load()``,
-    with ``option("namespace", ...)`` for one namespace. The factory runs in the task, so credentials are read there."""
+    """``read_paged``, or ``spark.read.format("paged").option("client", "module:factory")``. The factory runs in the task, with
+    ``namespace`` and ``name`` where they are asked for, so credentials are read there.
+
+    A chain that breaks ends with a row that says so: ``gap``, without position and record; one of which no page could be
+    read says why in ``unavailable``."""
 
     @classmethod
     def name(cls) -> str:
         return "paged"
 
     def schema(self) -> str:
-        return "position long, record string, gap boolean"
+        return "namespace string, name string, position long, record string, gap boolean, unavailable string"
 
     def reader(self, schema: object) -> DataSourceReader:
         return _Reader(self.options)
+
+
+def read_paged(spark: SparkSession, client: str, namespaces: str = "") -> DataFrame:
+    """Records of a paged provider: of ``namespaces`` (comma-separated; a task each), or of all in one chain."""
+    spark.dataSource.register(PagedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("paged").option("client", client).option("namespace", namespaces).load()

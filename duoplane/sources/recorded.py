@@ -74,15 +74,20 @@ def records_in(text: str, envelope: str) -> list:
 
 
 def read_recorded(spark: SparkSession, path: str, envelope: str) -> DataFrame:
-    """position and record (JSON text) of recorded payload files. A payload that cannot be read fails the read."""
+    """position, record (JSON text) and unavailable of recorded payload files. A payload that cannot be read is a row
+    without a record that says why."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("value").to_pylist():
-                records = [json.dumps(r) for r in records_in(text, envelope)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(records)), pa.int64()), pa.array(records, pa.string())], ["position", "record"])
+                try:
+                    records, why = [json.dumps(r) for r in records_in(text, envelope)], None
+                except ProviderUnavailable as error:
+                    records, why = [None], str(error)
+                at = range(len(records)) if why is None else [None]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(records, pa.string()), pa.array([why] * len(records), pa.string())], ["position", "record", "unavailable"])
 
-    return spark.read.text(path, wholetext=True).mapInArrow(run, "position long, record string")
+    return spark.read.text(path, wholetext=True).mapInArrow(run, "position long, record string, unavailable string")
 
 
 def normalised(records: DataFrame, adapter: Adapter, tenant_id: str) -> DataFrame:
@@ -106,16 +111,18 @@ def normalised(records: DataFrame, adapter: Adapter, tenant_id: str) -> DataFram
 
 
 def collector(spark: SparkSession, adapter: Adapter, tenant_id: str, path: str = "", client: str = "", namespace: str = "") -> DataFrame:
-    """Normalised rows of one read: of recorded payloads at ``path``, else live through ``client`` (``module:factory``). A
-    chain of pages that broke gives one row with a NULL position."""
+    """Normalised rows of one read: of recorded payloads at ``path``, else live through ``client`` (``module:factory``), of
+    the comma-separated namespaces or of all. A chain of pages that broke, and a payload or a chain of which nothing could
+    be read, gives one row with a NULL position; its problem says why nothing could be read."""
     if path:
-        return normalised(read_recorded(spark, path, adapter.envelope), adapter, tenant_id)
-    from .paged import PagedSource
-
-    spark.dataSource.register(PagedSource)
-    live = spark.read.format("paged").option("client", client).option("namespace", namespace).load()
-    gap = live.filter("gap").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in NORMALISED.fields])
-    return normalised(live.filter("not gap"), adapter, tenant_id).unionByName(gap)
+        read = read_recorded(spark, path, adapter.envelope)
+    else:
+        from .paged import read_paged
+
+        read = read_paged(spark, client, namespace)
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in NORMALISED.fields if f.name != "problem"]
+    gaps = read.filter("position is null").select(*nulls, F.col("unavailable").alias("problem"))
+    return normalised(read.filter("position is not null"), adapter, tenant_id).unionByName(gaps)
 
 
 def run_summary(rows: DataFrame, has_gap: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+from datetime import UTC, datetime
 
 import duckdb
 import pytest
@@ -15,7 +16,11 @@ from duoplane.functions import canon, compare, config, literals
 from duoplane.model import KEY
 from duoplane.operators import decisions as decisions_module
 from duoplane.operators import diffing, discovery, lifecycle, matching, revisions
+from duoplane.plans import runs
 from duoplane.sources import documents, paged, recorded
+from duoplane.storage.estate import Estate
+from duoplane.storage.lease import Leases
+from duoplane.storage.runlog import RunLog
 from duoplane.streaming import observe
 
 DATA = "/root/testdata/sf0.001"
@@ -232,44 +237,63 @@ def gap_client():
 
 
 def test_a_collector_run(spark, tmp_path):
+    """Each run starts from the same state, in an estate of its own."""
     kinds = spark.createDataFrame([("Deployment", "{}")], "kind string, schema string")
     state = plane(spark, ("web", "0", {}), ("old", "9", {})).select("*", F.lit("r0").alias("last_seen_run"), F.lit("c").alias("collector"), F.lit(False).alias("is_absent"), F.lit(None).cast("timestamp").alias("absent_since"))
-    now, runs = F.lit("2024-01-01").cast("timestamp"), itertools.count()
+    at, count = datetime(2024, 1, 1, tzinfo=UTC), itertools.count()
+
+    def collect(read, kind="Deployment", known=kinds):
+        path = f"file://{tmp_path}/{next(count)}"
+        estate, log = Estate(spark, path, "t"), RunLog(spark, path)
+        estate.publish(estate.snapshot(), {"discovered": state}, "r0")
+        try:
+            record = runs.run_collector(estate, log, Leases(spark, path), known, read, kind, "r1", "c", at)
+        except Exception:
+            left = log.records().first()  # as it was opened
+            assert (left.status, left.finished_at) == ("failed", None) and estate.snapshot().read("discovered").count() == 2
+            raise
+        return {r.name: (r.provider_id, r.is_absent) for r in estate.snapshot().read("discovered").collect()}, record, log.rejects().collect()
 
     def run(client, adapter=recorded.DEPLOYMENTS, namespace="", known=kinds):
-        read = lambda: recorded.collector(spark, adapter, "t", client=f"tests.test_reconciliation:{client}", namespace=namespace)
-        after, record, rejected = discovery.run_collector(state, known, read, adapter.kind, "t", "r1", "c", now, f"file://{tmp_path}/{next(runs)}")
-        return {r.name: (r.provider_id, r.is_absent) for r in after.collect()}, record.first(), rejected.collect()
+        return collect(lambda: recorded.collector(spark, adapter, "t", client=f"tests.test_reconciliation:{client}", namespace=namespace), adapter.kind, known)
 
     for namespace in ("", "default"):
         after, record, rejected = run("two_pages", namespace=namespace)
         assert after == {"web": ("2", False), "old": ("9", False)} and (record.records_read, record.records_written, record.errors, record.status, record.has_gap) == (3, 2, 1, "partial", False)
-        assert [r.position for r in rejected] == [2]
+        assert [(r.position, r.run, r.problem) for r in rejected] == [(2, "r1", "missing fields: spec.replicas")]
     every = recorded.Adapter("Deployment", "items", ("metadata", "namespace"), ("metadata", "name"), ("metadata", "uid"), {"replicas": ("spec", "replicas")}, frozenset({"replicas"}))
     after, record, _ = run("two_pages", every)
-    assert after == {"web": ("2", False), "api": ("3", False), "old": ("9", True)} and record.status == "success"
+    assert after == {"web": ("2", False), "api": ("3", False), "old": ("9", True)} and record.status == "success" and record.finished_at is not None
     after, record, rejected = run("two_pages", every, known=kinds.limit(0))
     assert after == {"web": ("0", False), "old": ("9", False)} and {r.problem for r in rejected} == {"unknown kind"} and len(rejected) == 3
     assert (record.records_read, record.records_written, record.errors, record.status) == (3, 0, 3, "partial")
     after, record, _ = run("gap_client")
     assert record.status == "partial" and record.has_gap and not any(gone for _, gone in after.values())
-    failed = discovery.opened(spark.sql("select 't' tenant_id, 'c' collector, 'r' run_id, timestamp'2024-01-01' started_at")).first()
-    assert failed.status == "failed" and failed.finished_at is None
 
     def unreadable():
-        raise recorded.ProviderUnavailable("gone")
+        try:
+            raise recorded.ProviderUnavailable("gone")
+        except recorded.ProviderUnavailable as why:
+            raise RuntimeError("wrapped") from why
 
-    after, record, rejected = discovery.run_collector(state, kinds, unreadable, "Deployment", "t", "r1", "c", now, f"file://{tmp_path}/{next(runs)}")
-    assert after.count() == 2 and record.first().status == "failed" and rejected.count() == 0
+    after, record, rejected = collect(unreadable)
+    assert len(after) == 2 and record.status == "failed" and not rejected
     after, record, rejected = run("broken_client")
     assert after == {"web": ("0", False), "old": ("9", False)} and (record.status, record.records_read) == ("failed", 0) and not rejected
+    (tmp_path / "no.json").write_text("{")
+    assert collect(lambda: recorded.collector(spark, every, "t", f"{tmp_path}/no.json"))[1].status == "failed"
+
+    def mistaken():  # an error that only mentions the class
+        raise RuntimeError("ProviderUnavailable is not what this is")
+
+    with pytest.raises(RuntimeError, match="is not what"):
+        collect(mistaken)
     with pytest.raises(Exception, match="no_such_client"):
         run("no_such_client")
     with pytest.raises(Exception, match="a collector of Other gave Deployment"):
-        read = lambda: recorded.collector(spark, every, "t", client="tests.test_reconciliation:two_pages")
-        discovery.run_collector(state, kinds, read, "Other", "t", "r1", "c", now, f"file://{tmp_path}/{next(runs)}")
-    with pytest.raises(Exception, match="no page could be read"):
-        recorded.collector(spark, recorded.DEPLOYMENTS, "t", client="tests.test_reconciliation:broken_client").collect()
+        collect(lambda: recorded.collector(spark, every, "t", client="tests.test_reconciliation:two_pages"), "Other")
+    (row,) = recorded.collector(spark, recorded.DEPLOYMENTS, "t", client="tests.test_reconciliation:broken_client").collect()
+    assert row.position is None and "no page could be read" in row.problem
     with pytest.raises(Exception, match="a collector of Other gave Deployment"):
         discovery.of_collector(plane(spark, ("web", "1", {})), "Other").collect()
 
