@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,8 +15,11 @@ from .functions.config import ComparisonSchema, FieldConfig
 from .functions.literals import bool_literal, int_literal
 from .model import CONFIRMED, KEY, OPEN, PROPOSED, REJECTED, RESOLVED, SUPPRESSED, attributes, bool_value, int_value, null_value, str_value, value
 from .operators import decisions as dec
-from .operators import diffing, discovery, lifecycle, matching, readmodel, revisions
+from .operators import constraints, diffing, discovery, lifecycle, matching, readmodel, revisions
 from .plans.planes import CUSTOMER_SQL, PART_SQL, customer_decisions, customer_declared, customer_discovered, part_declared, part_discovered, part_keys, table
+from .storage import ordered
+from .storage.runlog import CLOSED, OPENED, SKIPPED, folded
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local session without one gets a temporary folder."""
@@ -158,11 +162,24 @@ SELECT state, count(*) AS n FROM (
   SELECT 'proposed' FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM kept h WHERE h.state = 'confirmed' AND h.scope = p.scope AND h.name = p.name)
     AND NOT EXISTS (SELECT 1 FROM kept h WHERE h.state = 'confirmed' AND h.provider_id = p.provider_id)) GROUP BY state""")
 def rewrite_matches(spark, sf_dir):
-    """Stored matches after a whole run: decisions kept or invalidated, proposals rebuilt."""
-    declared, discovered, _ = _customer(spark, sf_dir)
-    none = diffing.as_open_rows(diffing.orphan_discrepancies(declared, "declared_missing")).limit(0)
-    matches, _, _ = dec.rewrite(declared, discovered, _stored_matches(spark, sf_dir), none)
-    return matches.groupBy("state").agg(F.count("*").alias("n"))
+    """Stored matches after a whole run, as it published them: decisions kept or invalidated, proposals rebuilt."""
+    none = diffing.as_open_rows(diffing.orphan_discrepancies(customer_declared(spark, sf_dir), "declared_missing")).limit(0)
+    return _published(spark, sf_dir, none).read("matches").groupBy("state").agg(F.count("*").alias("n"))
+
+
+def _published(spark: SparkSession, sf_dir: str, discrepancies: DataFrame):
+    """The estate of the customers after a run from what was stored."""
+    from .plans import runs
+    from .storage.estate import Estate
+    from .storage.lease import Leases
+
+    path = _folder(spark, "estate")
+    estate = Estate(spark, path, "t")
+    runs.seed(estate, _stored_matches(spark, sf_dir), discrepancies)
+    planes = lambda: (customer_declared(spark, sf_dir), customer_discovered(spark, sf_dir))
+    if not runs.reconcile_estate(estate, Leases(spark, path), planes, "run-2", F.lit("2024-06-30").cast("timestamp")):
+        raise RuntimeError("another run has the lease of a new estate")
+    return estate.snapshot()
 
 
 @query(f"WITH {PART_SQL} SELECT scope, name, field_name, l AS declared_value, r AS discovered_value FROM fields")
@@ -281,11 +298,14 @@ def skipped_attempts(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count_if("skipped").alias("skipped_attempts"))
 
 
-@query("""WITH s AS (SELECT user_id, event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+_MERGED_SQL = """WITH s AS (SELECT user_id, event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-15' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
 n AS (SELECT user_id, event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND user_id % 17 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT 'u-' || coalesce(n.user_id, s.user_id) AS name, CASE WHEN n.user_id IS NOT NULL THEN 'run-2' ELSE 'run-1' END AS last_seen_run, coalesce(n.event_id, s.event_id)::VARCHAR AS provider_id,
   n.user_id IS NULL AND s.user_id % 2 = 0 AS is_absent, CASE WHEN n.user_id IS NULL AND s.user_id % 2 = 0 THEN TIMESTAMP '2024-02-01' END AS absent_since
-FROM s FULL JOIN n ON s.user_id = n.user_id""")
+FROM s FULL JOIN n ON s.user_id = n.user_id"""
+
+
+@query(_MERGED_SQL)
 def merge_collector_run(spark, sf_dir):
     """One full outer join: upsert what a run saw, mark what its collector owns and missed, refute absence. That the second run
     misses one user in seventeen is the drift that it is to find."""
@@ -303,6 +323,30 @@ def merge_collector_run(spark, sf_dir):
     return merged.select("name", "last_seen_run", "provider_id", "is_absent", "absent_since")
 
 
+@query(_MERGED_SQL)
+def streaming_absence(spark, sf_dir):
+    """merge_collector_run again, by keyed state of a stream: sightings in several micro-batches, runs' closings in those after them, and one delivery of each
+    that comes again."""
+    from .streaming import absence
+
+    base = f"{shared_folder(spark)}/absence-{uuid.uuid4().hex}"
+    events, cut = table(spark, sf_dir, "events"), F.lit("2024-01-15").cast("timestamp")
+    first, user = F.col("ts") < cut, F.col("user_id")
+    no = lambda t: F.lit(None).cast(t)
+    sightings = events.filter(first | (user % 17 != 0)).select(
+        F.lit("t").alias("tenant_id"), F.when(first & (user % 2 == 1), "odd").otherwise("even").alias("collector"), F.when(first, 1).otherwise(2).cast("long").alias("run"), F.lit(absence.SEEN).alias("event"),
+        F.lit("User").alias("kind"), F.lit("x").alias("scope"), F.concat(F.lit("u-"), user.cast("string")).alias("name"), F.col("event_id").cast("string").alias("provider_id"), F.col("event_id").alias("position"), no("boolean").alias("entitled"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    ended = spark.createDataFrame([("odd", 1, True), ("even", 1, True), ("odd", 2, False), ("even", 2, True)], "collector string, run long, entitled boolean")
+    closings = ended.select(F.lit("t").alias("tenant_id"), "collector", "run", F.lit(absence.CLOSED).alias("event"), *[no("string").alias(c) for c in ("kind", "scope", "name", "provider_id")], no("long").alias("position"), "entitled", F.lit("2024-02-01").cast("timestamp").alias("at"))
+    for rows in (sightings.repartition(3), closings.coalesce(1), sightings.filter("run = 1").coalesce(1), closings.coalesce(1)):
+        rows.write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(absence.OBSERVATION).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    absence.observe_plane(stream, f"{base}/log", 4, lambda changes, _: changes.write.mode("append").parquet(f"{base}/changes")).awaitTermination()
+    plane = absence.plane_of(spark, f"{base}/log")
+    return plane.select("name", F.concat(F.lit("run-"), F.col("last_seen_run").cast("string")).alias("last_seen_run"), "provider_id", "is_absent", "absent_since")
+
+
 @query("SELECT o_orderkey, year(o_orderdate)::INTEGER AS revision FROM orders WHERE year(o_orderdate) = (SELECT max(year(o_orderdate)) FROM orders)")
 def active_revision_plane(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("t").alias("tenant_id"), F.year("o_orderdate").alias("revision_id"))
@@ -692,6 +736,71 @@ def yaml_barricade(spark, sf_dir):
     return revision_errors(parse_documents(docs, "t", "planes.example/v1", {"Part": {"size": "int"}}))
 
 
+# ------------------------------------------------------------------------------------ orders, pages and ids that stay
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Line numbers repeat within an order, so that the order needs a third column; rows that agree in all of them are alike.
+_PAGED = ["l_orderkey", "l_linenumber", "l_quantity"]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber, l_quantity LIMIT 50 OFFSET 50000")
+def page_by_index(spark, sf_dir):
+    """Page 1000 of all line items: they are written in order once, and the page opens the files that its index names."""
+    path = _folder(spark, "pages")
+    ordered.write_in_order(table(spark, sf_dir, "lineitem").select(*_PAGED), path, _PAGED, 5000)
+    return ordered.page(spark, path, _PAGED, 50_000, 50)
+
+
+@query("SELECT count(*) AS total, count(*) - (SELECT count(*) FROM lineitem WHERE l_orderkey % 2 = 0) AS odd FROM lineitem")
+def page_totals_by_index(spark, sf_dir):
+    """Totals of two tables from their indexes."""
+    rows = table(spark, sf_dir, "lineitem").select(*_PAGED)
+    totals = []
+    for part in (rows, rows.filter("l_orderkey % 2 = 1")):
+        ordered.write_in_order(part, path := _folder(spark, "totals"), _PAGED, 5000)
+        totals.append(ordered.page_total(spark, path))
+    return spark.createDataFrame([tuple(totals)], "total long, odd long")
+
+
+@query(f"""WITH {CUSTOMER_SQL} SELECT row_number() OVER (ORDER BY scope, name, provider_id) AS position, scope, name, provider_id FROM decisions WHERE is_confirmed""")
+def ordered_decisions(spark, sf_dir):
+    """Confirmed decisions by declared key, then provider id."""
+    rows = customer_decisions(spark, sf_dir).filter("is_confirmed").drop("is_confirmed")
+    return ordered.positions(rows, _folder(spark, "decisions"), [*KEY, "provider_id"], rows_per_file=200).select("position", "scope", "name", "provider_id")
+
+
+@query(f"""WITH {CUSTOMER_SQL},
+o AS (SELECT 'declared' AS plane, scope, name FROM dec WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.scope = dec.scope AND p.name = dec.name)
+  UNION ALL SELECT 'discovered', scope, name FROM dis WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.discovered_scope = dis.scope AND p.discovered_name = dis.name))
+SELECT row_number() OVER (ORDER BY plane, scope, name) AS position, plane, scope, name FROM o""")
+def ordered_orphans(spark, sf_dir):
+    """Orphans of both sides, each in key order."""
+    return ordered.positions(orphans_after_decisions(spark, sf_dir), _folder(spark, "orphans"), ["plane", "scope", "name"], rows_per_file=50)
+
+
+@query(f"WITH {PART_SQL} SELECT row_number() OVER (ORDER BY scope, name, field_name) AS position, scope, name, field_name, l AS declared_value, r AS discovered_value FROM fields")
+def ordered_fields(spark, sf_dir):
+    """Every field of every pair: pairs by key, fields by name inside a pair."""
+    rows = diffing.attribute_pairs(_part_match(spark, sf_dir).pairs).select(*KEY, "field_name", F.col("l.canon").alias("declared_value"), F.col("r.canon").alias("discovered_value"))
+    return ordered.positions(rows, _folder(spark, "fields"), [*KEY, "field_name"], rows_per_file=500).drop("kind", "tenant_id")
+
+
+@query("""WITH runs AS (SELECT c_nationkey % 3 AS run, c_mktsegment AS segment, c_name AS name FROM customer),
+firsts AS (SELECT segment, name, min(run) AS run FROM runs GROUP BY ALL)
+SELECT segment, name, row_number() OVER (ORDER BY run, segment, name) AS row_id FROM firsts""")
+def row_ids(spark, sf_dir):
+    """Three runs over different customers, the first one again at the end: ids are given once, and stay."""
+    keys, ids = ["segment", "name"], None
+    rows = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 3).alias("run"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"))
+    for run in (0, 1, 2, 0):
+        ids = ordered.kept_ids(rows.filter(F.col("run") == run), keys, _folder(spark, "ids"), ids)
+    return ids
+
+
 # ------------------------------------------------------------------------------- filters, constraints, runs, revisions
 
 
@@ -738,10 +847,23 @@ UNION ALL SELECT 'rejection of a pairing', 'Order/t/' || scope || '/' || name ||
 UNION ALL SELECT 'decision without provider id', 'Order/t/' || scope || '/' || name, count(*) FROM m WHERE state <> 'proposed' AND provider_id IS NULL GROUP BY ALL""")
 def match_constraints(spark, sf_dir):
     """Every broken rule of a table of stored matches that orders stand for."""
+    return matching.match_constraints(_order_matches(spark, sf_dir))
+
+
+def _order_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("o_orderstatus") == "F", CONFIRMED).when(F.col("o_orderstatus") == "O", PROPOSED).otherwise(REJECTED)
     provider = F.when(F.col("o_orderkey") % 13 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-    rows = table(spark, sf_dir, "orders").select(F.lit("Order").alias("kind"), F.lit("t").alias("tenant_id"), F.col("o_custkey").cast("string").alias("scope"), F.col("o_orderpriority").alias("name"), provider.alias("provider_id"), state.alias("state"))
-    return matching.match_constraints(rows)
+    return table(spark, sf_dir, "orders").select(F.lit("Order").alias("kind"), F.lit("t").alias("tenant_id"), F.col("o_custkey").cast("string").alias("scope"), F.col("o_orderpriority").alias("name"), provider.alias("provider_id"), state.alias("state"))
+
+
+@query(f"""WITH {_MATCHES_SQL}, active AS (SELECT * FROM m WHERE state IN ('confirmed', 'proposed'))
+SELECT 'active match of a declared key' AS rule, 'Order/t/' || scope || '/' || name AS value, count(*) AS n FROM active GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'active match of a provider id', 't/' || provider_id, count(*) FROM active WHERE provider_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'rejection of a pairing', 'Order/t/' || scope || '/' || name || '/' || provider_id, count(*) FROM m WHERE state = 'rejected' AND provider_id IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'decision without provider id', 'Order/t/' || scope || '/' || name, count(*) FROM m WHERE state <> 'proposed' AND provider_id IS NULL GROUP BY ALL""")
+def publish_gate(spark, sf_dir):
+    """The rules that a publication of matches has to keep, in one pass with one exchange."""
+    return constraints.broken(_order_matches(spark, sf_dir), constraints.MATCH_RULES)
 
 
 @query(f"""WITH {PART_SQL}, stored AS (SELECT scope, name, field_name, CASE WHEN length(name) % 3 = 0 THEN NULL ELSE declared_present END AS dp, CASE WHEN length(scope) % 2 = 0 THEN 'x' ELSE declared_value END AS dv,
@@ -771,11 +893,22 @@ after AS (SELECT 'declared_missing' AS discrepancy_type, scope, name, state FROM
 SELECT discrepancy_type, scope, name, state FROM after""")
 def rewrite_discrepancies(spark, sf_dir):
     """Stored discrepancies after a whole run: open rows are replaced, resolved ones stay, even beside a new open one."""
-    declared, discovered, _ = _customer(spark, sf_dir)
+    declared = customer_declared(spark, sf_dir)
     stored = diffing.as_open_rows(diffing.orphan_discrepancies(declared.filter(F.substring("name", -1, 1).cast("int") < 5), "declared_missing"))
     stored = stored.withColumn("state", F.when(F.length("name") % 2 == 0, OPEN).otherwise(RESOLVED))
-    _, rows, _ = dec.rewrite(declared, discovered, _stored_matches(spark, sf_dir), stored)
-    return rows.select("discrepancy_type", "scope", "name", "state")
+    return _published(spark, sf_dir, stored).read("discrepancies").select("discrepancy_type", "scope", "name", "state")
+
+
+@query(f"""WITH {CUSTOMER_SQL}, was AS (SELECT 'declared_missing' AS discrepancy_type, scope, name FROM dec WHERE k % 10 < 5 AND length(name) % 2 = 0),
+now AS (SELECT 'declared_missing' AS discrepancy_type, scope, name FROM dec WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.scope = dec.scope AND p.name = dec.name)
+  UNION ALL SELECT 'discovered_undeclared', scope, name FROM dis WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.discovered_scope = dis.scope AND p.discovered_name = dis.name)),
+gone AS (SELECT * FROM was EXCEPT SELECT * FROM now), came AS (SELECT * FROM now EXCEPT SELECT * FROM was)
+SELECT 'run-2' AS run_id, 'open' AS from_state, 'gone' AS to_state, * FROM gone UNION ALL SELECT 'run-2', 'none', 'open', * FROM came""")
+def rewrite_history(spark, sf_dir):
+    """What the same run published beside them: the open rows that it found anew, and those that it didn't find again."""
+    stored = diffing.as_open_rows(diffing.orphan_discrepancies(customer_declared(spark, sf_dir).filter(F.substring("name", -1, 1).cast("int") < 5), "declared_missing"))
+    stored = stored.withColumn("state", F.when(F.length("name") % 2 == 0, OPEN).otherwise(RESOLVED))
+    return _published(spark, sf_dir, stored).read("history").select("run_id", "from_state", "to_state", "discrepancy_type", "scope", "name")
 
 
 _DAYS_SQL = """days AS (SELECT event_type AS collector, ts::DATE::VARCHAR AS run_id, min(ts) AS started_at, count(*) AS records_read, count(*) FILTER (WHERE event_id % 50 <> 0) AS records_written,
@@ -808,6 +941,22 @@ def skips_of_runs(spark, sf_dir):
     return discovery.count_skips(records, skips).select("collector", "run_id", "skipped_attempts")
 
 
+@query(f"""WITH {_DAYS_SQL}, flying AS (SELECT collector, arg_max(run_id, (started_at, run_id)) AS run_id FROM days WHERE NOT ends GROUP BY 1), skips AS (SELECT event_type AS collector, count(*) AS n FROM events GROUP BY 1)
+SELECT d.collector, d.run_id, CASE WHEN NOT ends OR NOT reachable THEN 'failed' WHEN records_read > records_written OR has_gap THEN 'partial' ELSE 'success' END AS status,
+  CASE WHEN ends THEN records_read ELSE 0 END AS records_read, CASE WHEN ends THEN records_read - records_written ELSE 0 END AS errors, ends AS is_finished, CASE WHEN f.run_id IS NOT NULL THEN coalesce(s.n, 0) ELSE 0 END AS skipped_attempts
+FROM days d LEFT JOIN flying f ON f.collector = d.collector AND f.run_id = d.run_id LEFT JOIN skips s ON s.collector = d.collector""")
+def run_log(spark, sf_dir):
+    """Openings, closings (some of them twice) and skips of a log, in no order, folded to records."""
+    days, no = _days(spark, sf_dir), lambda t: F.lit(None).cast(t)
+    facts = [no("long").alias("records_read"), no("long").alias("records_written"), no("boolean").alias("has_gap"), no("boolean").alias("reachable")]
+    opens = days.select(*discovery.RUN, F.lit(OPENED).alias("event"), F.col("started_at").cast("timestamp").alias("at"), *facts)
+    closes = days.filter("ends").select(*discovery.RUN, F.lit(CLOSED).alias("event"), F.col("finished_at").cast("timestamp").alias("at"), "records_read", "records_written", "has_gap", "reachable")
+    late = closes.filter("records_read % 2 = 0").withColumns({"at": F.col("at") + F.expr("interval 1 hour"), "records_read": F.col("records_read") + 1})
+    skips = table(spark, sf_dir, "events").select(F.lit("t").alias("tenant_id"), F.col("event_type").alias("collector"), no("string").alias("run_id"), F.lit(SKIPPED).alias("event"), F.col("ts").cast("timestamp").alias("at"), *facts)
+    records = folded(skips.unionByName(late).unionByName(closes).unionByName(opens).unionByName(opens))
+    return records.select("collector", "run_id", "status", "records_read", "errors", F.col("finished_at").isNotNull().alias("is_finished"), "skipped_attempts")
+
+
 @query("""WITH RECURSIVE a AS (SELECT event_type, event_id, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
 walk AS (SELECT event_type, event_id, i, TRUE AS ran, ts + INTERVAL 6 HOUR AS free FROM a WHERE i = 1
   UNION ALL SELECT a.event_type, a.event_id, a.i, a.ts >= w.free, CASE WHEN a.ts >= w.free THEN a.ts + INTERVAL 6 HOUR ELSE w.free END FROM walk w JOIN a ON a.event_type = w.event_type AND a.i = w.i + 1)
@@ -844,8 +993,6 @@ def revision_constraints(spark, sf_dir):
 SELECT 2::BIGINT AS commits, 1::BIGINT AS replays, name, size::VARCHAR AS size FROM second""")
 def commit_revisions(spark, sf_dir):
     """Two revisions are committed and the second again: what is read is the second, whole."""
-    import uuid
-
     base = f"{shared_folder(spark)}/revisions-{uuid.uuid4().hex}"
     second = table(spark, sf_dir, "part").select(*part_keys(), attributes(size=int_value(F.col("p_size") + 1)).alias("attributes"))
     done = [revisions.commit(part_declared(spark, sf_dir).select(*KEY, "attributes"), base, "t", "r1", None), revisions.commit(second, base, "t", "r2", "r1"), revisions.commit(second, base, "t", "r2", "r1")]
@@ -892,8 +1039,6 @@ def json_barricade_limits(spark, sf_dir):
 @query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def streaming_upsert(spark, sf_dir):
     """The latest state again, kept by a stream over the events that are there."""
-    import uuid
-
     from .streaming.observe import current, observe
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

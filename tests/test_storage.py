@@ -19,7 +19,8 @@ from duoplane.sources import paged, recorded
 from duoplane.storage import estate as estates
 from duoplane.storage import files as stored
 from duoplane.storage import lease as leasing
-from duoplane.storage import runlog
+from duoplane.storage import ordered, runlog
+from duoplane.streaming import absence
 from duoplane.streaming import revisions as following
 
 AT = datetime(2024, 1, 1, tzinfo=UTC)
@@ -282,6 +283,62 @@ def test_eight_writers_commit(spark, tmp_path, monkeypatch):
     assert not revisions.is_committed(spark, path, "t", "r9") and revisions.abandoned(spark, path, "t") == []
 
 
+def test_pages_open_the_files_that_hold_them(spark, tmp_path):
+    order = [F.asc_nulls_last("a"), "b"]
+    rows = spark.createDataFrame([(None if i % 10 == 0 else i // 3, i) for i in range(1000)], "a int, b int").repartition(5)
+    path = f"file://{tmp_path}/pages"
+    index = ordered.write_in_order(rows, path, order, 100).collect()
+    assert [r.offset for r in index] == sorted(r.offset for r in index) and sum(r.n for r in index) == 1000 == ordered.page_total(spark, path) and len(index) >= 8
+    want = [tuple(r) for r in rows.orderBy(*order).collect()]
+    for offset, limit in ((0, 50), (95, 30), (500, 50), (990, 50), (1000, 50), (5000, 1), (0, 1000)):
+        found = ordered.page(spark, path, order, offset, limit)
+        assert [tuple(r) for r in found.collect()] == want[offset : offset + limit]
+        if limit <= 50:
+            assert len(found.inputFiles()) <= 2
+    numbered = ordered.positions(rows, f"file://{tmp_path}/p", order, rows_per_file=64)
+    assert [(r.a, r.b) for r in sorted(numbered.collect(), key=lambda r: r.position)] == want and "Window" not in numbered._jdf.queryExecution().toString()
+    none = rows.limit(0)
+    assert ordered.positions(none, f"file://{tmp_path}/n", order).count() == 0 and ordered.page(spark, f"file://{tmp_path}/n", order, 0, 5).count() == 0
+
+
+def test_row_ids_stay(spark, tmp_path):
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
+    first = ordered.kept_ids(rows("b", "a", None, "b"), ["k"], f"file://{tmp_path}/1")
+    assert {r.k: r.row_id for r in first.collect()} == {None: 1, "a": 2, "b": 3}
+    second = ordered.kept_ids(rows("c", "a", None, "0"), ["k"], f"file://{tmp_path}/2", first)
+    again = ordered.kept_ids(rows("b", "c"), ["k"], f"file://{tmp_path}/3", second)
+    assert {r.k: r.row_id for r in again.collect()} == {None: 1, "a": 2, "b": 3, "0": 4, "c": 5} == {r.k: r.row_id for r in second.collect()}
+
+
+def sightings(*rows):
+    """(run, collector, name, provider id) for a sighting, (run, collector, entitled) for a closing."""
+    out = []
+    for i, r in enumerate(rows):
+        seen = len(r) == 4
+        out.append(("t", r[1], r[0], "seen" if seen else "closed", "K" if seen else None, "s" if seen else None, r[2] if seen else None, r[3] if seen else None, i if seen else None, None if seen else r[2], None if seen else datetime(2024, 1, r[0], tzinfo=UTC)))
+    return out
+
+
+def test_a_stream_knows_what_is_absent(spark, tmp_path):
+    batches = [
+        sightings((1, "c", "web", "1"), (1, "c", "api", "2"), (1, "d", "other", "9")),
+        sightings((1, "c", True), (2, "c", "web", "5"), (2, "c", "web", "6")),
+        sightings((2, "c", True)),  # api is missed by an entitled run
+        sightings((3, "c", False), (2, "c", True), (2, "c", "web", "5")),  # not entitled; a delivery that comes again
+        sightings((4, "c", True), (4, "c", "api", "7"), (1, "c", "web", "old")),  # refuted within the batch; an old sighting says nothing
+    ]
+    names, expected = {}, [{}, {}, {"api": 2}, {"api": 2}, {"web": 4}]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, absence.OBSERVATION).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(absence.OBSERVATION).parquet(f"{tmp_path}/in")
+        query = absence.observe_plane(stream, f"{tmp_path}/log", 3, lambda changes, batch: names.setdefault(batch, sorted(r.name for r in changes.collect())))
+        query.awaitTermination()  # each time a new query goes on from the checkpoint
+        state = absence.plane_of(spark, f"{tmp_path}/log").collect()
+        assert {r.name: r.absent_since.day for r in state if r.is_absent} == expected[i]
+    assert {r.name: (r.provider_id, r.last_seen_run, r.collector) for r in state} == {"web": ("6", 2, "c"), "api": ("7", 4, "c"), "other": ("9", 1, "d")}
+    assert names[2] == ["api"] and names[3] == []  # what a batch didn't touch isn't written
+
+
 def test_tasks_never_raise(caplog):
     assert plans.Task("none", None)() is None and plans.Task("fine", lambda: "sha")() == "sha"
     for why in (ValueError("x"), leasing.LeaseLost("y")):
