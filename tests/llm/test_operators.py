@@ -581,6 +581,10 @@ def test_other_licenses_and_prose_get_no_label(spark):
     data = [*((s, "") for s in other), *own]
     found = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(i, s, "en", "s", 1) for i, (s, _) in enumerate(data)], SCHEMA)).collect()}
     assert {s: found[i] for i, (s, _) in enumerate(data)} == dict(data)
+    # the threshold alone decides, whichever words are missing
+    bent = [("Redistribution and use in source and binary form, with or without modification, are permitted", "bsd"), ("Permission is hereby granted, free of charge, to any persons obtaining copies of this software", "mit"), ("Permission is granted, free of charge, to any persons obtaining copies of this software", "")]
+    found = [r.labels for r in licenses.scan(spark.createDataFrame([(i, s, "en", "s", 1) for i, (s, _) in enumerate(bent)], SCHEMA)).orderBy("doc_id").collect()]
+    assert found == [label for _, label in bent]
     plain = licenses.scan(spark.createDataFrame([(0, "a short one here", "", "", 1), (1, "short and a", "", "", 1)], SCHEMA), [("own", "A short one.")]).collect()
     assert {r.doc_id: r.labels for r in plain} == {0: "own", 1: ""}
 
