@@ -261,6 +261,26 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert topk.search(topk.integer_vectors(frame.limit(0)), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_large_components_and_shards_by_the_input(spark):
+    assert [topk.shard_rows(n) for n in (0, 100, 2000, 10_000, 10**6)] == [256, 256, 256, 1250, 8192]
+    data = [(0, [1e12, -1e12]), (100, [1e12, 1.0]), (1, [8e12, 8e12]), (2, [-8e12, 1.0]), (3, [9e12, 0.0]), (4, [1e300, 0.0]), (5, [1.0, 2.0])]
+    found = topk.search(topk.integer_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")), F.col("vec_id") % 100 == 0, 10).collect()
+    x = {i: [int(c * 1024) for c in v] for i, v in data if i not in (3, 4)}  # 9e12 * 1024 is beyond 2^53
+    want = []
+    for q in (0, 100):
+        best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x[q], x[i], strict=True)))), i) for i in x if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, found)) == sorted(want) and any(abs(s) >= 2**63 - 1 for *_, s in want)
+
+
+def test_block_bounds_hold():
+    rng = np.random.default_rng(8)
+    for big in (1, 2**24, 2**50):
+        q, x = rng.integers(-9, 9, (20, 4)) * big, rng.integers(-9, 9, (30, 4)) * big
+        bound = topk.block_bounds(q.min(axis=0), q.max(axis=0), x.min(axis=0)[None], x.max(axis=0)[None])
+        assert int(bound[0]) >= max(int(s) for s in (q.astype(object) @ x.astype(object).T).ravel())
+
+
 def test_cells_split_a_sample_and_bounds_hold(monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 50)
     rng = np.random.default_rng(1)
