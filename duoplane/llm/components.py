@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_facts, staged
 
 #: So few edges are finished in one task.
 FEW = 10_000
@@ -19,8 +19,8 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
 
     Each round points every node to the least of its neighbours and itself, and replaces edges by what their ends point to:
     the nodes that are left shrink by half at least. ``few`` edges are finished by union-find in one task. Every round is
-    written to the shared folder, so lineage stays short, and joins only meet tables as written, so that Spark can split a
-    node of many edges at run time. Self-loops and repeated edges do no harm; no edges give no rows.
+    written to the shared folder, so lineage stays short; a node of many edges and a root of many nodes are dealt over tasks.
+    Self-loops and repeated edges do no harm; no edges give no rows.
     """
     edges = staged(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mapping = None
@@ -34,13 +34,15 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
         if mapping is None:
             mapping = step
         elif n:
-            onward = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            mapping = staged(mapping.join(onward, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "mapping")
+            roots = mapping.groupBy("root").agg(F.count("*").alias("n"))
+            onward = roots.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
+            mapping = staged(join_facts(mapping, staged(onward, "onward"), ["root"], "n", mapping.count()).select("node", F.coalesce("next", "root").alias("root")), "mapping")
         if n <= few:
             return mapping
-        a, b = (step.select(F.col("node").alias(c), F.col("root").alias(f"{c}2")) for c in "ab")
-        moved = edges.join(a, "a").join(b, "b").filter("a2 <> b2")
-        edges = staged(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
+        for c in "ab":
+            degrees = edges.groupBy(c).agg(F.count("*").alias("n")).join(step.select(F.col("node").alias(c), F.col("root").alias(f"{c}2")), c)
+            edges = join_facts(edges, staged(degrees, "degrees"), [c], "n", n)
+        edges = staged(edges.filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,9 @@
 3. A document of n shingles can only be linked through the first n - ceil(t n) + 1 of them in the global order (its
    prefix). A sweep verifies each class against two rows of each of its min-hash buckets, that of the commonest shingles
    and any other. That joins the large groups of near copies without forming their pairs.
-4. Classes of equal prefix, size and component so far collapse into one group. Groups are joined on prefix shingles,
-   filtered by length and position, each pair of groups once, and expanded to their members, which are verified. Only
+4. Classes of equal prefix, size and component so far collapse into one group. Groups are joined on prefix shingles and
+   on the sizes that length and position leave to partners, each pair of groups once, and expanded to their members, which are
+   verified: one of each group with all of the other, then the rest where that found no link. Only
    pairs of different components are formed: a shingle's largest component meets the others' groups, never itself.
 
 Every link between different sets is either verified or lies within a component that verified links hold together.
@@ -39,6 +40,9 @@ BLOCK_BYTES, BLOCK_DOCS, RANGE_BYTES = 8 << 20, 1 << 20, 16 << 20
 #: Min-hash buckets of a document. They only save work: what they miss, the prefix join finds.
 BUCKETS = 4
 
+#: Groups of a shingle that meet by it alone, at most; the width of a band of sizes.
+FEW_GROUPS, BAND = 32, 0.02
+
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _ODD = np.random.default_rng(20240301).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -205,6 +209,43 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return staged(known.filter(F.col("both") * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"), "links")
 
 
+def _united(so_far: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) with more links (a, b)."""
+    if links.isEmpty():
+        return so_far
+    return components(so_far.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
+def _pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (group_a, group_b, k_a, k_b) of different components that may be linked: those that share a prefix shingle, each pair at
+    the first one, with sizes and positions that leave room for the overlap.
+
+    From a shingle at a position of a list on, so much is left; with a partner of more than a certain size that isn't enough. So each posting
+    knows the sizes of its partners before it meets any. Where few groups have a shingle they meet by the shingle alone; for others, sizes are cut into
+    narrow bands: a posting waits in the band of its size, and asks in the bands of its partners' sizes only. A shingle that many
+    texts have late in their lists brings together none of them that couldn't be linked.
+    """
+    postings = groups.select("group", "n", "len", "component", "k", F.posexplode("prefix").alias("at", "token"))
+    # overlap * (100 + percent) >= percent * (n_a + n_b)
+    most = F.floor((F.col("len") - F.col("at")) * (100 + percent) / percent - F.col("n"))
+    postings = postings.withColumn("most", F.least(most, F.floor(F.col("n") * 100 / percent)))
+    postings = postings.filter(F.col("most") * 100 >= percent * F.col("n"))
+    tally = postings.groupBy("token", "component").agg(F.count("*").alias("j"))
+    largest = tally.groupBy("token").agg(F.max(F.struct("j", "component")).alias("top"), F.count("*").alias("parts"), F.sum("j").alias("j")).filter("parts > 1")
+    largest = staged(largest.select("token", F.col("top.component").alias("top"), "j", (F.col("j") > FEW_GROUPS).alias("many")), "tokens")
+    mixed = staged(join_facts(postings, largest, ["token"], "j", groups.count()), "postings")
+    kept = ["group", "n", "most", "at", "component", "k"]
+    side = lambda df, c: df.select("token", "band", *(["top"] if c == "b" else []), *[F.col(x).alias(f"{x}_{c}") for x in kept])
+    band = lambda n: F.floor(F.ln(n) / float(np.log1p(BAND))).cast("int")
+    few, many = (mixed.filter("not many").withColumn("band", F.lit(-1))), mixed.filter("many")
+    a = side(few.unionByName(many.withColumn("band", band("n"))).filter("component <> top"), "a")
+    asked = F.sequence(band(F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100))), band("most"))
+    b = side(few.unionByName(many.withColumn("band", F.explode(asked))), "b")
+    fits = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("top")) | (F.col("group_a") < F.col("group_b")))
+    fits &= (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+    return staged(a.join(b, ["token", "band"]).filter(fits).select("group_a", "group_b", "k_a", "k_b").distinct(), "group_pairs")
+
+
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """row, doc_id, own (hash of the text), n_shingles and component (a row number) for every row of ``docs``; ``edges``
     of the module's description are not expanded.
@@ -236,26 +277,20 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     named = prefixed.join(so_far.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("root", "row")).drop("root")
     named = staged(named, "named")
     groups = staged(named.groupBy(*key).agg(F.min("row").alias("group"), F.max("len").alias("len"), F.min("prefix").alias("prefix"), F.count("*").alias("k")), "groups")
-    # texts whose sizes fit are of the same or of neighbouring bands
-    band = F.floor(F.ln("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
-    postings = groups.select("group", "n", "len", "component", band.alias("band"), F.posexplode("prefix").alias("at", "token"))
-    tally = postings.groupBy("token", "component").agg(F.count("*").alias("k"))
-    largest = tally.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("parts"), F.sum("k").alias("k")).filter("parts > 1").select("token", F.col("top.component").alias("top"), "k")
-    mixed = join_facts(postings, largest, ["token"], "k", groups.count())
-    a = mixed.filter("component <> top").select("token", "band", *[F.col(c).alias(f"{c}_a") for c in ("group", "n", "len", "at", "component")])
-    b = mixed.select("token", "top", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_b") for c in ("group", "n", "len", "at", "component")])
-    fits = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("top")) | (F.col("group_a") < F.col("group_b")))
-    fits &= F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    # of the first shingle that two groups share, those from it on bound the overlap
-    fits &= F.least(F.col("len_a") - F.col("at_a"), F.col("len_b") - F.col("at_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
-    pairs = a.join(b, ["token", "band"]).filter(fits).select("group_a", "group_b").distinct()
-    many = groups.select("group", *key, "k")
-    members = join_facts(named.select("row", *key), many, key, "k", total).select("group", "row")
-    m_a, m_b = (members.select(F.col("group").alias(f"group_{c}"), F.col("row").alias(c)) for c in "ab")
-    expanded = pairs.join(m_a, "group_a").join(m_b, "group_b").select("a", "b")
-    more = _verified(expanded, rows, percent)
-    if not more.isEmpty():
-        so_far = components(so_far.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    pairs = _pairs(groups, percent)
+    if not pairs.isEmpty():
+        many = groups.select("group", *key, "k")
+        members = staged(join_facts(named.select("row", *key), many, key, "k", total).select("group", "row"), "members")
+        m_a, m_b = (members.select(F.col("group").alias(f"group_{c}"), F.col("row").alias(c)) for c in "ab")
+        # all of a group are one component already: a link of any two joins the groups, and mostly that of one of them with any of the other is there
+        one = pairs.join(m_b, "group_b").select(F.col("group_a").alias("a"), "b").unionByName(pairs.join(m_a, "group_a").select("a", F.col("group_b").alias("b"))).distinct()
+        so_far = _united(so_far, _verified(one, rows, percent))
+        left = pairs.filter("k_a > 1 and k_b > 1")
+        for c in "ab":
+            left = left.join(so_far.select(F.col("node").alias(f"group_{c}"), F.col("root").alias(f"root_{c}")), f"group_{c}", "left")
+        left = staged(left.filter(F.coalesce("root_a", "group_a") != F.coalesce("root_b", "group_b")).select("group_a", "group_b"), "left")
+        if not left.isEmpty():
+            so_far = _united(so_far, _verified(left.join(m_a, "group_a").join(m_b, "group_b").select("a", "b"), rows, percent))
     # a copy is where the first of its set is
     placed = rows.select("row", "doc_id", "own", F.col("n").alias("n_shingles")).join(copies.select(F.col("a").alias("row"), "b"), "row", "left").withColumn("node", F.coalesce("b", "row")).drop("b")
     return placed.join(so_far, "node", "left").select("row", "doc_id", "own", "n_shingles", F.coalesce("root", "node").alias("component"))

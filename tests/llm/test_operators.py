@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -543,6 +544,57 @@ def test_jaccard_components(docs, none, rows):
     assert len(kept) == len({(root[i], None if sets[i] else rows[i][:2]) for i in range(len(rows))}) and jaccard.join_components(none).count() == 0
 
 
+def plain_components(data):
+    """Smallest doc_id of each text's component, by all pairs."""
+    sets, over = {}, {i: i for i, *_ in data}
+    for i, t, *_ in data:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+
+    def root(i):
+        while over[i] != i:
+            i = over[i]
+        return i
+
+    for (i, x), (j, y) in combinations(sets.items(), 2):
+        if 3 * (len(x) + len(y)) <= 7 * min(len(x), len(y)) and 100 * (both := len(x & y)) >= 75 * (len(x) + len(y) - both) and x:
+            over[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i in over}
+
+
+def test_common_passages_form_no_candidates(spark, monkeypatch):
+    """Texts of 100 shingles of which the same 76 are boilerplate aren't linked; what might be is counted."""
+    rnd, seen = random.Random(21), {}
+    common = sentence(rnd, 80)
+    data = [(i, f"{common} {sentence(rnd, 24)}", "en", "s", 1) for i in range(300)]  # all alike but for their ends
+    data += [(1000 + i, f"{sentence(rnd, 3)} {common} {sentence(rnd, 3 + i % 20)}", "en", "s", 1) for i in range(60)]  # of many sizes, some linked
+    write = jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: seen.setdefault(name, []).append(write(df, name)) or seen[name][-1])
+    for few in (32, 0):  # by the shingle alone, or by bands
+        seen.clear()
+        monkeypatch.setattr(jaccard, "FEW_GROUPS", few)
+        found = {r.doc_id: r.component_id for r in jaccard.join_components(spark.createDataFrame(data, SCHEMA)).collect()}
+        assert found == plain_components(data)
+        assert sum(df.count() for df in seen["group_pairs"]) <= 2 * len(data) < 300 * 299 / 2 / 20
+
+
+def test_groups_join_by_any_of_their_members(spark, monkeypatch):
+    """Pairs of groups of several members each, where one's first members aren't linked with the other's."""
+    monkeypatch.setattr(jaccard, "BUCKETS", 1)
+    rnd = random.Random(4)
+    data = []
+    for g in range(8):
+        base = sentence(rnd, 60).split()
+        for i in range(12):  # chains: each a few words from the one before
+            w = list(base)
+            for k in range(i):
+                w[58 - 4 * k] = f"x{g}{k}"
+            data.append((g * 100 + i, " ".join(w), "en", "s", 1))
+    rnd.shuffle(data)
+    found = {r.doc_id: r.component_id for r in jaccard.join_components(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert found == plain_components(data)
+
+
 def test_jaccard_in_small_blocks(spark, rows, monkeypatch):
     for name, value in (("BLOCK_BYTES", 700), ("BLOCK_DOCS", 3), ("RANGE_BYTES", 100)):
         monkeypatch.setattr(jaccard, name, value)
