@@ -1,8 +1,12 @@
 """Language ID by compression (operator 2): the dictionary that shrinks a text most names its language.
 
-One raw-content zstandard dictionary for each language, from a bounded sample of labelled documents. A text is cut into
-windows of ``WINDOW`` bytes, all of which are compressed with every dictionary; the smallest sum wins, and a narrow
-margin over the second rejects.
+One raw-content zstandard dictionary for each language, of whole texts from a bounded sample of labelled documents. A text
+is cut into windows of ``WINDOW`` bytes, all of which are compressed with every dictionary; the smallest sum wins, and a
+narrow margin over the second rejects.
+
+Bounds of the sample: of a language's documents, about ``SAMPLE_DOCS`` are drawn, from those of up to ``TEXT_BYTES``; a
+dictionary holds the first of them, whole, that fit into ``DICTIONARY_BYTES``. Learnt are the ``LANGUAGES`` languages with the
+most documents.
 """
 
 from __future__ import annotations
@@ -16,8 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-#: About how many labelled documents a dictionary is made of, how many bytes (from its middle) each gives.
-SAMPLE_DOCS, SAMPLE_BYTES = 220, 500
+SAMPLE_DOCS, TEXT_BYTES, DICTIONARY_BYTES, LANGUAGES = 400, 8 << 10, 128 << 10, 256
 WINDOW, LEVEL = 16 << 10, 9
 #: A smaller lead over the second best, as a share of its size, rejects.
 MARGIN = 0.01
@@ -32,19 +35,30 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Dictionary content by language, from documents with text, lang and doc_id that aren't held out. A document is
     sampled where the hash of its id falls under sample_docs / (documents of the language), so the sample stays bounded
-    (in expectation, and to within a few percent) at any size."""
+    (in expectation, and to within a few percent) at any size. Columns besides these three don't matter."""
     labelled = docs.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labelled = labelled.withColumn("size", F.octet_length("text")).filter(F.col("size") <= TEXT_BYTES)
+    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r.lang: r.n for r in top.collect()}
     if not counts:
         return {}
     most = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(sample_docs / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(1 << 30)
-    middle = F.substring(F.col("text"), F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - SAMPLE_BYTES // 2), F.lit(SAMPLE_BYTES))
-    sample = labelled.filter(draw < most[F.col("lang")]).select("lang", draw.alias("draw"), "doc_id", middle.alias("part"))
-    parts: dict[str, list] = {lang: [] for lang in counts}
-    for r in sorted(sample.collect(), key=lambda r: (r.draw, r.doc_id, r.part)):
-        parts[r.lang].append(r.part.lower().encode())
-    return {lang: b"\n".join(p) for lang, p in sorted(parts.items()) if p}
+    sample = labelled.filter(draw < most[F.col("lang")]).select("lang", draw.alias("draw"), "doc_id", "text")
+    drawn: dict[str, list] = {}
+    for r in sorted(sample.collect(), key=lambda r: (r.draw, r.doc_id, r.text)):
+        drawn.setdefault(r.lang, []).append(r.text.lower().encode())
+    return {lang: _content(texts) for lang, texts in sorted(drawn.items())}
+
+
+def _content(texts: list[bytes]) -> bytes:
+    """Whole texts in order, each that still fits."""
+    held, size = [], 0
+    for text in texts:
+        if size + len(text) < DICTIONARY_BYTES:
+            held.append(text)
+            size += len(text) + 1
+    return b"\n".join(held)
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:

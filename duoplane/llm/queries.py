@@ -14,7 +14,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(_read(spark, sf_dir, "documents"))
+    return media.text_media(_read(spark, sf_dir, "documents"), with_media=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     picked = usable.orderBy(draw, "doc_id").limit(2 * sample_docs)
     joined = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     sample = joined.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    # one task fits the bounded sample; the sort spills, and the task stops reading where the sample is full
+    # one task fits the bounded sample; the sort spills, and what comes after the sample is full is passed over
     sample = sample.withColumn("draw", draw).repartition(1).sortWithinPartitions("draw", "doc_id").select("text", "toxic")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

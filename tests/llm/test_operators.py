@@ -1,6 +1,7 @@
 """Every corpus operator against brute force or a library, on rows with nulls, empty and odd texts, ties and repeats."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -210,6 +211,73 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r.lang_pred == data[r.doc_id][2] for r in found]) >= 0.95
 
 
+def test_sizes_are_those_of_a_plain_compression(spark):
+    """Windows of a text, each compressed with each language's dictionary; other columns of any name don't matter."""
+    import zstandard
+
+    rnd = random.Random(3)
+    data = [(i, sentence(rnd, 120, "abcde" if i % 2 else "vwxyz"), "aa" if i % 2 else "zz", "s", i, 0.5, "x") for i in range(60)]
+    data += [(70, sentence(rnd, 9000, "abcvwx"), None, "s", 1, 0.5, "x"), (71, "É" * 9, "aa", "s", 1, 0.5, "x"), (72, "", "aa", "s", 1, 0.5, "x")]
+    frame = spark.createDataFrame(data, SCHEMA.replace("n_chars long", "size long, score double, draw string")).repartition(3)
+    learnt = langid.learn(frame)
+    drawn = {lang: [t.lower() for i, t, l, *_ in data if l == lang and zlib.crc32(str(i).encode()) % 5] for lang in ("aa", "zz")}
+    assert all(set(learnt[lang].decode().split("\n")) == set(texts) for lang, texts in drawn.items())  # whole texts, all of them: the sample isn't full
+    found = {r.doc_id: r for r in langid.predict(frame, learnt).collect()}
+    for i, text, *_ in data:
+        if not any(c.isalpha() for c in text):
+            assert found[i].lang_pred == "und" and found[i].sizes == []
+            continue
+        raw, want = text.lower().encode(), {}
+        for lang, content in learnt.items():
+            make = lambda: zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)  # noqa: B023, E731
+            want[lang] = [len(make().compress(raw[a : a + langid.WINDOW])) for a in range(0, len(raw), langid.WINDOW)]
+        assert all(abs(size - sum(want[lang])) <= 4 * len(want[lang]) for lang, size in zip(sorted(learnt), found[i].sizes, strict=True)), i
+        assert found[i].lang_pred == sorted(learnt)[found[i].sizes.index(min(found[i].sizes))]
+    assert langid._content([b"a" * 100_000, b"b" * 100_000, b"c" * 1000]) == b"a" * 100_000 + b"\n" + b"c" * 1000  # whole texts that fit
+
+
+def test_the_fit_is_that_of_a_plain_gradient():
+    """Ratios, choice and weights by dictionaries and loops."""
+    rnd = random.Random(12)
+    texts = [sentence(rnd, 6, "abc" if i % 3 == 0 else "bcd") for i in range(40)] + ["", "zzz"]
+    labels = [int(i % 3 == 0) for i in range(40)] + [0, 1]
+    sets = [toxicity.features([t.encode()]).tolist() for t in texts]
+    n, pos = len(texts), sum(labels)
+    seen = {f: (sum(f in s and y for s, y in zip(sets, labels, strict=True)), sum(f in s and not y for s, y in zip(sets, labels, strict=True))) for f in {f for s in sets for f in s}}
+    rows = 1 << toxicity.BITS
+    toxic, clean = rows + sum(a for a, _ in seen.values()), rows + sum(b for _, b in seen.values())
+    ratio = {f: math.log((a + 1) / toxic) - math.log((b + 1) / clean) for f, (a, b) in seen.items()}
+
+    def g(a, b):
+        share, out = (a + b) / n, 0.0
+        for have, of in ((a, pos), (b, n - pos)):
+            out += have * math.log(have / (of * share)) if have else 0
+            out += (of - have) * math.log((of - have) / (of * (1 - share))) if of - have else 0
+        return 2 * out
+
+    chosen = sorted(f for f, (a, b) in seen.items() if a + b >= toxicity.LEAST_DOCS and g(a, b) >= toxicity.LEAST_G)
+    assert 0 < len(chosen) <= toxicity.FEATURES
+    w, bias = dict.fromkeys(chosen, 0.0), math.log(pos / (n - pos))
+    m, v, mb, vb = dict.fromkeys(chosen, 0.0), dict.fromkeys(chosen, 0.0), 0.0, 0.0
+    for step in range(1, toxicity.ROUNDS + 1):
+        errors = [1 / (1 + math.exp(-(bias + sum(w[f] * ratio[f] for f in s if f in w)))) - y for s, y in zip(sets, labels, strict=True)]
+        gradient = {f: toxicity.RIDGE * w[f] for f in chosen}
+        for s, e in zip(sets, errors, strict=True):
+            for f in s:
+                if f in w:
+                    gradient[f] += ratio[f] * e / n
+        up, down = 1 - 0.9**step, 1 - 0.999**step
+        for f in chosen:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * gradient[f], 0.999 * v[f] + 0.001 * gradient[f] ** 2
+            w[f] -= toxicity.RATE * (m[f] / up) / (math.sqrt(v[f] / down) + 1e-8)
+        gb = sum(errors) / n
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+        bias -= toxicity.RATE * (mb / up) / math.sqrt(vb / down) if vb else 0
+    model = toxicity.fit(texts, labels)
+    assert model.features.tolist() == chosen and abs(model.bias - bias) < 1e-6
+    assert np.allclose(model.weights, [w[f] * ratio[f] for f in chosen], atol=1e-6)
+
+
 def test_token_counts_as_the_library(docs, none, rows):
     from tokenizers import Tokenizer
 
