@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents
 (the last one its token counts and digests). ``run`` writes each stage's rows to the shared folder and reads them again.
+
+In every stage: a null text counts as empty (the classifier scores it so, near duplicates and passages find nothing in it);
+rows that repeat a doc_id are rows like others, except that rows equal in id and text are one document to the near-duplicate
+stage, which keeps one of them; a null doc_id comes last where the smallest is kept; ties are broken by text or a hash of it,
+so reruns agree; columns beside those of documents pass through all stages but the last; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -50,8 +55,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity_stage), ("jaccard_join", near_duplicate_stage), ("substring_dedup", substring_stage), ("mixing", mixing_stage), ("byte_bpe", token_stage)]
 
-#: SQL can't express the classifier, the chunking and the merges. The operators have tests of their own, near duplicates and
-#: tokens against brute force or a library; of the stages run together only columns and a row count are tested.
+#: SQL can't express the classifier, the chunking and the merges. All five stages run together are tested against plain Python,
+#: SQL (the mix) and a tokenizer's library over some hundred documents.
 ORACLE_SQL = None
 
 
