@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -801,6 +802,164 @@ def row_ids(spark, sf_dir):
     return ids
 
 
+# ------------------------------------------------------------------------------------- documents and provider payloads
+
+_GOOD = ["apiVersion: planes.example/v1", "kind: Part", "metadata:", "  name: {name}", "  scope: {scope}", "attributes:", "  size: {size}", '  label: "{type}"', "  fragile: {fragile}"]
+_V = "planes.example/v1"
+_TEXT = "is not a text of 1 to 253 characters"
+
+
+def _edited(drop: range | tuple = (), **lines: str) -> str:
+    """The good document without the lines ``drop``, with others (n1="...": line 1) replaced, the last one (add="...") added; lines count from 1."""
+    out = [lines.get(f"n{i}", line) for i, line in enumerate(_GOOD, 1) if i not in drop]
+    return "\n".join([*out, *([lines["add"]] if "add" in lines else [])]) + "\n"
+
+
+#: A document with every fault that one can have, the line and what is said about it (None: it is good).
+_DOCUMENTS: list[tuple[str, int | None, str | None]] = [
+    (_edited(), None, None),
+    (_edited(n7="  size: null"), None, None),
+    (_edited(n8="  label: '007'", n7='  size: "12"'), None, None),
+    (_edited(n1="apiVersion: planes.example/v2"), 1, f"apiVersion is not {_V}"),
+    (_edited((1,)), 1, f"apiVersion is not {_V}"),
+    (_edited(add="provider_id: x"), 10, "provider_id cannot be declared"),
+    (_edited(n5="  scope: {scope}\n  provider_id: x"), 6, "metadata.provider_id cannot be declared"),
+    (_edited(range(3, 6)), 1, "metadata is missing"),
+    (_edited((4,)), 4, "metadata.name is missing"),
+    (_edited(n4="  name: 007"), 4, f"metadata.name {_TEXT}"),
+    (_edited(n4='  name: ""'), 4, f"metadata.name {_TEXT}"),
+    (_edited(n5="  scope: " + "x" * 254), 5, f"metadata.scope {_TEXT}"),
+    (_edited((4, 5), n3="metadata: text"), 3, "metadata is not a mapping"),
+    (_edited(add="---\nkind: Part"), None, "2 documents where one is due"),
+    ("", None, "0 documents where one is due"),
+    (_edited(add="kind: Part"), 10, "the document repeats the key kind"),
+    (_edited(n5="  scope: {scope}\n  <<: {{a: 1}}"), 6, "metadata uses a merge key"),
+    (_edited(n6="attributes: !x"), 6, "attributes has the tag !x"),
+    (_edited(add="? [a]\n: b"), 10, "the document has a structure as a key"),
+    (_edited(n2="kind: Gadget"), 2, "unknown kind Gadget"),
+    (_edited(n9="  color: red"), 6, "missing attributes: fragile; unknown attributes: color"),
+    (_edited((8, 9), n2="kind: Odd"), 7, "the kind gives attributes.size the unknown type decimal"),
+    (_edited(n7="  size: [1]"), 7, "attributes.size is not a scalar"),
+    (_edited(n7="  size:"), 7, "attributes.size is empty; write null or a quoted text"),
+    (_edited(n7="  size: 0{size}"), 7, "attributes.size: '0{size}' is not an integer"),
+    (_edited(n9="  fragile: yes"), 9, "attributes.fragile: 'yes' is neither true nor false"),
+    (_edited(range(6, 10)), 1, "attributes is missing"),
+    (_edited(add="notes: &a {{b: *a}}"), 10, "notes.b is nested in itself"),
+    (_edited(n8='  label: "a\\0b"'), 6, "label: U+0000 cannot be stored"),
+    ("- a\n", 1, "the document is not a mapping"),
+    (_edited(n3="metadata: ["), None, "unparseable YAML"),
+    (_edited(add="notes: *nowhere"), 10, "unparseable YAML"),
+]
+
+
+def _filled(text: str) -> Column:
+    """A text with the part's values in its braces."""
+    values = {"name": F.concat(F.lit("part-"), F.col("p_partkey").cast("string")), "scope": F.col("p_brand"), "size": F.col("p_size").cast("string"), "type": F.col("p_type"), "fragile": (F.col("p_size") % 2 == 0).cast("string")}
+    pieces = [(before, field) for before, field, _, _ in string.Formatter().parse(text)]
+    return F.concat(F.lit(""), *[x for before, field in pieces for x in (F.lit(before), *([values[field]] if field else []))])
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.element_at(F.array(*[_filled(text) for text, _, _ in _DOCUMENTS]), (F.col("p_partkey") % len(_DOCUMENTS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit(".yaml")).alias("source"), F.encode(body, "UTF-8").alias("content"))
+
+
+_PART_KINDS = {"Part": {"size": "int", "label": "str", "fragile": "bool"}, "Odd": {"size": "decimal"}}
+_FAULTS_SQL = ", ".join(f"({i}, {'NULL' if line is None else line}::INTEGER, '{why.replace(chr(39), chr(39) * 2)}')" for i, (_, line, why) in enumerate(_DOCUMENTS) if why)
+
+
+@query(f"""SELECT 'part-' || p_partkey || '.yaml' AS source, CASE WHEN message LIKE 'unparseable%' THEN NULL ELSE line END AS line, replace(message, '{{size}}', p_size::VARCHAR) AS message
+FROM part JOIN (VALUES {_FAULTS_SQL}) f(fault, line, message) ON p_partkey % {len(_DOCUMENTS)} = fault""")
+def broken_documents(spark, sf_dir):
+    """Every fault that a document can have, by source and line; what a YAML parser says itself is left out."""
+    from .sources.documents import parse_documents
+
+    bad = parse_documents(_documents(spark, sf_dir), "t", _V, _PART_KINDS).filter("error is not null")
+    unparseable = F.col("error").startswith("unparseable YAML")
+    return bad.select("source", F.when(~unparseable, F.col("line")).alias("line"), F.when(unparseable, "unparseable YAML").otherwise(F.col("error")).alias("message"))
+
+
+@query(f"""SELECT p_brand AS scope, 'part-' || p_partkey AS name, CASE p_partkey % {len(_DOCUMENTS)} WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN 'null' ELSE '12' END AS size,
+  CASE p_partkey % {len(_DOCUMENTS)} WHEN 2 THEN '"007"' ELSE '"' || p_type || '"' END AS label, (p_size % 2 = 0)::VARCHAR AS fragile, 'r1' AS revision_id FROM part WHERE p_partkey % {len(_DOCUMENTS)} < 3""")
+def ingested_revision(spark, sf_dir):
+    """The plane of a revision of good documents, ingested, committed and read again."""
+    from .sources.documents import ingest_and_commit
+
+    store = _folder(spark, "ingested")
+    good = _documents(spark, sf_dir).filter(F.regexp_extract("source", "([0-9]+)", 1).cast("long") % len(_DOCUMENTS) < 3)
+    if not ingest_and_commit(spark, "", store, "t", "r1", _V, _PART_KINDS, good) or ingest_and_commit(spark, "", store, "t", "r1", _V, _PART_KINDS, good):
+        raise RuntimeError("a revision is committed once")
+    plane = revisions.committed_plane(spark, store, "t")
+    return plane.select("scope", "name", *[F.col("attributes")[c]["canon"].alias(c) for c in ("size", "label", "fragile")], "revision_id")
+
+
+def _json_text(x: Column) -> Column:
+    """A text as JSON writes it."""
+    listed = F.to_json(F.array(x))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _supplier_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a provider, one in eight as it should be; the others lack something, have it elsewhere, or are something else."""
+    k = F.col("s_suppkey")
+    name, uid, place, n = _json_text(F.col("s_name")), F.concat(F.lit('"u-'), k.cast("string"), F.lit('"')), F.concat(F.lit('"n'), F.col("s_nationkey").cast("string"), F.lit('"')), (k % 5).cast("string")
+    meta = lambda u: F.concat(F.lit('{"metadata": {"namespace": '), place, F.lit(', "name": '), name, F.lit(', "uid": '), u, F.lit('}, "spec": '))
+    spec = lambda x: F.concat(F.lit('{"replicas": '), x, F.lit("}}"))
+    forms = [F.concat(meta(uid), spec(n)), F.concat(meta(uid), F.lit("{}}")), F.concat(F.lit('{"metadata": {}, "spec": '), spec(n)), k.cast("string"), F.concat(meta(uid), spec(F.lit("null"))), F.concat(meta(uid), spec(F.lit("NaN"))), F.concat(meta(k.cast("string")), spec(n)), F.concat(meta(uid), F.lit('"x"}'))]
+    return table(spark, sf_dir, "supplier").select(k.alias("position"), F.element_at(F.array(*forms), (k % 8 + 1).cast("int")).alias("record"))
+
+
+_SUPPLIER_SQL = """s AS (SELECT s_suppkey AS k, s_suppkey % 8 AS m, 'n' || s_nationkey AS place, s_name, s_nationkey FROM supplier),
+normal AS (SELECT *, CASE m WHEN 1 THEN 'missing fields: spec.replicas' WHEN 2 THEN 'missing fields: metadata.name, metadata.namespace, metadata.uid' WHEN 3 THEN 'the record is not a mapping'
+  WHEN 4 THEN 'missing fields: spec.replicas' WHEN 5 THEN 'replicas: nan is not a finite number' WHEN 7 THEN 'missing fields: spec.replicas' END AS problem FROM s)"""
+
+
+@query(f"""WITH {_SUPPLIER_SQL} SELECT k AS position, CASE WHEN problem IS NULL THEN place END AS scope, CASE WHEN problem IS NULL THEN s_name END AS name, CASE WHEN problem IS NULL THEN CASE m WHEN 6 THEN k::VARCHAR ELSE 'u-' || k END END AS provider_id,
+  CASE WHEN problem IS NULL THEN (k % 5)::VARCHAR END AS replicas, problem FROM normal""")
+def normalised_records(spark, sf_dir):
+    """Provider records to resources, or to what is wrong with them."""
+    from .sources.recorded import DEPLOYMENTS, normalised
+
+    rows = normalised(_supplier_records(spark, sf_dir), DEPLOYMENTS, "t")
+    return rows.select("position", "scope", "name", "provider_id", F.col("attributes")["replicas"]["canon"].alias("replicas"), "problem")
+
+
+@query("""SELECT p_partkey AS position, CASE WHEN p_partkey % 3 <> 2 THEN p_brand END AS scope, CASE WHEN p_partkey % 3 <> 2 THEN 'p-' || p_partkey END AS provider_id, CASE WHEN p_partkey % 3 <> 2 THEN '"' || p_type || '"' END AS shape,
+  CASE p_partkey % 3 WHEN 0 THEN p_size || '.0' WHEN 1 THEN p_size::VARCHAR END AS ocpus, CASE WHEN p_partkey % 3 = 2 THEN 'missing fields: id, shape-config.ocpus' END AS problem FROM part""")
+def normalised_instances(spark, sf_dir):
+    """Instances of another provider: numbers keep how they are written, and nothing else of a record is kept."""
+    from .sources.recorded import INSTANCES, normalised
+
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    ident = F.when(k % 3 == 2, "null").otherwise(quoted(F.concat(F.lit("p-"), k.cast("string"))))
+    config = F.when(k % 3 == 0, F.concat(F.lit('{"ocpus": '), size, F.lit(".0}"))).when(k % 3 == 1, F.concat(F.lit('{"ocpus": '), size, F.lit("}"))).otherwise("null")
+    record = F.concat(F.lit('{"compartment-id": '), quoted(F.col("p_brand")), F.lit(', "display-name": '), _json_text(F.col("p_name")), F.lit(', "id": '), ident, F.lit(', "shape": '), quoted(F.col("p_type")), F.lit(', "lifecycle-state": "RUNNING", "shape-config": '), config, F.lit("}"))
+    rows = normalised(table(spark, sf_dir, "part").select(k.alias("position"), record.alias("record")), INSTANCES, "t")
+    return rows.select("position", "scope", "provider_id", *[F.col("attributes")[c]["canon"].alias(c) for c in ("shape", "ocpus")], "problem")
+
+
+@query(f"""WITH {_SUPPLIER_SQL}, files AS (SELECT s_nationkey % 5 AS form, count(*) AS n, count(*) FILTER (problem IS NULL) AS good FROM normal GROUP BY s_nationkey)
+SELECT sum(CASE form WHEN 0 THEN n WHEN 4 THEN n ELSE 0 END)::BIGINT AS records_read, sum(CASE WHEN form IN (0, 4) THEN good ELSE 0 END)::BIGINT AS records_written, count(*) FILTER (form = 1) AS without_list, count(*) FILTER (form = 2) AS no_json,
+  count(*) FILTER (form = 3) AS null_list FROM files""")
+def recorded_payloads(spark, sf_dir):
+    """Recorded files, one for each nation, of which three in five cannot be read; each says so, and the others are."""
+    from .sources.recorded import DEPLOYMENTS, collector
+
+    path = _folder(spark, "recorded")
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("position"), "s_nationkey")
+    items = _supplier_records(spark, sf_dir).join(nations, "position").groupBy("s_nationkey").agg(F.array_join(F.collect_list("record"), ", ").alias("items"))
+    whole = F.concat(F.lit('{"items": ['), F.col("items"), F.lit("]}"))
+    form = F.element_at(F.array(whole, F.lit('{"data": []}'), F.lit('{"items": ['), F.lit('{"items": null}'), whole), (F.col("s_nationkey") % 5 + 1).cast("int"))
+    items.select(form.alias("value"), "s_nationkey").write.partitionBy("s_nationkey").text(path)
+    rows, why = collector(spark, DEPLOYMENTS, "t", path), F.col("problem")
+    gap = F.col("position").isNull()
+    counts = rows.agg(F.count("position").alias("records_read"), F.count_if(~gap & why.isNull()).alias("records_written"), F.count_if(gap & why.startswith("no list")).alias("lists"), F.count_if(gap & why.startswith("not JSON")).alias("no_json"))
+    # a list that isn't there and one that is null are told alike: by the files themselves
+    forms = items.agg(F.count_if(F.col("s_nationkey") % 5 == 1).alias("without_list"), F.count_if(F.col("s_nationkey") % 5 == 3).alias("null_list"))
+    return counts.join(forms, F.col("lists") == F.col("without_list") + F.col("null_list")).drop("lists")
+
+
 # ------------------------------------------------------------------------------- filters, constraints, runs, revisions
 
 

@@ -420,7 +420,7 @@ def test_absence_needs_a_complete_run(spark):
         assert {r.name: r.is_absent for r in after.collect()} == {"web": False, "api": gone}
 
 
-SAMPLE = ["page_by_index", "page_totals_by_index", "ordered_decisions", "ordered_orphans", "ordered_fields", "row_ids", "rewrite_discrepancies", "rewrite_history", "run_log", "publish_gate", "streaming_absence", "json_barricade_limits", "orphans_after_decisions", "swapped_names_bound", "reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert", "present_only_match", "run_records", "overlapping_runs", "match_constraints", "yaml_barricade", "audit_sampled", "commit_revisions"]
+SAMPLE = ["broken_documents", "ingested_revision", "normalised_records", "normalised_instances", "recorded_payloads", "page_by_index", "page_totals_by_index", "ordered_decisions", "ordered_orphans", "ordered_fields", "row_ids", "rewrite_discrepancies", "rewrite_history", "run_log", "publish_gate", "streaming_absence", "json_barricade_limits", "orphans_after_decisions", "swapped_names_bound", "reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert", "present_only_match", "run_records", "overlapping_runs", "match_constraints", "yaml_barricade", "audit_sampled", "commit_revisions"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
