@@ -802,6 +802,15 @@ def row_ids(spark, sf_dir):
     return ids
 
 
+@query(f"""WITH {CUSTOMER_SQL}, d AS (SELECT *, row_number() OVER (ORDER BY scope, name) AS id FROM dec), x AS (SELECT *, row_number() OVER (ORDER BY scope, name) AS id FROM dis)
+SELECT p.scope, p.name, p.provider_id, d.id AS declared_row_id, x.id AS discovered_row_id FROM pairs p JOIN d ON d.scope = p.scope AND d.name = p.name JOIN x ON x.scope = p.discovered_scope AND x.name = p.discovered_name""")
+def pair_row_ids(spark, sf_dir):
+    """Pairs carry the ids of the two rows that they join."""
+    declared, discovered, decided = _customer(spark, sf_dir)
+    ids = [ordered.kept_ids(side, KEY, _folder(spark, "ids")) for side in (declared, discovered)]
+    return matching.with_row_ids(matching.match_resources(declared, discovered, decided).pairs, *ids).select("scope", "name", "provider_id", "declared_row_id", "discovered_row_id")
+
+
 # ------------------------------------------------------------------------------------- documents and provider payloads
 
 _GOOD = ["apiVersion: planes.example/v1", "kind: Part", "metadata:", "  name: {name}", "  scope: {scope}", "attributes:", "  size: {size}", '  label: "{type}"', "  fragile: {fragile}"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,19 +138,63 @@ def count_skips(records: DataFrame, skips: DataFrame) -> DataFrame:
     return records.join(counted, RUN, "left").withColumn("skipped_attempts", F.coalesce("skips", F.lit(0)).cast("long")).drop("skips")
 
 
+#: Run lengths of a collector's history that one task goes through.
+SPAN = 64
+_MICROS = 1_000_000
+
+
+def _started(table: pa.Table, at: str, keys: list[str]) -> pa.Table:
+    """Attempts with a time, in order: by time, then by whatever else tells them apart."""
+    rest = [f.name for f in table.schema if f.name not in (at, *keys) and not pa.types.is_nested(f.type)]
+    return table.sort_by([(c, "ascending") for c in (at, *rest)])
+
+
 def admitted(attempts: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
     """``attempts`` with ``ran``: does an attempt find no run of its collector in flight? A run takes ``seconds``; one that
-    doesn't start holds nothing back. What an attempt finds depends on all before it, so a collector's attempts are gone
-    through in order, in one task for each collector."""
-    schema = T.StructType([*attempts.schema.fields, T.StructField("ran", T.BooleanType())])
-
-    def walk(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in (at, *(c for c in table.column_names if c != at and pa.types.is_integer(table.schema.field(c).type)))])
-        free, ran = None, []
-        for start in pc.cast(table.column(at), pa.int64()).to_pylist():
-            ran.append(free is None or start >= free)
+    doesn't start holds nothing back. An attempt without a time never runs.
+
+    What an attempt finds depends on all before it. But a run ends within ``seconds``, so all that a stretch of history hands on
+    is when its last run ends, and that depends on which of its first attempts is the first to run. So stretches of ``SPAN`` run lengths
+    are summed up apart, as steps from the time at which the collector is free to the time at which it is free again; a collector's steps, few for
+    each stretch as chains of runs soon meet, are put together in order; then every stretch is gone through from its own start. No task
+    sees a whole history.
+    """
+    width = seconds * _MICROS
+    names = [f.name for f in attempts.schema.fields]
+    micros, block = "_at_micros", "_block"
+    timed = attempts.withColumn(micros, F.unix_micros(F.col(at).cast("timestamp"))).withColumn(block, F.floor(F.col(micros) / (width * SPAN)))
+    like = [attempts.schema[k] for k in keys]
+
+    def steps(key: tuple, table: pa.Table) -> pa.Table:
+        t = np.sort(table.column(micros).to_numpy())
+        begin = key[-1].as_py() * width * SPAN
+        onward = np.searchsorted(t, t + width)
+        free = t + width
+        for i in range(len(t) - 1, -1, -1):  # free again after the block, if the ith attempt is the first to run
+            if onward[i] < len(t):
+                free[i] = free[onward[i]]
+        first = min(len(t), int(np.searchsorted(t, begin + width)) + 1)  # none after it can be the first
+        last = np.flatnonzero(np.append(free[1:first] != free[: first - 1], True))
+        columns = [pa.array([k.as_py()], k.type) for k in key] + [pa.array([t[:first][last].tolist()], pa.list_(pa.int64())), pa.array([free[:first][last].tolist()], pa.list_(pa.int64()))]
+        return pa.Table.from_arrays(columns, [*keys, block, "until", "free"])
+
+    def chain(key: tuple, table: pa.Table) -> pa.Table:
+        table, free, entries = table.sort_by(block), -(2**62), []
+        for until, then in zip(table.column("until").to_pylist(), table.column("free").to_pylist(), strict=True):
+            entries.append(free)
+            i = bisect.bisect_left(until, free)
+            free = then[i] if i < len(until) else free
+        return table.select([*keys, block]).append_column("entry", pa.array(entries, pa.int64()))
+
+    def walk(key: tuple, table: pa.Table, entries: pa.Table) -> pa.Table:
+        table = _started(table, at, keys)
+        free, ran = entries.column("entry")[0].as_py() if len(entries) else 2**62, []
+        for start in table.column(micros).to_pylist():
+            ran.append(start is not None and start >= free)
             if ran[-1]:
-                free = start + seconds * 1_000_000
-        return table.append_column("ran", pa.array(ran))
+                free = start + width
+        return table.select(names).append_column("ran", pa.array(ran, pa.bool_()))
 
-    return attempts.groupBy(*keys).applyInArrow(walk, schema)
+    stepped = timed.filter(F.col(micros).isNotNull()).select(*keys, block, micros).groupBy(*keys, block).applyInArrow(steps, T.StructType([*like, T.StructField(block, T.LongType()), T.StructField("until", T.ArrayType(T.LongType())), T.StructField("free", T.ArrayType(T.LongType()))]))
+    entries = stepped.groupBy(*keys).applyInArrow(chain, T.StructType([*like, T.StructField(block, T.LongType()), T.StructField("entry", T.LongType())]))
+    return timed.groupBy(*keys, block).cogroup(entries.groupBy(*keys, block)).applyInArrow(walk, T.StructType([*attempts.schema.fields, T.StructField("ran", T.BooleanType())]))

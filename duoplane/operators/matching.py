@@ -170,6 +170,14 @@ def value_constraints(discrepancies: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
+def with_row_ids(pairs: DataFrame, declared_ids: DataFrame, discovered_ids: DataFrame, name: str = "row_id") -> DataFrame:
+    """Pairs with ``declared_row_id`` and ``discovered_row_id``, the ids of the rows that they join (KEY, id of either plane; a row without one
+    fails nothing and has a null)."""
+    mine = declared_ids.select(*KEY, F.col(name).alias("declared_row_id"))
+    theirs = discovered_ids.select(*[F.col(k).alias(f"discovered_{k}") for k in KEY], F.col(name).alias("discovered_row_id"))
+    return pairs.join(mine, KEY, "left").join(theirs, _FOUND, "left").select(*pairs.columns, "declared_row_id", "discovered_row_id")
+
+
 def in_order(pairs: DataFrame) -> DataFrame:
     """Pairs in their total order, declared key then provider id, for whoever writes or shows them."""
     return pairs.orderBy(*KEY, F.asc_nulls_last("provider_id"))

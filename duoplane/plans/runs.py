@@ -8,8 +8,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.config import ComparisonSchema
 from ..model import ATTRIBUTES, KEY, OPEN
@@ -175,3 +176,10 @@ class Task:
         if found is None:
             log.info("%s had nothing to do", self.name)
         return found
+
+
+def on_schedule(spark: SparkSession, task: Task, interval: str, checkpoint: str) -> StreamingQuery:
+    """Call a task at every trigger of a stream (``interval``, say "300 seconds"), one call at a time: a call that takes longer delays the next. It goes
+    on until the query is stopped, whatever a call does."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    return ticks.writeStream.queryName(task.name).option("checkpointLocation", checkpoint).trigger(processingTime=interval).foreachBatch(lambda _, __: task() and None).start()

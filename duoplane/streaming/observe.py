@@ -57,8 +57,9 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(*[f"{path}/v={max(v)}/bucket={b}" for b, v in sorted(_held(spark, path).items())])
 
 
-def observe(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], interval: str | None = None) -> StreamingQuery:
+def observe(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], interval: str | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Keep the latest row of each key of a stream; with an ``interval`` (say "300 seconds") for good, else over what is
-    available now."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: merge_latest(df.sparkSession, path, df, i, keys, order))
+    available now. A batch rewrites the buckets that it touches: about one for every 100,000 keys keeps that small; their
+    number is fixed for a state."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, i: merge_latest(df.sparkSession, path, df, i, keys, order, buckets))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

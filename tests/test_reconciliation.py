@@ -3,7 +3,8 @@
 import itertools
 import json
 import math
-from datetime import UTC, datetime
+import random
+from datetime import UTC, datetime, timedelta
 
 import duckdb
 import pytest
@@ -411,6 +412,26 @@ def test_paged_source():
     assert list(paged.pages(Pages(1, 503, 9), lambda _: None))[-1][2]
 
 
+def test_overlapping_attempts_are_skipped(spark, monkeypatch):
+    """Stretches put together give what one walk through the whole history gives."""
+    rnd = random.Random(5)
+    rows = [(k, datetime(2024, 1, 1, tzinfo=UTC) + timedelta(seconds=s), i) for k, n, reach in (("dense", 900, 9000), ("sparse", 60, 500_000), (None, 40, 3000)) for i, s in enumerate(sorted(rnd.choices(range(reach), k=n)))]
+    rows += [("dense", None, 1), ("sparse", None, 2)]
+    want = {}
+    for name in ("dense", "sparse", None):
+        free = None
+        for _, at, i in sorted((r for r in rows if r[0] == name and r[1]), key=lambda r: (r[1], r[2])):
+            want[name, at, i] = free is None or at >= free
+            if want[name, at, i]:
+                free = at + timedelta(seconds=60)
+    frame = spark.createDataFrame(rows, "collector string, at timestamp, i int").repartition(3)
+    for span in (64, 1, 3):
+        monkeypatch.setattr(discovery, "SPAN", span)
+        found = discovery.admitted(frame, ["collector"], "at", 60).collect()
+        assert {(r.collector, r["at"].replace(tzinfo=UTC), r.i): r.ran for r in found if r["at"]} == want and [r.ran for r in found if not r["at"]] == [False, False]
+    assert discovery.admitted(frame.limit(0), ["collector"], "at", 60).count() == 0
+
+
 def test_absence_needs_a_complete_run(spark):
     base = plane(spark, ("web", "1", {}), ("api", "2", {}))
     state = base.select("*", F.lit("r1").alias("last_seen_run"), F.lit("c").alias("collector"), F.lit(False).alias("is_absent"), F.lit(None).cast("timestamp").alias("absent_since"))
@@ -420,7 +441,7 @@ def test_absence_needs_a_complete_run(spark):
         assert {r.name: r.is_absent for r in after.collect()} == {"web": False, "api": gone}
 
 
-SAMPLE = ["broken_documents", "ingested_revision", "normalised_records", "normalised_instances", "recorded_payloads", "page_by_index", "page_totals_by_index", "ordered_decisions", "ordered_orphans", "ordered_fields", "row_ids", "rewrite_discrepancies", "rewrite_history", "run_log", "publish_gate", "streaming_absence", "json_barricade_limits", "orphans_after_decisions", "swapped_names_bound", "reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert", "present_only_match", "run_records", "overlapping_runs", "match_constraints", "yaml_barricade", "audit_sampled", "commit_revisions"]
+SAMPLE = ["pair_row_ids", "broken_documents", "ingested_revision", "normalised_records", "normalised_instances", "recorded_payloads", "page_by_index", "page_totals_by_index", "ordered_decisions", "ordered_orphans", "ordered_fields", "row_ids", "rewrite_discrepancies", "rewrite_history", "run_log", "publish_gate", "streaming_absence", "json_barricade_limits", "orphans_after_decisions", "swapped_names_bound", "reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert", "present_only_match", "run_records", "overlapping_runs", "match_constraints", "yaml_barricade", "audit_sampled", "commit_revisions"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

@@ -350,6 +350,20 @@ def test_tasks_never_raise(caplog):
     assert "overtaken" in caplog.text and "bad failed" in caplog.text
 
 
+def test_a_schedule_outlives_its_task(spark, tmp_path):
+    calls, enough = [], threading.Event()
+
+    def work():
+        calls.append(1)
+        if len(calls) == 3:
+            enough.set()
+        raise ValueError("again")
+
+    query = plans.on_schedule(spark, plans.Task("failing", work), "1 second", f"{tmp_path}/log")
+    assert enough.wait(60) and query.isActive and query.exception() is None
+    query.stop()
+
+
 # ------------------------------------------------------------------------------------------------------ Git and pages
 
 GOOD = "apiVersion: planes.example/v1\nkind: Deployment\nmetadata:\n  name: web\n  scope: default\nattributes:\n  replicas: {}\n"
