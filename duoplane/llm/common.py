@@ -16,6 +16,8 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: A key with more than one in so many of all rows is hot: there are at most so many of them, which bounds their broadcast.
 HOT_KEYS = 4096
 _STAGED: dict[str, list[str]] = {}
+#: The temporary folder of a local session that names none, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,8 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that driver and executors share")
-    spark.conf.set(CHECKPOINT_CONF, "file://" + tempfile.mkdtemp(prefix="duoplane-"))
-    return spark.conf.get(CHECKPOINT_CONF).rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="duoplane-")
+    return _LOCAL[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
