@@ -37,6 +37,8 @@ WORDS, PERCENT = 5, 75
 HASH_BITS = 48
 #: Bytes of text, and documents, after which a block is full; bytes of text for each range of hashes.
 BLOCK_BYTES, BLOCK_DOCS, RANGE_BYTES = 8 << 20, 1 << 20, 16 << 20
+#: Up to so many bits of a range's name, blocks send to ranges; beyond, through routes, or rows would be as many as blocks times ranges.
+DIRECT_BITS = 10
 #: Min-hash buckets of a document. They only save work: what they miss, the prefix join finds.
 BUCKETS = 4
 
@@ -85,6 +87,9 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
     width = input_partitions(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(1, int(np.ceil(np.log2(max(width * 2, size / RANGE_BYTES)))))  # of the hash, which name its range
+    # of many ranges, those that agree in their upper bits are one route; about as many blocks as a route has ranges share one
+    below = bits // 2 if bits > DIRECT_BITS else 0
+    bundles = max(1, int(size / BLOCK_BYTES) >> below)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, ordinal = Shingler(words), 0
@@ -124,8 +129,8 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
         counts, flat = np.diff(np.append(first, len(flat))), flat[first]
         # what only this block needs passes by the ranges
         yield row(range=-1 - number, block=number, counts=packed(counts), places=packed(doc), doc_id=ids, own=own, n=n)
-        shift = np.uint64(HASH_BITS - bits)
-        cuts = np.searchsorted(flat >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        shift = np.uint64(HASH_BITS - bits + below)
+        cuts = np.searchsorted(flat >> shift, np.arange((1 << (bits - below)) + 1, dtype=np.uint64))
         low = flat & ((np.uint64(1) << shift) - np.uint64(1))
         for r in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[r], cuts[r + 1]
@@ -153,6 +158,36 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
             "times": pa.array([packed(times[a:b]) for a, b in bounds], pa.binary()), "tokens": pa.array([token[a:b][times[a:b] > 0].tobytes() for a, b in bounds], pa.binary()),
         })
 
+    def bundled(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of a bundle's blocks on one route: their hashes, the distinct ones of all, and in how many documents each is."""
+        hashes = [np.cumsum(unpacked(h)).astype(np.int64) for h in table.column("hashes").to_pylist()]
+        every, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        return hashes, every, np.bincount(which, np.concatenate(list(map(unpacked, table.column("counts").to_pylist()))), len(every)).astype(np.int64)
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        """A bundle's hashes of one route, by range: one row for all its blocks."""
+        _, every, total = bundled(table)
+        shift = HASH_BITS - bits
+        out = []
+        for r in np.unique(every >> shift).tolist():
+            a, b = np.searchsorted(every, [r << shift, (r + 1) << shift])
+            low = every[a:b] - (r << shift)
+            out.append({"range": (key[0].as_py() << below) + r, "block": key[1].as_py(), "hashes": packed(np.diff(low, prepend=0)), "counts": packed(total[a:b])})
+        return pa.Table.from_pylist(out, pa.schema(list(kinds.items())))
+
+    def split(key: tuple, sent: pa.Table, back: pa.Table) -> pa.Table:
+        """What the ranges say of a bundle's hashes, for each of its blocks."""
+        hashes, every, _ = bundled(sent)
+        back = back.take(pc.sort_indices(back, [("range", "ascending")]))
+        times = np.concatenate([none, *map(unpacked, back.column("times").to_pylist())])
+        token = np.zeros(len(times), np.int64)
+        token[times > 0] = np.frombuffer(b"".join(back.column("tokens").to_pylist()), np.int64)
+        out = []
+        for block_, own in zip(sent.column("block").to_pylist(), hashes, strict=True):
+            at = np.searchsorted(every, own)
+            out.append({"range": key[0].as_py(), "block": block_, "times": packed(times[at]), "tokens": token[at][times[at] > 0].tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([*kinds.items(), ("times", pa.binary()), ("tokens", pa.binary())]).remove(2))
+
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         """All of a block's shared shingles, document by document."""
         table = table.take(pc.sort_indices(table, [("range", "ascending")]))
@@ -190,7 +225,17 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("own"))
     counted_schema = "range long, block long, counts binary, places binary, doc_id array<long>, own array<long>, n array<int>, times binary, tokens binary"
-    counted = texts.mapInArrow(cut, packed_schema).groupBy("range").applyInArrow(count, counted_schema)
+    sent = texts.mapInArrow(cut, packed_schema)
+    if below:
+        sent = staged(sent.withColumn("bundle", F.pmod(F.xxhash64("block"), F.lit(bundles))), "routes")
+        routed = sent.filter("range >= 0")
+        merged = routed.groupBy("range", "bundle").applyInArrow(merge, packed_schema)
+        back = merged.groupBy("range").applyInArrow(count, counted_schema).select("range", F.shiftright("range", below).alias("route"), F.col("block").alias("bundle"), "times", "tokens")
+        counted = routed.groupBy("range", "bundle").cogroup(back.groupBy("route", "bundle")).applyInArrow(split, counted_schema)
+        facts = sent.filter("range < 0").drop("bundle", "hashes").withColumns({"times": F.lit(None).cast("binary"), "tokens": F.lit(None).cast("binary")})
+        counted = counted.unionByName(facts)
+    else:
+        counted = sent.groupBy("range").applyInArrow(count, counted_schema)
     made = counted.groupBy("block").applyInArrow(gather, "row long, doc_id long, own long, n long, central double, tokens array<long>, prefix array<long>, hashes array<long>, h1 long, h2 long")
     return staged(made, "shingles")
 
