@@ -18,6 +18,7 @@ from ..operators import decisions, discovery, lifecycle
 from ..operators.constraints import DISCREPANCY_RULES, MATCH_RULES, STATE_RULES
 from ..operators.diffing import COLUMNS
 from ..operators.matching import of_tenant, present
+from ..operators.revisions import committed_plane
 from ..sources.recorded import ProviderUnavailable
 from ..storage.estate import Estate, EstateConflict, Snapshot
 from ..storage.lease import LeaseLost, Leases
@@ -153,6 +154,13 @@ def _record(runs: RunLog, tenant_id: str, collector: str, run_id: str) -> Row:
     return runs.records().filter((F.col("tenant_id") == tenant_id) & (F.col("collector") == collector) & (F.col("run_id") == run_id)).first()
 
 
+def planes_of(estate: Estate, store: str) -> tuple[DataFrame, DataFrame]:
+    """The tenant's declared plane (its active revision at ``store``; empty without one) and its discovered one."""
+    declared = committed_plane(estate.spark, store, estate.tenant_id)
+    discovered = estate.snapshot().read("discovered", STATE)
+    return (discovered.limit(0).select(*KEY, "provider_id", "attributes") if declared is None else declared), discovered
+
+
 @dataclass
 class Task:
     """Something that a schedule calls: it never raises. What goes wrong is logged, and the next call tries again; a task without

@@ -461,3 +461,51 @@ def test_namespaces_are_read_by_tasks_of_their_own(spark):
     assert rows.filter("namespace = 'c'").count() == 0 and rows.filter("name = 'x' and name = 'y'").count() == 0 and rows.filter("name in ('web', 'job') and not gap").count() == 6
     every = recorded.collector(spark, recorded.DEPLOYMENTS, "t", client=client, namespace=places)
     assert every.filter("position is null").count() == 2 and every.filter("position is null and problem is not null").count() == 1
+
+
+# ------------------------------------------------------------------------------------------------------- whole slices
+
+
+def test_from_a_branch_and_a_provider_to_the_queue(spark, tmp_path):
+    """Two kinds of documents in a repository, recorded payloads of two providers: what is matched, what differs, what is gone."""
+    path, repo = f"file://{tmp_path}/data", tmp_path / "repo"
+    kinds = {"Deployment": {"replicas": "int"}, "ComputeInstance": {"shape": "str", "ocpus": "int"}}
+    known = spark.createDataFrame([(k,) for k in kinds], "kind string")
+    estate, log, leases = estates.Estate(spark, path, "t"), runlog.RunLog(spark, path), leasing.Leases(spark, path)
+    repo.mkdir()
+    run_git(repo, "init", "-q", "-b", "main")
+    instance = "apiVersion: planes.example/v1\nkind: ComputeInstance\nmetadata:\n  name: web-1\n  scope: c1\nattributes:\n  shape: small\n  ocpus: 2\n"
+
+    def declare(files):
+        new_revision(repo, files)
+        following.follow(spark, str(repo), path, f"{tmp_path}/log", "t", "planes.example/v1", kinds, branch="main").awaitTermination()
+
+    def collect(adapter, run_id, day, records):
+        file = tmp_path / f"{run_id}.json"
+        file.write_text(json.dumps({adapter.envelope: records}))
+        return plans.run_collector(estate, log, leases, known, lambda: recorded.collector(spark, adapter, "t", str(file)), adapter.kind, run_id, adapter.kind, AT.replace(day=day))
+
+    def reconcile(run_id):
+        assert plans.reconcile_estate(estate, leases, lambda: plans.planes_of(estate, path), run_id, F.lit("2024-02-01").cast("timestamp"))
+        s = estate.snapshot()
+        found = sorted(tuple("" if v is None else v for v in r) for r in s.read("discrepancies").select("discrepancy_type", "name", "field_name", "declared_value", "discovered_value").collect())
+        return found, sorted((r.name, r.strategy, r.state) for r in s.read("matches").collect())
+
+    assert reconcile("r0") == ([], [])  # neither plane is there yet
+    deployment = lambda n, replicas: {"metadata": {"name": n, "namespace": "default", "uid": f"u-{n}"}, "spec": {"replicas": replicas}}
+    vm = lambda n: {"compartment-id": "c1", "display-name": n, "id": f"i-{n}", "shape": "small", "shape-config": {"ocpus": 2}, "lifecycle-state": "RUNNING"}
+    declare({"web.yaml": GOOD.format(3), "vm.yaml": instance})
+    assert collect(recorded.DEPLOYMENTS, "k1", 2, [deployment("web", 5)]).status == "success"
+    record = collect(recorded.INSTANCES, "o1", 2, [vm("web-1"), {**vm("bad"), "shape-config": None}, vm("db-1")])
+    assert (record.records_read, record.records_written, record.errors, record.status) == (3, 2, 1, "partial")
+    first = ([("discovered_undeclared", "db-1", "", "", ""), ("field", "web", "replicas", "3", "5")], [("web", "natural_key", "proposed"), ("web-1", "natural_key", "proposed")])
+    assert reconcile("r1") == first == reconcile("r2")
+    declare({"web.yaml": GOOD.format(5)})  # declared as it is
+    assert reconcile("r3")[0] == first[0][:1]
+    assert collect(recorded.DEPLOYMENTS, "k2", 3, [deployment("web2", 1)]).status == "success"  # web is gone, and that may be said
+    assert reconcile("r4")[0] == [("declared_missing", "web", "", "", ""), ("discovered_undeclared", "db-1", "", "", ""), ("discovered_undeclared", "web2", "", "", "")]
+    assert collect(recorded.INSTANCES, "o2", 3, [vm("db-1"), 7]).status == "partial"  # web-1 isn't there, which an incomplete run doesn't tell
+    assert reconcile("r5")[0] == reconcile("r4b")[0] and {r.name for r in estate.snapshot().read("discovered").collect() if r.is_absent} == {"web"}
+    history = [(r.run_id, r.name, r.to_state) for r in estate.snapshot().read("history").collect()]
+    assert sorted(h for h in history if h[0] in ("r3", "r4")) == [("r3", "web", "gone"), ("r4", "web", "open"), ("r4", "web2", "open")]
+    assert not [h for h in history if h[0] in ("r2", "r5", "r4b")]  # a run that finds nothing new adds nothing
