@@ -986,8 +986,8 @@ def present_only_match(spark, sf_dir):
 
 
 @query("""WITH dec AS (SELECT c_nationkey % 3 AS tenant, 'n' || c_nationkey AS scope, c_name AS name FROM customer WHERE c_custkey % 9 <> 0), dis AS (SELECT c_nationkey % 3 AS tenant, 'n' || c_nationkey AS scope, c_name AS name FROM customer WHERE c_custkey % 14 <> 0),
-both AS (SELECT coalesce(d.tenant, x.tenant) AS tenant, coalesce(d.name, x.name) AS name, d.name AS mine, x.name AS theirs FROM dec d FULL JOIN dis x ON d.tenant = x.tenant AND d.scope = x.scope AND d.name = x.name)
-SELECT name, CASE WHEN theirs IS NULL THEN 'declared_missing' WHEN mine IS NULL THEN 'discovered_undeclared' ELSE 'pair' END AS outcome FROM both WHERE tenant = 1""")
+joined AS (SELECT coalesce(d.tenant, x.tenant) AS tenant, coalesce(d.name, x.name) AS name, d.name AS mine, x.name AS theirs FROM dec d FULL JOIN dis x ON d.tenant = x.tenant AND d.scope = x.scope AND d.name = x.name)
+SELECT name, CASE WHEN theirs IS NULL THEN 'declared_missing' WHEN mine IS NULL THEN 'discovered_undeclared' ELSE 'pair' END AS outcome FROM joined WHERE tenant = 1""")
 def tenant_scoped_match(spark, sf_dir):
     """One tenant's match in tables that hold three: names are unique by tenant only, so nothing may cross."""
     tenant = (F.substring("scope", 2, 9).cast("int") % 3).cast("string")
