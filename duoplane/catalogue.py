@@ -19,15 +19,24 @@ from .operators import decisions as dec
 from .operators import constraints, diffing, discovery, lifecycle, matching, readmodel, revisions
 from .plans.planes import CUSTOMER_SQL, PART_SQL, customer_decisions, customer_declared, customer_discovered, part_declared, part_discovered, part_keys, table
 from .storage import ordered
+from .storage.files import passing
 from .storage.runlog import CLOSED, OPENED, SKIPPED, folded
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local session without one gets a temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return (named or "file://" + tempfile.mkdtemp(prefix="duoplane-")).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = passing(spark, "file://" + tempfile.mkdtemp(prefix="duoplane-"))
+    return _LOCAL[app]
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -330,7 +339,7 @@ def streaming_absence(spark, sf_dir):
     that comes again."""
     from .streaming import absence
 
-    base = f"{shared_folder(spark)}/absence-{uuid.uuid4().hex}"
+    base = _folder(spark, "absence")
     events, cut = table(spark, sf_dir, "events"), F.lit("2024-01-15").cast("timestamp")
     first, user = F.col("ts") < cut, F.col("user_id")
     no = lambda t: F.lit(None).cast(t)
@@ -741,7 +750,8 @@ def yaml_barricade(spark, sf_dir):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder of a query, deleted when the process ends."""
+    return passing(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 #: Line numbers repeat within an order, so that the order needs a third column; rows that agree in all of them are alike.
@@ -1162,7 +1172,7 @@ def revision_constraints(spark, sf_dir):
 SELECT 2::BIGINT AS commits, 1::BIGINT AS replays, name, size::VARCHAR AS size FROM second""")
 def commit_revisions(spark, sf_dir):
     """Two revisions are committed and the second again: what is read is the second, whole."""
-    base = f"{shared_folder(spark)}/revisions-{uuid.uuid4().hex}"
+    base = _folder(spark, "revisions")
     second = table(spark, sf_dir, "part").select(*part_keys(), attributes(size=int_value(F.col("p_size") + 1)).alias("attributes"))
     done = [revisions.commit(part_declared(spark, sf_dir).select(*KEY, "attributes"), base, "t", "r1", None), revisions.commit(second, base, "t", "r2", "r1"), revisions.commit(second, base, "t", "r2", "r1")]
     plane = revisions.committed_plane(spark, base, "t")
@@ -1210,7 +1220,7 @@ def streaming_upsert(spark, sf_dir):
     """The latest state again, kept by a stream over the events that are there."""
     from .streaming.observe import current, observe
 
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = _folder(spark, "stream")
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a glob may be a file or a folder
     observe(stream.select("user_id", "ts", "event_id"), f"{base}/state", f"{base}/log", ["user_id"], ["ts", "event_id"]).awaitTermination()
     return current(spark, f"{base}/state").select("user_id", "event_id")

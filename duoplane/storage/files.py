@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import os
 import tempfile
@@ -102,5 +104,36 @@ class Files:
         return f"{self.root}/{name}"
 
 
+#: Folders to be deleted when this process ends, by application.
+_PASSING: dict[str, list[str]] = {}
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """``path``, a folder of the shared storage that is deleted when this process ends (or by ``clear``)."""
+    app = spark.sparkContext.applicationId
+    if app not in _PASSING:
+        _PASSING[app] = []
+        atexit.register(_at_end, app)
+    _PASSING[app].append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the passing folders of this application; returns how many there were."""
+    paths = _PASSING.get(spark.sparkContext.applicationId, [])
+    jvm, n = spark.sparkContext._jvm, len(paths)
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def _at_end(app: str) -> None:
+    with contextlib.suppress(Exception):  # the cluster may be gone already; what is left is the storage's to expire
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.sparkContext.applicationId == app:
+            clear(spark)
+
+
 def numbered(n: int) -> str:
     return f"{n:012d}"
