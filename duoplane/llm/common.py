@@ -12,10 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage.files import clear, passing
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 #: A key with more than one in so many of all rows is hot: there are at most so many of them, which bounds their broadcast.
 HOT_KEYS = 4096
-_STAGED: dict[str, list[str]] = {}
 #: The temporary folder of a local session that names none, by application.
 _LOCAL: dict[str, str] = {}
 
@@ -30,29 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="duoplane-")
+        _LOCAL[app] = passing(spark, "file://" + tempfile.mkdtemp(prefix="duoplane-"))
     return _LOCAL[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends here, and a lost executor only
-    costs the tasks that read it. The caller's result may read it lazily, so ``drop_staged`` removes the tables of a session
-    once results are written."""
+    costs the tasks that read it. The caller's result may read it lazily, so the table stays until the process ends, or
+    ``drop_staged`` is called."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:
-    """Delete every table that ``staged`` wrote in this session; returns how many."""
-    paths = _STAGED.get(spark.sparkContext.applicationId, [])
-    jvm, n = spark.sparkContext._jvm, len(paths)
-    while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    """Delete every table that ``staged`` wrote in this session; returns how many. The end of the process does so as well."""
+    return clear(spark)
 
 
 def unused(columns: list[str], *names: str) -> list[str]:
