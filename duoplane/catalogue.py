@@ -6,6 +6,7 @@ import string
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -979,6 +980,92 @@ def recorded_payloads(spark, sf_dir):
     return counts.join(forms, F.col("lists") == F.col("without_list") + F.col("null_list")).drop("lists")
 
 
+@query(f"""WITH {_SUPPLIER_SQL}, n AS (SELECT s_nationkey, s_nationkey % 5 AS form, count(*) AS n FROM s GROUP BY ALL)
+SELECT 'n' || s_nationkey AS namespace, CASE form WHEN 1 THEN least(n, 3) WHEN 2 THEN 0 ELSE n END::BIGINT AS records, (form = 2 OR (form = 1 AND n > 3)) AS gap, form = 2 AS unavailable FROM n""")
+def paged_scan(spark, sf_dir):
+    """Pages of three records for each nation, read by a task each; of one nation in five only the first page is there, of another none."""
+    from .sources.paged import read_paged
+
+    path = _folder(spark, "pages")
+    k = F.col("s_nationkey")
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("position"), "s_nationkey")
+    page = F.floor((F.row_number().over(Window.partitionBy("s_nationkey").orderBy("position")) - 1) / 3)
+    rows = _supplier_records(spark, sf_dir).join(nations, "position").withColumn("page", page)
+    pages = rows.groupBy("s_nationkey", "page").agg(F.array_join(F.collect_list("record"), ", ").alias("items"))
+    more = F.lead("page").over(Window.partitionBy("s_nationkey").orderBy("page"))
+    token = F.coalesce(F.concat(F.lit('"'), more.cast("string"), F.lit('"')), F.lit("null"))
+    text = F.concat(F.lit('{"items": ['), "items", F.lit('], "metadata": {"continue": '), token, F.lit("}}"))
+    kept = pages.withColumn("text", text).filter(~((k % 5 == 1) & (F.col("page") > 0)) & (k % 5 != 2))
+
+    def write(rows) -> None:
+        from pathlib import Path
+
+        for r in rows:
+            folder = Path(urlparse(path).path, f"n{r.s_nationkey}")
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / f"{r.page}.json").write_text(r.text)
+
+    kept.foreachPartition(write)
+    names = [f"n{r.s_nationkey}" for r in nations.select("s_nationkey").distinct().collect()]  # nations
+    found = read_paged(spark, "duoplane.sources.paged:FolderPages", ",".join(names), folder=urlparse(path).path)
+    return found.groupBy("namespace").agg(F.count("position").alias("records"), F.bool_or("gap").alias("gap"), F.bool_or(F.col("unavailable").isNotNull()).alias("unavailable"))
+
+
+@query(_MERGED_SQL)
+def collector_runs(spark, sf_dir):
+    """merge_collector_run once more, by whole runs: recorded, under a lease, with published states."""
+    from datetime import UTC, datetime
+
+    from .plans import runs
+    from .sources.recorded import NORMALISED
+    from .storage.estate import Estate
+    from .storage.lease import Leases
+    from .storage.runlog import RunLog
+
+    path = _folder(spark, "collected")
+    estate, log, leases = Estate(spark, path, "t"), RunLog(spark, path), Leases(spark, path)
+    events, cut, user = table(spark, sf_dir, "events"), F.lit("2024-01-15").cast("timestamp"), F.col("user_id")
+    kinds = spark.createDataFrame([("User",)], "kind string")
+
+    def seen(rows: DataFrame) -> DataFrame:
+        last = discovery.latest(rows.select("user_id", "ts", "event_id"), ["user_id"], [F.col("ts"), F.col("event_id")])
+        values = {"position": F.col("event_id"), "kind": F.lit("User"), "tenant_id": F.lit("t"), "scope": F.lit("x"), "name": F.concat(F.lit("u-"), user.cast("string")), "provider_id": F.col("event_id").cast("string"), "attributes": attributes(id=int_value(user)), "problem": F.lit(None).cast("string")}
+        return last.select(*[values[f.name].alias(f.name) for f in NORMALISED.fields])
+
+    first, second = events.filter(F.col("ts") < cut), events.filter((F.col("ts") >= cut) & (user % 17 != 0))
+    for run_id, collector, rows, at in (("run-1", "odd", first.filter(user % 2 == 1), 15), ("run-1", "even", first.filter(user % 2 == 0), 15), ("run-2", "even", second, 32)):
+        when = datetime(2024, 1, at, tzinfo=UTC) if at < 32 else datetime(2024, 2, 1, tzinfo=UTC)
+        if runs.run_collector(estate, log, leases, kinds, lambda rows=rows: seen(rows), "User", run_id, collector, when).status != "success":
+            raise RuntimeError(f"{run_id} of {collector} failed")
+    return estate.snapshot().read("discovered").select("name", "last_seen_run", "provider_id", "is_absent", "absent_since")
+
+
+@query("""WITH s AS (SELECT event_id, event_id % 12 AS m, floor(value)::BIGINT AS v, value > 50 AS high FROM events)
+SELECT event_id, CASE m WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN v > 0 THEN 'InvalidModeParameter' END WHEN 2 THEN 'InvalidModeParameter' WHEN 3 THEN 'InvalidComparisonMode' WHEN 4 THEN 'InvalidFieldType' WHEN 5 THEN CASE WHEN high THEN 'InvalidModeParameter' END
+  WHEN 6 THEN CASE WHEN high THEN 'InvalidModeParameter' END WHEN 7 THEN 'InvalidLoggingLevel' WHEN 8 THEN NULL WHEN 9 THEN CASE WHEN v > 1 THEN 'InvalidModeParameter' END WHEN 10 THEN 'InvalidComparisonMode' WHEN 11 THEN 'InvalidModeParameter' END AS error FROM s""")
+def settings_checked(spark, sf_dir):
+    """Comparison settings kept as a table, with events' values as parameters: which cannot be used, and why."""
+    from .functions.config import checked
+
+    m, v, high = F.col("event_id") % 12, F.floor("value").cast("string"), F.col("value") > 50
+    call = lambda f, x: F.concat(F.lit(f"{f}("), x, F.lit(")"))
+    minus = F.concat(F.lit("-"), v)
+    rows = {  # field type, mode, precision, element comparison, logging
+        0: ("numeric", call("tolerance", v), None, None, None), 1: ("numeric", call("tolerance", minus), None, None, None), 2: ("numeric", call("tolerance", F.concat(v, F.lit("x"))), None, None, None), 3: ("string", call("tolerance", v), None, None, None),
+        4: ("number", F.lit("exact"), None, None, None), 5: ("timestamp", F.lit("semantic_utc"), F.when(high, "week").otherwise("day"), None, None), 6: ("list", F.lit("set"), None, F.when(~high, "exact"), None), 7: ("string", F.lit("trim"), None, None, "loud"),
+        8: ("object", call("recurse", v), None, None, "sampled"), 9: ("object", call("recurse", minus), None, None, None), 10: ("boolean", F.lit("lowercase"), None, None, "debug"), 11: ("object", call("recurse", F.concat(v, F.lit(".5"))), None, None, None),
+    }
+
+    def column(at: int) -> Column:
+        out = F.lit(None).cast("string")
+        for i, row in rows.items():
+            out = F.when(m == i, row[at] if isinstance(row[at], Column) else F.lit(row[at]).cast("string")).otherwise(out)
+        return out
+
+    names = ("field_type", "mode", "precision", "element_comparison", "logging")
+    return checked(table(spark, sf_dir, "events").select("event_id", *[column(i).alias(c) for i, c in enumerate(names)])).select("event_id", "error")
+
+
 # ------------------------------------------------------------------------------- filters, constraints, runs, revisions
 
 
@@ -1127,11 +1214,11 @@ FROM days d LEFT JOIN flying f ON f.collector = d.collector AND f.run_id = d.run
 def run_log(spark, sf_dir):
     """Openings, closings (some of them twice) and skips of a log, in no order, folded to records."""
     days, no = _days(spark, sf_dir), lambda t: F.lit(None).cast(t)
-    facts = [no("long").alias("records_read"), no("long").alias("records_written"), no("boolean").alias("has_gap"), no("boolean").alias("reachable")]
+    facts = [no("long").alias("records_read"), no("long").alias("records_written"), no("boolean").alias("has_gap"), no("boolean").alias("reachable"), no("string").alias("event_id")]
     opens = days.select(*discovery.RUN, F.lit(OPENED).alias("event"), F.col("started_at").cast("timestamp").alias("at"), *facts)
-    closes = days.filter("ends").select(*discovery.RUN, F.lit(CLOSED).alias("event"), F.col("finished_at").cast("timestamp").alias("at"), "records_read", "records_written", "has_gap", "reachable")
+    closes = days.filter("ends").select(*discovery.RUN, F.lit(CLOSED).alias("event"), F.col("finished_at").cast("timestamp").alias("at"), "records_read", "records_written", "has_gap", "reachable", no("string").alias("event_id"))
     late = closes.filter("records_read % 2 = 0").withColumns({"at": F.col("at") + F.expr("interval 1 hour"), "records_read": F.col("records_read") + 1})
-    skips = table(spark, sf_dir, "events").select(F.lit("t").alias("tenant_id"), F.col("event_type").alias("collector"), no("string").alias("run_id"), F.lit(SKIPPED).alias("event"), F.col("ts").cast("timestamp").alias("at"), *facts)
+    skips = table(spark, sf_dir, "events").select(F.lit("t").alias("tenant_id"), F.col("event_type").alias("collector"), no("string").alias("run_id"), F.lit(SKIPPED).alias("event"), F.col("ts").cast("timestamp").alias("at"), *facts[:-1], F.col("event_id").cast("string").alias("event_id"))
     records = folded(skips.unionByName(late).unionByName(closes).unionByName(opens).unionByName(opens))
     return records.select("collector", "run_id", "status", "records_read", "errors", F.col("finished_at").isNotNull().alias("is_finished"), "skipped_attempts")
 
@@ -1179,6 +1266,24 @@ def commit_revisions(spark, sf_dir):
     return plane.select(F.lit(sum(done)).cast("long").alias("commits"), F.lit(done.count(False)).cast("long").alias("replays"), "name", F.col("attributes")["size"]["canon"].alias("size"))
 
 
+@query("SELECT o_orderpriority AS revision_id, 1::BIGINT AS commits, 1::BIGINT AS repeats, count(*) AS n FROM orders GROUP BY 1")
+def concurrent_commits(spark, sf_dir):
+    """Every revision is committed by two writers at once, all revisions at the same time: each is there once, whole."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    base, orders = _folder(spark, "race"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    revisions_ = sorted(r.o_orderpriority for r in orders.select("o_orderpriority").distinct().collect())  # five
+    plane = lambda r: orders.filter(F.col("o_orderpriority") == r)
+    with ThreadPoolExecutor(2 * len(revisions_)) as writers:
+        done = list(writers.map(lambda r: (r, revisions.commit(plane(r), base, "t", r, turns=64)), revisions_ * 2))
+    order = revisions.committed(spark, base, "t")
+    rows = [revisions.revision_plane(spark, base, "t", r).select(F.lit(r).alias("revision_id"), F.lit(order.count(r)).cast("long").alias("commits"), F.lit(done.count((r, False))).cast("long").alias("repeats"), "o_orderkey") for r in revisions_]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("revision_id", "commits", "repeats").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT n_name AS kind, CASE WHEN n_regionkey = 1 THEN '{"old": "int"}' ELSE '{"size": "int"}' END AS schema FROM nation WHERE n_regionkey <> 2""")
 def kind_seeding(spark, sf_dir):
     """Kinds of four regions are seeded over those of one, which keep their schemas; those of another are taken out."""

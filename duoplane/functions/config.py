@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
 # The modes of each field type, timestamp precisions, logging levels.
 MODES = {
     "numeric": ("exact_value", "exact_string", "tolerance"),
@@ -107,3 +112,34 @@ class ComparisonSchema:
             declared = kinds.get(kind, {}).get(field)
             if declared is not None and declared not in DECLARED_BY_FIELD[config.field_type]:
                 raise InvalidFieldType(f"{kind}.{field} is declared as {declared}, which {config.field_type} does not compare")
+
+
+SETTING = ("field_type", "mode", "precision", "element_comparison", "logging")
+
+
+def checked(settings: DataFrame) -> DataFrame:
+    """A table of settings (SETTING and whatever names them) with ``error``, the class of what is wrong, and ``problem``, in words;
+    both null where a setting can be used. A null logging level is the usual one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_problem(*row) for row in zip(*(batch.column(c).to_pylist() for c in SETTING), strict=True)]
+            columns = [pa.array(c, pa.string()) for c in (zip(*found, strict=True) if found else ([], []))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "error", "problem"])
+
+    return settings.mapInArrow(run, T.StructType([*settings.schema.fields, T.StructField("error", T.StringType()), T.StructField("problem", T.StringType())]))
+
+
+def _problem(field_type: str, mode: str, precision: str | None, element_comparison: str | None, logging: str | None) -> tuple[str | None, str | None]:
+    try:
+        FieldConfig(field_type, mode or "", precision, element_comparison, logging or "discrepancy")
+    except SchemaError as why:
+        return type(why).__name__, str(why)
+    return None, None
+
+
+def schema_of(settings: DataFrame) -> ComparisonSchema:
+    """The schema that a table of settings (kind, field and SETTING) states; raises for the first that cannot be used. A table of settings is
+    a row for each field of a kind: as small as the kinds are."""
+    rows = settings.select("kind", "field", *SETTING).orderBy("kind", "field").collect()
+    return ComparisonSchema({(r.kind, r.field): FieldConfig(r.field_type, r.mode, r.precision, r.element_comparison, r.logging or "discrepancy") for r in rows})

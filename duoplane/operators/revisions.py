@@ -137,6 +137,16 @@ def committed_plane(spark: SparkSession, path: str, tenant_id: str) -> DataFrame
     return None if folder is None else spark.read.parquet(f"{path}/{folder}")
 
 
+def revision_plane(spark: SparkSession, path: str, tenant_id: str, revision_id: str) -> DataFrame | None:
+    """The plane of a committed revision, active or not; None where it isn't committed."""
+    files = Files(spark, path)
+    for n in files.names(f"active/{tenant_id}"):
+        held = files.get(f"active/{tenant_id}/{n}")
+        if held["revision"] == revision_id:
+            return spark.read.parquet(files.at(held["folder"]))
+    return None
+
+
 def abandoned(spark: SparkSession, path: str, tenant_id: str) -> list[str]:
     """Folders of planes that no commit names: of writers that died, or that still write."""
     files = Files(spark, path)

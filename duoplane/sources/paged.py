@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import importlib
 import json
+import os
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -59,6 +60,19 @@ class ListClient:
         return records_in(text, self._envelope), next_token(json.loads(text))
 
 
+class FolderPages:
+    """Recorded pages of a provider: ``folder/namespace/0.json``, ``1.json``, ... with the envelope of a live one, in a folder that all tasks reach by
+    path. A page that isn't there is a read that failed."""
+
+    def __init__(self, folder: str, namespace: str = "", name: str = "", envelope: str = "items") -> None:
+        self._folder, self._envelope, self._name = os.path.join(folder, namespace), envelope, name
+
+    def page(self, token: str | None) -> tuple[list, str | None]:
+        with open(os.path.join(self._folder, f"{token or 0}.json"), encoding="utf-8") as f:
+            text = f.read()
+        return records_in(text, self._envelope), next_token(json.loads(text))
+
+
 def pages(client: object, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple[int | None, str | None, bool]]:
     """(position, record, gap) of a whole chain; ProviderUnavailable if the first page fails already. A page that comes but
     cannot be read has failed as well."""
@@ -89,7 +103,7 @@ class _Reader(DataSourceReader):
     """One task for each namespace; a filter on namespaces chooses the tasks, one on a name goes to the provider."""
 
     def __init__(self, options: dict) -> None:
-        self.client = options["client"]
+        self.client, self.args = options["client"], json.loads(options.get("args", "{}"))
         self.namespaces = [n for n in options.get("namespace", "").split(",") if n]
         self.names: set[str] | None = None
         self.only: set[str] | None = None
@@ -127,7 +141,7 @@ class _Reader(DataSourceReader):
         chosen = {"namespace": partition.namespace} if partition.namespace else {}
         only = min(self.names) if self.names else None
         try:
-            chain = pages(make(**chosen, **({"name": only} if only else {})))
+            chain = pages(make(**self.args, **chosen, **({"name": only} if only else {})))
             for at, record, gap in chain:
                 found = dig(json.loads(record), ("metadata", "name")) if record else None
                 name = only if gap else found if isinstance(found, str) else None
@@ -139,7 +153,7 @@ class _Reader(DataSourceReader):
 
 class PagedSource(DataSource):
     """``read_paged``, or ``spark.read.format("paged").option("client", "module:factory")``. The factory runs in the task, with
-    ``namespace`` and ``name`` where they are asked for, so credentials are read there.
+    ``namespace`` and ``name`` where they are asked for and the JSON object ``args`` besides, so credentials are read there.
 
     A chain that breaks ends with a row that says so: ``gap``, without position and record; one of which no page could be
     read says why in ``unavailable``."""
@@ -155,8 +169,9 @@ class PagedSource(DataSource):
         return _Reader(self.options)
 
 
-def read_paged(spark: SparkSession, client: str, namespaces: str = "") -> DataFrame:
-    """Records of a paged provider: of ``namespaces`` (comma-separated; a task each), or of all in one chain."""
+def read_paged(spark: SparkSession, client: str, namespaces: str = "", **args: object) -> DataFrame:
+    """Records of a paged provider: of ``namespaces`` (comma-separated; a task each), or of all in one chain. ``args`` go to
+    the client's factory."""
     spark.dataSource.register(PagedSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("paged").option("client", client).option("namespace", namespaces).load()
+    return spark.read.format("paged").option("client", client).option("namespace", namespaces).option("args", json.dumps(args)).load()

@@ -383,6 +383,16 @@ def test_lifecycle_keeps_history(spark, tmp_path):
     assert {(r.run_id, r["count"]) for r in spark.read.parquet(path).groupBy("run_id").count().collect()} == {("r1", 5), ("r2", 5)}
 
 
+def test_settings_as_a_table(spark):
+    rows = [("D", "n", "numeric", "tolerance(1)", None, None, None), ("D", "t", "timestamp", "semantic_utc", "day", None, "debug")]
+    frame = spark.createDataFrame(rows, "kind string, field string, field_type string, mode string, precision string, element_comparison string, logging string")
+    assert config.schema_of(frame).fields == {("D", "n"): config.FieldConfig("numeric", "tolerance(1)"), ("D", "t"): config.FieldConfig("timestamp", "semantic_utc", "day", logging="debug")}
+    bad = frame.withColumn("precision", F.lit(None).cast("string"))
+    assert [(r.field, r.error) for r in config.checked(bad).orderBy("field").collect()] == [("n", None), ("t", "InvalidModeParameter")] and config.checked(frame.limit(0)).count() == 0
+    with pytest.raises(config.InvalidModeParameter):
+        config.schema_of(bad)
+
+
 def test_settings_fit_what_kinds_declare():
     settings_ = config.ComparisonSchema({("D", "n"): config.FieldConfig("numeric", "exact_value"), ("D", "s"): config.FieldConfig("object", "opaque")})
     settings_.check_declared({"D": {"n": "int"}})
@@ -441,7 +451,7 @@ def test_absence_needs_a_complete_run(spark):
         assert {r.name: r.is_absent for r in after.collect()} == {"web": False, "api": gone}
 
 
-SAMPLE = ["pair_row_ids", "broken_documents", "ingested_revision", "normalised_records", "normalised_instances", "recorded_payloads", "page_by_index", "page_totals_by_index", "ordered_decisions", "ordered_orphans", "ordered_fields", "row_ids", "rewrite_discrepancies", "rewrite_history", "run_log", "publish_gate", "streaming_absence", "json_barricade_limits", "orphans_after_decisions", "swapped_names_bound", "reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert", "present_only_match", "run_records", "overlapping_runs", "match_constraints", "yaml_barricade", "audit_sampled", "commit_revisions"]
+SAMPLE = ["concurrent_commits", "paged_scan", "collector_runs", "settings_checked", "pair_row_ids", "broken_documents", "ingested_revision", "normalised_records", "normalised_instances", "recorded_payloads", "page_by_index", "page_totals_by_index", "ordered_decisions", "ordered_orphans", "ordered_fields", "row_ids", "rewrite_discrepancies", "rewrite_history", "run_log", "publish_gate", "streaming_absence", "json_barricade_limits", "orphans_after_decisions", "swapped_names_bound", "reconcile_discrepancies", "match_with_rejections", "rewrite_matches", "infer_absence", "merge_collector_run", "list_set", "object_version", "timestamp_utc_hour", "lifecycle_next_states", "discrepancies_page", "streaming_upsert", "present_only_match", "run_records", "overlapping_runs", "match_constraints", "yaml_barricade", "audit_sampled", "commit_revisions"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)

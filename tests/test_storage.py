@@ -84,13 +84,32 @@ runs.run_collector(estate.Estate(spark, path + "/e", "t"), runlog.RunLog(spark,
 
 def test_folding_does_not_depend_on_order_or_repeats(spark):
     at = lambda s: datetime(2024, 1, 1, 0, 0, s, tzinfo=UTC)
-    events = [("t", "c", "a", "opened", at(1), None, None, None, None, None), ("t", "c", "a", "closed", at(5), 4, 3, False, True, None), ("t", "c", "a", "closed", at(9), 9, 9, False, True, None), ("t", "c", "b", "opened", at(2), None, None, None, None, None), ("t", "c", None, "skipped", at(3), None, None, None, None, None), ("t", "d", "x", "closed", at(3), 1, 1, True, True, None)]
-    for rows in (events, events[::-1], events + events[:2]):
+    events = [("t", "c", "a", "opened", at(1), None, None, None, None, None, "1"), ("t", "c", "a", "closed", at(5), 4, 3, False, True, None, "2"), ("t", "c", "a", "closed", at(9), 9, 9, False, True, None, "3"), ("t", "c", "b", "opened", at(2), None, None, None, None, None, "4"), ("t", "c", None, "skipped", at(3), None, None, None, None, None, "5"), ("t", "d", "x", "closed", at(3), 1, 1, True, True, None, "6")]
+    for rows in (events, events[::-1], events + events[:5]):
         found = {(r.run_id, r.status, r.errors, r.skipped_attempts) for r in runlog.folded(spark.createDataFrame(rows, runlog.EVENT)).collect()}
         assert found == {("a", "partial", 1, 0), ("b", "failed", 0, 1)}
     assert runlog.folded(spark.createDataFrame([], runlog.EVENT)).count() == 0
 
 
+def test_old_events_are_packed(spark, tmp_path):
+    log, day = runlog.RunLog(spark, f"file://{tmp_path}"), lambda d: AT.replace(day=d)
+    for i in range(1, 5):
+        log.open("t", "c", f"r{i}", day(i))
+        if i < 4:
+            log.close("t", "c", f"r{i}", day(i), records_read=i, records_written=i)
+    log.open("t", "d", "x", day(1))
+    log.close("t", "d", "x", day(1))
+    log.skip("t", "c", day(4))  # counts against r4, which is open
+    log.skip("t", "d", day(1))
+    before = sorted(map(tuple, log.records().collect()))
+    files = lambda: sum(len(f) for _, _, f in os.walk(tmp_path / "events"))
+    assert files() == 11 and log.pack(day(3)) == 7 and files() == 4  # r1, r2 and x with its collector's skip
+    assert sorted(map(tuple, log.records().collect())) == before and log.pack(day(3)) == 0
+    log.close("t", "c", "r4", day(5))
+    assert log.pack(day(9)) == 5 and files() == 0 and log.pack(day(9)) == 0
+    assert {(r.run_id, r.status) for r in log.records().collect()} == {("r1", "success"), ("r2", "success"), ("r3", "success"), ("r4", "success"), ("x", "success")}
+
+
 # ----------------------------------------------------------------------------------------------------------- leases
 
 
