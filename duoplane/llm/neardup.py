@@ -35,6 +35,8 @@ from .components import components
 from .vectors import binary, matrices
 
 LINK = 0.93
+#: Entries of a matrix of similarities to centroids that are held at once.
+ENTRIES = 1 << 21
 #: Vectors of a cell, of a block, most cells, vectors in the k-means sample for each cell, its rounds.
 CELL, BLOCK, CELLS, SAMPLE, ROUNDS = 1024, 1024, 16_384, 32, 8
 Z = 3.0
@@ -68,27 +70,36 @@ def units(held: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _spread(x: np.ndarray, most: int) -> np.ndarray:
+    """The first rows of ``x``, ``most`` at most, that no earlier one taken is a near copy of."""
+    taken, n = np.empty((min(most, len(x)), x.shape[1])), 0
+    for row in x:
+        if n == len(taken):
+            break
+        if not n or (taken[:n] @ row).max() < LINK:
+            taken[n] = row
+            n += 1
+    return taken[:n].copy()
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The centroid that each row is most similar to, the first of equals."""
+    step = max(1, ENTRIES // len(c))
+    return np.concatenate([np.argmax(x[a : a + step] @ c.T, axis=1) for a in range(0, len(x), step)])
+
+
 def spherical_means(x: np.ndarray, k: int) -> np.ndarray:
     """At most ``k`` centroids of unit vectors. Seeds are rows in order that no earlier seed is a near copy of; centroids that come
     to lie as near as that to another are left out, so that one tight group has one cell."""
-    seeds: list[int] = []
-    for i in range(len(x)):
-        if len(seeds) == k:
-            break
-        if not seeds or (x[seeds] @ x[i]).max() < LINK:
-            seeds.append(i)
-    c = x[seeds].copy()
+    c = _spread(x, k)
     for _ in range(ROUNDS):
-        home = np.argmax(x @ c.T, axis=1)
-        for j in range(len(c)):
-            total = x[home == j].sum(axis=0)
-            if (size := np.sqrt(total @ total)) > 1e-9:
-                c[j] = total / size
-    apart: list[int] = []
-    for j in range(len(c)):
-        if not apart or (c[apart] @ c[j]).max() < LINK:
-            apart.append(j)
-    return c[apart]
+        home = nearest(x, c)
+        order = np.argsort(home, kind="stable")
+        first = np.flatnonzero(np.diff(home[order], prepend=-1))
+        total = np.add.reduceat(x[order], first)
+        size = np.sqrt((total * total).sum(axis=1))
+        c[home[order][first][size > 1e-9]] = total[size > 1e-9] / size[size > 1e-9, None]
+    return _spread(c, k)
 
 
 class Cells:
@@ -104,21 +115,20 @@ class Cells:
         chord = math.sqrt(2 - 2 * self.link)
         return chord if self.z is None else chord * min(1.0, self.z / math.sqrt(d))
 
-    def place(self, label: object, x: np.ndarray) -> Iterator[tuple[np.ndarray, int, bool, np.ndarray]]:
-        """For each cell: (rows, cell, at home?, cosines to the centroid)."""
+    def place(self, label: object, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where unit vectors go: rows, cells, at home?, cosines to the centroids; a row for each home and each visit."""
         c = self.of.get((label, x.shape[1]))
         if c is None:
-            yield np.arange(len(x)), 0, True, np.full(len(x), -2.0)
-            return
-        near = x @ c.T
-        home = np.argmax(near, axis=1)
-        best = near[np.arange(len(x)), home]
-        apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-30))
-        for j in range(len(c)):
-            here = np.flatnonzero(home == j)
-            yield here, j, True, near[here, j]
-            guests = np.flatnonzero((home > j) & (best - near[:, j] <= self.margin(x.shape[1]) * apart[home, j]))
-            yield guests, j, False, near[guests, j]
+            return np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool), np.full(len(x), -2.0)
+        out, step = [], max(1, ENTRIES // len(c))
+        for a in range(0, len(x), step):
+            near = x[a : a + step] @ c.T
+            at, home = np.arange(len(near)), np.argmax(near, axis=1)
+            apart = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0))  # of the two centroids
+            visit = (near[at, home][:, None] - near <= self.margin(x.shape[1]) * apart) & (np.arange(len(c)) < home[:, None])
+            guest, to = np.nonzero(visit)
+            out.append((a + np.concatenate([at, guest]), np.concatenate([home, to]), np.repeat([True, False], [len(at), len(guest)]), np.concatenate([near[at, home], near[guest, to]])))
+        return tuple(np.concatenate(p) for p in zip(*out, strict=True))
 
 
 def _by_length(labels: list, held: list[bytes]) -> Iterator[tuple[object, int, list[int]]]:
@@ -170,13 +180,12 @@ def _counted(cells: Cells) -> Callable:
             m, cid = batch.column("m").to_numpy(), batch.column("cid").to_numpy()
             out = []
             for label, d, at in _by_length(labels, held):
-                at = np.array(at)
-                for rows, j, home, near in cells.place(label, units([held[i] for i in at])):
-                    core = home & (near >= cells.core)
-                    shell = int(((near >= cells.shell) & ~core).sum())
-                    mine = at[rows][core]
-                    if len(rows):
-                        out.append((label, d, j, int((~core).sum()) if home else 0, 0 if home else len(rows), len(mine), shell, int(m[mine].sum()), int(cid[mine].min()) if len(mine) else None))
+                rows, cell, home, near = cells.place(label, units([held[i] for i in at]))
+                core, shell, mine = home & (near >= cells.core), near >= cells.shell, np.array(at)[rows]
+                for j in np.unique(cell).tolist():
+                    here = cell == j
+                    own = mine[here & core]
+                    out.append((label, d, j, int((here & home & ~core).sum()), int((here & ~home).sum()), len(own), int((here & shell & ~core).sum()), int(m[own].sum()), int(cid[own].min()) if len(own) else None))
             columns = list(zip(*out, strict=True)) or [[]] * 9
             kinds = [batch.schema.field("label").type, pa.int32(), pa.int32(), *[pa.int64()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["label", "d", "cell", *_COUNTS])
@@ -227,14 +236,13 @@ def _dealt(cells: Cells, sizes: dict[tuple, tuple[int, int, int, int, int, int]]
                     to.append(x)  # noqa: B023
 
             for label, d, at in _by_length(labels, held):
-                for rows, j, home, near in cells.place(label, units([held[i] for i in at])):
+                for r, j, home, cosine in zip(*(p.tolist() for p in cells.place(label, units([held[i] for i in at]))), strict=True):
                     counts = sizes.get((label, d, j), (1, 0, 0, 0, 0, None))
-                    for r, cosine in zip(rows.tolist(), near.tolist(), strict=True):
-                        i, core = at[r], home and cosine >= cells.core
-                        if core and counts[2] > 1:
-                            put(i, None, None, counts[4] - m[i], counts[5])
-                        for task, left in tasks((d, j), counts[:4], home, core, cosine >= cells.shell and not core, hashes[i]):
-                            put(i, task, left, m[i], None)
+                    i, core = at[r], home and cosine >= cells.core
+                    if core and counts[2] > 1:
+                        put(i, None, None, counts[4] - m[i], counts[5])
+                    for task, left in tasks((d, j), counts[:4], home, core, cosine >= cells.shell and not core, hashes[i]):
+                        put(i, task, left, m[i], None)
             picked = pa.array(at_, pa.int64())
             v = pa.array([held[i] if t is not None else None for i, t in zip(at_, task_, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("label").take(picked), pa.array(task_, pa.string()), pa.array(left_, pa.bool_()), batch.column("cid").take(picked), pa.array(weight_, pa.int64()), v, pa.array(least_, pa.int64())], ["label", "task", "left_", "cid", "m", "v", "least"])
