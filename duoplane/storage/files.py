@@ -18,7 +18,8 @@ class Files:
 
     ``put_if_absent`` is what all else here stands on: of any number of writers of one name one wins, and no reader ever
     sees part of a file. A file is written under a name of its own first; then it takes its name: by a hard link where the folder is a
-    local path (which fails if the name is taken), else by a rename that does not overwrite."""
+    local path (which fails if the name is taken), else by a rename that does not overwrite (which the file system has to do in
+    one step, as HDFS does)."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")

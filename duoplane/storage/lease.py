@@ -2,7 +2,8 @@
 
 A lease is a numbered file that one writer can create. It ends when its holder releases it or when its time is up; the next one has the
 next number, so numbers rise with every holder. A holder shows its number when it publishes (``Estate``), and a number below the
-highest that was shown is refused there: a holder that slept through its time cannot overwrite what came after it.
+highest that was shown is refused there: a holder that slept through its time cannot overwrite what came after it. Drivers' clocks
+only decide when a lease may be taken over; that nobody overwrites anybody follows from the numbers.
 """
 
 from __future__ import annotations
