@@ -26,7 +26,7 @@ FEATURES, LEAST_DOCS = 4000, 4
 #: Least G statistic (log-likelihood ratio of presence by class) of an n-gram in the model.
 LEAST_G = 12.0
 #: Bytes of text whose features are made at once while fitting (or one longer document).
-PART_BYTES = 1 << 20
+PART_BYTES = 256 << 10
 ROUNDS, RATE, RIDGE = 150, 0.05, 1e-4
 
 
