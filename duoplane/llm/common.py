@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +80,14 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: list[str], n: str, total:
     return salted.join(each, [*key, salt]).drop(salt)
 
 
+def give_back() -> None:
+    """Give freed memory back to the system: a worker process is used again by later stages, and would keep what it once had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``most_bytes`` of ``column`` (one row at least)."""
     for batch in batches:
@@ -88,6 +99,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
 
 
 def repeat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_partitions, join_facts, repeat_ranges, slices, staged, unused
+from .common import give_back, input_partitions, join_facts, repeat_ranges, slices, staged, unused
 from .components import components
 from .token_counts import pack, unpack
 
@@ -36,7 +36,7 @@ WORDS, PERCENT = 5, 75
 #: Bits of a shingle's hash. Two of some hundred shingles of a pair of documents meet by chance once in 10**9 pairs.
 HASH_BITS = 48
 #: Bytes of text, and documents, after which a block is full; bytes of text for each range of hashes.
-BLOCK_BYTES, BLOCK_DOCS, RANGE_BYTES = 8 << 20, 1 << 20, 16 << 20
+BLOCK_BYTES, BLOCK_DOCS, RANGE_BYTES = 4 << 20, 1 << 20, 16 << 20
 #: Up to so many bits of a range's name, blocks send to ranges; beyond, through routes, or rows would be as many as blocks times ranges.
 DIRECT_BITS = 10
 #: Min-hash buckets of a document. They only save work: what they miss, the prefix join finds.
@@ -68,7 +68,7 @@ class Shingler:
         if not found:
             return np.zeros(0, np.uint64)
         known = self._known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(found).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
@@ -105,6 +105,8 @@ def _shared(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ids, own, sets, size, ordinal = [], [], [], 0, ordinal + 1
         if ids:
             yield from block(ordinal, ids, own, sets)
+        del ids, own, sets, shingles
+        give_back()
 
     kinds = {"range": pa.int64(), "block": pa.int64(), "hashes": pa.binary(), "counts": pa.binary(), "places": pa.binary(), "doc_id": pa.list_(pa.int64()), "own": pa.list_(pa.int64()), "n": pa.list_(pa.int32())}
     packed_schema = "range long, block long, hashes binary, counts binary, places binary, doc_id array<long>, own array<long>, n array<int>"
