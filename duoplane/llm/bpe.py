@@ -32,7 +32,7 @@ NO_RANK = np.int32(2**31 - 1)
 #: Bytes of the widest row of a matrix, whose rounds are quadratic in it, and by how many two windows of a piece overlap.
 LONGEST_ROW, OVERLAP = 256, 64
 #: Pre-tokens, and ids of theirs, that a worker keeps between batches.
-CACHE, CACHED_IDS = 500_000, 16 << 20
+CACHE, CACHED_IDS = 200_000, 4 << 20
 
 
 class PairTable:
