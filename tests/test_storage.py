@@ -528,3 +528,41 @@ def test_from_a_branch_and_a_provider_to_the_queue(spark, tmp_path):
     history = [(r.run_id, r.name, r.to_state) for r in estate.snapshot().read("history").collect()]
     assert sorted(h for h in history if h[0] in ("r3", "r4")) == [("r3", "web", "gone"), ("r4", "web", "open"), ("r4", "web2", "open")]
     assert not [h for h in history if h[0] in ("r2", "r5", "r4b")]  # a run that finds nothing new adds nothing
+
+
+def test_documents_are_parsed_by_many_tasks_and_once(spark, tmp_path):
+    """A file of a table is one task's; documents of one are spread before they are parsed, and errors of the set parse none again."""
+    from duoplane.sources.documents import parse_documents, revision_errors
+
+    good = "apiVersion: v1\nkind: Part\nmetadata:\n  name: {}\n  scope: s\nattributes:\n  size: {}\n"
+    texts = [(f"d-{i:04d},x.yaml", good.format(f"n{i - i % 50 % 2}", "007" if i % 10 == 3 else i)) for i in range(400)]
+    frame = spark.createDataFrame(texts, "source string, text string").coalesce(1).select("source", F.encode("text", "UTF-8").alias("content"))
+    parsed = parse_documents(frame, "t", "v1", {"Part": {"size": "int"}})
+    assert parsed.rdd.getNumPartitions() > 4
+    shown = revision_errors(parsed)
+    assert str(shown._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+    rows = [(r.source, r.line, r.message) for r in shown.collect()]
+    want = [(s, 7, "attributes.size: '007' is not an integer") for i, (s, _) in enumerate(texts) if i % 10 == 3]
+    want += [(texts[i][0], None, f"declared more than once: Part/t/s/n{i} in {texts[i][0]},{texts[i + 1][0]}") for i in range(0, 400, 2) if (i + 1) % 10 != 3]
+    assert rows == sorted(want)
+
+
+def test_both_yaml_parsers_say_the_same():
+    import yaml
+
+    from duoplane.sources import documents
+
+    def shape(n):
+        if isinstance(n, yaml.ScalarNode):
+            return n.tag, n.value, n.style or None, n.start_mark.line
+        return n.tag, n.start_mark.line, [tuple(map(shape, x)) if isinstance(x, tuple) else shape(x) for x in n.value]
+
+    deep = "[" * 200 + "]" * 200 + "\n"
+    for text in ("a: 1\nb: 'x'\nc: [1, {d: e}]\n", "---", "a:\n---\n  ", 'a: "\\u00e9"\n', "- - - x\n", "a: &b c\nd: *b\n", "k: !!str 1\n", "é: ü\n", "a: |\n  b\n", "", "a: b: c\n", "a:\t1\n", deep):
+        told = []
+        for read in (documents._nodes, lambda t: list(yaml.compose_all(t, Loader=yaml.SafeLoader))):
+            try:
+                told.append([shape(n) for n in read(text)])
+            except yaml.YAMLError as why:
+                told.append(str(why))
+        assert told[0] == told[1], text
