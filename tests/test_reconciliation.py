@@ -465,3 +465,8 @@ def test_query_equals_sql(spark, name):
     got = sorted(repr(tuple(map(plain, r))) for r in found.select(*columns).collect())
     want = sorted(repr(tuple(map(plain, r))) for r in con.sql(f"select {', '.join(columns)} from ({catalogue.ORACLES[name]})").fetchall())
     assert got == want
+
+
+def test_documents_of_parts_are_for_all_cores(spark):
+    """The part table is one file, and one task if nothing spreads it."""
+    assert catalogue.broken_documents(spark, DATA).rdd.getNumPartitions() > 4
