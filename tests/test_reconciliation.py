@@ -470,3 +470,34 @@ def test_query_equals_sql(spark, name):
 def test_documents_of_parts_are_for_all_cores(spark):
     """The part table is one file, and one task if nothing spreads it."""
     assert catalogue.broken_documents(spark, DATA).rdd.getNumPartitions() > 4
+
+
+def test_barricade_is_linear_in_depth(spark):
+    """Twice the depth, about twice the steps, with the same forms and paths as of shallow values; the query's texts are for all cores."""
+    import sys
+
+    from duoplane.functions.canon import encode_text, problem_of, written
+
+    def steps(depth: int) -> int:
+        n, text = 0, '{"k": ' + "[" * depth + '{"a": 1}' + "]" * depth + "}"
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += 1 if event == "line" else 0
+            return count
+
+        had = sys.gettrace()
+        sys.settrace(count)
+        try:
+            encode_text(text)
+        finally:
+            sys.settrace(had)
+        return n
+
+    assert steps(400) < 2.2 * steps(200)
+    for value in ([], {}, [1, [2.5, None, True], {"a'": ["x"], "b": {}}], {"k": [[]]}, [(1, [2])], "it's", 3, None, ["it's", '"', "\n"]):
+        assert written(value) == str(value)
+    assert problem_of({"k": [1, {"a": [{"b": [0, "\x00"]}]}]}) == "k[1].a[0].b[1]: U+0000 cannot be stored"
+    assert problem_of({"k": [[{"a\x00": float("nan")}]]}) == "k[0][0].a\\x00: U+0000 cannot be stored" and problem_of({"k": [float("inf")]}) == "k[0]: inf is not a finite number"
+    assert problem_of({"k": [{5: 1}]}) == "k[0].5: a name that is no text" and problem_of({"k": ["\ud800"]}) == "k[0]: U+D800 cannot be stored" and problem_of({"k": ["😀", "NaN", "{"]}) is None
+    assert catalogue.json_barricade_limits(spark, DATA).rdd.getNumPartitions() > 4
