@@ -566,3 +566,19 @@ def test_both_yaml_parsers_say_the_same():
             except yaml.YAMLError as why:
                 told.append(str(why))
         assert told[0] == told[1], text
+
+
+def test_small_files_in_order_take_few_tasks(spark, tmp_path, monkeypatch):
+    """Files are as small as asked for, but tasks are of ``ROWS`` rows: the driver draws a sample and gets a result for each."""
+    monkeypatch.setattr(ordered, "ROWS", 1000)
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.col("id"))
+    index = ordered.write_in_order(rows, path := f"file://{tmp_path}/t", ["k"], 10).orderBy("offset").collect()
+    assert len({r.part for r in index}) <= 5 and len(index) >= 500 and max(r.n for r in index) <= 10
+    assert [r.offset for r in index] == [sum(r.n for r in index[:i]) for i in range(len(index))]
+    for offset, limit in ((0, 3), (995, 2010), (4990, 100), (5000, 1), (37, 0)):
+        assert [r.k for r in ordered.page(spark, path, ["k"], offset, limit).collect()] == list(range(offset, min(5000, offset + limit)))
+    assert ordered.page_total(spark, path) == 5000
+    placed = ordered.positions(rows, f"file://{tmp_path}/p", ["k"], rows_per_file=10)
+    assert placed.count() == 5000 and placed.filter("position != k + 1").count() == 0
+    none = ordered.positions(rows.limit(0), f"file://{tmp_path}/none", ["k"], rows_per_file=10)
+    assert none.count() == 0 and ordered.page(spark, f"file://{tmp_path}/none", ["k"], 0, 5).count() == 0
