@@ -582,3 +582,53 @@ def test_small_files_in_order_take_few_tasks(spark, tmp_path, monkeypatch):
     assert placed.count() == 5000 and placed.filter("position != k + 1").count() == 0
     none = ordered.positions(rows.limit(0), f"file://{tmp_path}/none", ["k"], rows_per_file=10)
     assert none.count() == 0 and ordered.page(spark, f"file://{tmp_path}/none", ["k"], 0, 5).count() == 0
+
+
+def test_a_bucket_takes_its_rows_piece_by_piece(monkeypatch):
+    """A batch's rows of a bucket are never held together, and in pieces they come to what they come to run by run."""
+    import random
+    import weakref
+
+    import pandas as pd
+
+    class Entries(dict):
+        getValue, updateValue = dict.get, dict.__setitem__  # noqa: N815
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    def plain(rows, state):
+        for run in sorted({r["run"] for r in rows}):
+            mine = [r for r in rows if r["run"] == run]
+            for r in mine:
+                name, entry = (r["kind"], r["scope"], r["name"]), (run, int(r["at"].timestamp() * 1_000_000), r["position"], r["collector"], r["provider_id"], None)
+                if r["event"] == absence.SEEN and (name not in state or state[name][:3] < entry[:3]):
+                    state[name] = entry
+            for r in mine:
+                for name, e in list(state.items()) if r["event"] == absence.CLOSED and r["entitled"] else []:
+                    if e[3] == r["collector"] and e[0] < run and e[5] is None:
+                        state[name] = (*e[:5], r["at"].to_pydatetime())
+
+    draw, alive = random.Random(5), []
+    for held in (absence.HELD, 8, 1):
+        monkeypatch.setattr(absence, "HELD", held)
+        bucket, want = absence.Plane(), {}
+        bucket.entries = Entries()
+        for _ in range(3):
+            rows = [{"tenant_id": "t", "collector": draw.choice("ab"), "run": draw.randrange(1, 6), "event": absence.SEEN, "kind": "k", "scope": "s", "name": f"n{draw.randrange(60)}", "provider_id": draw.choice(["p", None]), "position": i, "entitled": None, "at": pd.Timestamp(2024, 1, draw.randrange(1, 28))} for i in range(300)]
+            rows += [rows[0] | {"event": absence.CLOSED, "collector": c, "run": r, "entitled": draw.random() < 0.7, "at": pd.Timestamp(2024, 2, r)} for c in "ab" for r in range(1, 7) if draw.random() < 0.6]
+            draw.shuffle(rows)
+            most = 0
+
+            def pieces(rows=rows):
+                nonlocal most
+                for i in range(0, len(rows), 10):
+                    piece = pd.DataFrame(rows[i : i + 10])
+                    alive.append(weakref.ref(piece))
+                    most = max(most, sum(x() is not None for x in alive))
+                    yield piece
+                    del piece
+
+            list(bucket.handleInputRows(("t", 0), pieces(), None))
+            plain(rows, want)
+            assert bucket.entries == want and most < 20
