@@ -472,6 +472,16 @@ def test_documents_of_parts_are_for_all_cores(spark):
     assert catalogue.broken_documents(spark, DATA).rdd.getNumPartitions() > 4
 
 
+def test_of_a_parts_texts_one_is_put_together(spark, tmp_path, monkeypatch):
+    """Parts that take the first text don't meet the others, which fail here."""
+    filled, first = catalogue._filled, catalogue._DOCUMENTS[0][0]
+    monkeypatch.setattr(catalogue, "_filled", lambda text: filled(text) if text == first else F.raise_error(F.lit("put together")).cast("string"))
+    n = len(catalogue._DOCUMENTS)
+    spark.read.parquet(f"{DATA}/part.parquet").filter(F.col("p_partkey") % n == 0).write.parquet(f"{tmp_path}/part.parquet")
+    rows = catalogue._documents(spark, str(tmp_path)).collect()
+    assert rows and all(bytes(r.content).startswith(b"apiVersion") for r in rows)
+
+
 def test_barricade_is_linear_in_depth(spark):
     """Twice the depth, about twice the steps, with the same forms and paths as of shallow values; the query's texts are for all cores."""
     import sys
