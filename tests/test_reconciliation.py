@@ -511,3 +511,37 @@ def test_barricade_is_linear_in_depth(spark):
     assert problem_of({"k": [[{"a\x00": float("nan")}]]}) == "k[0][0].a\\x00: U+0000 cannot be stored" and problem_of({"k": [float("inf")]}) == "k[0]: inf is not a finite number"
     assert problem_of({"k": [{5: 1}]}) == "k[0].5: a name that is no text" and problem_of({"k": ["\ud800"]}) == "k[0]: U+D800 cannot be stored" and problem_of({"k": ["😀", "NaN", "{"]}) is None
     assert catalogue.json_barricade_limits(spark, DATA).rdd.getNumPartitions() > 4
+
+
+def test_barricade_neither_walks_nor_moves_what_it_need_not(spark, monkeypatch):
+    """Long integers and lists that hold one list each are stored as they are written; of a text that opens more lists than the decoder takes, only those lists
+    go to Python. Forms and problems are those of the decoder, the encoder and str."""
+    import json
+
+    from duoplane.functions import canon
+
+    lists = lambda n, x: "[" * n + x + "]" * n
+    big = "1" + "0" * 4299
+    bodies = [big, "-" + big[1:].replace("0", "7"), lists(2000, "5"), lists(500, big), lists(40, '"null"'), lists(40, '1, null, "it\'s"'), lists(40, '{"b": [true], "a": []}'), lists(40, ""), lists(33, "[1], [2]"), "null", "[true, null]", '["true"]', "-0", "1e5"]
+    for body in bodies:
+        value, (_, got) = json.loads(body), canon.encode_text('{"k": ' + body + "}")["attributes"][0]
+        elems = [json.dumps(x, sort_keys=True) for x in value] if isinstance(value, list) else None
+        assert (got["kind"], got["canon"], got["text"], got["elems"]) == (canon.kind_of(value), json.dumps(value, sort_keys=True), canon.written(value), elems)
+    for body, why in ((lists(50, "NaN"), "k" + "[0]" * 50 + ": nan is not a finite number"), (lists(50, '"\\u0000"'), "k" + "[0]" * 50 + ": U+0000 cannot be stored"), (lists(50, "1") + ", 2", "not JSON"), (lists(50, "1]"), "not JSON"), (big + "0", "digits"), (lists(50, big + "0"), "digits")):
+        assert why in canon.encode_text('{"k": ' + body + "}")["problem"]
+
+    texts = ['{"k": ' + lists(100_000, "1") + "}", ' {\n"a:[" :' + lists(100_000, "1"), '{"k": 1, "l": ' + lists(100_000, "1") + "}", '{"k" ' + lists(100_000, "1"), '{"k": ' + lists(300, '"' + "x" * 30_000 + '"') + "}"]
+    plain = []
+    for t in texts:
+        try:
+            plain.append(json.loads(t) and None)
+        except (ValueError, RecursionError) as wrong:
+            plain.append(f"not JSON: {wrong}")
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.length("t").alias("n"), F.length(canon._settled(F.col("t"))).alias("moved"), canon.encoded(F.col("t"))["problem"].alias("why"))
+    rows = frame.orderBy("i").collect()
+    assert [r.why for r in rows] == plain and [r.moved < 50_000 for r in rows] == [True, True, False, False, True] and [r.moved == r.n for r in rows] == [False, False, True, True, True]
+
+    monkeypatch.setattr(canon.json, "dumps", None)
+    monkeypatch.setattr(canon, "written", None)
+    for body in bodies[:3]:
+        assert canon.encode_text('{"k": ' + body + "}")["attributes"][0][1]["canon"] == body
