@@ -632,3 +632,56 @@ def test_a_bucket_takes_its_rows_piece_by_piece(monkeypatch):
             list(bucket.handleInputRows(("t", 0), pieces(), None))
             plain(rows, want)
             assert bucket.entries == want and most < 20
+
+
+def test_a_bucket_gets_and_reads_its_rows_in_bulk(monkeypatch):
+    """What tasks read is packed, with the last sighting of each key alone, and comes to the same state; entries aren't asked for one by one where there are few."""
+    import random
+
+    import pandas as pd
+
+    class Entries(dict):
+        updateValue, asked = dict.__setitem__, 0  # noqa: N815
+
+        def getValue(self, name):  # noqa: N802
+            self.asked += 1
+            return self.get(name)
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    draw, buckets = random.Random(3), 4
+    for gathered in (100_000, 30):
+        monkeypatch.setattr(absence, "_GATHERED", gathered)
+        plain, bulk = ({b: absence.Plane() for b in range(buckets)}, {b: absence.PackedPlane() for b in range(buckets)})
+        for p in (*plain.values(), *bulk.values()):
+            p.entries = Entries()
+        for batch in range(3):
+            rows = [{"tenant_id": "t", "bucket": i % 40 % buckets, "collector": draw.choice("ab"), "run": draw.randrange(1, 6), "event": absence.SEEN, "kind": "k", "scope": "s", "name": f"n{i % 40}", "provider_id": draw.choice(["p", None]), "position": i, "entitled": None, "at": draw.choice([pd.Timestamp(2024, 1, draw.randrange(1, 28)), pd.NaT])} for i in range(400)]
+            rows += [rows[0] | {"bucket": b, "event": absence.CLOSED, "kind": None, "scope": None, "name": None, "position": None, "collector": "a", "run": r, "entitled": True, "at": pd.Timestamp(2024, 2, r)} for r in (2, 4) for b in range(buckets)]
+            draw.shuffle(rows)
+            pieces = [pd.DataFrame(rows[i : i + 50]) for i in range(0, len(rows), 50)]
+            packed = pd.concat(list(absence.packed(iter(pieces))), ignore_index=True)
+            sizes = [len(absence.unpacked(x).query("event == 'seen'")) for x in packed["observations"]]
+            assert gathered < 100 or (max(sizes) == 10 and sum(n > 0 for n in sizes) == buckets)
+            for b in range(buckets):
+                list(plain[b].handleInputRows(("t", b), (x[x["bucket"] == b].drop(columns="bucket") for x in pieces), None))
+                changed = list(bulk[b].handleInputRows(("t", b), iter([packed[packed["bucket"] == b]]), None))
+                assert batch or sum(map(len, changed)) == 10
+            tables = [{k: v for p in side.values() for k, v in p.entries.items()} for side in (plain, bulk)]
+            assert tables[0] == tables[1] and len(tables[1]) == 40 and not sum(p.entries.asked for p in bulk.values())
+
+
+def test_state_is_kept_by_as_many_tasks_as_asked_for(spark, tmp_path):
+    """Each opens and writes a store in every batch, which for each of a shuffle's partitions takes longer than the rows."""
+    spark.createDataFrame(sightings((1, "c", "web", "1"), (1, "c", True)), absence.OBSERVATION).coalesce(1).write.parquet(f"{tmp_path}/in")
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        stream = spark.readStream.schema(absence.OBSERVATION).parquet(f"{tmp_path}/in")
+        absence.observe_plane(stream, f"{tmp_path}/log", 6, lambda changes, batch: changes.count(), tasks=2).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "7"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert sorted(p.name for p in (tmp_path / "log/state/0").iterdir() if p.name.isdigit()) == ["0", "1"]
+    assert [r.name for r in absence.plane_of(spark, f"{tmp_path}/log").collect()] == ["web"]
